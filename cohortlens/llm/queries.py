@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe", "simhash"]
+MODULES = ["toxicity", "sharding", "bpe", "simhash", "pii"]
 
 
 def queries() -> dict:
