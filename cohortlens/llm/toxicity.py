@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ WORDS = {
     REPORT: "said says say called calls wrote claims claimed told according quoted",
 }
 ENDS = frozenset(".!?;:\n")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+GIVEN = 1.5  # weight of the words listed above
 #: At most so many labelled rows, taken in the order of a hash of their id, fit lexicon and weights.
 TRAIN_ROWS = 8000
 CACHE = 1 << 19
@@ -104,55 +106,60 @@ NEXT, OUT = (t.tolist() for t in compose([threats(), negation(), reported(), tar
 
 
 class Reader:
-    """Symbols of raw tokens (what stands between white space), remembered for CACHE tokens."""
+    """Symbols of raw tokens (what stands between white space), remembered for CACHE tokens.
 
-    def __init__(self, insults: list[str]):
-        self.words = {w: s for s, ws in WORDS.items() for w in ws.split()}
-        self.words |= {w: INSULT for w in insults if not w.endswith("*")}
-        self.stems = {w[:-1] for w in insults if w.endswith("*")}
+    insults: weights of words, and of stems written "stem*", which stand for any longer word.
+    """
+
+    def __init__(self, insults: dict[str, float]):
+        self.words = {w: (s, GIVEN) for s, ws in WORDS.items() for w in ws.split()}
+        self.words |= {w: (INSULT, x) for w, x in insults.items() if not w.endswith("*")}
+        self.stems = {w[:-1]: x for w, x in insults.items() if w.endswith("*")}
         self.known: dict[str, tuple] = {}
 
+    def word(self, w: str) -> tuple[int, float]:
+        symbol, weight = self.words.get(w, (OTHER, 0.0))
+        stem = max((self.stems.get(w[:k], 0.0) for k in STEMS if len(w) > k), default=0.0)
+        return (INSULT, max(stem, weight)) if stem and symbol in (OTHER, INSULT) else (symbol, weight)
+
     def token(self, raw: str) -> tuple:
-        """Symbols of a token's words and quotes, in order; None ends a clause."""
+        """(symbol, weight) of a token's words and quotes, in order; the symbol None ends a clause."""
         if len(self.known) > CACHE:
             self.known.clear()
         out = []
         for part in re.findall(r"[^\W\d_]+|[.!?;:\"“”„«»]", raw.lower()):
-            if part in ENDS:
-                out.append(None)
-            elif part in "\"“”„«»":
-                out.append(QUOTE)
-            else:
-                s = self.words.get(part, OTHER)
-                out.append(INSULT if s == OTHER and any(part[:k] in self.stems for k in STEMS) else s)
+            out.append((None, 0.0) if part in ENDS else (QUOTE, 0.0) if part in "\"“”„«»" else self.word(part))
         self.known[raw] = out = tuple(out)
         return out
 
 
-FEATURES = ["clauses", "insult", "threat", "aimed", "denied", "quoted", "worst"]
+FEATURES = ["clauses", "insult", "threat", "aimed", "denied", "quoted", "worst", "distinct"]
 
 
 def clause_counts(text: str, reader: Reader) -> list[float]:
-    """log(1 + n) of the clauses that match, of each kind of match, and of the matches of the worst clause."""
-    counts, clauses, worst = [0] * SYMBOLS, 0, 0
+    """log(1 + x) of: the clauses that match, the weight of each kind of match,
+    the weight of the worst clause, and the distinct tokens that match."""
+    sums, clauses, worst, tokens = [0.0] * SYMBOLS, 0, 0.0, set()
     known, token = reader.known, reader.token
     for line in text.split("\n"):
-        state, hits = 0, 0
+        state, hits = 0, 0.0
         for raw in line.split():
-            for symbol in known.get(raw) or token(raw):
+            for symbol, weight in known.get(raw) or token(raw):
                 if symbol is None:
-                    clauses, worst, state, hits = clauses + (hits > 0), max(worst, hits), 0, 0
+                    clauses, worst, state, hits = clauses + (hits > 0), max(worst, hits), 0, 0.0
                 elif symbol or state:
                     out = OUT[state][symbol]
                     state = NEXT[state][symbol]
                     if out == INSULT or out >= THREAT:
-                        counts[out] += 1
-                        hits += out != DENIED
+                        sums[out] += weight
+                        if out != DENIED:
+                            hits += weight
+                            tokens.add(raw)
         clauses, worst = clauses + (hits > 0), max(worst, hits)
-    return [math.log1p(x) for x in (clauses, counts[INSULT], counts[THREAT], counts[AIMED], counts[DENIED], counts[QUOTED], worst)]
+    return [math.log1p(x) for x in (clauses, sums[INSULT], sums[THREAT], sums[AIMED], sums[DENIED], sums[QUOTED], worst, len(tokens))]
 
 
-def clause_features(docs: DataFrame, insults: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+def clause_features(docs: DataFrame, insults: dict[str, float], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` and x, the features of clause_counts; a null text counts as empty."""
     slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
@@ -171,24 +178,36 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn_insults(rows: list[tuple[list[str], int]]) -> list[str]:
-    """Words, and stems as "stem*", that mark label 1, from (distinct words, label) rows.
+def learn_insults(rows: list[tuple[list[str], int]]) -> dict[str, float]:
+    """Weights of words, and of stems as "stem*", that mark label 1, from (distinct words, label) rows.
 
-    Kept are those found nearly only under label 1 (at most one row in fifty
-    otherwise) and in more rows than chance explains: n rows at the base rate
-    would have to be less likely than 1 in 20 over all candidates.
+    Kept are those that most rows with them share label 1, and that are in more
+    such rows than chance explains: the odds against it must exceed 20 times the
+    number of candidates (a likelihood ratio against the base rate). Copies of a
+    text say nothing new, so rows with the same least word hash count once. The
+    weight is a third of the log odds over the base odds.
     """
     total = sum(y for _, y in rows)
     if not total or total == len(rows):
-        return []
-    pos, neg = Counter(), Counter()
+        return {}
+    pos, neg = {}, Counter()
     for words, y in rows:
-        grams = {w[:k] + "*" for w in words for k in STEMS if len(w) >= k} | {w for w in words if w}
-        (pos if y else neg).update(grams)
-    candidates = {g: n for g, n in pos.items() if n >= 3}
-    rate = total / len(rows)
-    need = math.log(20 * max(1, len(candidates))) / -math.log(rate)
-    return sorted(g for g, n in candidates.items() if n >= need and neg[g] <= n / 50)
+        grams = {w[:k] + "*" for w in words for k in STEMS if len(w) > k} | {w for w in words if w}
+        if y:
+            marks = [min((zlib.crc32(w.encode(), salt) for w in words if w), default=0) for salt in (1, 2)]
+            for g in grams:
+                for seen, mark in zip(pos.setdefault(g, (set(), set())), marks):
+                    seen.add(mark)
+        else:
+            neg.update(grams)
+    candidates = {g: n for g, seen in pos.items() if (n := min(map(len, seen))) >= 3}
+    rate, need, out = total / len(rows), math.log(20 * max(1, len(candidates))), {}
+    for g, n in candidates.items():
+        p = n / (n + neg[g])
+        ratio = n * math.log(p / rate) + (neg[g] * math.log((1 - p) / (1 - rate)) if neg[g] else 0)
+        if p > 0.5 and ratio > need:
+            out[g] = math.log((n + 0.5) / (neg[g] + 0.5) * (1 - rate) / rate) / 3
+    return dict(sorted(out.items()))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -209,7 +228,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[list[str], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[dict[str, float], list[float]]:
     """Insults and weights from at most `rows` labelled rows that are not held out.
 
     Labels that are null are left out; an id labelled more than once counts as
