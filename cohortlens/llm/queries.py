@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "sharding", "bpe", "simhash", "pii"]
+MODULES = ["toxicity", "sharding", "bpe", "simhash", "license_scan", "pii"]
 
 
 def queries() -> dict:
