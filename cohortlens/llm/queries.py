@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "mixing", "sharding", "bpe", "simhash", "license_scan", "pii"]
+MODULES = ["toxicity", "mixing", "sharding", "bpe", "near_dup_vectors", "ann", "simhash", "license_scan", "pii"]
 
 
 def queries() -> dict:
