@@ -9,10 +9,16 @@ values and follows only edges whose key is within the radius of its distance to
 the node. The trees of all shards have no size bound, so they are not broadcast:
 each shard's tree is built in the task to which the shuffle deals its shard, and
 its queries are dealt to the same task.
+
+For a wanted similarity below what few differing bits tell, links are searched
+within a larger radius in shards named by samples of bits, and each is held
+against sketches of the two shingle sets before it counts.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,35 +32,46 @@ from ._util import connected_components, numpy_components, read_table, staged
 
 SHINGLES_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
+SKETCH = 128  # least shingle hashes kept of a text, 32 bits each
+SHARD_ROWS = 32  # fingerprints that a shard of sampled bits should have
+MISSED = 0.02  # share of links at the very radius that the samples of bits may miss
+
 
+def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42, sketch: bool = False) -> int | tuple[int, bytes]:
+    """The fingerprint, 0 for a text without words; a bit is 1 if it is set in over half the shingle hashes.
 
-def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint, 0 for a text without words; a bit is 1 if it is set in over half the shingle hashes."""
+    With sketch also the SKETCH smallest distinct upper halves of the hashes.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and ASCII white space only
     if not words:
-        return 0
+        return (0, b"") if sketch else 0
     n = max(1, len(words) - words_per_shingle + 1)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     ends = ends[words_per_shingle - 1 :] or ends[-1:]
-    ones, hashed = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    ones, hashed, least = np.zeros(64, np.int64), xxhash.xxh64_intdigest, np.empty(0, np.uint32)
     for i in range(0, n, SHINGLES_AT_ONCE):
         h = np.array([hashed(joined[s:e], seed) for s, e in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        if sketch:
+            least = np.unique(np.concatenate([least, (h >> np.uint64(32)).astype(np.uint32)]))[:SKETCH]
+    fp = int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return (fp, least.astype("<u4").tobytes()) if sketch else fp
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. Null texts count as empty."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
+    """(id, text_key, fp, sketch): the fingerprint as a signed long; text_key tells equal texts. Null texts count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words_per_shingle, seed) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+        for b in batches:
+            found = [fingerprint(t.as_py(), words_per_shingle, seed, True) if sketch else (fingerprint(t.as_py(), words_per_shingle, seed), None) for t in b.column("text")]
+            fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(fps), pa.array([x for _, x in found], pa.binary())], ["id", "text_key", "fp", "sketch"])
 
-    return slim.mapInArrow(run, "id long, fp long")
+    return slim.mapInArrow(run, "id long, text_key long, fp long, sketch binary")
 
 
 def _forest(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,37 +101,73 @@ def _forest(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _search(values: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of one shard within the radius, found by walking the trees.
 
-    Queries go in runs whose shard sizes sum to PAIRS_AT_ONCE, so that what is
+    The pairs come by rising distance. Queries go in runs whose shard sizes sum to PAIRS_AT_ONCE, so that what is
     held at a time is bounded.
     """
     keys, child = _forest(values, first)
-    found_a, found_b = [], []
+    found = []
     run = np.cumsum(size) // PAIRS_AT_ONCE
     for lo, hi in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(values)]]))):
         q, node = np.arange(lo, hi), first[lo:hi]
         while len(q):
             d = np.bitwise_count(values[q] ^ values[node]).astype(np.int64)
             hit = (d <= radius) & (q < node)
-            found_a.append(q[hit])
-            found_b.append(node[hit])
+            found.append((d[hit], q[hit], node[hit]))
             low = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
             high = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right")
             n = high - low
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             q, node = np.repeat(q, n), child[np.repeat(low, n) + offset]
-    return np.concatenate(found_a), np.concatenate(found_b)
+    d, a, b = (np.concatenate(x) for x in zip(*found))
+    by = np.argsort(d, kind="stable")
+    return a[by], b[by]
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what all the links join, n - 1 at most; earlier ones are preferred (Boruvka's rounds)."""
+    label, kept = np.arange(n), [(a[:0], b[:0])]
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return tuple(np.concatenate(x) for x in zip(*kept))
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        first = np.full(n, len(a))
+        np.minimum.at(first, la, np.arange(len(a)))
+        np.minimum.at(first, lb, np.arange(len(a)))
+        pick = np.unique(first[first < len(a)])
+        kept.append((a[pick], b[pick]))
+        label = numpy_components(n, la[pick], lb[pick])[label]
+
+
+def shard_bits(radius: int, rows: int) -> list[list[int]]:
+    """The bits whose values name shards, a list for each shard that a fingerprint is in.
+
+    Up to a radius of 4, radius + 1 bands of all bits: two fingerprints within
+    the radius agree on one at least. Beyond, so many random samples of bits
+    that all but the share MISSED of links at the radius agree on one; a sample
+    has more bits the more fingerprints there are, so shards do not grow.
+    """
+    if radius <= 4:
+        cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+        return [list(range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+    bits = min(40, max(8, math.ceil(math.log2(max(1, rows / SHARD_ROWS)))))
+    agree = math.comb(64 - radius, bits) / math.comb(64, bits)
+    rng = random.Random(radius)
+    return [sorted(rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - agree)))]
 
 
 def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) that join the fingerprints of column fp within the radius.
 
-    Within a task the pairs found are reduced to a spanning star for each
-    component, so at most one link for each fingerprint and shard comes out.
+    Within a task the pairs found are reduced to a spanning forest, so at most
+    one link for each fingerprint and shard comes out.
     """
-    bands = radius + 1
-    cuts = [round(64 * i / bands) for i in range(bands + 1)]
-    shard = F.array(*[F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1) * bands + i for i in range(bands)])
-    dealt = distinct.select("fp", F.explode(shard).alias("shard")).repartition("shard")
+    samples = shard_bits(radius, distinct.count() if radius > 4 else 0)
+    masks = [sum(1 << i for i in bits) for bits in samples]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    shard = F.transform(F.array(*[F.lit(signed(m)) for m in masks]), lambda m, i: F.struct(i.alias("n"), F.col("fp").bitwiseAND(m).alias("bits")))
+    dealt = distinct.select("fp", F.explode(shard).alias("s")).select("fp", F.xxhash64("s.n", "s.bits").alias("shard")).repartition("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column("shard").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
@@ -133,42 +186,69 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         values, first, each = fps[kept].view(np.uint64), moved[first[kept]], each[kept]
         a, b = _search(values, first, each, radius)
         names, at = np.unique(values.view(np.int64), return_inverse=True)
-        root = numpy_components(len(names), at[a], at[b])
-        linked = np.flatnonzero(root != np.arange(len(names)))
-        if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], ["a", "b"])
+        a, b = spanning_forest(len(names), at[a], at[b])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id) for each row of docs.
+def similar_links(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of links (a, b) between fingerprints those whose texts, by the sketches
+    (fp, sketch), share at least so much of their shingles (Jaccard, estimated
+    from the least hashes of both)."""
+    left = links.distinct().join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("sa"), b.column("sb")):
+                x, y = (np.frombuffer(z.as_py(), "<u4") for z in (x, y))
+                least = np.union1d(x, y)[:SKETCH]
+                keep.append(len(least) > 0 and np.isin(least, x).astype(int) @ np.isin(least, y).astype(int) >= similarity * len(least))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
+    """(id, text_key, fp, component_id) for each row of docs.
 
     component_id: the smallest id reachable over links of at most `radius`
-    differing bits; rows with equal fingerprints are linked. Null and empty
-    texts have fingerprint 0 and are linked like any other. A null id takes part
-    and gets its component's smallest id that is not null (null if there is
-    none). Repeated rows give repeated results; an empty table gives none;
-    other columns of docs are not read.
+    differing bits (and, if given, of at least the similarity); rows with equal
+    fingerprints are linked. Null and empty texts have fingerprint 0 and are
+    linked like any other. A null id takes part and gets its component's
+    smallest id that is not null (null if there is none). Repeated rows give
+    repeated results; an empty table gives none; other columns are not read.
     """
-    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    root = connected_components(near_links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    named = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None), "prints")
+    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch")), "distinct")
+    links = near_links(distinct.select("fp"), radius)
+    if similarity is not None:
+        links = similar_links(links, distinct, similarity)
+    root = connected_components(links).select(F.col("node").alias("fp"), "root")
+    named = distinct.select("fp", "least").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 10, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays.
 
-    Rows with a null id stay, as nothing tells them apart; of repeated rows
-    (the same id more than once) one stays.
+    Rows with a null id stay, as nothing tells them apart; of rows alike in id
+    and text one stays; rows that share an id but not the group are judged each
+    by itself. Columns of docs whose names start with _dup_ may not exist.
     """
-    found = near_duplicates(docs, radius, id_col, text_col, words_per_shingle)
-    kept = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return one.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, radius, id_col, text_col, words_per_shingle, similarity=similarity).where("id is not null")
+    found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id"), "groups")
+    gone = found.where("_dup_id != component_id").select("_dup_id", "_dup_key").distinct()
+    keyed = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = (F.col(id_col).cast("long") == F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_key"))
+    kept = keyed.join(gone, same, "left_anti")
+    if found.groupBy("_dup_id", "_dup_key").count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_dup_text"]))
+    return kept.select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
