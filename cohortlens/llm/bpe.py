@@ -2,29 +2,35 @@
 
 Texts are cut at spaces, tabs and line breaks, where no token can cross, into
 words. A chunk (some MB of texts read by one task) lists its distinct words and
-stores each text as places in that list. The distinct words of all chunks form
-one table; each is encoded once; its ids are decoded by a join with the
-id-to-piece table. Ids and pieces go back to the chunks by word, and to the
-texts by position.
+stores each text as places in that list. The chunks' words are dealt by hash, so
+that all that chunks ask about a word meets in one task, which encodes each
+distinct word once. The ids go back to the chunk, there to the texts by
+position; an id-to-piece table, joined in memory, turns ids back into text.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark import TaskContext
 
 from ._util import read_table, staged
 
-TEXT_BYTES = 24 << 20  # a chunk ends beyond so many characters ...
-WORDS = 250_000  # ... or distinct words, but holds a text at least
+TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
+WORDS = 400_000  # ... or distinct words, but holds a text at least
 OUT_BYTES = 8 << 20
-BREAKS = str.maketrans("\t\n\r", "   ")
+MOST_PARTS = 4096
+MID = 128 + 64 * 256  # places from here take three bytes
+LONG = MID + 64 * 65536  # and beyond this all are written plainly
 
 _tokenizers: dict = {}
 
@@ -48,113 +54,186 @@ def tokenizer(path: str):
 
 
 def split_words(text: str) -> list[str]:
-    """Non-empty pieces between spaces, tabs and line breaks; other white space stays inside words."""
-    return [w for w in text.translate(BREAKS).split(" ") if w]
+    """Pieces between spaces, tabs and line breaks; an empty one has no ids. Other white space stays inside words."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def _pack(x: bytes | np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unpack(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, which pack better."""
+    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, words, ids, counts, places): texts as places in their chunk's list of words."""
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpack(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_places(flat: np.ndarray, n: int) -> tuple[bytes, np.ndarray]:
+    """Places of n words packed, and the order that the words must get.
+
+    Words that occur once (most of them) are all written 0, as they come in
+    order; the others are numbered from 1 by falling count and written in one
+    to three bytes, each in a plane of its own.
+    """
+    counts = np.bincount(flat, minlength=n)
+    often, once = np.flatnonzero(counts > 1), np.flatnonzero(counts == 1)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    rank = np.zeros(n, np.int64)
+    rank[often] = np.arange(1, len(often) + 1)
+    f, order = rank[flat], np.concatenate([often, once])
+    head = np.array([len(often), len(flat)], "<u8").tobytes()
+    if len(often) >= LONG:
+        return head + _planes(f), order
+    mid, long = f >= 128, f >= MID
+    planes = [np.where(long, 192 + (f - MID >> 16), np.where(mid, 128 + (f - 128 >> 8), f)), np.where(long, f - MID >> 8, f - 128)[mid], (f - MID)[long]]
+    packed = [_pack((x & 255).astype(np.uint8)) for x in planes]
+    return head + b"".join(np.array([len(x)], "<u8").tobytes() + x for x in packed), order
+
+
+def _unpack_places(blob: bytes) -> np.ndarray:
+    often, n = (int(x) for x in np.frombuffer(blob[:16], "<u8"))
+    if often >= LONG:
+        f = _from_planes(blob[16:]).astype(np.int64)
+    else:
+        planes, at = [], 16
+        for _ in range(3):
+            size = int(np.frombuffer(blob[at : at + 8], "<u8")[0])
+            planes.append(np.frombuffer(_unpack(blob[at + 8 : at + 8 + size]), np.uint8).astype(np.int64))
+            at += 8 + size
+        f = planes[0].copy()
+        mid, long = f >= 128, f >= 192
+        second = np.zeros(n, np.int64)
+        second[mid] = planes[1]
+        f[mid] = 128 + (f[mid] - 128 << 8) + second[mid]
+        f[long] = MID + (planes[0][long] - 192 << 16) + (second[long] << 8) + planes[2]
+    once = f == 0
+    return np.where(once, often + np.cumsum(once), f) - 1
+
+
+def _words_blob(words: list[str]) -> bytes:
+    """Words hold no line breaks, so these can divide them."""
+    return _pack("\n".join(words).encode("utf-8", "surrogatepass"))
+
+
+def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, ids, counts, places, owners, asked): texts as places in their
+    chunk's list of words; for each place the part that its word is dealt to;
+    and for each part its words in order of place."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    asked = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), asked]
+    names = ["chunk", "ids", "counts", "places", "owners", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        chunk = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            flat = np.concatenate(places) if places else np.empty(0, np.uint32)
-            row = [f"{part}-{number}", list(place), ids, counts, flat.astype("<u4" if len(place) > 65536 else "<u2").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], ["chunk", "words", "ids", "counts", "places"])
-
-        place, ids, counts, places, held = {}, [], [], [], 0
+            words = list(place)
+            packed, order = _pack_places(np.concatenate(places), len(words))
+            words = [words[i] for i in order.tolist()]
+            owner = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts for w in words), np.uint32, len(words))
+            lists = [{"part": int(p), "words": _words_blob([words[i] for i in np.flatnonzero(owner == p)])} for p in np.unique(owner)]
+            row = [chunk, ids, counts, packed, _planes(owner), lists]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
+
+        def fresh() -> tuple:
+            return defaultdict(count().__next__), [], [], [], 0
+
+        place, ids, counts, places, held = fresh()
         for batch in batches:
             for i, t in zip(batch.column("id"), batch.column("text")):
                 text = t.as_py()
-                if ids and (held + len(text) > TEXT_BYTES or len(place) > WORDS):
+                if ids and (held + len(text) > TEXT_CHARS or len(place) > WORDS):
                     yield flush()
-                    place, ids, counts, places, held, number = {}, [], [], [], 0, number + 1
+                    (place, ids, counts, places, held), chunk = fresh(), chunk + 1
                 words = split_words(text)
-                # setdefault's len(place) is the next free place
-                places.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.uint32, len(words)))
+                places.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
                 ids.append(i.as_py())
                 counts.append(len(words))
                 held += len(text)
         if ids:
             yield flush()
 
-    return slim.mapInArrow(run, "chunk string, words array<string>, ids array<long>, counts array<int>, places binary")
+    return slim.mapInArrow(run, "chunk long, ids array<long>, counts array<int>, places binary, owners binary, asked array<struct<part: int, words: binary>>")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for a table of distinct words."""
+def encode_words(asked: DataFrame, path: str) -> DataFrame:
+    """(chunk, part, lengths, codes) for (chunk, part, words) dealt by part: a
+    task remembers its distinct words and encodes each of them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                found = t.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
-
-
-def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of a vocabulary file; its size is the vocabulary's."""
+        t, known = tokenizer(path), {}
+        for b in batches:
+            for at in range(b.num_rows):
+                words = _unpack(b.column("words")[at].as_py()).decode("utf-8", "surrogatepass").split("\n")
+                new = [w for w in words if w not in known]
+                for k in range(0, len(new), 4000):
+                    part = new[k : k + 4000]
+                    known.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(part, add_special_tokens=False))))
+                codes = [known[w] for w in words]
+                lengths = np.fromiter(map(len, codes), np.uint32, len(codes)) // 4
+                row = [b.column("chunk").slice(at, 1), b.column("part").slice(at, 1), pa.array([_planes(lengths)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(codes), "<u4"))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "lengths", "codes"])
+
+    return asked.mapInArrow(run, "chunk long, part int, lengths binary, codes binary")
+
+
+def id_to_piece(path: str) -> list[str]:
+    """The piece of each id of a vocabulary file; as long as the vocabulary."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     piece = {i: p for p, i in data["model"]["vocab"].items()} | {x["id"]: x["content"] for x in data["added_tokens"]}
-    return spark.createDataFrame(pa.table({"id": pa.array(piece, pa.int32()), "piece": list(piece.values())}))
-
-
-def decode_words(coded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, decoded): the pieces of ids joined by single spaces, as the
-    library's decode does for a vocabulary file without a decoder."""
-    each = coded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")
-    text = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("s")).select("word", F.concat_ws(" ", F.transform("s", lambda x: x["piece"])).alias("decoded"))
-    return coded.join(text, "word", "left")
+    return [piece.get(i, "") for i in range(max(piece) + 1)]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of docs.
 
     ids: little-endian unsigned 32-bit integers, one after the other; decoded:
-    the text that they decode to. A null or empty text has no ids and decodes to
-    the empty text. Null ids, repeated rows and other columns do no harm: texts
-    are told apart by position, and only the two named columns are read.
+    the text that they decode to, pieces joined by single spaces as the library
+    does for a vocabulary file without a decoder. A null or empty text has no ids
+    and decodes to the empty text. Null ids, repeated rows and other columns do
+    no harm: texts are told apart by position, and only the two named columns
+    are read. An empty table gives an empty result.
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
-    held = staged(chunks(docs, id_col, text_col), "chunks")
-    listed = held.select("chunk", F.posexplode("words").alias("at", "word"))
-    coded = staged(encode_words(listed.select("word").distinct(), path), "coded")
-    coded = decode_words(coded, id_to_piece(spark, path))
-    back = listed.join(coded, "word").select("chunk", "at", "ids", "decoded")
-    lists = back.groupBy("chunk").agg(F.collect_list(F.struct("at", "ids", "decoded")).alias("coded"))
-    both = held.drop("words").join(lists, "chunk", "left")
+    parts = min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = staged(chunks(docs, parts, id_col, text_col), "chunks")
+    asked = held.select("chunk", F.explode("asked").alias("a")).select("chunk", "a.part", "a.words")
+    back = encode_words(asked.repartition(parts, "part"), path)
+    lists = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "lengths", "codes"))).alias("coded"))
+    both = held.drop("asked").join(lists, "chunk").select("ids", "counts", "places", "owners", "coded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = np.array([f" {p}" for p in id_to_piece(path)], dtype=object)
         for batch in batches:
-            for row in range(batch.num_rows):
-                yield from finish(batch.slice(row, 1))
-
-    def finish(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts, ids = b.column("counts")[0].as_py(), b.column("ids")[0].as_py()
-        coded = b.column("coded")[0].values
-        n = 0 if coded is None else len(coded)
-        code, text, size = [b""] * n, [""] * n, np.zeros(n, np.int64)
-        if n:
-            lists, at = coded.field("ids"), coded.field("at").to_numpy()
-            flat = lists.flatten().to_numpy().astype("<u4").tobytes()
-            ends = np.cumsum(lengths := np.array(lists.value_lengths().to_numpy(), np.int64))
-            size[at] = lengths
-            for p, e, k, d in zip(at.tolist(), ends.tolist(), lengths.tolist(), coded.field("decoded").to_pylist()):
-                code[p], text[p] = flat[4 * (e - k) : 4 * e], d or ""
-        blob = b.column("places")[0].as_py()
-        places = np.frombuffer(blob, "<u4" if len(blob) == 4 * sum(counts) else "<u2")
-        out, held, at = [], 0, 0
-        for i, k in zip(ids, counts):
+            for row in batch.to_pylist():
+                yield from finish(row, pieces)
+
+    def finish(row: dict, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(_from_planes(row["owners"]), kind="stable")
+        lengths = np.concatenate([_from_planes(x["lengths"]) for x in row["coded"]])
+        flat = np.concatenate([_from_planes(x["codes"]) for x in row["coded"]])
+        size = np.zeros(len(order), np.int64)
+        size[order] = lengths
+        ends = np.cumsum(lengths, dtype=np.int64)
+        named, raw = pieces[flat].tolist(), flat.tobytes()
+        code, text = [b""] * len(order), [""] * len(order)
+        for p, e, k in zip(order.tolist(), ends.tolist(), lengths.tolist()):
+            code[p] = raw[4 * (e - k) : 4 * e]
+            text[p] = "".join(named[e - k : e])
+        places, out, held, at = _unpack_places(row["places"]), [], 0, 0
+        for i, k in zip(row["ids"], row["counts"]):
             p = places[at : at + k]
             words, at = p.tolist(), at + k
-            # a word may have no ids (a control character that the vocabulary drops), and then has no piece either
-            out.append((i, int(size[p].sum()), b"".join([code[w] for w in words]), " ".join([text[w] for w in words if text[w]])))
+            out.append((i, int(size[p].sum()), b"".join([code[w] for w in words]), "".join([text[w] for w in words])[1:]))
             held += 4 * out[-1][1] + len(out[-1][3])
             if held > OUT_BYTES:
                 yield batch_of(out)
@@ -165,7 +244,24 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return both.select("ids", "counts", "places", "coded").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return both.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded) for ids as little-endian 32-bit integers; null ids decode to the empty text.
+
+    The id-to-piece table is as long as the vocabulary and goes to every task.
+    """
+    path = path or vocabulary_path()
+    slim = coded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = np.array(id_to_piece(path), dtype=object)
+        for b in batches:
+            text = [" ".join(pieces[np.frombuffer(x.as_py(), "<u4")]) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "decoded"])
+
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
