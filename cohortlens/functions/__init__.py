@@ -1 +1 @@
-
+"""Scalar helpers: rounding, division, hashing, strings, distributions."""

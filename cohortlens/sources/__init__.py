@@ -1 +1 @@
-
+"""Reading and writing: label tables, file listings, reports."""
