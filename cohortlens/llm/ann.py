@@ -21,7 +21,7 @@ from ._util import read_table, staged
 from .near_dup_vectors import spherical_kmeans
 from .vectors import matrix, sample, vectors
 
-SAMPLE = 12288  # vectors that graph, parts and network are made from
+SAMPLE = 8192  # vectors that graph, parts and network are made from
 PART_ROWS = 4096  # rows a part should have
 MOST_PARTS = 256
 BLOCK = 4096
@@ -29,11 +29,11 @@ BLOCK = 4096
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k nearest other rows by cosine."""
-    out, k = [], min(k, len(x) - 1)
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
+    out, k, x = [], min(k, len(x) - 1), x.astype(np.float32)
+    for i in range(0, len(x), 128):  # few rows at a time: this runs on the driver
+        s = x[i : i + 128] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].astype(np.int32))
     return np.concatenate(out)
 
 
