@@ -64,7 +64,7 @@ def operating_points(c: DataFrame, by: tuple[str, ...] = (), sens_min: float = 0
     """One row: at_sens (tps, fps, thr) of the first point with that sensitivity, and
     at_spec of the last point with that specificity (null: the point at infinity)."""
     point = F.struct("tps", "fps", "thr")
-    tpr, spec = F.col("tps") / F.col("np"), 1 - F.col("fps") / F.col("nn")
+    tpr, spec = ratio("tps", "np", None), 1 - ratio("fps", "nn", None)
     return c.groupBy(*by).agg(
         F.max_by(point, F.when(tpr >= sens_min, F.col("thr"))).alias("at_sens"), F.min_by(point, F.when(spec >= spec_min, F.col("thr"))).alias("at_spec"), F.max("np").alias("np"), F.max("nn").alias("nn")
     )
@@ -89,7 +89,7 @@ def cutpoints(c: DataFrame, by: tuple[str, ...] = (), p_adj: float | None = None
     j = F.col("tps") * F.col("nn") - F.col("fps") * F.col("np")
     count = F.abs(F.col("fps") - (F.col("np") - F.col("tps")))
     if p_adj:
-        adj = F.abs(F.col("fps") / F.col("nn") * (1 - p_adj) - (1 - F.col("tps") / F.col("np")) * p_adj)
+        adj = F.abs(ratio("fps", "nn", None) * (1 - p_adj) - (1 - ratio("tps", "np", None)) * p_adj)
         adj0 = F.abs(F.lit(0.0) - F.lit(float(p_adj)))
     else:
         adj, adj0 = count.cast("double"), F.col("np").cast("double")
@@ -101,8 +101,8 @@ def cutpoints(c: DataFrame, by: tuple[str, ...] = (), p_adj: float | None = None
 
 def band(curves: DataFrame, alpha: float = 0.05, digits: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """(fpr, lower, med, upper): percentiles of tpr over curves, by rounded fpr."""
-    at = half_even(F.col("fps") / F.col("nn"), digits)
-    pts = curves.select(*by, at.alias("fpr"), (F.col("tps") / F.col("np")).alias("tpr"))
+    at = half_even(ratio("fps", "nn", None), digits)
+    pts = curves.select(*by, at.alias("fpr"), ratio("tps", "np", None).alias("tpr"))
     return pts.groupBy(*by, "fpr").agg(F.percentile("tpr", F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2))).alias("q")).select(*by, "fpr", F.col("q")[0].alias("lower"), F.col("q")[1].alias("med"), F.col("q")[2].alias("upper"))
 
 

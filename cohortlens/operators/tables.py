@@ -52,9 +52,9 @@ def harmonic_p(p: str | Column = "p", smooth: float = 1e-7) -> Column:
     return w / F.sum(1 / (col(p) + smooth))
 
 
-def fisher_statistic(p: str | Column = "p") -> Column:
-    """-2 times the sum of logs; chi-square with 2k degrees under the null."""
-    return -2 * F.sum(F.log(col(p)))
+def fisher_statistic(p: str | Column = "p", smooth: float = 1e-7) -> Column:
+    """-2 times the sum of logs, smoothed; chi-square with 2k degrees under the null."""
+    return -2 * F.sum(F.log(col(p) + smooth))
 
 
 def best_x(x: str, y: str, at_least: float) -> Column:

@@ -258,7 +258,7 @@ def a13(spark, d):
     return roc.band(roc.curve(view(spark, d, "scored_findings"), ("finding",))).withColumns({c: S.half_even(c, 6) for c in ("lower", "med", "upper")})
 
 
-@query("a15_harmonic_p", f"SELECT user_id, {r('count(*)::DOUBLE / sum(1 / (value / 500 + 1e-7))', 6)} AS p_avg, {r('-2 * sum(ln(value / 500))')} AS fisher FROM events GROUP BY user_id")
+@query("a15_harmonic_p", f"SELECT user_id, {r('count(*)::DOUBLE / sum(1 / (value / 500 + 1e-7))', 6)} AS p_avg, {r('-2 * sum(ln(value / 500 + 1e-7))')} AS fisher FROM events GROUP BY user_id")
 def a15(spark, d):
     e = table(spark, d, "events").withColumn("p", F.col("value") / 500)
     return e.groupBy("user_id").agg(S.half_even(T.harmonic_p(), 6).alias("p_avg"), S.half_even(T.fisher_statistic()).alias("fisher"))
