@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once for a row, not once for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rescale(pixels: str | Column, new_max: int = 255) -> Column:
     """max(x, 0) / max * new_max, cut to whole numbers; an image without positive pixels becomes null."""
     a = col(pixels)
-    top = F.array_max(a)
-    return F.when(top > 0, F.transform(a, lambda x: (F.greatest(x, F.lit(0)) / top * new_max).cast("int")))
+    scaled = _once(F.array_max(a), lambda top: F.transform(a, lambda x: (F.try_divide(F.greatest(x, F.lit(0)), top) * new_max).cast("int")))
+    return F.when(F.array_max(a) > 0, scaled)
 
 
 def mean_brightness(pixels: str | Column) -> Column:
@@ -31,17 +36,20 @@ def invert(pixels: str | Column) -> Column:
 
 def percentile_of(pixels: str | Column, q: float) -> Column:
     """Linear interpolation between the sorted values around q/100 * (n - 1)."""
-    s = F.array_sort(F.transform(col(pixels), lambda x: x.cast("double")))
-    at = F.lit(q / 100) * (F.size(s) - 1)
-    lo = F.floor(at).cast("int")
-    low, high = F.element_at(s, lo + 1), F.element_at(s, F.least(lo + 2, F.size(s)))
-    return low + (high - low) * (at - lo)
+
+    def between(s: Column) -> Column:
+        at = F.lit(q / 100) * (F.size(s) - 1)
+        lo = F.floor(at).cast("int")
+        low, high = F.element_at(s, lo + 1), F.element_at(s, F.least(lo + 2, F.size(s)))
+        return low + (high - low) * (at - lo)
+
+    return _once(F.array_sort(col(pixels).cast("array<double>")), between)
 
 
 def percentile_mask(image: str | Column, mask: str | Column, level: float = 70, scale: bool = True) -> Column:
     """Pixels stay where the mask is above its percentile, else become 0."""
-    limit = percentile_of(mask, level)
-    return F.zip_with(col(image), col(mask), lambda x, m: F.when(m > limit, x / 255 if scale else x.cast("double")).otherwise(0.0))
+    kept = lambda limit: F.zip_with(col(image), col(mask), lambda x, m: F.when(m > limit, x / 255 if scale else x.cast("double")).otherwise(0.0))
+    return _once(percentile_of(mask, level), kept)
 
 
 def trim_box(pixels: str | Column, width: int) -> Column:
@@ -98,7 +106,7 @@ def resize_nearest(pixels: str | Column, width: int, height: int, new_width: int
 def overlay(image: str | Column, heat: str | Column, alpha: float = 0.4) -> Column:
     """image + alpha * heat (0..1), scaled to a maximum of 1."""
     raw = F.zip_with(col(image), col(heat), lambda x, h: x + (F.rint(255 * h) * alpha))
-    return F.transform(raw, lambda v: v / F.array_max(raw))
+    return _once(raw, lambda r: _once(F.array_max(r), lambda top: F.transform(r, lambda v: F.try_divide(v, top))))
 
 
 def brightness_contrast(pixels: str | Column, contrast: float = 1.0, brightness: float = 0.0) -> Column:

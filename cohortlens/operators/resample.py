@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
 from .confusion import Rates
-from .roc import areas, curve
+from .roc import RANGES, areas, curve
 
 METRICS = ["sens", "spec", "ppv", "npv", "j", "f1"]
 BLOCK = 1024
+MOST_BROADCAST = 200_000  # rows of cells and blocks up to which draws look them up in memory
 
 
 def smallest_keys(df: DataFrame, n: int | Column, seed: int, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,9 +101,38 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983) -> DataFram
     runs = size.crossJoin(c.sparkSession.range(reps).select(F.col("id").alias("rep"))).withColumn("run", F.explode(F.expr("sequence(0L, (size - 1) div 10000)")))
     draws = runs.withColumn("k", F.explode(F.expr("sequence(run * 10000, least(size, (run + 1) * 10000) - 1)")))
     draws = draws.select("rep", "y", (hash_key(seed, "rep", "y", "k") % F.col("size")).alias("i")).withColumn("block", F.expr(f"i div {BLOCK}"))
+    blocks = F.broadcast(blocks) if blocks.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else blocks
     return draws.join(blocks, ["y", "block"]).where("i >= lo and i < hi").groupBy("rep", "y", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
+def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983) -> DataFrame:
+    """(rep, y, p, n) as bootstrap_weights gives, drawn as counts: cells x reps
+    numbers instead of rows x reps draws.
+
+    A stratum's draws are dealt to RANGES ranges of its cells first and within
+    a range to its cells, each by a generator seeded with what it is for.
+    """
+    ranged = c.withColumn("r", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
+    sums = sorted((r["y"], r["r"], r["n"]) for r in ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).collect())  # at most 2 x (RANGES + 1) rows
+    dealt = {}
+    for y in {y for y, _, _ in sums}:
+        own = [(r, n) for z, r, n in sums if z == y]
+        total = sum(n for _, n in own)
+        for rep in range(reps):
+            k = np.random.default_rng([seed, rep, y]).multinomial(total, [n / total for _, n in own])
+            dealt |= {(y, rep, r): int(x) for (r, _), x in zip(own, k)}
+
+    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        y, r = key
+        g = g.sort_values("p")
+        share = g["n"].to_numpy(float) / g["n"].sum()
+        n = np.stack([np.random.default_rng([seed, rep, y, r]).multinomial(dealt[y, rep, r], share) for rep in range(reps)])
+        rep, cell = np.nonzero(n)
+        return pd.DataFrame({"rep": rep.astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
+
+    return ranged.groupBy("y", "r").applyInPandas(draw, "rep long, y int, p double, n long")
+
+
 def scores(c: DataFrame, by: tuple[str, ...] = (), cut: float = 0.5, digits: int = 4) -> DataFrame:
     """(by, metric, value) of weighted cells (y, p, n), rounded."""
     hit = lambda a, b: F.sum(F.when((F.col("y") == a) & ((F.col("p") >= cut) == F.lit(b)), F.col("n")).otherwise(0))
@@ -173,10 +203,10 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
     return g.select("metric", "stat", ends[0].alias("lower"), ends[1].alias("upper"))
 
 
-def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983) -> Intervals:
-    """Intervals for METRICS of (y, p) rows."""
+def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983, draws=multinomial_weights) -> Intervals:
+    """Intervals for METRICS of (y, p) rows; draws: bootstrap_weights to have draws that SQL can repeat."""
     c = cells(df)
-    point, reps = scores(c, (), cut), scores(bootstrap_weights(c, n, seed), ("rep",), cut)
+    point, reps = scores(c, (), cut), scores(draws(c, n, seed), ("rep",), cut)
     jack = jackknife(c, cut) if method == "bca" else None
     return Intervals(intervals(point, reps, method, a, jack), reps, jack)
 
@@ -195,7 +225,7 @@ def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float =
 
 def bootstrap_curves(df: DataFrame, n: int = 100, seed: int = 10221983) -> DataFrame:
     """The ROC curve of each replicate, by rep."""
-    return curve(bootstrap_weights(cells(df), n, seed), ("rep",), weight="n")
+    return curve(multinomial_weights(cells(df), n, seed), ("rep",), weight="n")
 
 
 def bootstrap_areas(df: DataFrame, n: int = 100, seed: int = 10221983) -> DataFrame:

@@ -331,8 +331,8 @@ def boot_sql(method: str, reps: int = 20, seed: int = 10221983) -> str:
     )
 
 
-def boot(spark: SparkSession, d: str, method: str, n: int = 20) -> DataFrame:
-    out = R.bootstrap(view(spark, d, "scored_grid"), n, method).cis
+def boot(spark: SparkSession, d: str, method: str, n: int = 20, draws=R.bootstrap_weights) -> DataFrame:
+    out = R.bootstrap(view(spark, d, "scored_grid"), n, method, draws=draws).cis
     return out.select("metric", *[S.half_even(c, 6).alias(c) for c in ("stat", "lower", "upper")])
 
 
@@ -357,7 +357,7 @@ def r03a(spark, d):
 
 @query("r08_bca", None)
 def r08(spark, d):
-    return boot(spark, d, "bca", 40)
+    return boot(spark, d, "bca", 100, R.multinomial_weights)
 
 
 @query("r09_diff_ci", None)

@@ -105,7 +105,11 @@ def test_observations_and_weights(spark):
     cells = spark.createDataFrame([(3, 1, 2, 0)], "tp long, fp long, tn long, fn long")
     got = sorted((r["at"], r["y"], r["yhat"]) for r in M.observations(cells).collect())
     assert got == [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1)]
-    w = R.bootstrap_weights(R.cells(scored(spark, A)), 5)
+    for draw in (R.bootstrap_weights, R.multinomial_weights):
+        check_weights(draw(R.cells(scored(spark, A)), 5))
+
+
+def check_weights(w):
     per = {(r["rep"], r["y"]): r["n"] for r in w.groupBy("rep", "y").agg(F.sum("n").alias("n")).collect()}
     assert per == {(r, y): 4 for r in range(5) for y in (0, 1)}
 
