@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import read_table, staged
+from ._util import give_back, read_table, staged
 
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
 WORDS = 400_000  # ... or distinct words, but holds a text at least
@@ -85,36 +85,45 @@ def _pack_places(flat: np.ndarray, n: int) -> tuple[bytes, np.ndarray]:
     counts = np.bincount(flat, minlength=n)
     often, once = np.flatnonzero(counts > 1), np.flatnonzero(counts == 1)
     often = often[np.argsort(-counts[often], kind="stable")]
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int32)
     rank[often] = np.arange(1, len(often) + 1)
     f, order = rank[flat], np.concatenate([often, once])
     head = np.array([len(often), len(flat)], "<u8").tobytes()
     if len(often) >= LONG:
         return head + _planes(f), order
-    mid, long = f >= 128, f >= MID
-    planes = [np.where(long, 192 + (f - MID >> 16), np.where(mid, 128 + (f - 128 >> 8), f)), np.where(long, f - MID >> 8, f - 128)[mid], (f - MID)[long]]
-    packed = [_pack((x & 255).astype(np.uint8)) for x in planes]
+    mid = f >= 128
+    second, head_byte = f[mid], f.astype(np.uint8)
+    long = second >= MID
+    third = second[long] - MID
+    lead = (128 + (second - 128 >> 8)).astype(np.uint8)
+    lead[long] = 192 + (third >> 16)
+    head_byte[mid] = lead
+    low = (second - 128).astype(np.uint8)
+    low[long] = (third >> 8).astype(np.uint8)
+    packed = [_pack(x) for x in (head_byte, low, third.astype(np.uint8))]
     return head + b"".join(np.array([len(x)], "<u8").tobytes() + x for x in packed), order
 
 
 def _unpack_places(blob: bytes) -> np.ndarray:
     often, n = (int(x) for x in np.frombuffer(blob[:16], "<u8"))
     if often >= LONG:
-        f = _from_planes(blob[16:]).astype(np.int64)
+        f = _from_planes(blob[16:]).astype(np.int32)
     else:
         planes, at = [], 16
         for _ in range(3):
             size = int(np.frombuffer(blob[at : at + 8], "<u8")[0])
-            planes.append(np.frombuffer(_unpack(blob[at + 8 : at + 8 + size]), np.uint8).astype(np.int64))
+            planes.append(np.frombuffer(_unpack(blob[at + 8 : at + 8 + size]), np.uint8))
             at += 8 + size
-        f = planes[0].copy()
-        mid, long = f >= 128, f >= 192
-        second = np.zeros(n, np.int64)
-        second[mid] = planes[1]
-        f[mid] = 128 + (f[mid] - 128 << 8) + second[mid]
-        f[long] = MID + (planes[0][long] - 192 << 16) + (second[long] << 8) + planes[2]
-    once = f == 0
-    return np.where(once, often + np.cumsum(once), f) - 1
+        f = planes[0].astype(np.int32)
+        mid = planes[0] >= 128
+        lead, low = f[mid], planes[1].astype(np.int32)
+        second, long = 128 + (lead - 128 << 8) + low, lead >= 192
+        second[long] = MID + (lead[long] - 192 << 16) + (low[long] << 8) + planes[2]
+        f[mid] = second
+    once = np.flatnonzero(f == 0)
+    f[once] = np.arange(often + 1, often + 1 + len(once))
+    f -= 1
+    return f
 
 
 def _words_blob(words: list[str]) -> bytes:
@@ -153,6 +162,7 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
                 if ids and (held + len(text) > TEXT_CHARS or len(place) > WORDS):
                     yield flush()
                     (place, ids, counts, places, held), chunk = fresh(), chunk + 1
+                    give_back()
                 words = split_words(text)
                 places.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
                 ids.append(i.as_py())
@@ -160,6 +170,8 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
                 held += len(text)
         if ids:
             yield flush()
+        place, places = None, None
+        give_back()
 
     return slim.mapInArrow(run, "chunk long, ids array<long>, counts array<int>, places binary, owners binary, asked array<struct<part: int, words: binary>>")
 
@@ -214,8 +226,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = np.array([f" {p}" for p in id_to_piece(path)], dtype=object)
         for batch in batches:
-            for row in batch.to_pylist():
-                yield from finish(row, pieces)
+            for at in range(batch.num_rows):
+                yield from finish(batch.slice(at, 1).to_pylist()[0], pieces)
+                give_back()
 
     def finish(row: dict, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(_from_planes(row["owners"]), kind="stable")
@@ -229,6 +242,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         for p, e, k in zip(order.tolist(), ends.tolist(), lengths.tolist()):
             code[p] = raw[4 * (e - k) : 4 * e]
             text[p] = "".join(named[e - k : e])
+        del named, raw, flat, lengths, ends
         places, out, held, at = _unpack_places(row["places"]), [], 0, 0
         for i, k in zip(row["ids"], row["counts"]):
             p = places[at : at + k]

@@ -15,14 +15,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import read_table, staged
+from ._util import give_back, read_table, staged
 
 OTHER, INSULT, HARM, WILL, TARGET, NEG, REPORT, QUOTE = range(8)
 THREAT, AIMED, DENIED, QUOTED = range(8, 12)
@@ -41,7 +41,8 @@ STEMS = (4, 5, 6, 7, 8)
 GIVEN = 1.5  # weight of the words listed above
 #: At most so many labelled rows, taken in the order of a hash of their id, fit lexicon and weights.
 TRAIN_ROWS = 8000
-CACHE = 1 << 19
+CACHE = 1 << 17
+PLAIN = ((OTHER, 0.0),)
 
 
 class Transducer:
@@ -129,7 +130,7 @@ class Reader:
         out = []
         for part in re.findall(r"[^\W\d_]+|[.!?;:\"“”„«»]", raw.lower()):
             out.append((None, 0.0) if part in ENDS else (QUOTE, 0.0) if part in "\"“”„«»" else self.word(part))
-        self.known[raw] = out = tuple(out)
+        self.known[raw] = out = PLAIN if out == [(OTHER, 0.0)] else tuple(out)
         return out
 
 
@@ -169,6 +170,8 @@ def clause_features(docs: DataFrame, insults: dict[str, float], keep: list[str],
         for b in batches:
             x = pa.array([clause_counts(t.as_py(), reader) for t in b.column("_text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], [*keep, "x"])
+        reader.known.clear()
+        give_back()
 
     return slim.mapInArrow(run, f"{schema}, x array<double>")
 
@@ -178,30 +181,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn_insults(rows: list[tuple[list[str], int]]) -> dict[str, float]:
+def _grams(words: list[str]) -> set[str]:
+    return {w[:k] + "*" for w in words for k in STEMS if len(w) > k} | {w for w in words if w}
+
+
+def learn_insults(rows: Callable[[], Iterable[tuple[list[str], int]]]) -> dict[str, float]:
     """Weights of words, and of stems as "stem*", that mark label 1, from (distinct words, label) rows.
 
     Kept are those that most rows with them share label 1, and that are in more
     such rows than chance explains: the odds against it must exceed 20 times the
     number of candidates (a likelihood ratio against the base rate). Copies of a
     text say nothing new, so rows with the same least word hash count once. The
-    weight is a third of the log odds over the base odds.
+    weight is a third of the log odds over the base odds. rows() is gone through
+    twice, so that only counts are held.
     """
-    total = sum(y for _, y in rows)
-    if not total or total == len(rows):
+    seen, total, n_rows = Counter(), 0, 0
+    for words, y in rows():
+        n_rows, total = n_rows + 1, total + y
+        if y:
+            seen.update(_grams(words))
+    if not total or total == n_rows:
         return {}
-    pos, neg = {}, Counter()
-    for words, y in rows:
-        grams = {w[:k] + "*" for w in words for k in STEMS if len(w) > k} | {w for w in words if w}
+    marks = {g: (set(), set()) for g, n in seen.items() if n >= 3}
+    del seen
+    neg = Counter()
+    for words, y in rows():
+        found = _grams(words) & marks.keys()
         if y:
-            marks = [min((zlib.crc32(w.encode(), salt) for w in words if w), default=0) for salt in (1, 2)]
-            for g in grams:
-                for seen, mark in zip(pos.setdefault(g, (set(), set())), marks):
-                    seen.add(mark)
+            own = [min((zlib.crc32(w.encode(), salt) for w in words if w), default=0) for salt in (1, 2)]
+            for g in found:
+                for known, mark in zip(marks[g], own):
+                    known.add(mark)
         else:
-            neg.update(grams)
-    candidates = {g: n for g, seen in pos.items() if (n := min(map(len, seen))) >= 3}
-    rate, need, out = total / len(rows), math.log(20 * max(1, len(candidates))), {}
+            neg.update(found)
+    candidates = {g: n for g, both in marks.items() if (n := min(map(len, both))) >= 3}
+    rate, need, out = total / n_rows, math.log(20 * max(1, len(candidates))), {}
     for g, n in candidates.items():
         p = n / (n + neg[g])
         ratio = n * math.log(p / rate) + (neg[g] * math.log((1 - p) / (1 - rate)) if neg[g] else 0)
@@ -240,7 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = staged(text.join(F.broadcast(chosen), "_id"), "toxic-sample")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    insults = learn_insults([(r["w"], r["_y"]) for r in sample.select(words.alias("w"), "_y").toLocalIterator()])
+    listed = staged(sample.select(words.alias("w"), "_y"), "toxic-words")
+    insults = learn_insults(lambda: ((r["w"], r["_y"]) for r in listed.toLocalIterator()))
     found = clause_features(sample, insults, ["_y"]).collect()
     x, y = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["_y"] for r in found], float)
     return insults, fit_logistic(x, y).tolist()
