@@ -4,30 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset a temporary folder is made, but only in local mode: on a
-    cluster no executor could see a folder of the driver's machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+from ..sources.scratch import new_path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +22,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{checkpoint_dir(spark)}/cohortlens/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
