@@ -21,10 +21,23 @@ BLOCK = 1024
 MOST_BROADCAST = 200_000  # rows of cells and blocks up to which draws look them up in memory
 
 
-def smallest_keys(df: DataFrame, n: int | Column, seed: int, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
-    """df with rank, the place of a row in the order of its hash key within by, kept for rows up to n."""
-    w = W.partitionBy(*by).orderBy("_key", id_col)
-    return df.withColumn("_key", hash_key(seed, id_col)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("_key")
+def smallest_keys(df: DataFrame, n: int, seed: int, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The n rows of each group with the smallest hash keys, with rank, their place in that order.
+
+    No group is one task's work: rows are counted in 65,536 ranges of the
+    key, ranges that lie beyond the n-th row are dropped, and ranks are taken
+    within a range and added to the rows before it. Null groups are groups.
+    """
+    by = list(by)
+    keyed = df.withColumn("_key", hash_key(seed, id_col)).withColumn("_range", F.shiftright("_key", 16).cast("int"))
+    up_to = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).where(F.col("_before") < n)
+    on = F.col("a._range") == F.col("b._range")
+    for k in by:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    near = keyed.alias("a").join(ranges.alias("b"), on).select("a.*", "b._before")
+    place = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_key", id_col))
+    return near.withColumn("rank", F.col("_before") + place).where(F.col("rank") <= n).drop("_key", "_range", "_before")
 
 
 def resample_prevalence(df: DataFrame, p_adj: float, seed: int = 2022, y: str = "y", id_col: str = "id") -> DataFrame:
@@ -36,8 +49,7 @@ def resample_prevalence(df: DataFrame, p_adj: float, seed: int = 2022, y: str =
 def fixed_split(df: DataFrame, stratum: Column, size: int, seed: int = 2022, id_col: str = "id", check: bool = True) -> DataFrame:
     """df with split: of each non-null stratum `size` rows, half val and half test; all else train.
 
-    Only rows with a small enough key are ranked: a stratum that is too small is
-    an error.
+    A stratum that is too small is an error.
     """
     marked = df.withColumn("_stratum", stratum)
     if check:
@@ -73,12 +85,12 @@ def scenario_split(df: DataFrame, good_site: Column, preferred: Column, min_n: i
         return {"tb": 2 * min_n if tb <= no else big, "no_tb": big if tb <= no else 2 * min_n, "normal": 2 * min_n}
 
     pool = marked.where(preferred | (F.col("_kind") == "no_tb"))
-    ranked = pool.withColumn("_rank", F.row_number().over(W.partitionBy("_kind").orderBy(hash_key(seed, id_col), id_col)))
     high, low = sizes(True), sizes(False)
+    ranked = smallest_keys(pool.where("_kind is not null"), max(high[k] + low[k] for k in high), seed, id_col, ("_kind",)).withColumnRenamed("rank", "_rank")
     of = lambda s: F.when(F.col("_kind") == "tb", s["tb"]).when(F.col("_kind") == "no_tb", s["no_tb"]).otherwise(s["normal"])
     r, h, w = F.col("_rank"), of(high), of(low)
     place = F.when(r <= h, F.when(r <= h / 2, "val").otherwise("test_high")).when(r <= h + w, F.when(r - h <= w / 2, "val").otherwise("test_low"))
-    drawn = ranked.where("_kind is not null").select(F.col(id_col).alias("_id"), place.alias("_split")).where("_split is not null")
+    drawn = ranked.select(F.col(id_col).alias("_id"), place.alias("_split")).where("_split is not null")
     return marked.join(drawn, F.col(id_col) == F.col("_id"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_id", "_split", "_kind", "_high")
 
 
