@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from ._util import read_table, staged
 
 ROUNDS = 6
-BUCKETS = 4096
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 4096, 1 << 20, 500_000
 
 
 def round_keys(seed: int) -> list[int]:
@@ -73,14 +73,16 @@ def permuted(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df
 
 
-def numbered(df: DataFrame, order: list[str], to: str = "p") -> DataFrame:
-    """df with global row numbers from 0 in the order (bucket, *order).
+def numbered(df: DataFrame, order: list[str], n: int, to: str = "p") -> DataFrame:
+    """df, of about n rows, with global row numbers from 0 in the order (bucket, *order).
 
     order: whole-number columns; rows alike in all of them are interchangeable.
     The bucket comes from a hash of them, so that no value of one column fills
-    a bucket; counts of the buckets (BUCKETS rows at most) give the offsets.
+    a bucket. There is a bucket for each BUCKET_ROWS rows, from BUCKETS to
+    MOST_BUCKETS; their counts give the offsets and are broadcast.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
+    buckets = min(MOST_BUCKETS, max(BUCKETS, n // BUCKET_ROWS))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_first"))
     place = F.row_number().over(W.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
@@ -103,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: s
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     slim = staged(slim, "shard")
     n = slim.count()
-    out = permuted(numbered(slim, ["doc_id", "text_crc32", "size"]), n, seed) if n else slim.withColumn("p", F.lit(0).cast("long"))
+    out = permuted(numbered(slim, ["doc_id", "text_crc32", "size"], n), n, seed) if n else slim.withColumn("p", F.lit(0).cast("long"))
     return out.select("doc_id", "size", "text_crc32", (F.col("p") % shards).cast("int").alias("shard"), F.expr(f"p div {shards}").alias("slot"))
 
 
