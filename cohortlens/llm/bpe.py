@@ -6,6 +6,7 @@ stores each text as places in that list. The chunks' words are dealt by hash, so
 that all that chunks ask about a word meets in one task, which encodes each
 distinct word once. The ids go back to the chunk, there to the texts by
 position; an id-to-piece table, joined in memory, turns ids back into text.
+Chunks are staged in buckets, so the texts' places are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import give_back, read_table, staged
+from ._util import give_back, read_table, staged_buckets
 
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
 WORDS = 400_000  # ... or distinct words, but holds a text at least
@@ -217,11 +218,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
     parts = min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = staged(chunks(docs, parts, id_col, text_col), "chunks")
+    held = staged_buckets(chunks(docs, parts, id_col, text_col), "chunks", "chunk", parts)
     asked = held.select("chunk", F.explode("asked").alias("a")).select("chunk", "a.part", "a.words")
     back = encode_words(asked.repartition(parts, "part"), path)
     lists = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "lengths", "codes"))).alias("coded"))
-    both = held.drop("asked").join(lists, "chunk").select("ids", "counts", "places", "owners", "coded")
+    both = held.drop("asked").join(lists.hint("merge"), "chunk").select("ids", "counts", "places", "owners", "coded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = np.array([f" {p}" for p in id_to_piece(path)], dtype=object)
