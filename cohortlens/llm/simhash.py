@@ -157,13 +157,17 @@ def shard_bits(radius: int, rows: int) -> list[list[int]]:
     return [sorted(rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - agree)))]
 
 
-def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, sure: int | None = None) -> DataFrame:
     """Links (a, b) that join the fingerprints of column fp within the radius.
 
+    Shards are made so that links within `sure` bits (the radius, if not given)
+    are found; more distant ones are found more rarely.
+
     Within a task the pairs found are reduced to a spanning forest, so at most
     one link for each fingerprint and shard comes out.
     """
-    samples = shard_bits(radius, distinct.count() if radius > 4 else 0)
+    sure = radius if sure is None else sure
+    samples = shard_bits(sure, distinct.count() if sure > 4 else 0)
     masks = [sum(1 << i for i in bits) for bits in samples]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     shard = F.transform(F.array(*[F.lit(signed(m)) for m in masks]), lambda m, i: F.struct(i.alias("n"), F.col("fp").bitwiseAND(m).alias("bits")))
@@ -212,7 +216,7 @@ def similar_links(links: DataFrame, sketches: DataFrame, similarity: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, similarity: float | None = None, sure: int | None = None) -> DataFrame:
     """(id, text_key, fp, component_id) for each row of docs.
 
     component_id: the smallest id reachable over links of at most `radius`
@@ -224,7 +228,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     """
     prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None), "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch")), "distinct")
-    links = near_links(distinct.select("fp"), radius)
+    links = near_links(distinct.select("fp"), radius, sure)
     if similarity is not None:
         links = similar_links(links, distinct, similarity)
     root = connected_components(links).select(F.col("node").alias("fp"), "root")
@@ -233,14 +237,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 10, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 12, sure: int = 10, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays.
 
     Rows with a null id stay, as nothing tells them apart; of rows alike in id
     and text one stays; rows that share an id but not the group are judged each
     by itself. Columns of docs whose names start with _dup_ may not exist.
     """
-    found = near_duplicates(docs, radius, id_col, text_col, words_per_shingle, similarity=similarity).where("id is not null")
+    found = near_duplicates(docs, radius, id_col, text_col, words_per_shingle, similarity=similarity, sure=sure).where("id is not null")
     found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id"), "groups")
     gone = found.where("_dup_id != component_id").select("_dup_id", "_dup_key").distinct()
     keyed = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
