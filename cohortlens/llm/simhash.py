@@ -10,9 +10,11 @@ the node. The trees of all shards have no size bound, so they are not broadcast:
 each shard's tree is built in the task to which the shuffle deals its shard, and
 its queries are dealt to the same task.
 
-For a wanted similarity below what few differing bits tell, links are searched
-within a larger radius in shards named by samples of bits, and each is held
-against sketches of the two shingle sets before it counts.
+For a wanted similarity (Jaccard of the shingle sets) few differing bits tell too
+little, so shards are then named by bands of MinHash values: the chance that a
+pair is seen depends on its similarity alone, not on the number of texts. Every
+pair of a shard that is not joined yet is held against the whole shingle sets
+before it counts; only then are the links of a shard reduced to a forest.
 """
 
 from __future__ import annotations
@@ -32,46 +34,69 @@ from ._util import connected_components, numpy_components, read_table, staged
 
 SHINGLES_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
-SKETCH = 128  # least shingle hashes kept of a text, 32 bits each
+BANDS, BAND_ROWS = 20, 6  # MinHash bands: of pairs at a similarity of 0.8 the share (1 - 0.8**6)**20 = 0.0023 meets in none
 SHARD_ROWS = 32  # fingerprints that a shard of sampled bits should have
 MISSED = 0.02  # share of links at the very radius that the samples of bits may miss
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42, sketch: bool = False) -> int | tuple[int, bytes]:
+_draw = random.Random(0)
+_TIMES, _PLUS = (np.array([_draw.getrandbits(64) | odd for _ in range(BANDS * BAND_ROWS)], np.uint64)[:, None] for odd in (1, 0))
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42, shingles: bool = False) -> int | tuple[int, np.ndarray]:
     """The fingerprint, 0 for a text without words; a bit is 1 if it is set in over half the shingle hashes.
 
-    With sketch also the SKETCH smallest distinct upper halves of the hashes.
+    With shingles also the distinct upper halves of all the hashes, sorted.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and ASCII white space only
     if not words:
-        return (0, b"") if sketch else 0
+        return (0, np.empty(0, "<u4")) if shingles else 0
     n = max(1, len(words) - words_per_shingle + 1)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     ends = ends[words_per_shingle - 1 :] or ends[-1:]
-    ones, hashed, least = np.zeros(64, np.int64), xxhash.xxh64_intdigest, np.empty(0, np.uint32)
+    ones, hashed, parts = np.zeros(64, np.int64), xxhash.xxh64_intdigest, []
     for i in range(0, n, SHINGLES_AT_ONCE):
         h = np.array([hashed(joined[s:e], seed) for s, e in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if sketch:
-            least = np.unique(np.concatenate([least, (h >> np.uint64(32)).astype(np.uint32)]))[:SKETCH]
+        if shingles:
+            parts.append((h >> np.uint64(32)).astype("<u4"))
     fp = int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-    return (fp, least.astype("<u4").tobytes()) if sketch else fp
+    return (fp, np.unique(np.concatenate(parts))) if shingles else fp
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A signed key for each band of MinHash values; none for an empty set."""
+    if not len(shingles):
+        return []
+    least, wide = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64), shingles.astype(np.uint64)
+    for i in range(0, len(wide), 4096):
+        least = np.minimum(least, (wide[i : i + 4096] * _TIMES + _PLUS).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(v.tobytes(), i) for i, v in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, shingles: bool = False) -> DataFrame:
+    """(id, text_key, fp): the fingerprint as a signed long; text_key tells equal texts. Null texts count as empty.
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
-    """(id, text_key, fp, sketch): the fingerprint as a signed long; text_key tells equal texts. Null texts count as empty."""
+    With shingles also (set_key, bands, shingles): set_key tells equal shingle sets.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
         for b in batches:
-            found = [fingerprint(t.as_py(), words_per_shingle, seed, True) if sketch else (fingerprint(t.as_py(), words_per_shingle, seed), None) for t in b.column("text")]
-            fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(fps), pa.array([x for _, x in found], pa.binary())], ["id", "text_key", "fp", "sketch"])
+            found = [fingerprint(t.as_py(), words_per_shingle, seed, shingles) for t in b.column("text")]
+            fps, more = found, []
+            if shingles:
+                fps, sets = [f for f, _ in found], [x for _, x in found]
+                raw = [x.tobytes() for x in sets]
+                more = [signed([xxhash.xxh64_intdigest(x) for x in raw]), pa.array([bands(x) for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), signed(fps), *more], ["id", "text_key", "fp", *["set_key", "bands", "shingles"][: len(more)]])
 
-    return slim.mapInArrow(run, "id long, text_key long, fp long, sketch binary")
+    return slim.mapInArrow(run, "id long, text_key long, fp long" + ", set_key long, bands array<long>, shingles binary" * shingles)
 
 
 def _forest(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,17 +182,13 @@ def shard_bits(radius: int, rows: int) -> list[list[int]]:
     return [sorted(rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - agree)))]
 
 
-def near_links(distinct: DataFrame, radius: int = 4, sure: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) that join the fingerprints of column fp within the radius.
 
-    Shards are made so that links within `sure` bits (the radius, if not given)
-    are found; more distant ones are found more rarely.
-
     Within a task the pairs found are reduced to a spanning forest, so at most
     one link for each fingerprint and shard comes out.
     """
-    sure = radius if sure is None else sure
-    samples = shard_bits(sure, distinct.count() if sure > 4 else 0)
+    samples = shard_bits(radius, distinct.count() if radius > 4 else 0)
     masks = [sum(1 << i for i in bits) for bits in samples]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     shard = F.transform(F.array(*[F.lit(signed(m)) for m in masks]), lambda m, i: F.struct(i.alias("n"), F.col("fp").bitwiseAND(m).alias("bits")))
@@ -197,54 +218,103 @@ def near_links(distinct: DataFrame, radius: int = 4, sure: int | None = None) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_links(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Of links (a, b) between fingerprints those whose texts, by the sketches
-    (fp, sketch), share at least so much of their shingles (Jaccard, estimated
-    from the least hashes of both)."""
-    left = links.distinct().join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a")
-    both = left.join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+def confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of sets, len(sets) - 1 at most, that join what all pairs of at least the similarity join.
+
+    A pair is left out only if its sets are joined already or if their sizes
+    rule it out. Sets go in runs of about PAIRS_AT_ONCE values.
+    """
+    size = np.array([len(x) for x in sets])
+    label, links = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+        rest = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (low >= similarity * high))
+        if not len(rest):
+            continue
+        run = np.cumsum(size[rest]) // PAIRS_AT_ONCE
+        for others in np.split(rest, np.flatnonzero(np.diff(run)) + 1):
+            flat = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(size[others]) - size[others])
+            hit = others[both >= similarity * (size[i] + size[others] - both)]
+            joined, first = np.unique(label[hit], return_index=True)
+            links += [(i, int(j)) for j, g in zip(hit[first], joined) if g != label[i]]
+            label[np.isin(label, joined)] = label[i]
+    return links
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between set_keys that join the shingle sets of at least the similarity (Jaccard).
+
+    Sets that share a band are a shard; of shards with the same members one is
+    taken. Shards come sorted, so a task holds the sets of one at a time.
+    """
+    held = prints.select(F.explode("bands").alias("shard"), "set_key").repartition("shard").distinct()
+    members = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("y"))
+    taken = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard"))
+    shards = staged(held.join(taken.select("shard"), "shard", "left_semi"), "shards")
+    sets = prints.groupBy("set_key").agg(F.min("shingles").alias("shingles"))
+    dealt = shards.join(sets, "set_key").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = (np.frombuffer(z.as_py(), "<u4") for z in (x, y))
-                least = np.union1d(x, y)[:SKETCH]
-                keep.append(len(least) > 0 and np.isin(least, x).astype(int) @ np.isin(least, y).astype(int) >= similarity * len(least))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def linked(keys: list[int], raw: list[bytes]) -> tuple[list[int], list[int]]:
+            pairs = confirmed([np.frombuffer(x, "<u4") for x in raw], similarity)
+            return [keys[i] for i, _ in pairs], [keys[j] for _, j in pairs]
+
+        shard, keys, raw = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for s, k, x in zip(*(batch.column(c).to_pylist() for c in ("shard", "set_key", "shingles"))):
+                if s != shard:
+                    for out, new in zip((a, b), linked(keys, raw)):
+                        out += new
+                    shard, keys, raw = s, [], []
+                keys.append(k)
+                raw.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked(keys, raw)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, similarity: float | None = None, sure: int | None = None) -> DataFrame:
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per_shingle: int, seed: int, similarity: float | None) -> DataFrame:
+    """(id, text_key, fp, root, component_id) for each row of docs; root names the component."""
+    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None), "prints")
+    node = "fp" if similarity is None else "set_key"
+    distinct = staged(prints.groupBy(*{node, "fp"}).agg(F.min("id").alias("least")), "distinct")
+    if similarity is None:
+        links = near_links(distinct.select("fp"), radius)
+    else:
+        equal = distinct.groupBy("fp").agg(F.min("set_key").alias("a")).join(distinct, "fp").selectExpr("a", "set_key as b")
+        links = similar_links(prints, similarity).unionByName(equal.where("a != b"))
+    root = connected_components(links).select(F.col("node").alias(node), "root")
+    named = distinct.groupBy(node).agg(F.min("least").alias("least")).join(root, node, "left").withColumn("root", F.coalesce("root", node))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.select(node, "root").join(least, "root"), node).select("id", "text_key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """(id, text_key, fp, component_id) for each row of docs.
 
     component_id: the smallest id reachable over links of at most `radius`
-    differing bits (and, if given, of at least the similarity); rows with equal
-    fingerprints are linked. Null and empty texts have fingerprint 0 and are
-    linked like any other. A null id takes part and gets its component's
-    smallest id that is not null (null if there is none). Repeated rows give
-    repeated results; an empty table gives none; other columns are not read.
+    differing bits or, if a similarity is given, over links of at least the
+    similarity (the radius then plays no part); rows with equal fingerprints are
+    linked. Null and empty texts have fingerprint 0 and are linked like any
+    other. A null id takes part and gets its component's smallest id that is not
+    null (null if there is none). Repeated rows give repeated results; an empty
+    table gives none; other columns are not read.
     """
-    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch")), "distinct")
-    links = near_links(distinct.select("fp"), radius, sure)
-    if similarity is not None:
-        links = similar_links(links, distinct, similarity)
-    root = connected_components(links).select(F.col("node").alias("fp"), "root")
-    named = distinct.select("fp", "least").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "text_key", "fp", "component_id")
+    return _grouped(docs, radius, id_col, text_col, words_per_shingle, seed, similarity).select("id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 12, sure: int = 10, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays.
 
     Rows with a null id stay, as nothing tells them apart; of rows alike in id
     and text one stays; rows that share an id but not the group are judged each
     by itself. Columns of docs whose names start with _dup_ may not exist.
     """
-    found = near_duplicates(docs, radius, id_col, text_col, words_per_shingle, similarity=similarity, sure=sure).where("id is not null")
+    found = near_duplicates(docs, 4, id_col, text_col, words_per_shingle, seed, similarity).where("id is not null")
     found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id"), "groups")
     gone = found.where("_dup_id != component_id").select("_dup_id", "_dup_key").distinct()
     keyed = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

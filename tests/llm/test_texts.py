@@ -211,3 +211,16 @@ def test_toxicity_odd_rows(spark, docs):
     for labels in (none, few):
         assert toxicity.score_documents(docs(ODD).withColumn("score", F.lit("x")), labels).count() == len(ODD)
         assert toxicity.reject_toxic(docs([]), labels).count() == 0
+
+
+def test_candidates_are_checked_before_the_forest():
+    base = np.arange(100, dtype=np.uint32)
+    # b and c are alike, a is like neither but nearer to both than nothing: every pair must be looked at
+    a, b, c = base, np.arange(20, 120, dtype=np.uint32), np.arange(22, 122, dtype=np.uint32)
+    for order in ([a, b, c], [b, a, c], [c, b, a]):
+        got = simhash.confirmed(order, 0.8)
+        assert [{len(np.intersect1d(order[i], order[j]))} for i, j in got] == [{98}]
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([base[rng.random(100) < 0.93], rng.integers(1000, 9999, rng.integers(0, 9)).astype(np.uint32)])) for _ in range(60)]
+    pairs = [(i, j) for i in range(60) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.85 * (len(sets[i]) + len(sets[j]) - n)]
+    assert brute_components(range(60), pairs) == brute_components(range(60), simhash.confirmed(sets, 0.85))
