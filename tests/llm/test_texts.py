@@ -213,6 +213,15 @@ def test_toxicity_odd_rows(spark, docs):
         assert toxicity.reject_toxic(docs([]), labels).count() == 0
 
 
+def jaccard_words(rng, n, change):
+    """Two texts of n words that differ in `change` words, each in five shingles of its own."""
+    base = [f"w{rng.integers(10**9)}" for _ in range(n)]
+    other = base[:]
+    for i in 6 + rng.choice(n // 6 - 3, change, replace=False) * 6:
+        other[i] = f"v{rng.integers(10**9)}"
+    return " ".join(base), " ".join(other)
+
+
 def test_candidates_are_checked_before_the_forest():
     base = np.arange(100, dtype=np.uint32)
     # b and c are alike, a is like neither but nearer to both than nothing: every pair must be looked at
@@ -224,3 +233,16 @@ def test_candidates_are_checked_before_the_forest():
     sets = [np.unique(np.concatenate([base[rng.random(100) < 0.93], rng.integers(1000, 9999, rng.integers(0, 9)).astype(np.uint32)])) for _ in range(60)]
     pairs = [(i, j) for i in range(60) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.85 * (len(sets[i]) + len(sets[j]) - n)]
     assert brute_components(range(60), pairs) == brute_components(range(60), simhash.confirmed(sets, 0.85))
+
+
+def test_pairs_near_the_similarity_are_found(spark, docs):
+    rng, rows = np.random.default_rng(9), []
+    for i in range(300):  # 4 of 184 words replaced change 20 of 180 shingles: a Jaccard of 0.8; 5: 0.756
+        one, two = jaccard_words(rng, 184, 4 if i < 200 else 5)
+        rows += [(2 * i, one, "a"), (2 * i + 1, two, "a")]
+    sets = {i: simhash.fingerprint(t, 5, 42, True)[1] for i, t, _ in rows}
+    wanted = {2 * i for i in range(300) if (n := len(np.intersect1d(sets[2 * i], sets[2 * i + 1]))) >= 0.8 * (len(sets[2 * i]) + len(sets[2 * i + 1]) - n)}
+    assert wanted == set(range(0, 400, 2))
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()}
+    assert kept >= {i + 1 for i in range(400, 600, 2)}  # no pair below goes
+    assert sum(i + 1 in kept for i in wanted) <= 4  # 0.5 of 200 expected
