@@ -2,10 +2,9 @@
 
 Templates are known notices. Their words form a small index word -> (template,
 position). A scan counts in how many texts each indexed word occurs (a table as
-long as the index), takes a text's indexed words of the highest IDF, and lets
-every occurrence vote for the offset at which a template would have to start.
-Offsets with votes of at least two words are compared word by word, and a
-template counts if its share of IDF is high enough and its mandatory phrases
+long as the index), and lets every indexed word of a text vote with its IDF for
+the offset at which a template would have to start. Offsets with votes of at
+least two words are compared word by word, and a template counts if its share of IDF is high enough and its mandatory phrases
 stand where they should. Beside that, fixed base phrases are always reported.
 """
 
@@ -46,7 +45,7 @@ TEMPLATES = [
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", "all rights reserved|strictly prohibited"),
 ]
 
-ANCHORS = 12  # distinct indexed words of a text that may vote, rarest first
+RUN = 4096  # words of a text whose votes are held at a time
 COVER = 0.7  # share of a template's IDF that must stand in place
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -61,6 +60,7 @@ INDEX: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
 for _t, (_, _ws, _) in enumerate(PARSED):
     for _p, _w in enumerate(_ws):
         INDEX[_w].append((_t, _p))
+LONGEST = max(len(ws) for _, ws, _ in PARSED)
 PHRASES = [(p.encode().split(), label) for p, label in BASE]
 
 
@@ -95,29 +95,36 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[
 
 
 def match_templates(words: list[bytes], idf: dict[bytes, float]) -> tuple[set[str], float]:
-    """Labels of the templates found in the words, and the highest share of a template's IDF in place."""
-    places = defaultdict(list)
-    for at, w in enumerate(words):
-        if w in idf:
-            places[w].append(at)
-    if len(places) < 2:
-        return set(), 0.0
-    votes = defaultdict(set)
-    for w in sorted(places, key=lambda w: (-idf[w], w))[:ANCHORS]:
-        for at in places[w]:
-            for t, p in INDEX[w]:
-                votes[t, at - p].add(w)
-    labels, best = set(), 0.0
-    for (t, start), who in votes.items():
-        if len(who) < 2:
-            continue
-        label, notice, phrases = PARSED[t]
-        weigh = lambda w: idf.get(w, 0.0) + 0.05  # noqa: E731  common words count a little
-        share = sum(weigh(w) for i, w in enumerate(notice) if 0 <= start + i < len(words) and words[start + i] == w) / sum(map(weigh, notice))
-        best = max(best, share)
-        near = words[max(0, start - 3) : max(0, start + len(notice) + 3)]
-        if share >= COVER and all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in phrases):
-            labels.add(label)
+    """Labels of the templates found in the words, and the highest share of a template's IDF in place.
+
+    Every indexed word votes wherever it stands, so no place with two words of a template is left out.
+    """
+    weigh = {w: idf.get(w, 0.0) + 0.05 for w in INDEX}  # words that stand in all texts count a little
+    total = [sum(weigh[w] for w in notice) for _, notice, _ in PARSED]
+    labels, best, votes = set(), 0.0, {}
+    for lo in range(0, len(words), RUN):
+        for at in range(lo, min(lo + RUN, len(words))):
+            w = words[at]
+            if w in INDEX:
+                x = weigh[w]
+                for t, p in INDEX[w]:
+                    votes[t, at - p] = votes.get((t, at - p), 0.0) + x
+        done = lo + RUN if lo + RUN < len(words) else len(words) + LONGEST
+        later = {}
+        for (t, start), x in votes.items():
+            label, notice, phrases = PARSED[t]
+            if start + LONGEST > done:
+                later[t, start] = x
+            elif x / total[t] > min(best, COVER) - 1e-9:
+                here = [w for i, w in enumerate(notice) if 0 <= start + i < len(words) and words[start + i] == w]
+                if len(set(here)) < 2:
+                    continue
+                share = sum(weigh[w] for w in here) / total[t]
+                best = max(best, share)
+                near = words[max(0, start - 3) : max(0, start + len(notice) + 3)]
+                if share >= COVER and all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in phrases):
+                    labels.add(label)
+        votes = later
     return labels, best
 
 
@@ -131,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other columns do no harm; an empty table gives an empty result.
     """
     n, counts = document_counts(docs, text_col)
-    floor = math.log(10)  # words in over a tenth of all texts do not vote
+    floor = math.log(10)  # words in over a tenth of all texts weigh little
     idf = {w: x for w in INDEX if (x := math.log((n + 1) / (counts.get(w, 0) + 0.5))) >= floor or n < 100}
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
