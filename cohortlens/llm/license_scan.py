@@ -138,8 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other columns do no harm; an empty table gives an empty result.
     """
     n, counts = document_counts(docs, text_col)
-    floor = math.log(10)  # words in over a tenth of all texts weigh little
-    idf = {w: x for w in INDEX if (x := math.log((n + 1) / (counts.get(w, 0) + 0.5))) >= floor or n < 100}
+    idf = {w: math.log((n + 1) / (counts.get(w, 0) + 0.5)) for w in INDEX}
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
 

@@ -2,6 +2,8 @@
 
 from cohortlens.llm import license_scan
 
+NOTICE = {label: notice for label, notice, _ in license_scan.TEMPLATES}
+
 
 def test_two_notices_in_one_text(spark, docs):
     plain = [(i, f"plain words number {i} here", "a") for i in range(200)]
@@ -16,3 +18,10 @@ def test_notices_far_apart_in_a_long_text():
     words = [w for _, notice, _ in license_scan.PARSED for w in (*notice, *fill)]
     labels, best = license_scan.match_templates(words, dict.fromkeys(license_scan.INDEX, 1.0))
     assert labels == {label for label, _, _ in license_scan.PARSED} and best > 1 - 1e-9
+
+
+def test_a_notice_in_a_third_of_all_texts(spark, docs):
+    for n in (90, 300):
+        made = [(i, f"text {i}. " + [NOTICE["bsd"], "Licensed under CC BY-NC 4.0.", "nothing of the kind"][i % 3], "a") for i in range(n)]
+        got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(made)).collect()}
+        assert got == {i: [["bsd"], ["cc-by-nc"], []][i % 3] for i in range(n)}
