@@ -6,7 +6,7 @@ a min-cost flow on the driver routes the words of the patterns to the quotas of
 the sources, at a cost that rises with every repetition of a pattern's words
 (convex), so that quotas are met with as little repetition as possible; then
 documents are selected within each (pattern, source) in a seeded order. What
-reaches the driver are one row for each source and at most MAX_PATTERNS
+reaches the driver are one row for each source and at most MAX_PATTERNS + MAX_FOLDS
 patterns, not documents.
 """
 
@@ -24,9 +24,11 @@ from ._util import read_table, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Patterns of several sources kept apart, largest first; texts of the others
-#: count for the source that each of their rows has, so none is lost.
+#: Patterns of several sources kept apart, largest first; the others are folded
+#: by their first two sources into at most MAX_FOLDS patterns, whose distinct
+#: words are those of all their texts.
 MAX_PATTERNS = 512
+MAX_FOLDS = 4096
 BUCKETS = 1024
 FILLERS = 3  # documents that may be added to come nearer to a source's words
 WORD = r"[^\x20\x09-\x0D]+"
@@ -203,18 +205,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     shared = staged(held.groupBy("key").agg(F.array_sort(F.collect_set(name)).alias("pattern"), F.max("size").alias("size")).where(F.size("pattern") > 1), "shared")
     largest = [r["pattern"] for r in shared.groupBy("pattern").agg(F.sum("size").alias("w")).orderBy(F.desc("w"), "pattern").limit(MAX_PATTERNS).collect()]
     numbers = spark.createDataFrame([(p, i + 1) for i, p in enumerate(largest)], "pattern array<string>, p int")
-    shared = shared.join(F.broadcast(numbers), "pattern").select("key", "p")
+    fold = MAX_PATTERNS + 1 + F.pmod(F.xxhash64(F.col("pattern")[0], F.col("pattern")[1]), F.lit(MAX_FOLDS)).cast("int")
+    shared = shared.join(F.broadcast(numbers), "pattern", "left").select("key", F.coalesce("p", fold).alias("p"))
     slim = slim.join(shared, "key", "left").withColumn("p", F.coalesce("p", F.lit(0)))
     slim = staged(slim.withColumn("bucket", F.shiftrightunsigned("u", 54)), "mix")
     sums = slim.groupBy("p", "source").agg(F.sum("size").alias("words")).collect()
-    once = {r["p"]: r["w"] for r in slim.where("p > 0").groupBy("p", "key").agg(F.max("size").alias("size")).groupBy("p").agg(F.sum("size").alias("w")).collect()}
+    # distinct words: by pattern, and for the texts of one source alone by source
+    fresh = slim.groupBy("p", F.when(F.col("p") == 0, F.col("source")).alias("source"), "key").agg(F.max("size").alias("size"))
+    once = {(r["p"], r["source"]): r["w"] for r in fresh.groupBy("p", "source").agg(F.sum("size").alias("w")).collect()}
     size = defaultdict(int)
     for r in sums:
         size[r["source"]] += r["words"]
     quota = targets(list(size.items()), weights, most)
     # pattern 0 stands for the texts of one source alone: a pattern of its own for each source
     alone = {x: -1 - i for i, x in enumerate(size)}
-    groups = [(r["p"] or alone[r["source"]], r["source"], r["words"], once[r["p"]] if r["p"] else r["words"]) for r in sums]
+    groups = [(r["p"] or alone[r["source"]], r["source"], r["words"], once[r["p"], None if r["p"] else r["source"]]) for r in sums]
     sent = whole_passes(groups, route(groups, quota, most), alone, most)
     rows = [(max(p, 0), x, size[x], quota[x], *((divmod(sent[p, x], w)) if w else (0, 0))) for p, x, w, _ in groups]
     columns = [list(c) for c in zip(*rows)] or [[]] * 6

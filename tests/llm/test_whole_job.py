@@ -1,6 +1,6 @@
 """Cases that a bound or a hint once cut off."""
 
-from cohortlens.llm import license_scan
+from cohortlens.llm import license_scan, mixing
 
 NOTICE = {label: notice for label, notice, _ in license_scan.TEMPLATES}
 
@@ -25,3 +25,18 @@ def test_a_notice_in_a_third_of_all_texts(spark, docs):
         made = [(i, f"text {i}. " + [NOTICE["bsd"], "Licensed under CC BY-NC 4.0.", "nothing of the kind"][i % 3], "a") for i in range(n)]
         got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(made)).collect()}
         assert got == {i: [["bsd"], ["cc-by-nc"], []][i % 3] for i in range(n)}
+
+
+def test_small_patterns_keep_their_repetition_cost(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    seen = []
+    monkeypatch.setattr(mixing, "route", lambda groups, *a, real=mixing.route: seen.extend(groups) or real(groups, *a))
+    rows = [(i, f"own text of row number {i}", "abc"[i % 3]) for i in range(60)]
+    rows += [(100 + 10 * i + j, f"shared text {i} in big pattern", s) for i in range(6) for j, s in enumerate("ab")]
+    rows += [(200 + 10 * i + j, f"shared text {i} small", s) for i in range(3) for j, s in enumerate("ac")]
+    rows += [(300 + i, "copies of one text", "b") for i in range(50)]
+    assert len({r["doc_id"] for r in mixing.mix(docs(rows)).collect()}) == len(rows)
+    own = {x: (w, once) for p, x, w, once in seen if p < 0}
+    assert own == {"a": (120, 120), "b": (120 + 200, 120 + 4), "c": (120, 120)}
+    shared = sorted((x, w, once) for p, x, w, once in seen if p > 0)
+    assert shared == [("a", 12, 12), ("a", 36, 36), ("b", 36, 36), ("c", 12, 12)]
