@@ -36,6 +36,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
+#: Kind, what the lower-cased text must contain (0: any of the ten digits) as every match does, pattern.
 GENERATORS = [
     ("email", "@", re.compile(r"[\w.%+-]+ ?@ ?[\w-]+(?: ?\. ?[\w-]+)+")),
     ("email", "at", re.compile(r"[\w.%+-]+ ?[(\[{<] ?at ?[)\]}>] ?[\w-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]) ?[\w-]+)+", re.I)),
@@ -47,7 +48,7 @@ GENERATORS = [
     ("ssn", "0", re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("secret", "0", re.compile(r"(?<![\w/+])[A-Za-z0-9_/+=-]{20,}(?![\w/+])")),
-    ("secret", "=", re.compile(r"(?<=[\"'=:\s])[^\s\"'=]{8,}(?=[\"'\s]|$)")),
+    ("secret", "", re.compile(r"(?<=[\"'=:\s])[^\s\"'=]{8,}(?=[\"'\s]|$)")),
 ]
 KEYWORDS = {
     "email": "mail email contact write address".split(),
@@ -90,10 +91,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all that the generators propose; they may overlap."""
-    digits = DIGIT.search(text) is not None
+    digits, lowered = DIGIT.search(text) is not None, text.lower()
     out = set()
     for kind, hint, pattern in GENERATORS:
-        if digits if hint == "0" else hint in text:
+        if digits if hint == "0" else hint in lowered:
             k = KINDS.index(kind)
             for m in pattern.finditer(text):
                 if kind != "secret" or (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):

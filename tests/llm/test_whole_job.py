@@ -1,6 +1,8 @@
 """Cases that a bound or a hint once cut off."""
 
-from cohortlens.llm import license_scan, mixing
+import random
+
+from cohortlens.llm import license_scan, mixing, pii
 
 NOTICE = {label: notice for label, notice, _ in license_scan.TEMPLATES}
 
@@ -27,6 +29,20 @@ def test_a_notice_in_a_third_of_all_texts(spark, docs):
         assert got == {i: [["bsd"], ["cc-by-nc"], []][i % 3] for i in range(n)}
 
 
+def test_generators_need_no_sign_their_matches_lack():
+    for text, kind, span in [("password: S3cr3tPass9", "secret", "S3cr3tPass9"), ("token 'ab12cd34ef'", "secret", "ab12cd34ef"), ("john AT example DOT com", "email", "john AT example DOT com"), ("john (AT) example.com", "email", "john (AT) example.com")]:
+        for t in (text, text + " and x = y, at a dot b"):
+            assert (t.index(span), pii.KINDS.index(kind), t.index(span) + len(span)) in pii.candidates(t), t
+    base, added = pii.chosen(["my password: S3cr3tPass9"], *pii.model())[0]
+    assert not base and added == [(13, pii.KINDS.index("secret"), 24)]
+
+
+def test_generators_do_not_depend_on_the_rest_of_the_text():
+    rng = random.Random(1)
+    for text, span, _ in pii.examples(300, rng.randint(0, 99)):
+        assert span in pii.candidates(text + " = @ : at  dot ") and span in pii.candidates(text)
+
+
 def test_small_patterns_keep_their_repetition_cost(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
     seen = []
