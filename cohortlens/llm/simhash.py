@@ -310,18 +310,21 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays.
 
-    Rows with a null id stay, as nothing tells them apart; of rows alike in id
-    and text one stays; rows that share an id but not the group are judged each
-    by itself. Columns of docs whose names start with _dup_ may not exist.
+    Of a group whose rows all have a null id, one of the rows with the least text
+    key stays. Of rows alike in id and text one stays; rows that share an id but
+    not the group are judged each by itself. Columns of docs whose names start
+    with _dup_ may not exist.
     """
-    found = near_duplicates(docs, 4, id_col, text_col, words_per_shingle, seed, similarity).where("id is not null")
-    found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id"), "groups")
-    gone = found.where("_dup_id != component_id").select("_dup_id", "_dup_key").distinct()
+    found = _grouped(docs, 4, id_col, text_col, words_per_shingle, seed, similarity)
+    found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id", "root"), "groups")
+    nameless = found.where("component_id is null").groupBy("root").agg(F.min("_dup_key").alias("least"))
+    others = found.where("component_id is null").join(nameless, "root").where("_dup_key != least")
+    gone = found.where("component_id is not null and not _dup_id <=> component_id").select("_dup_id", "_dup_key").unionByName(others.select("_dup_id", "_dup_key")).distinct()
     keyed = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (F.col(id_col).cast("long") == F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_key"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_key"))
     kept = keyed.join(gone, same, "left_anti")
     if found.groupBy("_dup_id", "_dup_key").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_dup_text"]))
+        kept = kept.dropDuplicates([id_col, "_dup_text"])
     return kept.select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from cohortlens.llm import license_scan, mixing, pii
+from cohortlens.llm import license_scan, mixing, pii, simhash
 
 NOTICE = {label: notice for label, notice, _ in license_scan.TEMPLATES}
 
@@ -56,3 +56,11 @@ def test_small_patterns_keep_their_repetition_cost(spark, docs, monkeypatch):
     assert own == {"a": (120, 120), "b": (120 + 200, 120 + 4), "c": (120, 120)}
     shared = sorted((x, w, once) for p, x, w, once in seen if p > 0)
     assert shared == [("a", 12, 12), ("a", 36, 36), ("b", 36, 36), ("c", 12, 12)]
+
+
+def test_one_row_of_a_group_without_ids_stays(spark, docs):
+    words = [f"w{i}" for i in range(200)]
+    near, with_id = [*words[:100], "other", *words[101:]], [f"v{i}" for i in range(200)]
+    rows = [(None, " ".join(words), "a"), (None, " ".join(words), "b"), (None, " ".join(near), "a"), (None, "a text of its own", "a"), (None, " ".join(with_id), "a"), (4, " ".join(with_id), "a"), (6, " ".join(with_id), "b")]
+    kept = sorted((str(r["doc_id"]), r["text"][:2]) for r in simhash.keep_one(docs(rows)).collect())
+    assert kept == [("4", "v0"), ("None", "a "), ("None", "w0")]
