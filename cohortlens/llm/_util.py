@@ -6,6 +6,7 @@ import ctypes
 import gc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ def give_back() -> None:
     """Return freed memory of this Python worker to the machine: workers are kept
     for later stages, and what one stage held would count against the next."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library; nothing to do

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import read_table
+from ._util import give_back, read_table
 from .boosting import BoostedTrees
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
+TEXTS_AT_ONCE = 512
 BASE = 4  # the first four have base patterns
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -189,7 +190,9 @@ def model(n: int = 6000, seed: int = 7, precision: float = 0.95) -> tuple[Booste
 
 
 def chosen(texts: list[str], trees: BoostedTrees, limits: np.ndarray) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text, both as (start, kind, end)."""
+    """(base spans, added spans) of each text, both as (start, kind, end). Features of TEXTS_AT_ONCE texts are held at a time."""
+    if len(texts) > TEXTS_AT_ONCE:
+        return [x for i in range(0, len(texts), TEXTS_AT_ONCE) for x in chosen(texts[i : i + TEXTS_AT_ONCE], trees, limits)]
     base = [base_spans(t) for t in texts]
     found = [candidates(t) for t in texts]
     x = [features(t, c) for t, cs in zip(texts, found) for c in cs]
@@ -264,6 +267,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     last = max(last, e)
                 new.append("".join([*parts, t[last:]]) if last else t)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else b.column(i) for i in range(len(fields))], [f.name for f in fields])
+            del texts, new
+        give_back()
 
     out = docs.mapInArrow(run, ", ".join(f"`{f.name}` {t}" for f, t in zip(fields, types)))
     return out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

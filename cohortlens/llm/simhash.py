@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import connected_components, numpy_components, read_table, staged
+from ._util import connected_components, give_back, numpy_components, read_table, staged
 
 SHINGLES_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
@@ -89,12 +89,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
         for b in batches:
             found = [fingerprint(t.as_py(), words_per_shingle, seed, shingles) for t in b.column("text")]
-            fps, more = found, []
+            fps, more, sets, raw = found, [], [], []
             if shingles:
                 fps, sets = [f for f, _ in found], [x for _, x in found]
                 raw = [x.tobytes() for x in sets]
                 more = [signed([xxhash.xxh64_intdigest(x) for x in raw]), pa.array([bands(x) for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), signed(fps), *more], ["id", "text_key", "fp", *["set_key", "bands", "shingles"][: len(more)]])
+            del found, more, sets, raw
+        if shingles:
+            give_back()
 
     return slim.mapInArrow(run, "id long, text_key long, fp long" + ", set_key long, bands array<long>, shingles binary" * shingles)
 
@@ -243,9 +246,10 @@ def confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return links
 
 
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between set_keys that join the shingle sets of at least the similarity (Jaccard).
 
+    distinct: (set_key, row), row one in prints that has the set.
     Sets that share a band are a shard; of shards with the same members one is
     taken. Shards come sorted, so a task holds the sets of one at a time.
     """
@@ -253,7 +257,8 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     members = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("y"))
     taken = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard"))
     shards = staged(held.join(taken.select("shard"), "shard", "left_semi"), "shards")
-    sets = prints.groupBy("set_key").agg(F.min("shingles").alias("shingles"))
+    wanted = distinct.join(shards.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.min("row").alias("row"))
+    sets = prints.select("row", "set_key", "shingles").join(wanted.select("row"), "row", "left_semi").drop("row")
     dealt = shards.join(sets, "set_key").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +267,7 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
             return [keys[i] for i, _ in pairs], [keys[j] for _, j in pairs]
 
         shard, keys, raw = None, [], []
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             a, b = [], []
             for s, k, x in zip(*(batch.column(c).to_pylist() for c in ("shard", "set_key", "shingles"))):
                 if s != shard:
@@ -273,20 +278,22 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
                 raw.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked(keys, raw)], ["a", "b"])
+        keys, raw = [], []
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per_shingle: int, seed: int, similarity: float | None) -> DataFrame:
     """(id, text_key, fp, root, component_id) for each row of docs; root names the component."""
-    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None), "prints")
+    prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None).withColumn("row", F.monotonically_increasing_id()), "prints")
     node = "fp" if similarity is None else "set_key"
-    distinct = staged(prints.groupBy(*{node, "fp"}).agg(F.min("id").alias("least")), "distinct")
+    distinct = staged(prints.groupBy(*{node, "fp"}).agg(F.min("id").alias("least"), F.min("row").alias("row")), "distinct")
     if similarity is None:
         links = near_links(distinct.select("fp"), radius)
     else:
         equal = distinct.groupBy("fp").agg(F.min("set_key").alias("a")).join(distinct, "fp").selectExpr("a", "set_key as b")
-        links = similar_links(prints, similarity).unionByName(equal.where("a != b"))
+        links = similar_links(prints, distinct, similarity).unionByName(equal.where("a != b"))
     root = connected_components(links).select(F.col("node").alias(node), "root")
     named = distinct.groupBy(node).agg(F.min("least").alias("least")).join(root, node, "left").withColumn("root", F.coalesce("root", node))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
