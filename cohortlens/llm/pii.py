@@ -13,44 +13,50 @@ from __future__ import annotations
 import math
 import random
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import give_back, read_table
+from ._util import free_name, give_back, read_table
 from .boosting import BoostedTrees
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
-TEXTS_AT_ONCE = 512
+CANDIDATES_AT_ONCE = 20_000
 BASE = 4  # the first four have base patterns
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+NUMBER = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Kind, what the lower-cased text must contain (0: any of the ten digits) as every match does, pattern.
+#: Kind, what the text must contain (0: any of the ten digits) as every match does, pattern. All patterns
+#: are bounded or cannot start inside their own run, so a text is read in time linear in its length.
 GENERATORS = [
-    ("email", "@", re.compile(r"[\w.%+-]+ ?@ ?[\w-]+(?: ?\. ?[\w-]+)+")),
-    ("email", "at", re.compile(r"[\w.%+-]+ ?[(\[{<] ?at ?[)\]}>] ?[\w-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]) ?[\w-]+)+", re.I)),
-    ("email", " dot ", re.compile(r"[\w.%+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)),
     ("ip", ":", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", "0", re.compile(r"(?<![\w.])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![\w.])")),
     ("phone", "0", re.compile(r"(?<![\w.+])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,5})[ .-][0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}(?![\w])")),
     ("phone", "0", re.compile(r"(?<![\w.+])[0-9]{10,11}(?![\w.])")),
     ("ssn", "0", re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("secret", "0", re.compile(r"(?<![\w/+])[A-Za-z0-9_/+=-]{20,}(?![\w/+])")),
-    ("secret", "", re.compile(r"(?<=[\"'=:\s])[^\s\"'=]{8,}(?=[\"'\s]|$)")),
 ]
+#: Written-out addresses are found by their sign: what stands for @, with the first word after it, and what may follow.
+SIGNS = [
+    (re.compile(r" ?@ ?(?=[\w-])"), re.compile(r"[\w-]+(?: ?\. ?[\w-]+)+")),
+    (re.compile(r" ?[(\[{<] ?at ?[)\]}>] ?(?=[\w-])", re.I), re.compile(r"[\w-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]) ?[\w-]+)+", re.I)),
+    (re.compile(r" at (?=[\w-])", re.I), re.compile(r"[\w-]+(?: dot [\w-]+)+", re.I)),
+]
+NOT_NAME = re.compile(r"[^\w.%+-]")
+RUN_END = re.compile(r"[A-Za-z0-9_/+=-]{20,}")
+PLAIN_RUN = re.compile(r"[^\s\"'=]{8,}")
 KEYWORDS = {
     "email": "mail email contact write address".split(),
     "ip": "ip host server client addr login ipv6".split(),
@@ -68,6 +74,11 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, sorted; matches that fail their check are dropped."""
     out = []
@@ -80,7 +91,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             if start < m.start():
                 out.append((start, 0, last := m.end()))
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        for m in CHAIN.finditer(text):  # a match is four numbers, the next starts with the fifth
+            if m[0].count(".") >= 3:
+                ends = [x.span() for x in NUMBER.finditer(text, m.start(), m.end())]
+                for i in range(3, len(ends), 4):
+                    if all(_octet(text[lo:hi]) for lo, hi in ends[i - 3 : i + 1]):
+                        out.append((ends[i - 3][0], 1, ends[i][1]))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -90,16 +106,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _addresses(text: str, out: set) -> None:
+    """From each sign outward: the name before it, and the words and dots after it."""
+    for sign, after in SIGNS:
+        last = 0
+        for m in sign.finditer(text):
+            start = m.start()
+            while start > last and not NOT_NAME.match(text, start - 1):
+                start -= 1
+            if start < m.start() and (rest := after.match(text, m.end())):
+                out.add((start, 0, rest.end()))
+            last = m.end()  # a name ends where the sign before it ended, so no letter is passed twice
+
+
+def _secrets(text: str, digits: bool, out: set) -> None:
+    """Runs that hold a digit and a letter: of 20 characters of keys, or of 8 up to a blank or quote after a sign or blank."""
+    k = KINDS.index("secret")
+    mixed = lambda s: any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    if not digits and text.isascii():
+        return
+    for m in RUN_END.finditer(text):
+        lo, hi = m.span()
+        if (lo == 0 or not (text[lo - 1].isalnum() or text[lo - 1] in "_/+")) and (hi == len(text) or not (text[hi].isalnum() or text[hi] in "_/+")) and mixed(m[0]):
+            out.add((lo, k, hi))
+    for m in PLAIN_RUN.finditer(text):
+        lo, hi = m.span()
+        if lo == 0:  # nothing before it: the part after its first colon
+            lo = text.find(":", 0, hi) + 1 or hi
+        if hi - lo >= 8 and (hi == len(text) or text[hi] != "=") and mixed(text[lo:hi]):
+            out.add((lo, k, hi))
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all that the generators propose; they may overlap."""
-    digits, lowered = DIGIT.search(text) is not None, text.lower()
-    out = set()
+    digits = DIGIT.search(text) is not None
+    out: set[tuple[int, int, int]] = set()
     for kind, hint, pattern in GENERATORS:
-        if digits if hint == "0" else hint in lowered:
+        if digits if hint == "0" else hint in text:
             k = KINDS.index(kind)
-            for m in pattern.finditer(text):
-                if kind != "secret" or (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
-                    out.add((m.start(), k, m.end()))
+            out.update((m.start(), k, m.end()) for m in pattern.finditer(text))
+    _addresses(text, out)
+    _secrets(text, digits, out)
     return sorted(out)
 
 
@@ -189,56 +236,60 @@ def model(n: int = 6000, seed: int = 7, precision: float = 0.95) -> tuple[Booste
     return trees, limits
 
 
-def chosen(texts: list[str], trees: BoostedTrees, limits: np.ndarray) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text, both as (start, kind, end). Features of TEXTS_AT_ONCE texts are held at a time."""
-    if len(texts) > TEXTS_AT_ONCE:
-        return [x for i in range(0, len(texts), TEXTS_AT_ONCE) for x in chosen(texts[i : i + TEXTS_AT_ONCE], trees, limits)]
-    base = [base_spans(t) for t in texts]
-    found = [candidates(t) for t in texts]
-    x = [features(t, c) for t, cs in zip(texts, found) for c in cs]
-    p = iter(trees.predict(np.array(x)).tolist() if x else ())
-    out = []
-    for b, cs in zip(base, found):
-        ranked = sorted((-q, c) for q, c in [(next(p), c) for c in cs] if q >= limits[c[1]])
-        added, taken = [], _merged(b)
+def chosen(texts: list[str], trees: BoostedTrees, limits: np.ndarray) -> Iterator[tuple[list, list]]:
+    """(base spans, added spans) of each text, both as (start, kind, end).
+
+    Texts go in runs of about CANDIDATES_AT_ONCE candidates, of which features are held at a time.
+    """
+    run: list = []
+    held = 0
+    for t in texts:
+        run.append((t, base_spans(t), candidates(t)))
+        held += 1 + len(run[-1][2])
+        if held > CANDIDATES_AT_ONCE:
+            yield from _judged(run, trees, limits)
+            run, held = [], 0
+    yield from _judged(run, trees, limits)
+
+
+def _judged(run: list, trees: BoostedTrees, limits: np.ndarray) -> Iterator[tuple[list, list]]:
+    every = ((t, c) for t, _, cs in run for c in cs)
+    p: list[float] = []
+    while part := list(islice(every, CANDIDATES_AT_ONCE)):
+        p += trees.predict(np.array([features(t, c) for t, c in part])).tolist()
+    at = iter(p)
+    for t, base, cs in run:
+        ranked = sorted((-q, c) for q, c in [(next(at), c) for c in cs] if q >= limits[c[1]])
+        added, taken = [], bytearray(len(t) if ranked else 0)
+        for s, _, e in base if ranked else ():
+            taken[s:e] = b"1" * (e - s)
         for _, (s, k, e) in ranked:
-            at = bisect_left(taken, (e, 0))  # of disjoint stretches only the last that starts before e can overlap
-            if not at or taken[at - 1][1] <= s:
+            if taken.find(b"1", s, e) < 0:
                 added.append((s, k, e))
-                taken.insert(at, (s, e))
-        out.append((b, sorted(added)))
-    return out
-
-
-def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The stretches that the spans cover, disjoint and sorted."""
-    out: list[tuple[int, int]] = []
-    for s, _, e in sorted(spans):
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+                taken[s:e] = b"1" * (e - s)
+        yield base, sorted(added)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (or id_col) with base and spans: arrays of (kind, start, end) by start, then kind.
 
     start and end count code points, end exclusive. Null texts count as empty
-    and have no spans; null ids, repeated rows and other columns pass; an empty
-    table gives an empty result.
+    and have no spans; null ids, repeated rows and other columns pass; kept
+    columns named base or spans give way to the result's; an empty table gives
+    an empty result. A text is read in time linear in its length.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("base", "spans")]
     trees, limits = model()
-    slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = free_name("text", keep)
+    slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     ddl = "array<struct<kind: string, start: int, end: int>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
         for b in batches:
-            found = chosen(b.column("_text").to_pylist(), trees, limits)
+            found = chosen(b.column(text).to_pylist(), trees, limits)
             both = [(named(x), named(sorted(x + y))) for x, y in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x for x, _ in both], span), pa.array([y for _, y in both], span)], [*keep, "base", "spans"])
 
@@ -249,6 +300,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of its text replaced by <KIND>; overlapping spans become one mark, of the first.
 
     A column n_chars, where there is one, gets the new number of code points.
+    A null text stays null, an empty one empty; repeated rows are masked alike;
+    an empty table gives an empty result; other columns pass whatever their names.
     """
     trees, limits = model()
     fields = docs.schema.fields
