@@ -15,38 +15,102 @@ import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import read_table
+from ._util import free_name, read_table
 
 BLOCKS = frozenset("html head body title main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset legend table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hr select option button dialog center".split())
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "svg", "iframe", "object"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first closes an open element of the second.
 CLOSES = {"p": ["p"], "li": ["li", "p"], "dt": ["dt", "dd", "p"], "dd": ["dt", "dd", "p"], "tr": ["tr", "td", "th", "p"], "td": ["td", "th", "p"], "th": ["td", "th", "p"], "option": ["option"]} | {t: ["p"] for t in "div section article aside nav header footer form table ul ol dl pre blockquote figure h1 h2 h3 h4 h5 h6 main hr".split()}
-SCOPES = {"li": ["ul", "ol"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["tr", "table"], "th": ["tr", "table"]}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^>]*\Z", re.S)
+#: An open element of the first is out of reach behind one of the second.
+SCOPES = {"li": ["ul", "ol"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["tr", "table"], "th": ["tr", "table"], "p": ["td", "th", "li", "div", "section", "article", "body"]}
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9-]*))")
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text in links) of the blocks in page order.
+PATH_DIM, WORD_DIM, DENSE = 96, 16, 9
+DIM = PATH_DIM + WORD_DIM + DENSE
+
+
+class Block(NamedTuple):
+    path: int  # a bit for each of PATH_DIM slots that a name of an open element hashes to
+    names: int  # how many names the open elements have
+    inner: str  # the innermost element's tag, empty if it has a name beside it
+    text: str
+    linked: float  # share of the text in links
+
+
+class _Path:
+    """The open elements. Names are counted by slot as they come and go, so that a
+    block takes a number and not a copy of its path, and where each tag is open is
+    kept, so that closing one does not search."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, list[int]]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.count, self.bits, self.names = [0] * PATH_DIM, 0, 0
+
+    def push(self, tag: str, words: list[str]) -> None:
+        slots = [_slot(w) for w in (tag, *words)]
+        self.where[tag].append(len(self.open))
+        self.open.append((tag, slots))
+        self.names += len(slots)
+        for i in slots:
+            self.count[i] += 1
+            self.bits |= 1 << i
+
+    def cut(self, to: int) -> None:
+        """Close all elements from place `to` on."""
+        while len(self.open) > to:
+            tag, slots = self.open.pop()
+            self.where[tag].pop()
+            self.names -= len(slots)
+            for i in slots:
+                self.count[i] -= 1
+                if not self.count[i]:
+                    self.bits &= ~(1 << i)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def inner(self) -> str:
+        return self.open[-1][0] if self.open and len(self.open[-1][1]) == 1 else ""
+
+
+def _tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
+    """Where the tag that begins before `at` has its >, quoted ones passed over; the page's end if it has none.
+    A quote without a second one counts as a plain character."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        if m[0] not in quotes:
+            quotes[m[0]] = page.rfind(m[0])
+        at = page.find(m[0], m.end()) + 1 if m.start() < quotes[m[0]] else m.end()
+    return len(page)
+
+
+def leaf_blocks(page: str) -> list[Block]:
+    """The blocks of a page in order.
 
-    The path has a tag and its class, id and role words for each open element.
     Scripts, styles and the like, comments and markup are left out; a comment or
     tag that never ends runs to the end of the page. Character references are
     decoded, white space becomes single spaces; blocks without text are dropped.
+    Time and memory grow in line with the page, however deep its elements are.
     """
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    text: list[str] = []
+    out: list[Block] = []
+    path, text, quotes = _Path(), [], {}
     linked, in_link, at = 0, False, 0
 
     def end_block() -> None:
@@ -54,26 +118,31 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if text:
             whole = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                out.append((tuple(n for _, names in stack for n in names), whole, min(1.0, linked / max(1, len(whole)))))
+                out.append(Block(path.bits, path.names, path.inner(), whole, min(1.0, linked / max(1, len(whole)))))
             text.clear()
             linked = 0
 
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = START.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
             text.append(piece)
             linked += len(piece) * in_link
         if not m:
             break
-        at = m.end()
         if m[2] is None:
+            sign = "-->" if m[0] == "<!--" else ">"
+            end = page.find(sign, m.end())
+            at = end + len(sign) if end >= 0 else len(page)
             continue
         tag, closing = m[2].lower(), m[1] == "/"
+        end = _tag_end(page, m.end(), quotes)
+        attributes, at = page[m.end() : end], end + 1
         if tag in RAW and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                at = end + 1 if end >= 0 else len(page)
             if tag not in ("svg", "object"):
                 end_block()
         elif tag == "a":
@@ -83,45 +152,36 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         elif tag in BLOCKS:
             end_block()
             if closing:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if (to := path.last([tag])) >= 0:
+                    path.cut(to)
                     in_link = False
                 continue
             for open_ in CLOSES.get(tag, ()):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == open_:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPES.get(open_, ()) or (open_ == "p" and stack[i][0] in ("td", "th", "li", "div", "section", "article", "body")):
-                        break
+                to = path.last([open_])
+                if to > path.last(SCOPES.get(open_, ())):
+                    path.cut(to)
             if tag not in VOID:
-                words = [w for a in NAMES.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w] if m[3] else []
-                stack.append((tag, (tag, *words)))
+                path.push(tag, [w for a in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w] if attributes else [])
     end_block()
     return out
 
 
-PATH_DIM, WORD_DIM, DENSE = 96, 16, 9
-DIM = PATH_DIM + WORD_DIM + DENSE
-
-
-@cache
-def _slot(word: str, dim: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return h % dim, 1.0 if h >> 16 & 1 else -1.0
+@lru_cache(1 << 16)
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATH_DIM
 
 
-def block_vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    x, n = np.zeros((len(blocks), DIM)), len(blocks)
-    for i, (path, text, linked) in enumerate(blocks):
-        for name in path:
-            x[i, _slot(name, PATH_DIM)[0]] = 1.0
-        words = text.split(" ")
+def block_vectors(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """Vectors of the blocks that stand at `first` and after among `of` blocks of their page."""
+    x, of = np.zeros((len(blocks), DIM)), of or len(blocks)
+    bits = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIM // 8, "little") for b in blocks), np.uint8).reshape(-1, PATH_DIM // 8)
+    x[:, :PATH_DIM] = np.unpackbits(bits, axis=1, bitorder="little")
+    for i, b in enumerate(blocks):
+        words = b.text.split(" ")
         slots = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) & 15 for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = slots / len(words)
-        stops = sum(text.count(c) for c in ".!?,;:")
-        x[i, PATH_DIM + WORD_DIM :] = (math.log1p(len(text)) / 5, math.log1p(len(words)) / 4, linked, min(1.0, 10 * stops / len(text)), text[-1:] in ".!?", i / n, len(path) / 12, path[-1:] == ("li",), path[-1:] in (("h1",), ("h2",), ("h3",)))
+        stops = sum(b.text.count(c) for c in ".!?,;:")
+        x[i, PATH_DIM + WORD_DIM :] = (math.log1p(len(b.text)) / 5, math.log1p(len(words)) / 4, b.linked, min(1.0, 10 * stops / len(b.text)), b.text[-1:] in ".!?", (first + i) / of, b.names / 12, b.inner == "li", b.inner in ("h1", "h2", "h3"))
     return x
 
 
@@ -135,9 +195,10 @@ class BiLstm:
         for w in self.w[:2]:
             w[-1, hidden : 2 * hidden] = 1.0  # forget gates start open
 
-    def _direction(self, w: np.ndarray, x: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
+    def _direction(self, w: np.ndarray, x: np.ndarray, mask: np.ndarray, trace: list | None = None, state: list | None = None) -> np.ndarray:
+        """Outputs of each step; state, a list, gives the state to start from and takes the last one."""
         b, t, d = x.shape
-        h, c, out = np.zeros((b, self.h)), np.zeros((b, self.h)), np.zeros((b, t, self.h))
+        (h, c), out = state or (np.zeros((b, self.h)), np.zeros((b, self.h))), np.zeros((b, t, self.h))
         given = x @ w[:d] + w[-1]
         for i in range(t):
             z = given[:, i] + h @ w[d:-1]
@@ -150,6 +211,8 @@ class BiLstm:
             c = m * new + (1 - m) * c
             h = m * go * np.tanh(new) + (1 - m) * h
             out[:, i] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def _back(self, w: np.ndarray, x: np.ndarray, trace: list, dout: np.ndarray) -> np.ndarray:
@@ -273,23 +336,41 @@ def labeller(pages: int = 900, seed: int = 11) -> BiLstm:
     rows = []
     while len(rows) < pages:
         blocks = leaf_blocks(example_page(rng))
-        y = np.array([float("@@" in t) for _, t, _ in blocks])
+        y = np.array([float("@@" in b.text) for b in blocks])
         if blocks:
-            rows.append((block_vectors([(p, t.replace("@@", "") or "-", k) for p, t, k in blocks]), y))
+            rows.append((block_vectors([b._replace(text=b.text.replace("@@", "") or "-") for b in blocks]), y))
     return BiLstm(DIM).fit(rows)
 
 
 STEPS_AT_ONCE = 1 << 14
+CHARS_AT_ONCE = 8 << 20
 
 
-def label_pages(pages: list[list], model: BiLstm) -> list[np.ndarray]:
+def label_long_page(blocks: list[Block], model: BiLstm) -> np.ndarray:
+    """The probabilities for one page in windows of STEPS_AT_ONCE blocks: each direction
+    carries its state from window to window, so the result is that of the whole page."""
+    n, h, z = len(blocks), model.h, np.full(len(blocks), model.w[2][-1, 0])
+    for back in (0, 1):
+        state: list = []
+        for lo in sorted(range(0, n, STEPS_AT_ONCE), reverse=bool(back)):
+            x = block_vectors(blocks[lo : lo + STEPS_AT_ONCE], lo, n)[None]
+            seen = model._direction(model.w[back], x[:, ::-1] if back else x, np.ones(x.shape[:2]), None, state)[0]
+            z[lo : lo + x.shape[1]] += (seen[::-1] if back else seen) @ model.w[2][back * h : (back + 1) * h, 0]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def label_pages(pages: list[list[Block]], model: BiLstm) -> list[np.ndarray]:
     """For the leaf blocks of each page the probability of being article; pages of like length go together."""
     out: list = [np.empty(0)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
     while order:
-        longest, take = 0, 0
-        while take < len(order) and (take == 0 or (take + 1) * len(pages[order[take]]) <= STEPS_AT_ONCE):
-            longest, take = len(pages[order[take]]), take + 1
+        take = 0
+        while take < len(order) and (take + 1) * len(pages[order[take]]) <= STEPS_AT_ONCE:
+            take += 1
+        if not take:  # this page alone is longer, and so are all that follow
+            for i in order:
+                out[i] = label_long_page(pages[i], model)
+            break
         rows, order = order[:take], order[take:]
         x, lengths = pad([block_vectors(pages[i]) for i in rows])
         p = model.forward(x, lengths)
@@ -302,22 +383,31 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
     """The columns `keep` with text: the article's blocks in page order, joined by line breaks.
 
     A null or empty page, and one without article blocks, has the empty text.
-    Broken markup is read as far as it goes; repeated rows give repeated
-    results; an empty table gives an empty result.
+    Broken markup is read as far as it goes; a kept column named text gives way
+    to the result's; repeated rows give repeated results; an empty table gives an
+    empty result. A page is read in time and memory linear in its length.
     """
     model = labeller()
-    slim = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_html")
+    keep = [c for c in keep if c.lower() != "text"]
+    raw = free_name("html", keep)
+    slim = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias(raw))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name != raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                blocks = [leaf_blocks(h.as_py()) for h in part.column("_html")]
-                text = ["\n".join(t for (_, t, _), q in zip(page, p) if q >= 0.5) for page, p in zip(blocks, label_pages(blocks, model))]
+            at = 0
+            while at < b.num_rows:
+                took, chars, blocks = 0, 0, []
+                while at + took < b.num_rows and took < 256 and chars < CHARS_AT_ONCE:
+                    page = b.column(raw)[at + took].as_py()
+                    took, chars = took + 1, chars + len(page)
+                    blocks.append(leaf_blocks(page))
+                part = b.slice(at, took)
+                text = ["\n".join(block.text for block, q in zip(page, p) if q >= 0.5) for page, p in zip(blocks, label_pages(blocks, model))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
+                at += took
 
-    return slim.mapInArrow(run, f"{schema}, text string")
+    return slim.mapInArrow(run, f"{schema}text string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
