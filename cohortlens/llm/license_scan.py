@@ -1,18 +1,23 @@
 """License scan with a positional index of rare words.
 
-Templates are known notices. Their words form a small index word -> (template,
-position). A scan counts in how many texts each indexed word occurs (a table as
-long as the index), and lets every indexed word of a text vote with its IDF for
-the offset at which a template would have to start. Offsets with votes of at
-least two words are compared word by word, and a template counts if its share of IDF is high enough and its mandatory phrases
-stand where they should. Beside that, fixed base phrases are always reported.
+Templates are known notices and whole licence bodies. A scan counts in how many
+texts each of their words occurs (a table as long as the index). Of each template
+the words of highest IDF, until they hold SEEDED of its weight, are indexed: word
+-> (template, position). In a text every indexed word votes with its weight for
+the offset at which a template would have to start. A place where a share of at
+least JUDGED of the template stands must get votes of SEEDED + JUDGED - 1 of the
+weight, so no such place is passed over, however common the words are and however
+many notices a text holds. Those places are compared word by word, and a template
+counts if its share is high enough and its mandatory phrases stand where they
+should. Beside that, fixed base phrases are always reported.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +47,20 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc by sa"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
     ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "permission is hereby granted free of charge|deal in the software without restriction"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistribution and use in source and binary forms|redistributions in binary form must reproduce"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "distribute this software for any purpose with or without fee"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "alter it and redistribute it freely"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0.", "boost software license"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unencumbered software released into the public domain"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", "all rights reserved|strictly prohibited"),
 ]
 
 RUN = 4096  # words of a text whose votes are held at a time
-COVER = 0.7  # share of a template's IDF that must stand in place
+COVER = 0.7  # share of a template's weight that must stand in place
+JUDGED, SEEDED = 0.5, 0.7
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -56,10 +70,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 PARSED = [(label, words_of(notice.encode()), [words_of(p.encode()) for p in phrases.split("|")]) for label, notice, phrases in TEMPLATES]
-INDEX: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-for _t, (_, _ws, _) in enumerate(PARSED):
-    for _p, _w in enumerate(_ws):
-        INDEX[_w].append((_t, _p))
+VOCABULARY = sorted({w for _, ws, _ in PARSED for w in ws})
 LONGEST = max(len(ws) for _, ws, _ in PARSED)
 PHRASES = [(p.encode().split(), label) for p, label in BASE]
 
@@ -78,52 +89,69 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 
 def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[bytes, int]]:
-    """Number of texts, and for each indexed word the number of texts with it: over all rows of docs."""
-    slim = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, counts = 0, Counter()
-        for b in batches:
-            n += b.num_rows
-            for t in b.column("text"):
-                counts.update(INDEX.keys() & set(words_of(t.as_py())))
-        rows = [(b"", n), *counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([k for _, k in rows], pa.int64())], ["word", "n"])
-
-    found = {bytes(r["word"]): r["n"] for r in slim.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    """Number of texts, and for each word of the templates the number of texts with it: over all rows of docs."""
+    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
+    words = F.array_intersect(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.array(*[F.lit(w.decode()) for w in VOCABULARY]))
+    each = docs.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
+    found = {r["word"].encode(): r["n"] for r in each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the templates
     return found.pop(b"", 0), found
 
 
-def match_templates(words: list[bytes], idf: dict[bytes, float]) -> tuple[set[str], float]:
-    """Labels of the templates found in the words, and the highest share of a template's IDF in place.
-
-    Every indexed word votes wherever it stands, so no place with two words of a template is left out.
-    """
-    weigh = {w: idf.get(w, 0.0) + 0.05 for w in INDEX}  # words that stand in all texts count a little
-    total = [sum(weigh[w] for w in notice) for _, notice, _ in PARSED]
-    labels, best, votes = set(), 0.0, {}
+@dataclass(frozen=True)
+class Index:
+    weight: dict[bytes, float]
+    total: list[float]  # of each template
+    postings: dict[bytes, list[tuple[int, int]]]  # word -> (template, position)
+
+
+def build_index(n: int, counts: dict[bytes, int]) -> Index:
+    """The positional index for n texts, of which counts[word] hold a word."""
+    weight = {w: math.log((n + 1) / (counts.get(w, 0) + 0.5)) + 0.05 for w in VOCABULARY}  # words that stand in all texts count a little
+    total, postings = [sum(weight[w] for w in notice) for _, notice, _ in PARSED], defaultdict(list)
+    for t, (_, notice, _) in enumerate(PARSED):
+        held = 0.0
+        for w in sorted(set(notice), key=lambda w: (-weight[w], w)):
+            if held >= SEEDED * total[t]:
+                break
+            held += weight[w] * notice.count(w)
+            for p, x in enumerate(notice):
+                if x == w:
+                    postings[w].append((t, p))
+    return Index(weight, total, dict(postings))
+
+
+def judge(words: list[bytes], t: int, start: int, index: Index) -> tuple[float, bool]:
+    """Share of template t that stands in place from `start`, and whether it counts as found."""
+    _, notice, phrases = PARSED[t]
+    low, high = max(0, -start), min(len(notice), len(words) - start)
+    share = sum(index.weight[a] for a, b in zip(notice[low:high], words[start + low : start + high]) if a == b) / index.total[t]
+    if share < COVER:
+        return share, False
+    near = words[max(0, start - 3) : max(0, start + len(notice) + 3)]
+    return share, all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in phrases)
+
+
+def match_templates(words: list[bytes], index: Index) -> tuple[set[str], float]:
+    """Labels of the templates found in the words, and the highest share of a
+    template in place among those of JUDGED or more (0 if there is none)."""
+    labels, best, postings, weight = set(), 0.0, index.postings, index.weight
+    need = [(SEEDED + JUDGED - 1) * x - 1e-9 for x in index.total]
+    votes: dict[tuple[int, int], float] = {}
     for lo in range(0, len(words), RUN):
-        for at in range(lo, min(lo + RUN, len(words))):
-            w = words[at]
-            if w in INDEX:
-                x = weigh[w]
-                for t, p in INDEX[w]:
-                    votes[t, at - p] = votes.get((t, at - p), 0.0) + x
+        for at in [i for i, w in enumerate(words[lo : lo + RUN], lo) if w in postings]:
+            x = weight[words[at]]
+            for t, p in postings[words[at]]:
+                votes[t, at - p] = votes.get((t, at - p), 0.0) + x
         done = lo + RUN if lo + RUN < len(words) else len(words) + LONGEST
         later = {}
         for (t, start), x in votes.items():
-            label, notice, phrases = PARSED[t]
             if start + LONGEST > done:
                 later[t, start] = x
-            elif x / total[t] > min(best, COVER) - 1e-9:
-                here = [w for i, w in enumerate(notice) if 0 <= start + i < len(words) and words[start + i] == w]
-                if len(set(here)) < 2:
-                    continue
-                share = sum(weigh[w] for w in here) / total[t]
-                best = max(best, share)
-                near = words[max(0, start - 3) : max(0, start + len(notice) + 3)]
-                if share >= COVER and all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in phrases):
-                    labels.add(label)
+            elif x >= need[t]:
+                share, found = judge(words, t, start, index)
+                best = max(best, share if share >= JUDGED else 0.0)
+                if found:
+                    labels.add(PARSED[t][0])
         votes = later
     return labels, best
 
@@ -133,12 +161,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     places: (start, label) of the base phrases in order; labels: those of the
     base phrases and of the templates, distinct and sorted; score: the highest
-    share of a template in place, at least 0.9 where a base phrase stands. Null
+    share of a template in place (from JUDGED on, else 0), at least 0.9 where a base
+    phrase stands; labels and scores depend on all texts only through IDF. Null
     and empty texts have no words and no labels; null ids, repeated rows and
     other columns do no harm; an empty table gives an empty result.
     """
-    n, counts = document_counts(docs, text_col)
-    idf = {w: math.log((n + 1) / (counts.get(w, 0) + 0.5)) for w in INDEX}
+    index = build_index(*document_counts(docs, text_col))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
 
@@ -148,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for t in b.column("text"):
                 words = words_of(t.as_py())
                 base = base_places(words)
-                labels, score = match_templates(words, idf)
+                labels, score = match_templates(words, index)
                 labels |= {label for _, label in base}
                 out.append((len(words), [{"start": s, "label": x} for s, x in sorted(base)], sorted(labels), min(1.0, max(score, 0.9 if base else 0.0))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), place, pa.list_(pa.string()), pa.float64())))], ["doc_id", "n_words", "places", "labels", "score"])
