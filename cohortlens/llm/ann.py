@@ -2,13 +2,16 @@
 
 A neighbour graph of a bounded sample is cut into parts of nearly equal size; a
 small network learns to tell from a vector in which parts its neighbours are.
-It puts every row into its most probable part, and sends each query to several
-of the most probable parts, where exact cosines rank what is there. How many
-parts a query visits is set on the sample, so that a wanted recall is reached.
+Its output biases are then set so that rows of the sample fall evenly to the
+parts, and every row of the table is put into its most probable part. A query
+visits the most probable parts until their probabilities come to a share that is
+set on sample vectors held back, so that a wanted recall is reached; exact
+cosines rank what is there. Parts of any size are compared in bounded blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,17 @@ from ._util import read_table, staged
 from .near_dup_vectors import spherical_kmeans
 from .vectors import matrix, sample, vectors
 
-SAMPLE = 8192  # vectors that graph, parts and network are made from
-PART_ROWS = 4096  # rows a part should have
-MOST_PARTS = 256
+#: At most so many vectors make graph, parts and network. A part needs PART_SAMPLE of them, so there
+#: are at most SAMPLE / PART_SAMPLE parts; more rows than these make good use of take a larger sample.
+SAMPLE = 8192
+PART_SAMPLE = 32
 BLOCK = 4096
+TIE = 1e-12  # scores this near to the k-th best are computed again before they are ranked
+
+
+def part_count(rows: int, sampled: int) -> int:
+    """Half the root of the rows, as far as the sample can tell parts apart."""
+    return max(1, min(sampled // PART_SAMPLE, round(math.sqrt(rows) / 2)))
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -98,30 +108,41 @@ class Router:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return h, e / e.sum(axis=1, keepdims=True)
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """Parts from most to least probable; the first is where a row is kept."""
-        return np.argsort(-self._run(x)[1], axis=1, kind="stable")
+    def balance(self, x: np.ndarray, rounds: int = 300) -> Router:
+        """Set the output biases so that the rows of x fall evenly to their most probable parts."""
+        z = np.log(self._run(x)[1] + 1e-12)
+        shift, best = np.zeros(self.parts), (np.inf, np.zeros(self.parts))
+        for i in range(rounds):
+            size = np.bincount((z + shift).argmax(axis=1), minlength=self.parts)
+            best = min(best, (size.max(), shift.copy()), key=lambda b: b[0])
+            shift -= 0.3 * 0.99**i * (size * self.parts / len(x) - 1).clip(-1, 2)
+        self.w[3] += best[1]
+        return self
 
+    def parts_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts from most to least probable (the first is where a row is kept), and
+        for each the sum of the probabilities before it."""
+        p = self._run(x)[1]
+        order = np.argsort(-p, axis=1, kind="stable")
+        ranked = np.take_along_axis(p, order, axis=1)
+        return order, np.cumsum(ranked, axis=1) - ranked
 
-def fit_router(x: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router, int]:
-    """A router for unit vectors x, and how many parts to visit for the recall of k neighbours."""
-    if parts < 2 or len(x) < 50:
-        return Router(1).fit(x, np.ones((len(x), 1)), epochs=0), 1
+
+def fit_router(x: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router, float]:
+    """A router for unit vectors x, and the sum of probabilities below which parts are visited, for the recall of k neighbours."""
+    if parts < 2:
+        return Router(1).fit(x, np.ones((len(x), 1)), epochs=0), 1.0
     graph = neighbours(x, 10)
     part = balanced_parts(x, graph, parts)
     y = np.zeros((len(x), parts))
     np.add.at(y, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0)
     np.add.at(y, (np.arange(len(x)), part), 3.0)
     asked = np.arange(len(x)) % 8 == 0  # not trained on: visits are set with them
-    router = Router(parts).fit(x[~asked], (y / y.sum(axis=1, keepdims=True))[~asked])
-    order = router.order(x)
-    true = neighbours(x, k)[asked]
+    router = Router(parts).fit(x[~asked], (y / y.sum(axis=1, keepdims=True))[~asked]).balance(x)
+    order, before = router.parts_of(x)
     kept = order[:, 0]
-    rank = (order[asked][:, None, :] == kept[true][:, :, None]).argmax(axis=2)
-    for visits in range(1, parts + 1):
-        if (rank < visits).mean() >= recall:
-            break
-    return router, visits
+    place = (order[asked][:, None, :] == kept[neighbours(x, k)[asked]][:, :, None]).argmax(axis=2)
+    return router, float(np.quantile(np.take_along_axis(before[asked], place, axis=1), recall, method="higher"))
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, sample_rows: int = SAMPLE) -> DataFrame:
@@ -130,58 +151,65 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     is_query: a condition on the column id. Nearness is the cosine in double
     precision; ties go to the smaller id. Vectors that take no part (see
     vectors()) are neither queries nor candidates. Every row is indexed; only
-    the model is fitted on at most sample_rows vectors. The candidates of a
-    query are all rows but those with its own id; a null id can be found, but
-    does not ask. An empty table gives an empty result.
+    the model is fitted on at most sample_rows vectors. Rows stand for
+    themselves: of rows that share an id each asks and each can be found, also
+    by the others, and only a row itself is no candidate of its own. A null id
+    can be found, but does not ask. An empty table gives an empty result.
     """
-    rows = staged(vectors(df, id_col, vec_col).where("v is not null"), "vectors")
+    rows = staged(vectors(df, id_col, vec_col).where("v is not null").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     if not n:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     x = sample(rows.dropDuplicates(["key"]), sample_rows)
-    router, visits = fit_router(x, min(MOST_PARTS, max(1, n // PART_ROWS)), k, recall)
+    router, share = fit_router(x, part_count(n, len(x)), k, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                order = router.order(matrix(b.column("v")))[:, :visits].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order[:, 0].copy()), pa.array(list(order), pa.list_(pa.int32()))], [*b.schema.names, "part", "visits"])
+                order, before = router.parts_of(matrix(b.column("v")))
+                visits = [o[m] if ask else o[:0] for o, m, ask in zip(order.astype(np.int32), before <= share, b.column("asks").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order[:, 0].astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], [*b.schema.names, "part", "visits"])
 
-    indexed = staged(rows.select("id", "v", F.coalesce(is_query & F.col("id").isNotNull(), F.lit(False)).alias("asks")).mapInArrow(route, "id long, v array<double>, asks boolean, part int, visits array<int>"), "index")
+    asks_too = F.coalesce(is_query & F.col("id").isNotNull(), F.lit(False)).alias("asks")
+    indexed = staged(rows.select("row", "id", "v", asks_too).mapInArrow(route, "row long, id long, v array<double>, asks boolean, part int, visits array<int>"), "index")
     kept = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
-    asks = indexed.where("asks").select("id", "v", F.explode("visits").alias("part"))
+    asks = indexed.where("asks").select("row", "id", "v", F.explode("visits").alias("part"))
     asked = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = df.sparkSession.createDataFrame([(p, -(-m // BLOCK), max(1, -(-asked.get(p, 0) // BLOCK))) for p, m in kept.items()], "part int, blocks int, askers int")
-    both = indexed.select("id", "v", "part", F.lit(False).alias("asks")).unionByName(asks.withColumn("asks", F.lit(True))).join(F.broadcast(plan), "part")
-    own = lambda c: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int")
+    both = indexed.select("row", "id", "v", "part", F.lit(False).alias("asks")).unionByName(asks.withColumn("asks", F.lit(True))).join(F.broadcast(plan), "part")
+    own = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
     spread = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("cb"), own("askers").alias("qb")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda i: F.struct(own("blocks").alias("cb"), i.alias("qb")))
     )
-    dealt = both.withColumn("at", F.explode(spread)).select("part", "at.cb", "at.qb", "asks", "id", "v")
-
-    def best(group: pa.Table) -> pa.Table:
-        ask, ids, x = group.column("asks").to_numpy(zero_copy_only=False), group.column("id").to_pylist(), matrix(group.column("v"))
-        c = sorted(np.flatnonzero(~ask).tolist(), key=lambda i: (ids[i] is None, ids[i] or 0))  # ties go to the first
-        known, names = np.array([ids[i] or 0 for i in c], np.int64), np.array([ids[i] is not None for i in c], bool)
-        out = ([], [], [])
-        for part in np.array_split(np.flatnonzero(ask), max(1, ask.sum() // 512)) if c else ():
-            s = x[part] @ x[c].T
-            own = np.array([ids[i] for i in part], np.int64)
-            s[(own[:, None] == known) & names] = -2  # no candidate for itself
-            for row, q in zip(s, own.tolist()):
-                at = max(0, len(row) - k)
-                top = np.flatnonzero(row >= np.partition(row, at)[at])
-                for i in top[np.argsort(-row[top], kind="stable")][:k].tolist():
-                    if row[i] > -1.5:
-                        for column, value in zip(out, (q, ids[c[i]], row[i])):
-                            column.append(value)
-        return pa.table([pa.array(o, kind) for o, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    found = dealt.groupBy("part", "cb", "qb").applyInArrow(best, "query_id long, vec_id long, score double")
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    dealt = both.withColumn("at", F.explode(spread)).select("part", "at.cb", "at.qb", "asks", "row", "id", "v")
+    found = dealt.groupBy("part", "cb", "qb").applyInArrow(lambda g: nearest_in(g, k), "row long, query_id long, vec_id long, score double")
+    by = W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_in(group: pa.Table, k: int) -> pa.Table:
+    """For each asking row of a block the k nearest of the others, ties to the smaller id.
+
+    Products of whole blocks may differ in the last bit for equal vectors, so
+    those near the k-th best are summed again one by one before they are ranked.
+    """
+    ask, ids, row = group.column("asks").to_numpy(zero_copy_only=False), group.column("id").to_pylist(), group.column("row").to_numpy()
+    x = matrix(group.column("v"))
+    c = np.array(sorted(np.flatnonzero(~ask).tolist(), key=lambda i: (ids[i] is None, ids[i] or 0)), np.int64)
+    out: tuple[list, ...] = ([], [], [], [])
+    for part in np.array_split(np.flatnonzero(ask), max(1, ask.sum() // 512)) if len(c) else ():
+        s = x[part] @ x[c].T
+        s[row[part][:, None] == row[c]] = -3  # no candidate for itself
+        for near, q in zip(s, part.tolist()):
+            at = max(0, len(near) - k)
+            top = np.flatnonzero((near >= np.partition(near, at)[at] - TIE) & (near > -2))
+            score = (x[c[top]] * x[q]).sum(axis=1)
+            for i in np.argsort(-score, kind="stable")[:k].tolist():
+                for column, value in zip(out, (int(row[q]), ids[q], ids[c[top[i]]], float(score[i]))):
+                    column.append(value)
+    return pa.table([pa.array(o, kind) for o, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "vec_id", "score"])
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 

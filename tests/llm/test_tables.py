@@ -163,7 +163,6 @@ def test_vectors_empty(spark):
 
 
 def test_search_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 150)
     monkeypatch.setattr(ann, "BLOCK", 64)
     x = blobs(2, 1200)
     df = vec_frame(spark, x).where("vec_id < 1000 or vec_id > 1005")
@@ -187,12 +186,50 @@ def test_search_ties_and_few(spark):
     assert got == [(1, None), (2, 2), (3, 3)]
 
 
+def test_repeated_queries_and_ids(spark):
+    near, far = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(50, near), (50, [0.9, 0.1, 0.0]), (1, [0.5, 0.5, 0.0]), (1, [0.5, 0.5, 0.0]), (2, far)], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(2 * [(50, 1, 50), (50, 2, 1), (50, 3, 1), (50, 4, 2)])
+
+
+def test_router_prunes_where_vectors_have_groups(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(40, 24))
+    x = unit(centre[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 24)))
+    router, share = ann.fit_router(x[:4000], ann.part_count(6000, 4000), 5, 0.97)
+    order, before = router.parts_of(x)
+    size = np.bincount(order[:, 0], minlength=router.parts)
+    asked = np.arange(0, 6000, 50)
+    visits = [order[q][before[q] <= share] for q in asked]
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -2
+    hit = [order[j, 0] in v for v, row in zip(visits, s) for j in np.argsort(-row)[:5]]
+    assert np.mean(hit) >= 0.9 and np.mean([size[v].sum() for v in visits]) < 0.25 * 6000
+    assert size.max() < 2 * size.mean()
+
+
+def test_recall_on_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toArrow()
+    ids, x = rows.column("vec_id").to_pylist(), unit(np.array(rows.column("embedding").to_pylist(), float))
+    got = {}
+    for r in ann.op6_ann(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [i for i, v in enumerate(ids) if v % 50 == 0]
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -2
+    hit = [ids[j] in got[ids[i]] for i, row in zip(asked, s) for j in np.argsort(-row)[:5]]
+    assert len(got) == len(asked) and np.mean(hit) >= 0.9
+    assert ann.part_count(len(ids), len(ids)) > 20
+
+
 def test_blocks():
     page = '<html><body><nav><ul><li><a href="/">x</a></ul></nav><script>var t="</p>";</script><article><h1>T&amp;C</h1><p><b>one\n two<br><p>three &lt;b&gt;<!-- no --></article><p>un<b>clo</b>sed'
-    assert [t for _, t, _ in html_text.leaf_blocks(page)] == ["x", "T&C", "one two", "three <b>", "unclosed"]
+    assert [b.text for b in html_text.leaf_blocks(page)] == ["x", "T&C", "one two", "three <b>", "unclosed"]
     for broken in ("", "<", "<p", "<!-- ", "<script>", "</p></p>", "a<b", "<div class='x", "&amp &#65; &nope;"):
         html_text.leaf_blocks(broken)
-    assert html_text.leaf_blocks("1 < 2 &amp &#65;")[0][1] == "1 < 2 & A"
+    assert html_text.leaf_blocks("1 < 2 &amp &#65;")[0].text == "1 < 2 & A"
 
 
 def test_lstm_gradient():
@@ -226,8 +263,8 @@ def test_labeller_holds_out():
     model, rng, right, total = html_text.labeller(), random.Random(77), 0, 0
     for _ in range(150):
         blocks = html_text.leaf_blocks(html_text.example_page(rng))
-        y = np.array(["@@" in t for _, t, _ in blocks])
-        p = html_text.label_pages([[(a, t.replace("@@", "") or "-", k) for a, t, k in blocks]], model)[0] >= 0.5
+        y = np.array(["@@" in b.text for b in blocks])
+        p = html_text.label_pages([[b._replace(text=b.text.replace("@@", "") or "-") for b in blocks]], model)[0] >= 0.5
         right, total = right + (p == y).sum(), total + len(y)
     assert right / total > 0.98
 
