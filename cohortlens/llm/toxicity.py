@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, harm, will, target, negation, report, quote). Four
-transducers rewrite the symbols of a clause and are composed into one machine:
-threats join "will" and a harm, negation cancels insults in its scope, reported
-speech sets insults apart as quoted, and a target before an insult makes it
+Words become symbols (insult, harm, will, target, negation, report, that, quote,
+clause end). Four transducers rewrite the symbols and are composed into one
+machine: threats join "will" and a harm, negation cancels insults in its scope,
+reported speech (in quotes, after "that", or named as in "called her an ...") sets
+insults apart as quoted, and a target before or right after an insult makes it
 aimed. The counts of what the clauses of a text come to are weighed by a
-logistic model. Insults are learned as words and stems from labelled rows and
-added to a short list.
+logistic model. Insults are learned as words and stems from labelled rows, in
+whatever language these are, and added to a short list; the other classes are
+closed ones, listed for the four languages of the corpus.
 """
 
 from __future__ import annotations
@@ -22,21 +24,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import give_back, read_table, staged
+from ._util import free_name, give_back, read_table, staged
 
-OTHER, INSULT, HARM, WILL, TARGET, NEG, REPORT, QUOTE = range(8)
-THREAT, AIMED, DENIED, QUOTED = range(8, 12)
-SYMBOLS = 12
+OTHER, INSULT, HARM, WILL, TARGET, NEG, REPORT, THAT, QUOTE, END = range(10)
+THREAT, AIMED, DENIED, QUOTED, AIMED_BACK = range(10, 15)  # what transducers write beside these
+INPUTS, SYMBOLS = 10, 15
 
+#: English, German, French and Spanish words of each class.
 WORDS = {
     INSULT: "idiot idiots moron morons stupid pathetic disgusting worthless scum trash loser losers clown imbecile vermin",
-    HARM: "kill hurt beat destroy smash stab shoot punish attack",
-    WILL: "will gonna shall ll",
-    TARGET: "you your u they them he she him her this these those",
-    NEG: "not no never nobody isn aren wasn don doesn didn without neither nor",
-    REPORT: "said says say called calls wrote claims claimed told according quoted",
+    HARM: "kill hurt beat destroy smash stab shoot punish attack töten umbringen schlagen zerstören erschießen verletzen tuer frapper détruire blesser attaquer matar golpear destruir herir atacar",
+    WILL: "will gonna shall ll werde wirst wird werden werdet vais vas va allons allez vont voy vamos van",
+    TARGET: "you your u they them he she him her this these those du dich dir euch ihr tu te toi vous tú ti usted ustedes vosotros",
+    NEG: "not no never nobody cannot without neither nor nicht kein keine keinen nie niemals weder ne n pas jamais non ni aucun aucune nunca jamás ningún ninguna tampoco",
+    REPORT: "said says say call called calls wrote claims claimed told according quoted sagte sagt nannte schrieb behauptete laut dit disait appelé écrit prétend selon dijo dice llamó escribió según afirmó",
+    THAT: "that dass que qu",
 }
-ENDS = frozenset(".!?;:\n")
+ENDS = frozenset(".!?;")
+QUOTES = frozenset("\"“”„«»")
+PARTS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\"“”„«»]")
 STEMS = (4, 5, 6, 7, 8)
 GIVEN = 1.5  # weight of the words listed above
 #: At most so many labelled rows, taken in the order of a hash of their id, fit lexicon and weights.
@@ -55,12 +61,17 @@ class Transducer:
         return self.arcs.get((state, symbol)) or (self.rest(state), symbol)
 
 
+def _machine(arcs: dict, states: tuple, rest) -> Transducer:
+    """The arcs, and a clause's end leading back to the start where they do not say otherwise."""
+    return Transducer({(s, END): (0, END) for s in states} | arcs, rest)
+
+
 def threats() -> Transducer:
     """will, and a harm within three words."""
     arcs = {(0, WILL): (3, WILL)}
     for s in (1, 2, 3):
         arcs |= {(s, HARM): (0, THREAT), (s, WILL): (3, WILL)}
-    return Transducer(arcs, lambda s: max(0, s - 1))
+    return _machine(arcs, (0, 1, 2, 3), lambda s: max(0, s - 1))
 
 
 def negation() -> Transducer:
@@ -68,18 +79,30 @@ def negation() -> Transducer:
     arcs = {(0, NEG): (3, NEG)}
     for s in (1, 2, 3):
         arcs |= {(s, NEG): (3, NEG), (s, INSULT): (s - 1, DENIED), (s, THREAT): (s - 1, DENIED)}
-    return Transducer(arcs, lambda s: max(0, s - 1))
+    return _machine(arcs, (0, 1, 2, 3), lambda s: max(0, s - 1))
 
 
 def reported() -> Transducer:
-    """After a verb of saying and an opening quote, up to the next quote, insults are quoted."""
-    arcs = {(0, REPORT): (1, REPORT), (1, QUOTE): (2, QUOTE), (2, QUOTE): (0, QUOTE)}
-    return Transducer(arcs | {(2, INSULT): (2, QUOTED), (2, THREAT): (2, QUOTED)})
+    """After a verb of saying: insults within four words are quoted; a quote within
+    four words opens a stretch up to the next quote, over ends of clauses; "that"
+    opens one up to the end of the clause."""
+    near, quote, clause = (1, 2, 3, 4), 5, 6
+    arcs = {(0, REPORT): (4, REPORT), (quote, QUOTE): (0, QUOTE), (quote, END): (quote, END)}
+    for s in near:
+        arcs |= {(s, REPORT): (4, REPORT), (s, QUOTE): (quote, QUOTE), (s, THAT): (clause, THAT), (s, INSULT): (s - 1, QUOTED), (s, THREAT): (s - 1, QUOTED)}
+    for s in (quote, clause):
+        arcs |= {(s, INSULT): (s, QUOTED), (s, THREAT): (s, QUOTED)}
+    return _machine(arcs, (0, *near, quote, clause), lambda s: s - 1 if s in near else s)
 
 
 def target() -> Transducer:
-    """An insult or threat after a target in the clause is aimed."""
-    return Transducer({(0, TARGET): (1, TARGET), (1, INSULT): (1, AIMED), (1, THREAT): (1, AIMED)})
+    """An insult or threat after a target in the clause, or up to two words before one, is aimed."""
+    arcs = {(0, TARGET): (1, TARGET), (1, INSULT): (1, AIMED), (1, THREAT): (1, AIMED)}
+    for s in (0, 2, 3):
+        arcs |= {(s, INSULT): (3, INSULT), (s, THREAT): (3, THREAT)}
+    for s in (2, 3):
+        arcs[s, TARGET] = (1, AIMED_BACK)
+    return _machine(arcs, (0, 1, 2, 3), lambda s: {3: 2, 2: 0}.get(s, s))
 
 
 def compose(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +111,7 @@ def compose(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
     while todo:
         state = todo.pop(0)
         row, out = [], []
-        for symbol in range(8):
+        for symbol in range(INPUTS):
             now, to = symbol, []
             for m, s in zip(machines, state):
                 s, now = m.step(s, now)
@@ -103,7 +126,8 @@ def compose(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(nexts), np.array(outs)
 
 
-NEXT, OUT = (t.tolist() for t in compose([threats(), negation(), reported(), target()]))
+MACHINES = {"threats": threats, "negation": negation, "reported": reported, "target": target}
+NEXT, OUT = (t.tolist() for t in compose([m() for m in MACHINES.values()]))
 
 
 class Reader:
@@ -124,12 +148,19 @@ class Reader:
         return (INSULT, max(stem, weight)) if stem and symbol in (OTHER, INSULT) else (symbol, weight)
 
     def token(self, raw: str) -> tuple:
-        """(symbol, weight) of a token's words and quotes, in order; the symbol None ends a clause."""
+        """(symbol, weight) of a token's words, quotes and clause ends, in order."""
         if len(self.known) > CACHE:
             self.known.clear()
         out = []
-        for part in re.findall(r"[^\W\d_]+|[.!?;:\"“”„«»]", raw.lower()):
-            out.append((None, 0.0) if part in ENDS else (QUOTE, 0.0) if part in "\"“”„«»" else self.word(part))
+        for part in PARTS.findall(raw.lower()):
+            if part in ENDS:
+                out.append((END, 0.0))
+            elif part in QUOTES:
+                out.append((QUOTE, 0.0))
+            elif part.endswith(("n't", "n’t")):
+                out.append((NEG, 0.0))
+            else:
+                out += [self.word(w) for w in re.split("['’]", part)]
         self.known[raw] = out = PLAIN if out == [(OTHER, 0.0)] else tuple(out)
         return out
 
@@ -137,43 +168,49 @@ class Reader:
 FEATURES = ["clauses", "insult", "threat", "aimed", "denied", "quoted", "worst", "distinct"]
 
 
-def clause_counts(text: str, reader: Reader) -> list[float]:
+def clause_counts(text: str, reader: Reader, tables: tuple = (NEXT, OUT)) -> list[float]:
     """log(1 + x) of: the clauses that match, the weight of each kind of match,
     the weight of the worst clause, and the distinct tokens that match."""
-    sums, clauses, worst, tokens = [0.0] * SYMBOLS, 0, 0.0, set()
-    known, token = reader.known, reader.token
+    sums, clauses, worst, tokens, last = [0.0] * SYMBOLS, 0, 0.0, set(), (INSULT, 0.0)
+    (nexts, outs), known, token = tables, reader.known, reader.token
     for line in text.split("\n"):
         state, hits = 0, 0.0
         for raw in line.split():
             for symbol, weight in known.get(raw) or token(raw):
-                if symbol is None:
-                    clauses, worst, state, hits = clauses + (hits > 0), max(worst, hits), 0, 0.0
-                elif symbol or state:
-                    out = OUT[state][symbol]
-                    state = NEXT[state][symbol]
-                    if out == INSULT or out >= THREAT:
+                if symbol or state:
+                    out = outs[state][symbol]
+                    state = nexts[state][symbol]
+                    if symbol == END:
+                        clauses, worst, hits = clauses + (hits > 0), max(worst, hits), 0.0
+                    elif out == AIMED_BACK:  # the match before was of this target
+                        sums[last[0]] -= last[1]
+                        sums[AIMED] += last[1]
+                    elif out == INSULT or out >= THREAT:
                         sums[out] += weight
+                        if out in (INSULT, THREAT):
+                            last = out, weight
                         if out != DENIED:
                             hits += weight
                             tokens.add(raw)
         clauses, worst = clauses + (hits > 0), max(worst, hits)
-    return [math.log1p(x) for x in (clauses, sums[INSULT], sums[THREAT], sums[AIMED], sums[DENIED], sums[QUOTED], worst, len(tokens))]
+    return [math.log1p(max(0.0, x)) for x in (clauses, sums[INSULT], sums[THREAT], sums[AIMED], sums[DENIED], sums[QUOTED], worst, len(tokens))]
 
 
-def clause_features(docs: DataFrame, insults: dict[str, float], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and x, the features of clause_counts; a null text counts as empty."""
-    slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
+def clause_features(docs: DataFrame, insults: dict[str, float], keep: list[str], text_col: str = "text", to: str = "x") -> DataFrame:
+    """The columns `keep` and `to`, the features of clause_counts; a null text counts as empty."""
+    own = free_name("text", [*keep, to])
+    slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(own))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name != own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(insults)
         for b in batches:
-            x = pa.array([clause_counts(t.as_py(), reader) for t in b.column("_text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], [*keep, "x"])
+            x = pa.array([clause_counts(t.as_py(), reader) for t in b.column(own)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], [*keep, to])
         reader.known.clear()
         give_back()
 
-    return slim.mapInArrow(run, f"{schema}, x array<double>")
+    return slim.mapInArrow(run, f"{schema}`{to}` array<double>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -246,13 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Insults and weights from at most `rows` labelled rows that are not held out.
 
     Labels that are null are left out; an id labelled more than once counts as
-    its largest label. Only lists of distinct words and feature rows of the
+    its largest label, one with several texts as the text of the least hash. Only lists of distinct words and feature rows of the
     bounded sample reach the driver.
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = given.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = staged(text.join(F.broadcast(chosen), "_id"), "toxic-sample")
+    sample = text.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = staged(sample, "toxic-sample")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     listed = staged(sample.select(words.alias("w"), "_y"), "toxic-words")
     insults = learn_insults(lambda: ((r["w"], r["_y"]) for r in listed.toLocalIterator()))
@@ -264,21 +302,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """docs (or only its columns `keep`) with score (0 to 1, higher: likelier toxic) and the clause counts as x.
 
-    Null and empty texts get the score of a text without matches. An empty table
-    gives an empty result; without usable labels only the fixed list counts and
-    every score is one half or the base rate. Columns of docs called x, score
-    are replaced.
+    Null and empty texts get the score of a text without matches; repeated rows
+    get equal scores. An empty table gives an empty result; without usable labels
+    only the fixed list counts and every score is one half or the base rate.
+    Columns of docs called x or score give way to the result's.
     """
+    keep = [c for c in keep or docs.columns if c.lower() not in ("x", "score")]
+    return _scored(docs, labels, id_col, text_col, label_col, keep, "x", "score")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: list[str], x: str, score: str) -> DataFrame:
     insults, w = train(docs, labels, id_col, text_col, label_col)
-    keep = [c for c in keep or docs.columns if c not in ("x", "score", "_text")]
-    out = clause_features(docs, insults, keep, text_col)
-    z = sum((F.col("x")[i] * wi for i, wi in enumerate(w[:-1])), F.lit(w[-1]))
-    return out.withColumn("score", 1 / (1 + F.exp(-z)))
+    out = clause_features(docs, insults, keep, text_col, x)
+    z = sum((F.col(x)[i] * wi for i, wi in enumerate(w[:-1])), F.lit(w[-1]))
+    return out.withColumn(score, 1 / (1 + F.exp(-z)))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold."""
-    return score_documents(docs, labels).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of docs that score below the threshold; all their columns stay as they
+    are, whatever their names. Null and empty texts stay; repeated rows share their
+    fate; an empty table gives an empty result."""
+    x, score = (free_name(f"toxic_{n}", docs.columns) for n in ("counts", "score"))
+    return _scored(docs, labels, "doc_id", "text", "toxic", docs.columns, x, score).where(F.col(score) < threshold).drop(x, score)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """SimHash, BPE, licences, personal data, toxicity: against brute force, and odd rows."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -194,6 +195,59 @@ def test_grammar_scores_clauses():
     assert f("a calm sentence") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_composed_machine_is_the_four_in_turn():
+    """Each machine reads the whole output of the one before it."""
+    rng = random.Random(2)
+    for _ in range(3000):
+        line = [rng.randrange(toxicity.INPUTS) for _ in range(rng.randint(1, 25))]
+        want = line
+        for make in toxicity.MACHINES.values():
+            machine, state, out = make(), 0, []
+            for symbol in want:
+                state, symbol = machine.step(state, symbol)
+                out.append(symbol)
+            want = out
+        state, got = 0, []
+        for symbol in line:
+            got.append(toxicity.OUT[state][symbol])
+            state = toxicity.NEXT[state][symbol]
+        assert got == want
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ('she said: "you are an idiot"', "quoted"), ('she said: "No. You are an idiot." Then', "quoted"), ("he said that you are an idiot", "quoted"), ("they called her an idiot", "quoted"),
+        ("you won't be an idiot", "denied"), ("he ain't an idiot", "denied"), ("il n'est pas stupid", "denied"), ("er ist kein clown", "denied"), ("I will not kill you", "denied"),
+        ("idiot, you", "aimed"), ("what an idiot he is", "aimed"), ("I'll hurt them", "aimed"), ("ich werde dich schlagen", "aimed"), ("an idiot came", "insult"), ("said he. an idiot came", "insult"),
+    ],
+)
+def test_grammar_sets_clauses_apart(text, kind):
+    got = dict(zip(toxicity.FEATURES, toxicity.clause_counts(text, toxicity.Reader({}))))
+    assert [k for k in ("insult", "threat", "aimed", "denied", "quoted") if got[k] > 0] == [kind]
+
+
+def test_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in toxicity.op1_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in labels]
+    toxic, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert len(toxic) > 80 and sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.01
+
+
+def test_columns_of_the_user_stay(spark, docs):
+    mine = docs([(1, "plain words", "a"), (2, None, "a")]).withColumns({"score": F.lit("mine"), "x": F.lit(7), "toxic_score": F.lit("own"), "_text": F.lit("t")})
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    got = toxicity.reject_toxic(mine, labels)
+    assert got.columns == mine.columns and {(r["score"], r["x"], r["toxic_score"], r["_text"]) for r in got.collect()} == {("mine", 7, "own", "t")}
+
+
+def test_copies_of_a_labelled_row_train_once(spark, docs):
+    rows = [(1, "you idiot", "a")] * 300 + [(2, "plain words", "a")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs(rows), labels) == toxicity.train(docs(rows[-2:]), labels)
+
+
 def test_op1_learns(spark):
     sf = "/root/testdata/sf0.01"
     out = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, sf).collect()}
