@@ -28,6 +28,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """df staged, and marked for broadcast if it has at most `most` rows (of a few columns); beyond that joins shuffle."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def staged_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As staged, but written in buckets of the key: a later join on the key does
     not shuffle this side again."""

@@ -5,14 +5,14 @@ pattern, the set of its sources. Documents are aggregated by (pattern, source);
 a min-cost flow on the driver routes the words of the patterns to the quotas of
 the sources, at a cost that rises with every repetition of a pattern's words
 (convex), so that quotas are met with as little repetition as possible; then
-documents are selected within each (pattern, source) in a seeded order. What
-reaches the driver are one row for each source and at most MAX_PATTERNS + MAX_FOLDS
-patterns, not documents.
+documents are selected within each (pattern, source) in a seeded order. Targets
+are found in Spark. What reaches the driver are patterns and the sources that
+they overlap, MAX_CELLS pairs at most, and neither documents nor sources that
+share no text.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 import pyarrow as pa
@@ -20,91 +20,79 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._util import read_table, staged
+from ._util import free_name, read_table, small_side, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Patterns of several sources kept apart, largest first; the others are folded
-#: by their first two sources into at most MAX_FOLDS patterns, whose distinct
-#: words are those of all their texts.
-MAX_PATTERNS = 512
+#: Patterns kept apart, largest first. Smaller ones are folded by their first two
+#: sources into at most MAX_FOLDS patterns, whose distinct words are those of all
+#: their texts. Should patterns and folds overlap more than MAX_CELLS sources in
+#: sum, the smallest of them count as texts of each of their sources alone.
+MAX_PATTERNS = 4096
 MAX_FOLDS = 4096
-BUCKETS = 1024
-FILLERS = 3  # documents that may be added to come nearer to a source's words
+MAX_CELLS = 200_000
+BITS = 10  # of the seeded order, at each of two refinements of the range in which a quota is reached
+SETTLED = 2  # documents that may be taken once more or less to come nearer to a source's target
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Target of each source, for (source, size) pairs.
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """sizes, a row (source, source_size) for each source, with its target.
 
     Sources by code point, null last, get the weights in turn and share the sum
     of all sizes; a target stops at `most` times its source's size, and the
-    excess is shared again by weight among the others until none is above.
+    excess is shared again by weight among the others until none is above. So
+    target = min(most * size, level * weight); the level rises round by round,
+    and each round is one aggregate over the sources.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size, left, open_, out = dict(order), float(sum(n for _, n in order)), [s for s, _ in order], {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        share = {s: left * weight[s] / total for s in open_}
-        full = [s for s in open_ if share[s] > most * size[s]]
-        if not full:
-            out |= share
+    sizes = staged(sizes, "sizes")
+    place = _numbered(sizes.where("source is not null"))
+    last = sizes.where("source is null").withColumn("n", F.lit(sizes.where("source is not null").count()).cast("long"))
+    weight = F.array(*[F.lit(w) for w in weights])[(F.col("n") % len(weights)).cast("int")]
+    weighed = staged(place.unionByName(last).withColumns({"weight": weight, "full": F.col("source_size") * most}), "weights")
+    level, total = 0.0, weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        full = F.col("full") <= level * F.col("weight")
+        row = weighed.agg(F.coalesce(F.sum(F.when(full, F.col("full"))), F.lit(0)).alias("used"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if row["open"] is None or (new := (total - row["used"]) / row["open"]) <= level * (1 + 1e-12):
             break
-        for s in full:
-            out[s] = float(most * size[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+        level = new
+    return weighed.select("source", "source_size", F.least(F.col("full").cast("double"), level * F.col("weight")).alias("target"))
 
 
-class Flow:
-    """Min-cost flow by blocking flows at rising path costs (primal-dual).
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with n, the place of each source from 0: sorted in ranges, counts of the ranges added."""
+    ranged = staged(sizes.orderBy("source").withColumns({"range": F.spark_partition_id(), "i": F.monotonically_increasing_id() % (1 << 33)}), "ranges")
+    before = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.sum("k").over(W.orderBy("range")) - F.col("k"))  # a row for each partition
+    return ranged.join(before.select("range", "before"), "range").select("source", "source_size", (F.col("before") + F.col("i")).alias("n"))
 
-    Costs are small whole numbers, so there are few different path costs, and
-    each is dealt with by max-flow on the arcs that are tight.
-    """
+
+class Flow:
+    """Max-flow by blocking flows on level graphs; capacities may be raised between runs."""
 
     def __init__(self, n: int):
-        self.head, self.to, self.cap, self.cost = [[] for _ in range(n)], [], [], []
+        self.head, self.to, self.cap = [[] for _ in range(n)], [], []
 
-    def arc(self, a: int, b: int, cap: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
+    def arc(self, a: int, b: int, cap: int) -> int:
+        for x, y, c in ((a, b, cap), (b, a, 0)):
             self.head[x].append(len(self.to))
             self.to.append(y)
             self.cap.append(c)
-            self.cost.append(w)
         return len(self.to) - 2
 
-    def run(self, s: int, t: int) -> None:
-        n, pot = len(self.head), [0] * len(self.head)
-        while True:
-            dist, queue = [None] * n, [(0, s)]
-            dist[s] = 0
-            while queue:  # Dijkstra on reduced costs
-                d, u = heapq.heappop(queue)
-                if d > dist[u]:
-                    continue
-                for e in self.head[u]:
-                    v = self.to[e]
-                    if self.cap[e] > 0 and (dist[v] is None or d + self.cost[e] + pot[u] - pot[v] < dist[v]):
-                        dist[v] = d + self.cost[e] + pot[u] - pot[v]
-                        heapq.heappush(queue, (dist[v], v))
-            if dist[t] is None:
-                return
-            pot = [p + (dist[t] if d is None else min(d, dist[t])) for p, d in zip(pot, dist)]
-            while self._block(s, t, pot):
-                pass
-
-    def _block(self, s: int, t: int, pot: list[int]) -> int:
-        """A blocking flow over tight arcs, by levels; the amount sent."""
+    def run(self, s: int, t: int) -> int:
+        sent = 0
+        while amount := self._block(s, t):
+            sent += amount
+        return sent
+
+    def _block(self, s: int, t: int) -> int:
         level, queue = {s: 0}, [s]
         for u in queue:
             for e in self.head[u]:
-                v = self.to[e]
-                if self.cap[e] > 0 and v not in level and self.cost[e] + pot[u] == pot[v]:
-                    level[v] = level[u] + 1
-                    queue.append(v)
+                if self.cap[e] > 0 and self.to[e] not in level:
+                    level[self.to[e]] = level[u] + 1
+                    queue.append(self.to[e])
         if t not in level:
             return 0
         at, sent, path = [0] * len(self.head), 0, []
@@ -120,7 +108,7 @@ class Flow:
             elif at[u] < len(self.head[u]):
                 e = self.head[u][at[u]]
                 v = self.to[e]
-                if self.cap[e] > 0 and level.get(v) == level[u] + 1 and self.cost[e] + pot[u] == pot[v]:
+                if self.cap[e] > 0 and level.get(v) == level[u] + 1:
                     path.append(e)
                     u = v
                 else:
@@ -132,52 +120,48 @@ class Flow:
                 return sent
 
 
-def route(groups: list[tuple[int, str | None, int, int]], quota: dict[str | None, float], most: int = MAX_REPEATS) -> dict[tuple[int, str | None], int]:
-    """Words that each (pattern, source) gives to its source.
+def route(groups: list[tuple[int, str | None, int, int]], quota: dict[str | None, int], most: int = MAX_REPEATS) -> dict[tuple[int, str | None], int]:
+    """Words that each (pattern, source) gives to its source, at least cost.
 
     groups: (pattern, source, words of its rows, words of the pattern's distinct
     texts). A pattern's distinct words may go out once at cost 0, a second time
     at 1, and so on; an arc to a source carries at most `most` times the words
-    that its rows have. Quotas never exceed that, so all are met, but for rounding.
+    that its rows have. Only the arcs into patterns cost, so shortest paths come
+    in rounds: round k opens every pattern for its k-th repetition and sends all
+    that can be sent, which is the min-cost flow. Quotas that are `most` times
+    all of a source's words fill its arcs in any flow, and are sent beforehand.
     """
-    patterns, sources = sorted({g[0] for g in groups}), list(quota)
-    own = defaultdict(list)
-    for g in groups:
-        own[g[0]].append(g)
+    words, once, held = {(p, x): w for p, x, w, _ in groups}, {}, defaultdict(int)
+    for p, x, w, d in groups:
+        once[p] = max(once.get(p, 0), d)
+        held[x] += w
+    out = {k: most * w if quota[k[1]] >= most * held[k[1]] else 0 for k, w in words.items()}
+    used = defaultdict(int)
+    for (p, _), f in out.items():
+        used[p] += f
+    sources = [x for x in quota if held[x] and quota[x] < most * held[x]]
+    cells = [(p, x) for p, x, w, _ in groups if w and quota[x] < most * held[x]]
+    patterns = sorted({p for p, _ in cells})
     flow, s, t = Flow(2 + len(patterns) + len(sources)), 0, 1
     place = {x: 2 + len(patterns) + i for i, x in enumerate(sources)}
-    arcs = {}
-    for i, p in enumerate(patterns):
-        once, most_out = max(g[3] for g in own[p]), most * sum(g[2] for g in own[p])
-        cost = 0
-        while most_out > 0 and once > 0:
-            # steps of 1 for the first repetitions; the rest doubles, or copies in thousands would need as many arcs
-            step = min(most_out, once if cost < 4 else once << (cost - 3))
-            flow.arc(s, 2 + i, step, cost)
-            most_out, cost = most_out - step, cost + 1
-        for _, x, words, _ in own[p]:
-            arcs[p, x] = flow.arc(2 + i, place[x], most * words, 0)
+    into = {p: flow.arc(s, 2 + i, 0) for i, p in enumerate(patterns)}
+    arcs = {(p, x): flow.arc(into[p] // 2 + 2, place[x], most * words[p, x]) for p, x in cells}
     for x in sources:
-        flow.arc(place[x], t, round(quota[x]), 0)
-    flow.run(s, t)
-    return {k: flow.cap[e ^ 1] for k, e in arcs.items()}
-
-
-def whole_passes(groups: list[tuple[int, str | None, int, int]], sent: dict, alone: dict, most: int = MAX_REPEATS) -> dict[tuple[int, str | None], int]:
-    """The flow with whole passes for patterns of several sources; the pattern of
-    a source alone takes the difference as far as it can, so that a source has
-    one fraction to round to documents and not one for each pattern."""
-    words = {(p, x): w for p, x, w, _ in groups}
-    out = dict(sent)
-    for (p, x), f in sorted(sent.items(), key=lambda kv: (kv[0][0], str(kv[0][1]))):
-        q, w = alone.get(x), words[p, x]
-        if p == q or q is None or w == 0:
-            continue
-        change = min(most, round(f / w)) * w - f
-        if 0 <= out[q, x] - change <= most * words[q, x]:
-            out[p, x] += change
-            out[q, x] -= change
-    return out
+        flow.arc(place[x], t, quota[x])
+    sum_of = defaultdict(int)
+    for p, x in cells:
+        sum_of[p] += words[p, x]
+    left, k = sum(quota[x] for x in sources), 0
+    gone = dict.fromkeys(patterns, 0)  # capacity opened so far
+    while left > 0:
+        for p in patterns:
+            flow.cap[into[p]] += max(0, (k + 1) * once[p] - used[p]) - gone[p]
+            gone[p] = max(0, (k + 1) * once[p] - used[p])
+        left -= flow.run(s, t)
+        k += 1
+        if all(gone[p] >= most * sum_of[p] for p in patterns):
+            break  # all that there is has gone out
+    return {c: f + (flow.cap[arcs[c] ^ 1] if c in arcs else 0) for c, f in out.items()}
 
 
 def word_count(text: str) -> Column:
@@ -185,92 +169,135 @@ def word_count(text: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, passes, taken) for each row of docs.
+    """(doc_id, source, size, source_size, target, passes, taken, key) for each row of docs.
 
-    taken = size * passes, passes from 0 to `most`. A null text has size 0 and
-    nothing to take; a null source is a source of its own, last in order;
-    repeated rows are documents of their own (rows alike in id, text and source
-    get the same place in the seeded order and may share their fate); an empty
-    table gives an empty result; other columns are not read.
+    taken = size * passes, passes from 0 to `most`; key is a hash of the text. A
+    null text has size 0 and nothing to take; a null source is a source of its
+    own, last in order; repeated rows are documents of their own, of which some
+    may be taken and others not; an empty table gives an empty result; other
+    columns are not read.
     """
-    spark = docs.sparkSession
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed)).alias("key"),
     )
-    slim = staged(slim.withColumn("u", F.xxhash64("doc_id", "key", "source", F.lit(seed))), "mix")
+    slim = staged(slim.withColumns({"u": F.xxhash64("doc_id", "key", "source", F.lit(seed)), "row": F.monotonically_increasing_id()}), "mix")
+    quota = staged(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    slim = staged(slim.join(small_side(_patterns(slim), "patterns"), "key", "left").withColumn("p", F.coalesce("p", F.lit(0))), "mix")
+    plan = small_side(_routed(slim, quota, most), "plan")
+    return _select(slim, plan, most).select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), "key")
+
+
+def _patterns(slim: DataFrame) -> DataFrame:
+    """(key, p) for the texts that stand in several sources; p numbers the pattern."""
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    # one row for each text and source; only texts in several sources need a pattern
-    held = slim.groupBy("key", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"), F.max("size").alias("size"))
-    shared = staged(held.groupBy("key").agg(F.array_sort(F.collect_set(name)).alias("pattern"), F.max("size").alias("size")).where(F.size("pattern") > 1), "shared")
-    largest = [r["pattern"] for r in shared.groupBy("pattern").agg(F.sum("size").alias("w")).orderBy(F.desc("w"), "pattern").limit(MAX_PATTERNS).collect()]
-    numbers = spark.createDataFrame([(p, i + 1) for i, p in enumerate(largest)], "pattern array<string>, p int")
-    fold = MAX_PATTERNS + 1 + F.pmod(F.xxhash64(F.col("pattern")[0], F.col("pattern")[1]), F.lit(MAX_FOLDS)).cast("int")
-    shared = shared.join(F.broadcast(numbers), "pattern", "left").select("key", F.coalesce("p", fold).alias("p"))
-    slim = slim.join(shared, "key", "left").withColumn("p", F.coalesce("p", F.lit(0)))
-    slim = staged(slim.withColumn("bucket", F.shiftrightunsigned("u", 54)), "mix")
-    sums = slim.groupBy("p", "source").agg(F.sum("size").alias("words")).collect()
+    held = slim.where("size > 0").groupBy("key", "source").agg(F.max("size").alias("size"))
+    shared = held.groupBy("key").agg(F.array_sort(F.collect_set(name)).alias("pattern"), F.max("size").alias("size")).where(F.size("pattern") > 1)
+    fold = 1 + F.pmod(F.xxhash64(F.col("pattern")[0], F.col("pattern")[1]), F.lit(MAX_FOLDS))
+    shared = staged(shared.select("key", "size", F.size("pattern").alias("k"), F.xxhash64("pattern").alias("own"), fold.alias("fold")), "shared")
+    big = shared.groupBy("own").agg(F.sum("size").alias("w")).orderBy(F.desc("w"), "own").limit(MAX_PATTERNS).select("own", F.lit(True).alias("big"))
+    return shared.join(big, "own", "left").select("key", F.when(F.col("big"), F.col("own")).otherwise(F.col("fold")).alias("p"))
+
+
+def _routed(slim: DataFrame, quota: DataFrame, most: int) -> DataFrame:
+    """(p, source, source_size, target, base, rest) for each (pattern, source): all its rows
+    go out `base` times, and rows of `rest` words once more. p is 0 for texts of one source."""
+    spark = slim.sparkSession
+    sums = staged(slim.groupBy("p", "source").agg(F.sum("size").alias("words")), "sums")
     # distinct words: by pattern, and for the texts of one source alone by source
     fresh = slim.groupBy("p", F.when(F.col("p") == 0, F.col("source")).alias("source"), "key").agg(F.max("size").alias("size"))
-    once = {(r["p"], r["source"]): r["w"] for r in fresh.groupBy("p", "source").agg(F.sum("size").alias("w")).collect()}
-    size = defaultdict(int)
-    for r in sums:
-        size[r["source"]] += r["words"]
-    quota = targets(list(size.items()), weights, most)
-    # pattern 0 stands for the texts of one source alone: a pattern of its own for each source
-    alone = {x: -1 - i for i, x in enumerate(size)}
-    groups = [(r["p"] or alone[r["source"]], r["source"], r["words"], once[r["p"], None if r["p"] else r["source"]]) for r in sums]
-    sent = whole_passes(groups, route(groups, quota, most), alone, most)
-    rows = [(max(p, 0), x, size[x], quota[x], *((divmod(sent[p, x], w)) if w else (0, 0))) for p, x, w, _ in groups]
-    columns = [list(c) for c in zip(*rows)] or [[]] * 6
-    plan = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["p", "source", "source_size", "target", "base", "rest"]))
-    return _select(slim, plan, most)
+    once = staged(fresh.groupBy("p", "source").agg(F.sum("size").alias("once")), "once")
+    ranked = sums.where("p != 0").groupBy("p").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("w"), "p").collect()  # MAX_PATTERNS + MAX_FOLDS rows
+    chosen, cells = [], 0
+    for r in ranked:
+        if (cells := cells + r["k"]) > MAX_CELLS:
+            break
+        chosen.append(r["p"])
+    kept = sums.where("p != 0").join(F.broadcast(spark.createDataFrame([(p,) for p in chosen], "p long")), "p")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    overlapped = staged(kept.select("source").distinct(), "overlapped")
+    # texts of one source, and those of patterns that are not kept apart, which count as such
+    rest = sums.alias("a").join(kept.alias("b"), (F.col("a.p") == F.col("b.p")) & same("a", "b"), "left_anti").groupBy("source").agg(F.sum("words").alias("words"))
+    alone = quota.alias("q").join(rest.alias("a"), same("q", "a")).join(once.where("p = 0").alias("o"), same("q", "o"), "left").selectExpr("q.source", "q.source_size", "q.target", "a.words", "greatest(coalesce(o.once, a.words), 1) as once")
+    here = kept.alias("k").join(once.select("p", "once").alias("o"), "p").join(quota.alias("q"), same("k", "q")).selectExpr("p", "q.source", "q.source_size", "q.target", "k.words", "o.once")
+    own = alone.alias("a").join(overlapped.alias("b"), same("a", "b"), "left_semi").select(F.lit(0).cast("long").alias("p"), "a.*")
+    rows = here.unionByName(own).collect()  # MAX_CELLS rows of patterns, and one for each source in them
+    name = {x: -1 - i for i, x in enumerate(dict.fromkeys(r["source"] for r in rows))}  # the texts of one source alone, a pattern of its own
+    groups = [(("p", r["p"]) if r["p"] else ("s", name[r["source"]]), r["source"], r["words"], r["once"]) for r in rows]
+    sent = route(groups, {r["source"]: round(r["target"]) for r in rows}, most)
+    given = [sent[g[0], g[1]] for g in groups]
+    columns = [[r[c] for r in rows] for c in ("p", "source", "source_size", "target", "words")] + [given]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    flowed = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["p", "source", "source_size", "target", "words", "given"]))
+    free = alone.alias("a").join(overlapped.alias("b"), same("a", "b"), "left_anti").select(F.lit(0).cast("long").alias("p"), "source", "source_size", "target", "words", F.rint("target").cast("long").alias("given"))
+    split = lambda op: F.when(F.col("words") > 0, F.expr(f"given {op} words")).otherwise(0)
+    return flowed.unionByName(free).select("p", "source", "source_size", "target", split("div").alias("base"), split("%").alias("rest"))
 
 
 def _select(slim: DataFrame, plan: DataFrame, most: int) -> DataFrame:
-    """Every document of a (pattern, source) gets `base` passes, and the first in
-    the seeded order one more as long as they come to at most `rest` words.
-
-    The order is by hash; words are summed for each of BUCKETS ranges of it, and
-    only the range in which `rest` is reached is put in order row by row.
+    """slim with passes, source_size and target.
+
+    Every document of a (pattern, source) gets `base` passes, and the first in
+    the seeded order one more, up to the document with which their words come
+    nearest to `rest`. Words are summed for ranges of the order, and again for
+    parts of the one range in which `rest` is reached; only such a part, a
+    millionth of its (pattern, source), is put in order row by row. What a source
+    misses or has too much in the end is settled by SETTLED single documents.
     """
-    same = lambda a, b: (a["p"] == b["p"]) & a["source"].eqNullSafe(b["source"])
-    w = W.partitionBy("p", "source").orderBy("bucket")
-    ranges = slim.groupBy("p", "source", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n"))
-    rest = plan.select("p", F.col("source").alias("source"), "rest")
-    cut = ranges.alias("a").join(F.broadcast(rest).alias("b"), F.expr("a.p = b.p and a.source <=> b.source")).where("b.rest >= a.before and b.rest < a.before + a.n").selectExpr("a.p", "a.source", "a.bucket as cut", "a.before")
-    full = plan.alias("a").join(cut.alias("b"), F.expr("a.p = b.p and a.source <=> b.source"), "left").selectExpr("a.*", "b.cut", "b.before")
-    all_ = slim.alias("d").join(F.broadcast(full).alias("g"), F.expr("d.p = g.p and d.source <=> g.source")).selectExpr("d.*", "g.source_size", "g.target", "g.base", "g.rest", "g.cut", "g.before")
-    inside = F.col("bucket") == F.col("cut")
-    sum_w = W.partitionBy("p", "source").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    edge = all_.where(inside).withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(sum_w), F.lit(0)))
-    edge = edge.withColumn("more", F.col("sum") + F.col("size") <= F.col("rest")).drop("sum")
-    clear = all_.where(~inside | F.col("cut").isNull()).withColumn("more", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
-    out = staged(clear.unionByName(edge), "picked")
-    for _ in range(FILLERS):
-        # what is still missing goes to the largest document that fits, one for each (pattern, source)
-        gap = out.groupBy("p", "source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("gap"))
-        fits = out.alias("d").join(F.broadcast(gap).alias("g"), F.expr("d.p = g.p and d.source <=> g.source")).where("not d.more and d.size > 0 and d.size <= g.gap").selectExpr("d.*")
-        best = fits.groupBy("p", "source").agg(F.max(F.struct("size", "u", F.coalesce("doc_id", F.lit(-1)).alias("id"))).alias("best")).select("p", "source", "best")
-        both = out.alias("d").join(F.broadcast(best).alias("g"), F.expr("d.p = g.p and d.source <=> g.source"), "left")
-        out = both.selectExpr("d.*", "d.more or coalesce(d.size = g.best.size and d.u = g.best.u and coalesce(d.doc_id, -1) = g.best.id, false) as now").drop("more").withColumnRenamed("now", "more")
-    passes = F.least(F.col("base") + F.col("more").cast("long"), F.lit(most))
-    out = out.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), "key")
+    known = small_side(plan.select("p", F.lit(True).alias("known")).distinct(), "known")
+    slim = slim.join(known, "p", "left").withColumn("p", F.when(F.col("known"), F.col("p")).otherwise(0)).drop("known")
+    on = F.expr("a.p = b.p and a.source <=> b.source")
+    all_ = slim.alias("a").join(plan.alias("b"), on).selectExpr("a.*", "b.source_size", "b.target", "b.base", "b.rest", "0L as before")
+    part = lambda i: F.expr(f"cast(shiftrightunsigned(u, {64 - BITS * (i + 1)}) & {(1 << BITS) - 1} as int)")
+    edge, clear = all_, []
+    for i in range(2):
+        ranges = edge.groupBy("p", "source", part(i).alias("range")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        ranges = ranges.withColumn("before", F.col("start") + F.sum("n").over(W.partitionBy("p", "source").orderBy("range")) - F.col("n"))
+        cut = small_side(ranges.where("rest >= before and rest < before + n").select("p", "source", "range", "before"), "cut")
+        met = edge.drop("before").withColumn("range", part(i)).alias("a").join(cut.alias("b"), on, "left").selectExpr("a.*", "b.range as cut", "b.before")
+        clear.append(met.where("cut is null or range != cut").withColumn("more", F.coalesce(F.col("range") < F.col("cut"), F.lit(False))).drop("range", "cut", "before"))
+        edge = met.where("range = cut").drop("range", "cut")
+    before = F.coalesce(F.sum("size").over(W.partitionBy("p", "source").orderBy("u", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
+    edge = edge.withColumn("more", 2 * before + F.col("size") <= 2 * F.col("rest")).drop("before")
+    out = clear[0].unionByName(clear[1]).unionByName(edge)
+    passes = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("more").cast("long"), F.lit(most))).otherwise(0)
+    out = staged(out.withColumn("passes", passes.cast("int")), "picked")
+    for _ in range(SETTLED):
+        out = _settled(out, most)
+    return out
+
+
+def _settled(out: DataFrame, most: int) -> DataFrame:
+    """out with one pass more or less of that document of each source which brings its words nearest to the target."""
+    gap = small_side(out.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("passes"))).alias("gap")), "gap")
+    each = out.alias("d").join(gap.alias("g"), F.expr("d.source <=> g.source")).where("d.size > 0").selectExpr("d.source", "d.size", "d.u", "d.row", "d.passes", "g.gap")
+    step = F.when((F.col("gap") > 0) & (F.col("passes") < most), 1).when((F.col("gap") < 0) & (F.col("passes") > 0), -1)
+    left = F.abs(F.col("gap") - step * F.col("size"))
+    best = each.withColumns({"step": step, "left": left}).where(F.col("left") < F.abs("gap")).groupBy("source").agg(F.min(F.struct("left", "u", "row", "step")).alias("b"))
+    best = small_side(best.select("b.row", "b.step"), "best")
+    return out.join(best, "row", "left").withColumn("passes", F.col("passes") + F.coalesce("step", F.lit(0))).drop("step")
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs as often as they are taken; the columns of docs.
+    """The mix itself: rows of docs as often as they are taken; the columns of docs, whatever their names.
 
-    Rows are matched by (id, text, source); of rows alike in all three each is
-    taken as often as the mix says for it.
+    Rows are matched by (id, text, source); rows alike in all three go out
+    together as often as the mix says for all of them. Texts without words are
+    never taken; an empty table gives an empty result.
     """
     id_col, text_col, source_col, seed = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"), ("seed", 42)))
-    plan = mix(docs, **options).where("passes > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key")).agg(F.max("passes").alias("_passes"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed)))
-    both = keyed.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key")))
-    return both.withColumn("_i", F.explode(F.expr("sequence(1, _passes)"))).select(*docs.columns)
+    i, x, k, n, rank, passes, one = (free_name(c, docs.columns) for c in ("mix_id", "mix_source", "mix_key", "mix_rows", "mix_rank", "mix_passes", "mix_pass"))
+    plan = mix(docs, **options).where("size > 0").groupBy(F.col("doc_id").alias(i), F.col("source").alias(x), F.col("key").alias(k)).agg(F.sum("passes").alias(passes), F.count(F.lit(1)).alias(n))
+    plan = staged(plan.where(F.col(passes) > 0), "taken")
+    own = free_name("mix_text", docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & F.col(source_col).cast("string").eqNullSafe(F.col(x)) & (F.col(own) == F.col(k))
+    both = keyed.join(plan.where(F.col(n) == 1), same)
+    if plan.where(F.col(n) > 1).limit(1).count():
+        many = keyed.join(plan.where(F.col(n) > 1), same).withColumn(rank, F.row_number().over(W.partitionBy(i, x, k).orderBy(k)))
+        share = F.expr(f"`{passes}` div `{n}`") + (F.col(rank) <= F.col(passes) % F.col(n)).cast("int")
+        both = both.unionByName(many.withColumn(passes, share).drop(rank).where(F.col(passes) > 0))
+    return both.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(passes)))).select(*docs.columns)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

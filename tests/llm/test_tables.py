@@ -49,11 +49,25 @@ def test_shards_odd_rows(spark, docs):
     assert key(rows) == key(other)
 
 
-def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == pytest.approx({"a": 187.5, "b": 75.0, None: 37.5})
-    got = mixing.targets([("a", 10), ("b", 100), ("c", 100)])
+def test_targets(spark):
+    def of(sizes):
+        return {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+
+    assert of([("a", 100), ("b", 100), (None, 100)]) == pytest.approx({"a": 187.5, "b": 75.0, None: 37.5})
+    got = of([("a", 10), ("b", 100), ("c", 100)])
     assert got["a"] == 30 and sum(got.values()) == pytest.approx(210)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0}
+    assert of([]) == {} and of([("a", 0)]) == {"a": 0}
+    rng = random.Random(1)
+    sizes = {s: rng.choice([0, 1, 50, 4000]) for s in {chr(rng.randrange(65, 0x3000)) * rng.randint(1, 3) for _ in range(300)}}
+    left, open_, want = float(sum(sizes.values())), sorted(sizes), {}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(open_)}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * sizes[s]]
+        want |= {s: 3.0 * sizes[s] for s in full} if full else share
+        left -= sum(3 * sizes[s] for s in full)
+        open_ = [s for s in open_ if s not in want]
+    assert of(list(sizes.items())) == pytest.approx(want)
 
 
 def brute_cost(groups, quota, sent):
@@ -72,7 +86,7 @@ def test_flow_is_cheapest(seed):
     rng = random.Random(seed)
     groups = [(0, "a", w := rng.randint(1, 4), w), (1, "b", v := rng.randint(1, 4), v), (2, "a", x := rng.randint(1, 3), x), (2, "b", x, x)]
     room = {s: 3 * sum(g[2] for g in groups if g[1] == s) for s in "ab"}
-    quota = {s: float(rng.randint(0, min(room[s], 9))) for s in "ab"}
+    quota = {s: rng.randint(0, min(room[s], 9)) for s in "ab"}
     sent = mixing.route(groups, quota)
     for s in "ab":
         assert sum(f for (_, q), f in sent.items() if q == s) == quota[s]
@@ -98,6 +112,53 @@ def test_op2(spark):
     assert again == {r["doc_id"]: r["taken"] for r in out}
 
 
+def near_targets(out):
+    """Taken words and targets by source; no source may miss by more than half its largest document."""
+    taken, target, largest = {}, {}, {}
+    for r in out:
+        s = r["source"]
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["size"] * r["passes"]
+        taken[s], target[s], largest[s] = taken.get(s, 0) + r["taken"], r["target"], max(largest.get(s, 0), r["size"])
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in out))
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= largest[s] / 2 + 1, (s, taken[s], t)
+    return taken
+
+
+def test_mix_of_repeated_rows(spark, docs):
+    rows = [(7, "three words here", "a")] * 300 + [(i, f"own {i} text of some words {'x ' * (i % 9)}", "ab"[i % 2]) for i in range(100)] + [(1000 + i, "a copy in both sources", "ab"[i % 2]) for i in range(400)]
+    near_targets(mixing.mix(docs(rows)).collect())
+    got = mixing.take_mix(docs(rows)).groupBy("doc_id").count().collect()
+    plan = {}
+    for r in mixing.mix(docs(rows)).collect():
+        plan[r["doc_id"]] = plan.get(r["doc_id"], 0) + r["passes"]
+    assert {r["doc_id"]: r["count"] for r in got} == {i: n for i, n in plan.items() if n}
+
+
+@pytest.mark.parametrize("cells", [200_000, 50])
+def test_mix_of_thousands_of_patterns(spark, monkeypatch, docs, cells):
+    monkeypatch.setattr(mixing, "MAX_CELLS", cells)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1500)
+    rng = random.Random(3)
+    pairs = [(a, b) for a in range(64) for b in range(a)][:2000]
+    rows = [(2 * i + j, f"shared text number {i} " + "w " * (i % 7), f"s{x:02}") for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    rows += [(10_000 + i, f"own text {i} " + "v " * rng.randint(0, 40), f"s{rng.randrange(64):02}") for i in range(3000)]
+    near_targets(mixing.mix(docs(rows)).collect())
+
+
+def test_mix_of_many_sources(spark, docs):
+    made = spark.range(100_000).selectExpr("id as doc_id", "concat('text ', id, repeat(' w', int(id % 5))) as text", "concat('s', id) as source")
+    row = mixing.mix(made).selectExpr("sum(size) as size", "sum(target) as target", "sum(int(abs(taken - target) > size / 2 + 1)) as far", "sum(int(taken > 3 * size)) as over", "count(*) as n").first()
+    assert row["n"] == 100_000 and row["far"] == 0 and row["over"] == 0 and row["target"] == pytest.approx(row["size"])
+
+
+def test_flow_of_copies_in_thousands():
+    groups = [("p", "a", 3000, 1), ("p", "b", 3000, 1), ("s", "a", 100, 100), ("t", "b", 5000, 5000)]
+    quota = {"a": 3 * 3100, "b": 4000}
+    sent = mixing.route(groups, quota)
+    assert sent == {("p", "a"): 9000, ("s", "a"): 300, ("p", "b"): 0, ("t", "b"): 4000}
+
+
 def test_mix_odd_rows(spark, docs):
     out = mixing.mix(docs(ODD).withColumn("passes", F.lit("x"))).collect()
     assert len(out) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in out)

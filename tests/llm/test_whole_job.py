@@ -52,9 +52,9 @@ def test_small_patterns_keep_their_repetition_cost(spark, docs, monkeypatch):
     rows += [(200 + 10 * i + j, f"shared text {i} small", s) for i in range(3) for j, s in enumerate("ac")]
     rows += [(300 + i, "copies of one text", "b") for i in range(50)]
     assert len({r["doc_id"] for r in mixing.mix(docs(rows)).collect()}) == len(rows)
-    own = {x: (w, once) for p, x, w, once in seen if p < 0}
+    own = {x: (w, once) for (kind, _), x, w, once in seen if kind == "s"}
     assert own == {"a": (120, 120), "b": (120 + 200, 120 + 4), "c": (120, 120)}
-    shared = sorted((x, w, once) for p, x, w, once in seen if p > 0)
+    shared = sorted((x, w, once) for (kind, _), x, w, once in seen if kind == "p")
     assert shared == [("a", 12, 12), ("a", 36, 36), ("b", 36, 36), ("c", 12, 12)]
 
 
