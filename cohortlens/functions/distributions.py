@@ -1,10 +1,11 @@
-"""Normal and chi-square tails for small tables (one row for each metric)."""
+"""Normal and chi-square tails, in Arrow batches."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,29 +15,44 @@ _N = NormalDist()
 
 
 def _column(f, c: Column | str) -> Column:
-    """f on a column of doubles, null for null."""
+    """f, which takes and gives an array of doubles, on a column; null for null."""
 
     def apply(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else f(v)).astype("float64")
+        return pd.Series(f(x.to_numpy(float)), dtype="float64").where(x.notna())
 
     return F.pandas_udf(apply, DoubleType())(c)
 
 
+def _each(f):
+    """f on each distinct value of an array: for tables with a row for each metric."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        values, at = np.unique(x, return_inverse=True)
+        return np.array([np.nan if math.isnan(v) else f(v) for v in values.tolist()], float)[at]
+
+    return run
+
+
 def normal_cdf(c: Column | str) -> Column:
-    return _column(_N.cdf, c)
+    return _column(_each(_N.cdf), c)
 
 
 def normal_quantile(c: Column | str) -> Column:
     """Infinite values, at 0 and 1, become 0."""
-    return _column(lambda p: _N.inv_cdf(p) if 0 < p < 1 else 0.0, c)
+    return _column(_each(lambda p: _N.inv_cdf(p) if 0 < p < 1 else 0.0), c)
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def upper_tail(x: float, df: int) -> float:
-    """Chi-square tail for whole df, by the recurrence over df - 2."""
-    x = max(x, 0.0)
-    tail, k = (math.erfc(math.sqrt(x / 2)), 1) if df % 2 else (math.exp(-x / 2), 2)
+def upper_tail(x: np.ndarray | float, df: int) -> np.ndarray:
+    """Chi-square tail for whole df, by the recurrence over df - 2; terms are taken as logs, so none overflows."""
+    x = np.maximum(np.asarray(x, float), 0.0)
+    tail, k = (_erfc(np.sqrt(x / 2)), 1) if df % 2 else (np.exp(-x / 2), 2)
+    with np.errstate(divide="ignore"):
+        half = np.log(x / 2)
     while k < df:
-        tail += (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+        tail = tail + np.exp(np.where(x > 0, k / 2 * half, -np.inf) - x / 2 - math.lgamma(k / 2 + 1))
         k += 2
     return tail
 

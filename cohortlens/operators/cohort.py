@@ -60,10 +60,10 @@ def match_files(records: DataFrame, files: DataFrame, key: str = "id") -> tuple[
 def lookup(df: DataFrame, table: DataFrame, key: str, name: str, value: str, missing: str = "NA", strict: bool = True, most: int = 100_000) -> DataFrame:
     """df with `value` of the table row whose `name` is the key; key 'nan' or null gives `missing`.
 
-    The table is broadcast if it has at most `most` rows, and joined by shuffle
+    Of several rows with one name the smallest value counts. The table is broadcast if it has at most `most` rows, and joined by shuffle
     beyond that. strict: a key without a row is an error.
     """
-    t = table.select(F.col(name).alias("_k"), F.col(value).alias(value)).dropDuplicates(["_k"])
+    t = table.groupBy(F.col(name).alias("_k")).agg(F.min(F.col(value)).alias(value))
     t = F.broadcast(t) if t.limit(most + 1).count() <= most else t
     none = F.col(key).isNull() | (F.col(key) == "nan")
     found = df.join(t, F.col(key) == F.col("_k"), "left").drop("_k")

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import chi2_sf
 from ..functions.scalar import half_even, ratio
 from . import roc
-from .confusion import Rates, counts_from_rates, threshold
+from .confusion import Rates, brier_multiclass, counts_from_rates, threshold
 
 COLUMNS = "tp fp tn fn sens spec ppv npv j f1 mcc brier auc ap sens_at spec_at true_prev pred_prev prev_diff rel_prev_diff".split()
 
 
-def panel(df: DataFrame, by: tuple[str, ...] = (), cut: float | Column = 0.5, p_adj: float | None = None, kind: str = "prob", y: str = "y", p: str = "p", sens_min: float = 0.9, spec_min: float = 0.7, digits: int = 4, only: list[str] | None = None) -> DataFrame:
+def panel(df: DataFrame, by: tuple[str, ...] = (), cut: float | Column = 0.5, p_adj: float | None = None, kind: str = "prob", y: str = "y", p: str = "p", sens_min: float = 0.9, spec_min: float = 0.7, digits: int = 4, only: list[str] | None = None, weight: str | None = None, mcnemar: bool = False, model: str | None = None) -> DataFrame:
     """One row of COLUMNS for each group.
 
+    weight: a column of whole numbers, how often a row counts. mcnemar adds the
+    p-value of the corrected test on the counts that the other values come from,
+    model a column with that name.
+
     kind "prob": p is a probability; "hard": p is 0 or 1, auc and ap are 0 and
     sens_at, spec_at are left out; "auto": decided by one aggregate over all rows.
     Sensitivity and specificity are rounded first; the counts are rebuilt from
@@ -26,13 +31,15 @@ def panel(df: DataFrame, by: tuple[str, ...] = (), cut: float | Column = 0.5, p_
     if kind == "auto":
         kind = "prob" if df.where((F.col(p) > 0) & (F.col(p) < 1)).limit(1).count() else "hard"
     hat = threshold(p, cut) if kind == "prob" else F.col(p).cast("int")
-    one = F.count_if
+    w = F.lit(1) if weight is None else F.col(weight)
+    one = F.count_if if weight is None else lambda c: F.sum(F.when(c, w).otherwise(0))
+    off = F.pow(F.col(p) - F.col(y), 2)
     yes, no, pos, neg = F.col(y) == 1, F.col(y) == 0, hat == 1, hat == 0
     base = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), one(yes & pos).alias("c_tp"), one(no & pos).alias("c_fp"), one(no & neg).alias("c_tn"), one(yes & neg).alias("c_fn"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier")
+        F.sum(w).alias("n"), one(yes & pos).alias("c_tp"), one(no & pos).alias("c_fp"), one(no & neg).alias("c_tn"), one(yes & neg).alias("c_fn"), (F.avg(off) if weight is None else F.sum(off * w) / F.sum(w)).alias("brier")
     )
     if kind == "prob":
-        c = roc.curve(df, by, y, p)
+        c = roc.curve(df, by, y, p, weight)
         agg = roc.areas(c, by)
         pts = roc.operating_points(c, by, sens_min, spec_min).select(*by, (1 - ratio("at_sens.fps", "nn", None)).alias("spec_at"), F.coalesce(ratio("at_spec.tps", "np", None), F.lit(0.0)).alias("sens_at"))
         base = _join(_join(base, agg, by), pts, by)
@@ -50,27 +57,43 @@ def panel(df: DataFrame, by: tuple[str, ...] = (), cut: float | Column = 0.5, p_
         "true_prev": true.cast("long"), "pred_prev": pred.cast("long"), "prev_diff": (pred - true).cast("long"), "rel_prev_diff": round_(ratio(pred - true, true, None)),
     })
     names = [x for x in COLUMNS if kind == "prob" or x not in ("sens_at", "spec_at")]
+    if mcnemar:
+        b, c_ = (F.col("fp"), F.col("fn")) if p_adj else (F.col("c_fp"), F.col("c_fn"))
+        base = base.withColumn("mcnemar", chi2_sf(ratio(F.pow(F.abs(b - c_) - 1, 2), b + c_, None)))
+        names.append("mcnemar")
+    if model is not None:
+        base = base.withColumn("model", F.lit(model))
+        names.append("model")
     return base.select(*by, *(n for n in names if only is None or n in only))
 
 
-def panel_multiclass(df: DataFrame, label: str = "label", probs: str = "probs", average: str = "weighted", digits: int = 4) -> DataFrame:
-    """Averages of the one-against-rest rates over classes 0..k-1 of an array of probabilities.
+def panel_multiclass(df: DataFrame, label: str = "label", probs: str = "probs", average: str = "weighted", digits: int = 4, model: str | None = None) -> DataFrame:
+    """Averages of the one-against-rest panels over the classes 0..k-1 of an array of probabilities, one row.
 
     weighted: by the number of rows of the class; macro: plain; micro: from
     pooled counts. The prediction is the first class of the highest probability.
-    auc and ap come from the probabilities of each class, averaged likewise.
+    Counts are averaged like the rates and rounded. brier is the mean squared
+    distance of the probabilities to the one-hot label; auc and ap come from the
+    probabilities of each class (for micro they are averaged by weight).
+    A class whose correlation or relative difference is undefined counts with 0.
     """
-    n = df.select(F.max(F.size(probs))).first()[0] or 0
     picked = F.array_position(probs, F.array_max(probs)) - 1
     long = df.select(F.col(label), picked.alias("_h"), F.posexplode(probs).alias("k", "p")).select("k", (F.col(label) == F.col("k")).cast("int").alias("y"), (F.col("_h") == F.col("k")).cast("int").alias("h"), "p")
-    cells = long.groupBy("k").agg(*[F.count_if((F.col("y") == a) & (F.col("h") == b)).alias(c) for c, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))])
-    names = ["sens", "spec", "ppv", "npv", "f1"]
-    get = lambda: (lambda r: dict(zip(names, (r.sens, r.spec, r.ppv, r.npv, r.f_score()))))(Rates())
-    if average == "micro":
-        return cells.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]).select(*[half_even(v, digits).alias(k) for k, v in get().items()])
+    cells = long.groupBy("k", "y", "h").agg(F.count(F.lit(1)).alias("n"))
+    names = [c for c in COLUMNS if c not in ("brier", "auc", "ap", "sens_at", "spec_at")]
+    whole = ["tp", "fp", "tn", "fn", "true_prev", "pred_prev", "prev_diff"]
+    hard = lambda by: panel(cells, by, kind="hard", p="h", weight="n", digits=16, only=[*names])
+    weight = F.lit(1) if average == "macro" else F.col("true_prev")
+    mean = lambda c, w: ratio(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w), F.sum(w))
     area = roc.areas(roc.curve(long, ("k",)), ("k",))
-    each = cells.withColumns(get()).withColumn("w", F.col("tp") + F.col("fn") if average == "weighted" else F.lit(1)).join(area, "k")
-    return each.agg(*[half_even(ratio(F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("w")), F.sum("w")), digits).alias(c) for c in [*names, "auc", "ap"]], F.lit(n).alias("classes"))
+    each = hard(("k",)).join(area, "k")
+    if average == "micro":
+        out = hard(()).crossJoin(each.agg(mean("auc", weight).alias("auc"), mean("ap", weight).alias("ap")))  # one row on either side
+    else:
+        out = each.agg(*[mean(c, weight).alias(c) for c in (*names, "auc", "ap")])
+    out = out.crossJoin(df.agg(brier_multiclass(label, probs).alias("brier"), F.max(F.size(probs)).alias("classes")))  # one row on either side
+    out = out.select(*[F.rint(c).cast("long").alias(c) if c in whole else half_even(c, digits).alias(c) for c in COLUMNS if c in out.columns], "classes")
+    return out if model is None else out.withColumn("model", F.lit(model))
 
 
 def _join(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -13,11 +13,13 @@ from pyspark.sql import Window as W
 
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
-from .confusion import Rates
-from .roc import RANGES, areas, curve
+from .panel import COLUMNS, panel
+from .roc import areas, curve, score_range
 
-METRICS = ["sens", "spec", "ppv", "npv", "j", "f1"]
+METRICS = COLUMNS  # of the whole panel
 BLOCK = 1024
+PER_OCTAVE = 64  # ranges of the score over which draws are dealt
+REPS_AT_ONCE = 10  # replicates that a task draws for a range
 MOST_BROADCAST = 200_000  # rows of cells and blocks up to which draws look them up in memory
 
 
@@ -99,68 +101,126 @@ def cells(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983) -> DataFrame:
-    """(rep, y, p, n): how often a replicate draws a cell, stratified by label.
+def draw_sizes(c: DataFrame, reps: int, seed: int, p_adj: float | None, size: int | None, positives) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+    """Rows of each label, and (rep, label, draws).
 
-    Draw k of stratum s in replicate r takes row (key of "seed:r:s:k") modulo
-    the stratum's size, rows being ordered by score. Rows are never numbered:
-    draws find their cell by blocks of BLOCK numbers that cells cover.
+    Without p_adj and size every label keeps its rows. Else a replicate has
+    int((1 - p) * size) rows of label 0 and int(p * size) of label 1, size being
+    all rows by default; p is the observed share or, with p_adj, that share of
+    as many trials as there are rows, which positives(rows) counts by replicate.
     """
-    w = W.partitionBy("y").orderBy("p")
-    placed = c.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
+    own = {y: n for y, n in c.groupBy("y").agg(F.sum("n")).collect() if y in (0, 1)}
+    total = sum(own.values())
+    if not total or (p_adj is None and size is None):
+        return own, [(rep, y, n) for rep in range(reps) for y, n in own.items()]
+    shares = [own.get(1, 0) / total] * reps if p_adj is None else [k / total for k in positives(total)]
+    sizes = [(rep, y, int(p * (size or total))) for rep, share in enumerate(shares) for y, p in ((0, 1 - share), (1, share))]
+    return own, [(rep, y, m) for rep, y, m in sizes if y in own]
+
+
+def _runs(df: DataFrame, rows: str) -> DataFrame:
+    """df with k from 0 to its column `rows`, unfolded in runs that are spread over all tasks."""
+    spread = df.withColumn("run", F.explode(F.expr(f"sequence(0L, ({rows} - 1) div 10000)"))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "run")
+    return spread.withColumn("k", F.explode(F.expr(f"sequence(run * 10000, least({rows}, (run + 1) * 10000) - 1)"))).drop("run")
+
+
+def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True) -> DataFrame:
+    """(rep, y, p, n): how often a replicate draws a cell, by hashes that SQL can repeat.
+
+    Stratified by label: draw k of label y in replicate r takes row (key of
+    "seed:r:y:k") modulo the label's rows, these being ordered by score; how many
+    draws there are says draw_sizes (trial k of p_adj succeeds if the key of
+    "seed:r:p:k" is below p_adj of all keys). Not stratified: `size` draws, all
+    rows by default, with keys of "seed:r:k" from all rows by label, then score.
+    Rows are never numbered: draws find their cell by blocks of BLOCK numbers
+    that cells cover.
+    """
+    spark = c.sparkSession
+
+    def positives(total: int) -> list[int]:
+        trials = _runs(spark.createDataFrame([(r, total) for r in range(reps)], "rep long, m long"), "m")
+        hit = trials.groupBy("rep").agg(F.count_if(hash_key(seed, "rep", F.lit("p"), "k") < int(p_adj * 2**32)).alias("n"))
+        found = {r["rep"]: r["n"] for r in hit.collect()}  # a row for each replicate
+        return [found[r] for r in range(reps)]
+
+    own, sizes = draw_sizes(c, reps, seed, p_adj, size, positives)
+    if not stratified:
+        sizes = [(r, -1, size or sum(own.values())) for r in range(reps)]
+    rows = [(r, y, m, own.get(y, sum(own.values()))) for r, y, m in sizes if m > 0]
+    ranged = c.where(F.col("y").isin(0, 1)).withColumn("r", score_range("p", PER_OCTAVE))
+    first = F.sum("n").over(W.partitionBy("y").orderBy("r")) - F.col("n")
+    sums = ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).select("y", "r", first.alias("before"))
+    inside = F.sum("n").over(W.partitionBy("y", "r").orderBy("p"))
+    offset = F.when(F.col("y") == 1, own.get(0, 0)).otherwise(0) if not stratified else F.lit(0)
+    placed = ranged.join(sums, ["y", "r"]).withColumn("hi", inside + F.col("before") + offset).withColumn("lo", F.col("hi") - F.col("n"))
     blocks = placed.select("y", "p", "lo", "hi", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("block"))
-    size = c.groupBy("y").agg(F.sum("n").alias("size"))
-    runs = size.crossJoin(c.sparkSession.range(reps).select(F.col("id").alias("rep"))).withColumn("run", F.explode(F.expr("sequence(0L, (size - 1) div 10000)")))
-    draws = runs.withColumn("k", F.explode(F.expr("sequence(run * 10000, least(size, (run + 1) * 10000) - 1)")))
-    draws = draws.select("rep", "y", (hash_key(seed, "rep", "y", "k") % F.col("size")).alias("i")).withColumn("block", F.expr(f"i div {BLOCK}"))
+    draws = _runs(spark.createDataFrame(rows, "rep long, s int, m long, own long"), "m")
+    key = hash_key(seed, "rep", "s", "k") if stratified else hash_key(seed, "rep", "k")
+    draws = draws.select("rep", "s", (key % F.col("own")).alias("i")).withColumn("block", F.expr(f"i div {BLOCK}"))
     blocks = F.broadcast(blocks) if blocks.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else blocks
-    return draws.join(blocks, ["y", "block"]).where("i >= lo and i < hi").groupBy("rep", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    same = (draws["block"] == blocks["block"]) & ((draws["s"] == blocks["y"]) if stratified else F.lit(True))
+    return draws.join(blocks, same).where("i >= lo and i < hi").groupBy("rep", "y", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
-def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983) -> DataFrame:
+def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True) -> DataFrame:
     """(rep, y, p, n) as bootstrap_weights gives, drawn as counts: cells x reps
     numbers instead of rows x reps draws.
 
-    A stratum's draws are dealt to RANGES ranges of its cells first and within
-    a range to its cells, each by a generator seeded with what it is for.
+    A label's draws are dealt to ranges of its cells first and within a range to
+    its cells, each by a generator seeded with what it is for. A task draws
+    REPS_AT_ONCE replicates of a range.
     """
-    ranged = c.withColumn("r", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
-    sums = sorted((r["y"], r["r"], r["n"]) for r in ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).collect())  # at most 2 x (RANGES + 1) rows
-    dealt = {}
-    for y in {y for y, _, _ in sums}:
-        own = [(r, n) for z, r, n in sums if z == y]
-        total = sum(n for _, n in own)
-        for rep in range(reps):
-            k = np.random.default_rng([seed, rep, y]).multinomial(total, [n / total for _, n in own])
-            dealt |= {(y, rep, r): int(x) for (r, _), x in zip(own, k)}
+    def positives(total: int) -> list[int]:
+        return [int(np.random.default_rng([seed, rep, 2]).binomial(total, p_adj)) for rep in range(reps)]
+
+    own, sizes = draw_sizes(c, reps, seed, p_adj, size, positives)
+    total = sum(own.values())
+    if not stratified:
+        one = [int(np.random.default_rng([seed, rep, 3]).binomial(size or total, own.get(1, 0) / max(1, total))) for rep in range(reps)]
+        sizes = [(rep, y, m) for rep in range(reps) for y, m in ((1, one[rep]), (0, (size or total) - one[rep])) if y in own]
+    ranged = c.where(F.col("y").isin(0, 1)).withColumn("r", score_range("p", PER_OCTAVE))
+    sums = sorted((r["y"], r["r"], r["n"]) for r in ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).collect())  # a row for each label and range
+    place, dealt = {(y, r): i for y in own for i, r in enumerate(r for z, r, _ in sums if z == y)}, {}
+    for rep, y, m in sizes:
+        share = np.array([n for z, _, n in sums if z == y], float) / own[y]
+        dealt[y, rep] = np.random.default_rng([seed, rep, y]).multinomial(m, share).astype(np.int64)
 
     def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        y, r = key
+        y, r, block = key
         g = g.sort_values("p")
         share = g["n"].to_numpy(float) / g["n"].sum()
-        n = np.stack([np.random.default_rng([seed, rep, y, r]).multinomial(dealt[y, rep, r], share) for rep in range(reps)])
+        mine = range(block * REPS_AT_ONCE, min(reps, (block + 1) * REPS_AT_ONCE))
+        n = np.stack([np.random.default_rng([seed, rep, y, r + (1 << 20)]).multinomial(dealt[y, rep][place[y, r]], share) for rep in mine])
         rep, cell = np.nonzero(n)
-        return pd.DataFrame({"rep": rep.astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
+        return pd.DataFrame({"rep": (rep + mine.start).astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
 
-    return ranged.groupBy("y", "r").applyInPandas(draw, "rep long, y int, p double, n long")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_AT_ONCE) - 1)))
+    return ranged.withColumn("block", blocks).groupBy("y", "r", "block").applyInPandas(draw, "rep long, y int, p double, n long")
 
 
-def scores(c: DataFrame, by: tuple[str, ...] = (), cut: float = 0.5, digits: int = 4) -> DataFrame:
-    """(by, metric, value) of weighted cells (y, p, n), rounded."""
-    hit = lambda a, b: F.sum(F.when((F.col("y") == a) & ((F.col("p") >= cut) == F.lit(b)), F.col("n")).otherwise(0))
-    t = c.groupBy(*by).agg(hit(1, True).alias("tp"), hit(0, True).alias("fp"), hit(0, False).alias("tn"), hit(1, False).alias("fn"))
-    r = Rates()
-    values = {"sens": r.sens, "spec": r.spec, "ppv": r.ppv, "npv": r.npv, "j": half_even(r.sens, digits) + half_even(r.spec, digits) - 1, "f1": r.f_score()}
-    return t.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), half_even(v, digits).alias("value")) for m, v in values.items()])).alias("s")).select(*by, "s.*")
+def scores(c: DataFrame, by: tuple[str, ...] = (), cut: float = 0.5, digits: int = 4, p_adj: float | None = None, kind: str = "prob") -> DataFrame:
+    """(by, metric, value): the panel of weighted cells (y, p, n), a row for each metric; areas have six digits."""
+    t = panel(c, by, cut, p_adj, kind, weight="n", digits=digits)
+    areas_ = ("auc", "ap", "sens_at", "spec_at")
+    each = [F.struct(F.lit(m).alias("metric"), (half_even(m, 6) if m in areas_ else F.col(m)).cast("double").alias("value")) for m in METRICS if m in t.columns]
+    return t.select(*by, F.explode(F.array(*each)).alias("s")).select(*by, "s.*")
 
 
-def jackknife(c: DataFrame, cut: float = 0.5, digits: int = 4) -> DataFrame:
-    """(y, hit, metric, value, weight): the scores without one row, for each of the
-    at most four cells that the row can be in, and the number of such rows."""
+def jackknife(c: DataFrame, cut: float = 0.5, digits: int = 4, p_adj: float | None = None) -> DataFrame:
+    """(y, hit, metric, value, weight): what follows from counts without one row, for each
+    of the at most four cells that the row can be in, and the number of such rows."""
     table = c.groupBy("y", (F.col("p") >= cut).alias("hit")).agg(F.sum("n").alias("n"))
     out = table.select(F.col("y").alias("oy"), F.col("hit").alias("oh"), F.col("n").alias("weight")).crossJoin(table)  # at most 4 x 4 rows
-    left = out.withColumn("n", F.col("n") - ((F.col("y") == F.col("oy")) & (F.col("hit") == F.col("oh"))).cast("long")).withColumn("p", F.when(F.col("hit"), 1.0).otherwise(0.0))
-    return scores(left, ("oy", "oh", "weight"), 0.5, digits).select(F.col("oy").alias("y"), F.col("oh").alias("hit"), "metric", "value", "weight")
+    left = out.withColumn("n", F.col("n") - ((F.col("y") == F.col("oy")) & (F.col("hit") == F.col("oh"))).cast("long")).withColumn("p", F.col("hit").cast("double"))
+    each = scores(left, ("oy", "oh", "weight"), 0.5, digits, p_adj, "hard").where(~F.col("metric").isin("auc", "ap", "brier"))
+    return each.select(F.col("oy").alias("y"), F.col("oh").alias("hit"), "metric", "value", "weight")
+
+
+def jackknife_brier(c: DataFrame, digits: int = 4) -> DataFrame:
+    """(y, p, brier, weight): the mean squared error without one row of each cell."""
+    off = F.pow(F.col("p") - F.col("y"), 2)
+    whole = c.agg(F.sum(off * F.col("n")).alias("s"), F.sum("n").alias("rows"))  # one row
+    return c.crossJoin(whole).select("y", "p", half_even(ratio(F.col("s") - off, F.col("rows") - 1, None), digits).alias("brier"), F.col("n").alias("weight"))
 
 
 def jackknife_auc(c: DataFrame) -> DataFrame:
@@ -174,6 +234,17 @@ def jackknife_auc(c: DataFrame) -> DataFrame:
     return e.select(F.col("o.y").alias("y"), F.col("thr").alias("p"), ratio(F.col("w2") - F.col("o.take"), 2 * pairs, None).alias("auc"), F.col("o.k").alias("weight"))
 
 
+def jackknife_panel(c: DataFrame, cut: float = 0.5, p_adj: float | None = None) -> DataFrame:
+    """(y, hit, metric, value, weight) of the whole panel but ap, sens_at and spec_at.
+
+    brier and auc have a row for each cell, the rest at most four.
+    """
+    out = jackknife(c, cut, p_adj=p_adj)
+    for name, each in (("brier", jackknife_brier(c)), ("auc", jackknife_auc(c))):
+        out = out.unionByName(each.select("y", (F.col("p") >= cut).alias("hit"), F.lit(name).alias("metric"), F.col(name).alias("value"), "weight"))
+    return out
+
+
 @dataclass
 class Intervals:
     cis: DataFrame  # metric, stat, lower, upper
@@ -190,7 +261,7 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
     are nearest values.
     """
     stat = point.select("metric", F.col("value").alias("stat"))
-    both = reps.join(F.broadcast(stat), "metric")  # a row for each metric
+    both = reps.join(F.broadcast(stat), "metric")  # METRICS at most
     g = both.groupBy("metric").agg(F.first("stat").alias("stat"), F.collect_list("value").alias("t"), F.stddev_samp("value").alias("sd"), F.avg((F.col("value") < F.col("stat")).cast("double")).alias("below"))
     lo, hi = F.lit(100 * a / 2), F.lit(100 * (1 - a / 2))
     if method == "pct":
@@ -207,7 +278,7 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
         acc = jack.join(F.broadcast(mean), "metric").groupBy("metric").agg(F.sum(F.pow(d, 3) * F.col("weight")).alias("c3"), F.sum(F.pow(d, 2) * F.col("weight")).alias("c2"))
         low = 6 * F.pow(F.col("c2"), 1.5)
         acc = acc.select("metric", (F.col("c3") / F.when(low == 0, 1e-6).otherwise(low)).alias("acc"))
-        g = g.join(acc, "metric").withColumns({"z0": normal_quantile("below"), "zl": normal_quantile(F.lit(a / 2)), "zu": normal_quantile(F.lit(1 - a / 2))})
+        g = g.join(F.broadcast(acc), "metric", "left").withColumn("acc", F.coalesce("acc", F.lit(0.0))).withColumns({"z0": normal_quantile("below"), "zl": normal_quantile(F.lit(a / 2)), "zu": normal_quantile(F.lit(1 - a / 2))})
         g = g.withColumns({f"q{e}": 100 * normal_cdf(F.col("z0") + (F.col("z0") + F.col(f"z{e}")) / (1 - F.col("acc") * (F.col("z0") + F.col(f"z{e}")))) for e in "lu"})
         ends = nearest_percentile("t", "ql"), nearest_percentile("t", "qu")
     else:
@@ -215,22 +286,31 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
     return g.select("metric", "stat", ends[0].alias("lower"), ends[1].alias("upper"))
 
 
-def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983, draws=multinomial_weights) -> Intervals:
-    """Intervals for METRICS of (y, p) rows; draws: bootstrap_weights to have draws that SQL can repeat."""
+def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983, draws=multinomial_weights, p_adj: float | None = None, boot_mean: bool = False) -> Intervals:
+    """Intervals for the whole panel of (y, p) rows.
+
+    draws: bootstrap_weights to have draws that SQL can repeat. p_adj: points and
+    jackknife are adjusted to that prevalence, and each replicate draws its own
+    around it. boot_mean: points are the means of the replicates.
+    """
     c = cells(df)
-    point, reps = scores(c, (), cut), scores(draws(c, n, seed), ("rep",), cut)
-    jack = jackknife(c, cut) if method == "bca" else None
+    reps = scores(draws(c, n, seed, p_adj), ("rep",), cut)
+    point = reps.groupBy("metric").agg(F.avg("value").alias("value")) if boot_mean else scores(c, (), cut, p_adj=p_adj)
+    jack = jackknife_panel(c, cut, p_adj) if method == "bca" else None
     return Intervals(intervals(point, reps, method, a, jack), reps, jack)
 
 
 def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float = 0.05) -> DataFrame:
-    """(metric, ref, comp, d, lower, upper) of comp - ref, replicates paired by number."""
-    pair = ref.cis.select("metric", F.col("stat").alias("ref")).join(comp.cis.select("metric", F.col("stat").alias("comp")), "metric")
+    """(metric, ref, comp, d, lower, upper) of comp - ref for the panel without
+    true_prev, replicates paired by number. For bca rows are paired by the cell
+    (label, hit) that they are in; brier and areas get no acceleration."""
+    pair = ref.cis.select("metric", F.col("stat").alias("ref")).join(comp.cis.select("metric", F.col("stat").alias("comp")), "metric").where("metric != 'true_prev'")
     point = pair.select("metric", (F.col("comp") - F.col("ref")).alias("value"))
     reps = ref.scores.alias("r").join(comp.scores.alias("c"), ["rep", "metric"]).select("rep", "metric", (F.col("c.value") - F.col("r.value")).alias("value"))
     jack = None
     if method == "bca":
-        jack = ref.jack.alias("r").join(comp.jack.alias("c"), ["y", "hit", "metric"]).select("metric", (F.col("c.value") - F.col("r.value")).alias("value"), F.col("r.weight").alias("weight"))
+        few = lambda x: x.jack.where(~F.col("metric").isin("brier", "auc"))
+        jack = few(ref).alias("r").join(few(comp).alias("c"), ["y", "hit", "metric"]).select("metric", (F.col("c.value") - F.col("r.value")).alias("value"), F.col("r.weight").alias("weight"))
     out = intervals(point, reps, method, a, jack)
     return pair.join(out, "metric").select("metric", "ref", "comp", F.col("stat").alias("d"), "lower", "upper")
 
@@ -266,7 +346,8 @@ def power_simulation(spark, sens: float = 0.8, spec: float = 0.8, prevalences: t
 
 
 def margins(draws: DataFrame, digits: int = 4) -> DataFrame:
-    """(n, n_pos, sensitivity, specificity, count_diff): half the width of the central 95 % of the draws."""
+    """(n, n_pos, sensitivity, specificity, count_diff): half the width of the central
+    95 % of the draws, each draw's ratio taken by itself."""
     moe = lambda c: ((F.percentile(F.nanvl(F.col(c), F.lit(None)), 0.975) - F.percentile(F.nanvl(F.col(c), F.lit(None)), 0.025)) / 2).alias(c)
     out = draws.groupBy("n", "p").agg(*[moe(c) for c in ("sensitivity", "specificity", "count_diff")])
     return out.select("n", F.rint(F.col("n") * F.col("p")).cast("long").alias("n_pos"), *[half_even(c, digits).alias(c) for c in ("sensitivity", "specificity", "count_diff")])

@@ -2,18 +2,28 @@
 
 Scores are first merged to one row for each distinct score. Running sums over
 falling scores are taken in two steps: within ranges of the score, and over the
-ranges (RANGES rows for each group), so a curve is not one task's work.
+ranges, so a curve is not one task's work. The ranges need no pass over the data:
+they are finer towards 0 and 1, where scores of sure models crowd, and widen
+beyond, where logits lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalar import half_even, ratio
+from ..functions.scalar import col, half_even, ratio
 
-RANGES = 1024
+PER_OCTAVE = 512  # ranges in which the distance to 0, or to 1 from one half on, doubles
+
+
+def score_range(p: str | Column, per_octave: int = PER_OCTAVE) -> Column:
+    """The number of a score's range; it never falls as the score rises. There are
+    some forty octaves below one half and as many above, whatever the scores."""
+    octaves = lambda d: F.floor(F.log2(1 + F.least(d, F.lit(1e300)) * 2.0**40) * per_octave)
+    p, half = col(p).cast("double"), octaves(F.lit(0.5))
+    return F.when(p <= 0, -octaves(-p)).when(p <= 0.5, octaves(p)).when(p <= 1, 2 * half - octaves(1 - p)).otherwise(2 * half + octaves(p - 1))
 
 
 def curve(df: DataFrame, by: tuple[str, ...] = (), y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
@@ -21,15 +31,14 @@ def curve(df: DataFrame, by: tuple[str, ...] = (), y: str = "y", p: str = "p", w
 
     tps and fps count rows with p >= thr by label; kept marks the ends and the
     points at which the curve bends. The point (infinity, 0, 0) is not a row.
-    Rows with a null score or label are left out. Scores should lie in [0, 1];
-    others share the outermost ranges.
+    Rows with a null score or label are left out; scores may be any numbers.
     """
     by = list(by)
     w = F.lit(1) if weight is None else F.col(weight)
     pts = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("thr")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("long").alias("dp"), F.sum(F.when(F.col(y) == 0, w).otherwise(0)).cast("long").alias("dn")
     )
-    pts = pts.where("dp + dn > 0").withColumn("_r", F.least(F.greatest(F.floor(F.col("thr") * RANGES), F.lit(0)), F.lit(RANGES)))
+    pts = pts.where("dp + dn > 0").withColumn("_r", score_range("thr"))
     high = F.struct("dp", "dn")
     ranges = pts.groupBy(*by, "_r").agg(F.sum("dp").alias("p_"), F.sum("dn").alias("n_"), F.max_by(high, "thr").alias("first_"))
     down = W.partitionBy(*by).orderBy(F.desc("_r"))
@@ -78,25 +87,29 @@ def operating_rows(c: DataFrame, by: tuple[str, ...] = (), sens_min: float = 0.9
     return pts.select(*by, F.explode(F.array(row("sens", "at_sens"), row("spec", "at_spec"))).alias("r")).select(*by, "r.*")
 
 
-def cutpoints(c: DataFrame, by: tuple[str, ...] = (), p_adj: float | None = None) -> DataFrame:
+def cutpoints(c: DataFrame, by: tuple[str, ...] = (), p_adj: float | dict | Column | None = None) -> DataFrame:
     """(by, j, count, count_adj): scores that maximise tpr - fpr, that balance wrong
-    counts at the observed prevalence, and at p_adj (observed if none).
+    counts at the observed prevalence, and at p_adj.
 
-    Ties go to the higher score; the point at infinity (null) comes first of
-    all. Only bends of the curve count, as the counts can tie inside a segment.
+    p_adj: one prevalence for all groups, a column over the keys, or a dict from
+    the first key to its own; a group without one (null, 0 or not in the dict)
+    takes its observed prevalence. Ties go to the higher score; the point at
+    infinity (null) comes first of all. Only bends of the curve count, as the
+    counts can tie inside a segment.
     """
     k = c.where("kept")
     j = F.col("tps") * F.col("nn") - F.col("fps") * F.col("np")
     count = F.abs(F.col("fps") - (F.col("np") - F.col("tps")))
-    if p_adj:
-        adj = F.abs(ratio("fps", "nn", None) * (1 - p_adj) - (1 - ratio("tps", "np", None)) * p_adj)
-        adj0 = F.abs(F.lit(0.0) - F.lit(float(p_adj)))
-    else:
-        adj, adj0 = count.cast("double"), F.col("np").cast("double")
+    if isinstance(p_adj, dict):
+        p_adj = F.element_at(F.create_map(*[F.lit(x) for kv in p_adj.items() for x in (kv[0], float(kv[1]))]), F.col(by[0])) if p_adj else None
+    p = F.lit(p_adj).cast("double") if not isinstance(p_adj, Column) else p_adj.cast("double")
+    p = F.when(p != 0, p)
+    adj = F.abs(ratio("fps", "nn", None) * (1 - p) - (1 - ratio("tps", "np", None)) * p)
+    adj, adj0 = F.coalesce(adj, count.cast("double")), F.coalesce(F.abs(F.lit(0.0) - p), F.col("np").cast("double"))
     best = lambda x: F.min(F.struct(x.alias("v"), (-F.col("thr")).alias("t")))
-    agg = k.groupBy(*by).agg(best(-j).alias("j"), best(count).alias("c"), best(adj).alias("a"), F.max("np").alias("np"))
-    pick = lambda s, at_infinity: F.when(F.col(f"{s}.v") < at_infinity, -F.col(f"{s}.t"))
-    return agg.select(*by, pick("j", F.lit(0)).alias("j"), pick("c", F.col("np")).alias("count"), pick("a", adj0).alias("count_adj"))
+    agg = k.groupBy(*by).agg(best(-j).alias("j"), best(count).alias("c"), best(adj).alias("a"), F.max("np").alias("np"), F.max(adj0).alias("a0"))
+    pick = lambda s, at_infinity: F.when(F.col(f"{s}.v") < F.col(at_infinity) if isinstance(at_infinity, str) else F.col(f"{s}.v") < at_infinity, -F.col(f"{s}.t"))
+    return agg.select(*by, pick("j", F.lit(0)).alias("j"), pick("c", "np").alias("count"), pick("a", "a0").alias("count_adj"))
 
 
 def band(curves: DataFrame, alpha: float = 0.05, digits: int = 2, by: tuple[str, ...] = ()) -> DataFrame:

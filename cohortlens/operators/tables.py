@@ -46,15 +46,18 @@ def prevalence(df: DataFrame, by: tuple[str, ...] = (), y: str = "y", digits: in
     return df.groupBy(*by).agg(F.sum(y).cast("long").alias("n_pos"), half_even(ratio(F.sum(y), F.count(F.lit(1))), digits).alias("prevalence"))
 
 
-def harmonic_p(p: str | Column = "p", smooth: float = 1e-7) -> Column:
-    """Harmonic mean of p-values with equal weights, smoothed away from 0."""
-    w = F.count(F.lit(1)).cast("double")
-    return w / F.sum(1 / (col(p) + smooth))
-
-
-def fisher_statistic(p: str | Column = "p", smooth: float = 1e-7) -> Column:
-    """-2 times the sum of logs, smoothed; chi-square with 2k degrees under the null."""
-    return -2 * F.sum(F.log(col(p) + smooth))
+def harmonic_p(p: str | Column = "p", smooth: float | None = 1e-7, w: str | Column | None = None) -> Column:
+    """Harmonic mean of p-values, smoothed away from 0 (None: not at all). Weights w
+    are used as given; without them each of k values weighs 1/k."""
+    x = col(p) + (smooth or 0.0)
+    if w is None:
+        return F.count(F.lit(1)).cast("double") / F.sum(1 / x)
+    return 1 / F.sum(col(w) / x)
+
+
+def fisher_statistic(p: str | Column = "p", smooth: float | None = 1e-7) -> Column:
+    """-2 times the sum of logs, smoothed unless None; chi-square with 2k degrees under the null."""
+    return -2 * F.sum(F.log(col(p) + (smooth or 0.0)))
 
 
 def best_x(x: str, y: str, at_least: float) -> Column:

@@ -258,10 +258,10 @@ def a13(spark, d):
     return roc.band(roc.curve(view(spark, d, "scored_findings"), ("finding",))).withColumns({c: S.half_even(c, 6) for c in ("lower", "med", "upper")})
 
 
-@query("a15_harmonic_p", f"SELECT user_id, {r('count(*)::DOUBLE / sum(1 / (value / 500 + 1e-7))', 6)} AS p_avg, {r('-2 * sum(ln(value / 500 + 1e-7))')} AS fisher FROM events GROUP BY user_id")
+@query("a15_harmonic_p", f"SELECT user_id, {r('count(*)::DOUBLE / sum(1 / (value / 500 + 1e-7))', 6)} AS p_avg, {r('1 / sum((event_id % 5 + 1) / (value / 500 + 1e-7))', 8)} AS p_weighted, {r('count(*)::DOUBLE / sum(1 / (value / 500))', 6)} AS p_plain, {r('-2 * sum(ln(value / 500 + 1e-7))')} AS fisher FROM events WHERE value > 0 GROUP BY user_id")
 def a15(spark, d):
-    e = table(spark, d, "events").withColumn("p", F.col("value") / 500)
-    return e.groupBy("user_id").agg(S.half_even(T.harmonic_p(), 6).alias("p_avg"), S.half_even(T.fisher_statistic()).alias("fisher"))
+    e = table(spark, d, "events").where("value > 0").withColumns({"p": F.col("value") / 500, "w": F.col("event_id") % 5 + 1})
+    return e.groupBy("user_id").agg(S.half_even(T.harmonic_p(), 6).alias("p_avg"), S.half_even(T.harmonic_p(w="w"), 8).alias("p_weighted"), S.half_even(T.harmonic_p(smooth=None), 6).alias("p_plain"), S.half_even(T.fisher_statistic()).alias("fisher"))
 
 
 @query("a15_fisher_p")
@@ -309,35 +309,81 @@ def r12(spark, d):
     return R.scenario_split(c, good, F.col("source").isin("pan", "iom") | good, 10).select("id", "split")
 
 
-def boot_sql(method: str, reps: int = 20, seed: int = 10221983) -> str:
-    """Bootstrap intervals with rows numbered by score; n replicates of stratified draws by hash."""
-    key = hashed(f"concat('{seed}:', rep, ':', d.y, ':', k)")
-    metrics = {"sens": "se", "spec": "sp", "ppv": "pv", "npv": "nv", "j": f"{r('se')} + {r('sp')} - 1", "f1": "coalesce(2.0 * se * pv / nullif(pv + se, 0), 0)"}
-    from .catalog import NV, PV, SE, SP
+def boot_ctes(source: str, tag: str, reps: int, seed: int, p_adj: float | None) -> str:
+    """Common table expressions rl{tag} (rep, metric, value) and pl{tag} (metric, value): the
+    panel of each replicate and of all rows; rows are numbered by score, draws are by hash."""
+    from .catalog import panel_sql
+
+    key = lambda what: hashed(f"concat('{seed}:', rep, ':', {what}, ':', k)")
+    if p_adj:
+        trials = f"SELECT rep, n, count(*) FILTER (WHERE {key(chr(39) + 'p' + chr(39))} < {int(p_adj * 2**32)})::DOUBLE / n AS pr FROM (SELECT rep, n, unnest(range(n)) AS k FROM (SELECT sum(n)::BIGINT AS n FROM sz{tag}), range({reps}) t(rep)) GROUP BY rep, n"
+        sizes = f"pv{tag} AS ({trials}), dz{tag} AS (SELECT rep, y, sz.n, CAST(floor((CASE WHEN y = 1 THEN pr ELSE 1 - pr END) * pv.n) AS BIGINT) AS m FROM pv{tag} pv, sz{tag} sz)"
+    else:
+        sizes = f"dz{tag} AS (SELECT rep, y, n, n AS m FROM sz{tag}, range({reps}) t(rep))"
+    long = lambda src, b: " UNION ALL ".join(f"SELECT {b}'{m}' AS metric, {m}::DOUBLE AS value FROM {src}" for m in R.METRICS)
+    return (
+        f"g{tag} AS (SELECT y, p, row_number() OVER (PARTITION BY y ORDER BY p) - 1 AS i FROM {source}), sz{tag} AS (SELECT y, count(*) AS n FROM g{tag} GROUP BY y), {sizes}, "
+        f"d{tag} AS (SELECT y, n, rep, unnest(range(m)) AS k FROM dz{tag}), dr{tag} AS (SELECT rep, y, {key('y')} % n AS i FROM d{tag}), "
+        f"bs{tag} AS (SELECT rep, g.y, g.p FROM dr{tag} dr JOIN g{tag} g ON g.y = dr.y AND g.i = dr.i), "
+        f"pr{tag} AS ({panel_sql('bs' + tag, 'rep')}), po{tag} AS ({panel_sql('g' + tag, '', p_adj)}), rl{tag} AS ({long('pr' + tag, 'rep, ')}), pl{tag} AS ({long('po' + tag, '')})"
+    )
 
-    panel = lambda src, b: f"(SELECT {b}{SE} AS se, {SP} AS sp, {PV} AS pv, {NV} AS nv FROM (SELECT {b}{CELLS} FROM {src}{' GROUP BY rep' if b else ''}))"
-    long = lambda src, b: " UNION ALL ".join(f"SELECT {b}'{m}' AS metric, {r(f'({e})')} AS value FROM {src}" for m, e in metrics.items())
-    near = lambda lst, q: f"list_sort({lst})[CAST(round_even({q} / 100 * (len({lst}) - 1), 0) AS INT) + 1]"
+
+def near(values: str, q: float) -> str:
+    return f"list_sort({values})[CAST(round_even({q} / 100 * (len({values}) - 1), 0) AS INT) + 1]"
+
+
+def boot_sql(method: str, p_adj: float | None = None, reps: int = 20, seed: int = 10221983) -> str:
+    """Bootstrap intervals of the panel; percentiles are nearest values."""
     ends = {
         "pct": (near("t", 2.5), near("t", 97.5)),
         "emp": ("stat - 1.959963984540054 * sd", "stat + 1.959963984540054 * sd"),
         "diff": ("stat + " + near("df", 2.5), "stat + " + near("df", 97.5)),
     }[method]
     return (
-        f"WITH g AS (SELECT y, p, row_number() OVER (PARTITION BY y ORDER BY p) - 1 AS i FROM scored_grid), sz AS (SELECT y, count(*) AS n FROM g GROUP BY y), d AS (SELECT y, n, rep, unnest(range(n)) AS k FROM sz, range({reps}) t(rep)), "
-        f"dr AS (SELECT rep, d.y, {key} % n AS i FROM d), bs AS (SELECT rep, g.y, g.p FROM dr JOIN g ON g.y = dr.y AND g.i = dr.i), pr AS {panel('bs', 'rep, ')}, po AS {panel('g', '')}, rl AS ({long('pr', 'rep, ')}), pl AS ({long('po', '')}), "
+        f"WITH {boot_ctes('scored_grid', '', reps, seed, p_adj)}, "
         "jn AS (SELECT metric, any_value(pl.value) AS stat, list(rl.value) AS t, list(pl.value - rl.value) AS df, stddev_samp(rl.value) AS sd FROM rl JOIN pl USING (metric) GROUP BY metric) "
         f"SELECT metric, {r('stat', 6)} AS stat, {r(f'({ends[0]})', 6)} AS lower, {r(f'({ends[1]})', 6)} AS upper FROM jn"
     )
 
 
-def boot(spark: SparkSession, d: str, method: str, n: int = 20, draws=R.bootstrap_weights) -> DataFrame:
-    out = R.bootstrap(view(spark, d, "scored_grid"), n, method, draws=draws).cis
+def diff_sql(p_adj: float, reps: int = 20, seed: int = 10221983) -> str:
+    """Percentile intervals of the difference of two findings' panels, replicates paired by number."""
+    two = [boot_ctes(f"(SELECT y, p FROM scored_findings WHERE finding = '{f}')", t, reps, seed, p_adj) for f, t in (("bulk", "_a"), ("open", "_b"))]
+    return (
+        f"WITH {', '.join(two)}, jn AS (SELECT metric, list(b.value - a.value) AS t FROM rl_a a JOIN rl_b b USING (rep, metric) GROUP BY metric) "
+        f"SELECT metric, {r('a.value', 6)} AS ref, {r('b.value', 6)} AS comp, {r('(b.value - a.value)', 6)} AS d, {r('(' + near('t', 2.5) + ')', 6)} AS lower, {r('(' + near('t', 97.5) + ')', 6)} AS upper "
+        "FROM jn JOIN pl_a a USING (metric) JOIN pl_b b USING (metric) WHERE metric <> 'true_prev'"
+    )
+
+
+def boot(spark: SparkSession, d: str, method: str, n: int = 20, draws=R.bootstrap_weights, p_adj: float | None = None, boot_mean: bool = False) -> DataFrame:
+    out = R.bootstrap(view(spark, d, "scored_grid"), n, method, draws=draws, p_adj=p_adj, boot_mean=boot_mean).cis
     return out.select("metric", *[S.half_even(c, 6).alias(c) for c in ("stat", "lower", "upper")])
 
 
-for _n, _m in (("r05_boot_pct", "pct"), ("r06_boot_emp", "emp"), ("r07_boot_diff", "diff")):
-    query(_n, boot_sql(_m), "scored_grid")(lambda spark, d, m=_m: boot(spark, d, m))
+for _n, _m, _p in (("r05_boot_pct", "pct", None), ("r06_boot_emp", "emp", 0.12), ("r07_boot_diff", "diff", None), ("r04_boot_padj", "pct", 0.12)):
+    query(_n, boot_sql(_m, _p), "scored_grid")(lambda spark, d, m=_m, p=_p: boot(spark, d, m, p_adj=p))
+
+
+@query("r04_boot_mean", None)
+def r04m(spark, d):
+    return boot(spark, d, "pct", 20, R.multinomial_weights, 0.12, True)
+
+
+@query("r09_diff_padj", diff_sql(0.12), "scored_findings")
+def r09p(spark, d):
+    f = view(spark, d, "scored_findings")
+    a, b = (R.bootstrap(f.where(F.col("finding") == x), 20, "pct", draws=R.bootstrap_weights, p_adj=0.12) for x in ("bulk", "open"))
+    return R.difference(a, b, "pct").select("metric", *[S.half_even(c, 6).alias(c) for c in ("ref", "comp", "d", "lower", "upper")])
+
+
+UNSTRATIFIED = hashed("concat('7:', rep, ':', k)")
+
+
+@query("r01_unstratified", "WITH g AS (SELECT y, p, row_number() OVER (ORDER BY y, p) - 1 AS i, count(*) OVER () AS n FROM scored_grid), d AS (SELECT rep, unnest(range(5000)) AS k FROM range(3) t(rep)), " f"dr AS (SELECT rep, {UNSTRATIFIED} % (SELECT max(n) FROM g) AS i FROM d) SELECT rep::BIGINT AS rep, g.y, g.p, count(*) AS n FROM dr JOIN g ON g.i = dr.i GROUP BY ALL", "scored_grid")
+def r01u(spark, d):
+    return R.bootstrap_weights(R.cells(view(spark, d, "scored_grid")), 3, 7, size=5000, stratified=False)
 
 
 @query("r01_bootstrap_draws", "WITH g AS (SELECT y, p, row_number() OVER (PARTITION BY y ORDER BY p) - 1 AS i FROM scored_grid), sz AS (SELECT y, count(*) AS n FROM g GROUP BY y), d AS (SELECT y, n, rep, unnest(range(n)) AS k FROM sz, range(3) t(rep)), " f"dr AS (SELECT rep, d.y, {hashed('''concat('10221983:', rep, ':', d.y, ':', k)''')} % n AS i FROM d) SELECT rep::BIGINT AS rep, g.y, g.p, count(*) AS n FROM dr JOIN g ON g.y = dr.y AND g.i = dr.i GROUP BY ALL", "scored_grid")
@@ -345,14 +391,35 @@ def r01(spark, d):
     return R.bootstrap_weights(R.cells(view(spark, d, "scored_grid")), 3)
 
 
-@query("r03_jackknife", None)
+LEFT_OUT = "WITH k AS (SELECT y, p, count(*) AS n FROM scored_grid GROUP BY ALL), o AS (SELECT y AS oy, p AS op, n AS weight FROM k), l AS (SELECT oy, op, weight, y, p, n - CAST(y = oy AND p = op AS INT) AS n FROM k, o)"
+
+
+def jack_sql() -> str:
+    """Rates without one row, by the cell that the row is in."""
+    cells = ", ".join(f"sum(n) FILTER (WHERE y = {y} AND {h}p >= 0.5) AS {c}" for c, y, h in (("tp", 1, ""), ("fp", 0, ""), ("tn", 0, "NOT "), ("fn", 1, "NOT ")))
+    from .catalog import NV, PV, SE, SP
+
+    metrics = {"sens": r("se"), "spec": r("sp"), "ppv": r("pv"), "npv": r("nv"), "j": r(f"({r('se')} + {r('sp')} - 1)"), "f1": r("coalesce(2.0 * se * pv / nullif(pv + se, 0), 0)")}
+    return (
+        f"{LEFT_OUT}, c AS (SELECT oy, op >= 0.5 AS hit, op, weight, {cells} FROM l GROUP BY ALL), q AS (SELECT oy, hit, any_value(tp) AS tp, any_value(fp) AS fp, any_value(tn) AS tn, any_value(fn) AS fn, sum(weight)::BIGINT AS weight FROM c GROUP BY oy, hit), "
+        f"z AS (SELECT *, {SE} AS se, {SP} AS sp, {PV} AS pv, {NV} AS nv FROM q) " + " UNION ALL ".join(f"SELECT oy AS y, hit, '{m}' AS metric, {e} AS value, weight FROM z" for m, e in metrics.items())
+    )
+
+
+@query("r03_jackknife", jack_sql(), "scored_grid")
 def r03(spark, d):
-    return R.jackknife(R.cells(view(spark, d, "scored_grid")))
+    out = R.jackknife(R.cells(view(spark, d, "scored_grid")))
+    return out.where(F.col("metric").isin("sens", "spec", "ppv", "npv", "j", "f1"))
+
+
+@query("r03_jackknife_brier", f"{LEFT_OUT} SELECT oy AS y, op AS p, {r('sum(n * pow(p - y, 2)) / sum(n)')} AS brier, weight FROM l GROUP BY oy, op, weight", "scored_grid")
+def r03b(spark, d):
+    return R.jackknife_brier(R.cells(view(spark, d, "scored_grid")))
 
 
-@query("r03_jackknife_auc", None)
+@query("r03_jackknife_auc", f"{LEFT_OUT}, w AS (SELECT a.oy, a.op, a.weight, sum(a.n * b.n * CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) AS wins, sum(a.n * b.n) AS pairs FROM l a JOIN l b ON a.oy = b.oy AND a.op = b.op AND a.y = 1 AND b.y = 0 GROUP BY ALL) SELECT oy AS y, op AS p, {r('wins / pairs', 8)} AS auc, weight FROM w", "scored_grid")
 def r03a(spark, d):
-    return R.jackknife_auc(R.cells(view(spark, d, "scored_grid")))
+    return R.jackknife_auc(R.cells(view(spark, d, "scored_grid"))).withColumn("auc", S.half_even("auc", 8))
 
 
 @query("r08_bca", None)
