@@ -90,9 +90,9 @@ def header_flags(transfer_syntax: Column, photometric: Column, has_pixels: Colum
     return F.struct(*[v.cast("int").alias(k) for k, v in flags.items()], (~bad).alias("ok"))
 
 
-def gate(df, pixels: str = "pixels", group: str = "grp", file_name: str = "file_name"):
+def gate(df, pixels: str = "pixels", group: str = "grp", file_name: str = "file_name", limits: tuple[int, int] = (50, 215)):
     """(kept, errors): images that pass the brightness gate, and a report row for each that does not."""
-    ok = good_brightness(pixels)
+    ok = good_brightness(pixels, *limits)
     errors = df.where(~F.coalesce(ok, F.lit(False))).select(F.col(group).alias("group"), F.col(file_name).alias("file_name"), *[F.lit(0).alias(c) for c in ("no_TS_ID", "unsupported_TS_ID", "missing_pixels", "corrupt_pixels", "inverted_colors")], F.lit(1).alias("brightness_issues"))
     return df.where(ok), errors
 

@@ -21,7 +21,7 @@ PER_OCTAVE = 512  # ranges in which the distance to 0, or to 1 from one half on,
 def score_range(p: str | Column, per_octave: int = PER_OCTAVE) -> Column:
     """The number of a score's range; it never falls as the score rises. There are
     some forty octaves below one half and as many above, whatever the scores."""
-    octaves = lambda d: F.floor(F.log2(1 + F.least(d, F.lit(1e300)) * 2.0**40) * per_octave)
+    octaves = lambda d: F.floor(F.log2(1 + F.least(d, F.lit(1e290)) * 2.0**40) * per_octave)
     p, half = col(p).cast("double"), octaves(F.lit(0.5))
     return F.when(p <= 0, -octaves(-p)).when(p <= 0.5, octaves(p)).when(p <= 1, 2 * half - octaves(1 - p)).otherwise(2 * half + octaves(p - 1))
 

@@ -106,6 +106,11 @@ def m13p(spark: SparkSession, d: str) -> DataFrame:
     return M.mcnemar(grid_counts(spark, d)).select("grp", "stat", chi2_sf("stat").alias("pval"))
 
 
+@query("m20_panel_mcnemar", None)
+def m20n(spark: SparkSession, d: str) -> DataFrame:
+    return P.panel(view(spark, d, "scored_grid"), ("grp",), mcnemar=True, model="grid", only=["sens", "spec", "mcnemar", "model"])
+
+
 @query("m14_synthetic_obs", f"{RATED}, e AS (SELECT grp, u.o, u.y, u.yhat, u.k, u.b FROM q, unnest([{{'o':0,'y':0,'yhat':0,'k':tn,'b':0}}, {{'o':1,'y':1,'yhat':0,'k':fn,'b':tn}}, {{'o':2,'y':0,'yhat':1,'k':fp,'b':tn+fn}}, {{'o':3,'y':1,'yhat':1,'k':tp,'b':tn+fn+fp}}]) AS t(u)) SELECT grp, y, yhat, b + unnest(range(k)) AS at FROM e", "scored_grid")
 def m14(spark: SparkSession, d: str) -> DataFrame:
     return M.observations(grid_counts(spark, d), ("grp",))
@@ -176,10 +181,11 @@ def m21(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "scored_cont").groupBy("y", M.threshold("p", 0.5).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cut_sql(source: str, by: str, p_adj: float) -> str:
+def cut_sql(source: str, by: str, p_adj: float | str) -> str:
     b, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
     pick = lambda obj: f"row_number() OVER ({part}ORDER BY {obj}, thr DESC NULLS FIRST)"
     adj = f"abs(fps::DOUBLE / nn * (1 - {p_adj}) - (1 - tps::DOUBLE / np) * {p_adj})"
+    adj = f"coalesce({adj}, abs(fps - (np - tps))::DOUBLE)"  # where there is no p_adj
     g = f" GROUP BY {by}" if by else ""
     return f"{curve_sql(source, by)}, o AS (SELECT *, {pick('fps * np - tps * nn')} AS rj, {pick('abs(fps - (np - tps))')} AS rc, {pick(adj)} AS ra FROM roc) SELECT {b}max(thr) FILTER (WHERE rj = 1) AS j, max(thr) FILTER (WHERE rc = 1) AS count_cut, max(thr) FILTER (WHERE ra = 1) AS count_adj FROM o{g}"
 
@@ -200,6 +206,12 @@ def c04(spark: SparkSession, d: str) -> DataFrame:
     return roc.cutpoints(c, ("finding",), 0.2).withColumnRenamed("count", "count_cut")
 
 
+@query("c04_padj_by_finding", cut_sql("scored_findings", "finding", "CASE finding WHEN 'bulk' THEN 0.3 WHEN 'open' THEN 0.1 END"), "scored_findings")
+def c04p(spark: SparkSession, d: str) -> DataFrame:
+    c = roc.curve(view(spark, d, "scored_findings"), ("finding",))
+    return roc.cutpoints(c, ("finding",), {"bulk": 0.3, "open": 0.1}).withColumnRenamed("count", "count_cut")
+
+
 @query("c05_threshold_grid", "WITH g AS (SELECT i * (1.0 / 100)::DOUBLE AS cutoff FROM range(100) t(i)), a AS (SELECT cutoff, count(*) FILTER (WHERE y = 1 AND p >= cutoff) AS tp, count(*) FILTER (WHERE y = 0 AND p >= cutoff) AS fp, count(*) FILTER (WHERE y = 0 AND p < cutoff) AS tn, count(*) FILTER (WHERE y = 1 AND p < cutoff) AS fn FROM g, (SELECT y, p FROM scored_cont) GROUP BY cutoff) " f"SELECT {r('cutoff', 2)} AS cutoff, tp, fp, tn, fn, {r(SE)} AS sens, {r(SP)} AS spec FROM a", "scored_cont")
 def c05(spark: SparkSession, d: str) -> DataFrame:
     x = M.Rates()
@@ -257,9 +269,31 @@ def m20h(spark: SparkSession, d: str) -> DataFrame:
     return P.panel(g, ("grp",), kind="hard", only=["sens", "spec", "f1", "auc", "brier"])
 
 
-@query("m20_multiclass")
-def m20m(spark: SparkSession, d: str) -> DataFrame:
-    return P.panel_multiclass(softmax10(spark, d))
+WHOLE = ["tp", "fp", "tn", "fn", "true_prev", "pred_prev", "prev_diff"]
+SHARES = ["sens", "spec", "ppv", "npv", "j", "f1", "mcc", "rel_prev_diff"]
+
+
+def multiclass_sql(average: str) -> str:
+    """One panel for each class, and their average; probabilities are a softmax of ten components."""
+    w = "1" if average == "macro" else "true_prev"
+    mean = lambda c, w=w: f"sum(coalesce({c}, 0) * {w})::DOUBLE / sum({w})"
+    pooled = "SELECT 0 AS k, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c"
+    shares = f"z AS (SELECT *, {SE} AS se, {SP} AS sp, {PV} AS pv, {NV} AS nv FROM {{src}}), m AS (SELECT k, tp, fp, tn, fn, se AS sens, sp AS spec, pv AS ppv, nv AS npv, se + sp - 1 AS j, {F1} AS f1, coalesce({MCC}, 0) AS mcc, tp + fn AS true_prev, tp + fp AS pred_prev, fp - fn AS prev_diff, (fp - fn)::DOUBLE / nullif(tp + fn, 0) AS rel_prev_diff FROM z)"
+    rates = ", ".join([f"round_even({mean(c, '1')}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c, '1') + ')')} AS {c}" for c in SHARES]) if average == "micro" else ", ".join([f"round_even({mean(c)}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c) + ')')} AS {c}" for c in SHARES])
+    return (
+        "WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS v FROM embeddings), q AS (SELECT label, list_transform(v, lambda x: x / list_sum(v)) AS pr FROM e), "
+        "h AS (SELECT label, list_position(pr, list_max(pr)) - 1 AS hat FROM q), c AS (SELECT k, count(*) FILTER (WHERE label = k AND hat = k) AS tp, count(*) FILTER (WHERE label <> k AND hat = k) AS fp, count(*) FILTER (WHERE label <> k AND hat <> k) AS tn, count(*) FILTER (WHERE label = k AND hat <> k) AS fn FROM h, range(10) t(k) GROUP BY k), "
+        + "lg AS (SELECT k, CAST(label = k AS INT) AS y, pr[k + 1] AS p FROM q, range(10) t(k)), "
+        + curve_sql("lg", "k")[5:]
+        + f", ar AS (SELECT cum.k, {AUC} AS auc, {AP} AS ap, any_value(c.tp + c.fn) AS true_prev FROM cum JOIN c ON c.k = cum.k GROUP BY cum.k), "
+        + (f"pool AS ({pooled}), " if average == "micro" else "")
+        + shares.format(src="pool" if average == "micro" else "c")
+        + f" SELECT {rates}, (SELECT {r('avg(list_sum(list_transform(range(10), lambda i: pow(pr[i + 1] - CASE WHEN i = label THEN 1.0 ELSE 0.0 END, 2))))')} FROM q) AS brier, (SELECT {r('(' + mean('auc') + ')')} FROM ar) AS auc, (SELECT {r('(' + mean('ap') + ')')} FROM ar) AS ap, 10 AS classes FROM m"
+    )
+
+
+for _average in ("weighted", "macro", "micro"):
+    query(f"m20_multiclass_{_average}", multiclass_sql(_average))(lambda spark, d, average=_average: P.panel_multiclass(softmax10(spark, d), average=average))
 
 
 @query("a16_multiclass_macro", f"WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS v FROM embeddings), h AS (SELECT label, list_position(v, list_max(v)) - 1 AS hat FROM e), c AS (SELECT k, count(*) FILTER (WHERE label = k AND hat = k) AS tp, count(*) FILTER (WHERE label <> k AND hat = k) AS fp, count(*) FILTER (WHERE label <> k AND hat <> k) AS tn, count(*) FILTER (WHERE label = k AND hat <> k) AS fn FROM h, range(10) t(k) GROUP BY k) SELECT {r(f'avg({SE})')} AS sens, {r(f'avg({SP})')} AS spec, {r(f'avg({PV})')} AS ppv, {r(f'avg({NV})')} AS npv FROM c")
@@ -267,7 +301,10 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return P.panel_multiclass(softmax10(spark, d), average="macro").select("sens", "spec", "ppv", "npv")
 
 
-@query("x09_binary_report", None)
+CUTS = "cutpoint_type, cutpoint"
+
+
+@query("x09_binary_report", "WITH cc AS (" + cut_sql("scored_grid", "", 0.12) + "), lab AS (SELECT y, p, t.k AS cutpoint_type, CASE t.k WHEN 'j' THEN cc.j ELSE cc.count_cut END AS cutpoint FROM scored_grid, cc, (VALUES ('j'), ('count')) t(k)), " + panel_sql("lab", CUTS, None, "cutpoint")[5:], "scored_grid")
 def x09(spark: SparkSession, d: str) -> DataFrame:
     g = view(spark, d, "scored_grid")
     cuts = roc.cutpoints(roc.curve(g)).select(F.explode(F.array(F.struct(F.lit("j").alias("cutpoint_type"), F.col("j").alias("cutpoint")), F.struct(F.lit("count").alias("cutpoint_type"), F.col("count").alias("cutpoint")))).alias("c")).select("c.*")
@@ -275,6 +312,15 @@ def x09(spark: SparkSession, d: str) -> DataFrame:
     return shown(P.panel(each, ("cutpoint_type", "cutpoint"), F.col("cutpoint")))
 
 
+EXTERNAL = "WITH f AS (SELECT concat('set', l_suppkey % 4) AS dataset, y, p FROM scored_grid), "
+
+
+@query("x10_external_report", EXTERNAL + panel_sql("f", "dataset", None, "0.4")[5:], "scored_grid")
+def x10(spark: SparkSession, d: str) -> DataFrame:
+    f = view(spark, d, "scored_grid").withColumn("dataset", F.concat(F.lit("set"), F.col("l_suppkey") % 4))
+    return shown(P.panel(f, ("dataset",), 0.4))
+
+
 @query("x11_multilabel_report", "WITH cc AS (" + cut_sql("scored_findings", "finding", 0.2) + "), lab AS (SELECT f.finding || ':' || t.k AS tag, f.y, f.p, CASE t.k WHEN 'j' THEN cc.j ELSE cc.count_cut END AS cp FROM scored_findings f JOIN cc USING (finding), (VALUES ('j'), ('count')) t(k)) " f"SELECT tag, any_value(cp) AS cutpoint, {r('count(*) FILTER (WHERE y = 1 AND p >= cp)::DOUBLE / count(*) FILTER (WHERE y = 1)')} AS sens, {r('count(*) FILTER (WHERE y = 0 AND p < cp)::DOUBLE / count(*) FILTER (WHERE y = 0)')} AS spec, {r('avg(pow(p - y, 2))')} AS brier FROM lab GROUP BY tag", "scored_findings")
 def x11(spark: SparkSession, d: str) -> DataFrame:
     f = view(spark, d, "scored_findings")

@@ -497,7 +497,17 @@ def i07(spark, d):
     return table(spark, d, "documents").select("doc_id", I.has_long_word(w, 12).alias("long_word"), I.too_many_words(w, 300).alias("many_words"))
 
 
-@query("i10_gray_resize", f"SELECT vec_id, {r('0.2125 * pix[1] + 0.7154 * pix[2] + 0.0721 * pix[3]', 6)} AS first_gray, pix[1 + 2 * 8 + 2] AS small_1_1 FROM (SELECT vec_id, {PIX} AS pix FROM embeddings)")
+GRAY = f"""
+SELECT vec_id, list_transform(range(21), lambda i: {r('0.2125 * pix[3 * i + 1] + 0.7154 * pix[3 * i + 2] + 0.0721 * pix[3 * i + 3]', 6)})::VARCHAR AS gray,
+       list_transform(range(16), lambda i: pix[(i // 4) * 2 * 8 + (i % 4) * 2 + 1])::VARCHAR AS small
+FROM (SELECT vec_id, {PIX} AS pix FROM embeddings)
+"""
+
+
+@query("i10_gray_resize", GRAY)
 def i10(spark, d):
+    """The first 63 values as 21 pixels of three colours, and the image at half its width."""
     p = pixels(spark, d)
-    return p.select("vec_id", S.half_even(I.to_gray(F.slice("pix", 1, 63))[0], 6).alias("first_gray"), F.element_at(I.resize_nearest("pix", 8, 8, 4), 6).alias("small_1_1"))
+    text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    gray = F.transform(I.to_gray(F.slice("pix", 1, 63)), lambda x: S.half_even(x, 6).cast("string"))
+    return p.select("vec_id", text(gray).alias("gray"), text(F.transform(I.resize_nearest("pix", 8, 8, 4), lambda x: x.cast("string"))).alias("small"))
\ No newline at end of file

@@ -38,12 +38,15 @@ def s03(spark, d):
     return got.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("files"))
 
 
-@query("s04_s19_listing", "SELECT 4::BIGINT AS files, true AS has_bytes")
+@query("s04_s19_listing", "SELECT 4::BIGINT AS files, true AS same_bytes")
 def s04(spark, d):
     path = new_path(spark, "list")
     spark.range(0, 4, 1, 4).write.parquet(path)
-    listed = files.list_files(spark, path, True).where(F.col("file_name").endswith(".parquet"))
-    return listed.agg(F.count(F.lit(1)).alias("files"), (F.sum("length") > 0).alias("has_bytes"))
+    listed = files.list_files(spark, path, True)
+    whole = files.folder_size(spark, path)
+    parquet = listed.where(F.col("file_name").endswith(".parquet")).agg(F.count(F.lit(1)).alias("files"))
+    size = listed.agg(F.sum("length").alias("sum")).crossJoin(whole)  # one row on either side
+    return parquet.crossJoin(size.select(((F.col("sum") > 0) & (F.col("sum") == F.col("bytes"))).alias("same_bytes")))
 
 
 @query("s05_file_filter", "SELECT id FROM (SELECT concat('f', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '_PR' ELSE '' END, CASE o_orderkey % 2 WHEN 0 THEN '.dcm' ELSE '.txt' END) AS id FROM orders) WHERE contains(id, 'dcm') AND NOT contains(id, '_PR')")
@@ -105,13 +108,81 @@ def i08(spark, d):
     return table(spark, d, "orders").select("o_orderkey", flags["ok"].alias("ok"))
 
 
-@query("i09_gate_report", "SELECT 'g' AS grp, count(*) AS n FROM (SELECT list_transform(embedding, lambda x: CAST(round_even((x::DOUBLE + 1) * 100, 0) AS INT)) AS pix FROM embeddings) WHERE NOT (floor(list_avg(pix)) >= 50 AND floor(list_avg(pix)) < 101)")
+GATED = """
+SELECT 'g' AS "group", concat('v', vec_id) AS file_name, 0 AS no_TS_ID, 0 AS unsupported_TS_ID, 0 AS missing_pixels,
+       0 AS corrupt_pixels, 0 AS inverted_colors, 1 AS brightness_issues
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round_even((x::DOUBLE + 1) * 100, 0) AS INT)) AS pix FROM embeddings)
+WHERE NOT (floor(list_avg(pix)) >= 50 AND floor(list_avg(pix)) < 101)
+"""
+
+
+@query("i09_gate_report", GATED)
 def i09(spark, d):
-    from ..operators.image import good_brightness
+    """The images that the gate turns away, appended to a report and read again."""
+    from ..operators import image
+    from .catalog_cohort import pixels
+
+    shown = pixels(spark, d).select(F.lit("g").alias("grp"), F.concat(F.lit("v"), F.col("vec_id")).alias("file_name"), F.col("pix").alias("pixels"))
+    _, errors = image.gate(shown, limits=(50, 101))
+    path = new_path(spark, "bad_files")
+    files.append_stats(errors, path)
+    return spark.read.parquet(path)
+
+
+KEPT = GATED.replace("SELECT 'g' AS \"group\", concat('v', vec_id) AS file_name, 0 AS no_TS_ID, 0 AS unsupported_TS_ID, 0 AS missing_pixels,\n       0 AS corrupt_pixels, 0 AS inverted_colors, 1 AS brightness_issues", "SELECT vec_id, list_sum(pix)::BIGINT AS total").replace("WHERE NOT", "WHERE")
+
+
+@query("i09_gate_kept", KEPT)
+def i09k(spark, d):
+    from ..operators import image
+    from .catalog_cohort import pixels
+
+    kept, _ = image.gate(pixels(spark, d).withColumns({"grp": F.lit("g"), "file_name": F.lit("f"), "pixels": F.col("pix")}), limits=(50, 101))
+    return kept.select("vec_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def linear_scorer():
+    """Two scores from the mean and the first pixel: stands for a trained model."""
+    import numpy as np
+
+    return lambda x: 1 / (1 + np.exp(-np.stack([x.mean(axis=1) - 100, (x[:, 0] - 100) / 10], axis=1)))
+
+
+SCORED = """
+SELECT vec_id, round_even(1 / (1 + exp(-(list_sum(pix)::DOUBLE / 64 - 100))) * 1e6, 0) / 1e6 AS a_prob,
+       round_even(1 / (1 + exp(-(pix[1] - 100) / 10.0::DOUBLE)) * 1e6, 0) / 1e6 AS b_prob
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round_even((x::DOUBLE + 1) * 100, 0) AS INT)) AS pix FROM embeddings)
+"""
+
+
+@query("x03_batch_scores", SCORED)
+def x03(spark, d):
+    """Images scored in batches; the scores go out as CSV and are read again."""
+    from ..operators.scoring import score_batches
+    from .catalog_cohort import pixels
+
+    path = new_path(spark, "scores")
+    scored = score_batches(pixels(spark, d).withColumn("pixels", F.col("pix")), linear_scorer, ["a", "b"])
+    files.write_csv(scored.select("vec_id", "a_prob", "b_prob"), path)
+    back = files.read_labels(spark, path, "vec_id long, a_prob double, b_prob double")
+    return back.select("vec_id", *[(F.rint(F.col(c) * 1e6) / 1e6).alias(c) for c in ("a_prob", "b_prob")])
+
+
+TURNED = """
+SELECT vec_id, hit AS was_inverted, list_sum(list_transform(pix, lambda x: CASE WHEN hit THEN 255 - x ELSE x END))::BIGINT AS total
+FROM (SELECT vec_id, pix, round_even(1 / (1 + exp(-(pix[1] - 100) / 10.0::DOUBLE)), 0) = 1 AS hit
+      FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round_even((x::DOUBLE + 1) * 100, 0) AS INT)) AS pix FROM embeddings))
+"""
+
+
+@query("x08_inverted_images", TURNED)
+def x08(spark, d):
+    from ..operators.scoring import score_batches, turn_inverted
     from .catalog_cohort import pixels
 
-    bad = pixels(spark, d).where(~good_brightness("pix", 50, 101))
-    return bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("g").alias("grp"), "n")
+    scored = score_batches(pixels(spark, d).withColumn("pixels", F.col("pix")), linear_scorer, ["mean", "inverted"])
+    out = turn_inverted(scored, "inverted_prob")
+    return out.select("vec_id", "was_inverted", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("p20_membership_flag", "SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS known FROM orders")

@@ -3,15 +3,18 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
 from cohortlens.functions.distributions import chi2_sf, normal_quantile, upper_tail
+from cohortlens.operators import cohort as C
 from cohortlens.operators import confusion as M
 from cohortlens.operators import panel as P
 from cohortlens.operators import resample as R
 from cohortlens.operators import roc
+from cohortlens.operators.scoring import score_batches
 
 A = list(zip([0, 0, 1, 1, 0, 1, 0, 1], [0.1, 0.4, 0.35, 0.8, 0.4, 0.9, 0.7, 0.6]))
 
@@ -132,8 +135,9 @@ def test_intervals_hold_the_point(spark, method):
     rng = random.Random(4)
     df = scored(spark, [(y, min(1.0, max(0.0, rng.gauss(0.4 + 0.2 * y, 0.2)))) for y in (0, 1) for _ in range(150)])
     out = R.bootstrap(df, 30, method)
+    counts = {"tp", "fp", "tn", "fn", "true_prev", "pred_prev", "prev_diff"}  # of 150 rows a label; the rest are rates
     for r in out.cis.collect():
-        assert r["lower"] <= r["upper"] and abs(r["stat"] - (r["lower"] + r["upper"]) / 2) < 0.15
+        assert r["lower"] <= r["upper"] and abs(r["stat"] - (r["lower"] + r["upper"]) / 2) < 0.15 * (150 if r["metric"] in counts else 1)
 
 
 def test_difference_of_equals_is_zero(spark):
@@ -162,3 +166,81 @@ def test_scalars(spark):
     assert math.isclose(upper_tail(18.8669418, 6), 0.0044, abs_tol=2e-4)
     names = spark.createDataFrame([("pan_12_0042",), ("pan_12_00000042",), ("a",)], "f string").select(S.trim_zeroes("f")).collect()
     assert [r[0] for r in names] == ["pan_12_0042", "pan_12_000042", "a"]
+
+
+@pytest.mark.parametrize("make", [lambda u: u / 1000, lambda u: 1 - u / 1e6, lambda u: np.log(u / (1 - u)), lambda u: u], ids=["tiny", "sure", "logits", "even"])
+def test_score_ranges_spread_crowded_scores(spark, make):
+    """No range holds more than a few times its share, whatever the scores; order is kept."""
+    u = np.random.default_rng(1).uniform(1e-9, 1 - 1e-9, 20000)
+    df = spark.createDataFrame([(float(x), int(v > 0.5)) for x, v in zip(make(u), u)], "p double, y int")
+    ranged = df.select("p", roc.score_range("p").alias("r"))
+    sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
+    assert max(sizes) < 20000 / 100
+    lows = ranged.groupBy("r").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("r").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(lows, lows[1:]))
+    assert abs(roc.areas(roc.curve(df)).first()["auc"] - 0.5) > 0.499
+
+
+def test_scores_beyond_any_range(spark):
+    df = spark.createDataFrame([(0, float("-inf")), (1, 0.3), (0, -5.0), (1, float("inf")), (1, None)], "y int, p double")
+    assert [(r["tps"], r["fps"]) for r in roc.curve(df).orderBy(F.desc("thr")).collect()] == [(1, 0), (2, 0), (2, 1), (2, 2)]
+
+
+def test_adjusted_draws_have_their_sizes(spark):
+    df = spark.createDataFrame([(int(i % 4 == 0), i / 1000) for i in range(1000)], "y int, p double")
+    c = R.cells(df)
+    for draws in (R.bootstrap_weights, R.multinomial_weights):
+        got = {}
+        for r in draws(c, 30, 5, p_adj=0.1).groupBy("rep", "y").agg(F.sum("n").alias("n")).collect():
+            got[r["rep"], r["y"]] = r["n"]
+        ones = np.array([got[i, 1] for i in range(30)])
+        assert all(999 <= got[i, 0] + got[i, 1] <= 1000 for i in range(30)) and 80 < ones.mean() < 120 and len(set(ones)) > 5
+        small = draws(c, 4, 5, size=100).groupBy("rep", "y").agg(F.sum("n").alias("n")).collect()
+        assert {(r["y"], r["n"]) for r in small} == {(0, 75), (1, 25)}
+        free = draws(c, 20, 5, size=200, stratified=False).groupBy("rep").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("k")).collect()
+        assert all(r["n"] == 200 for r in free) and len({r["k"] for r in free}) > 3
+
+
+def test_jackknife_of_the_panel(spark):
+    rows = [(int(i % 3 == 0), (i * 7 % 20) / 20) for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = {}
+    for r in R.jackknife_panel(R.cells(df)).collect():
+        got.setdefault(r["metric"], []).extend([r["value"]] * r["weight"])
+    for metric in ("sens", "mcc", "brier", "auc", "true_prev", "rel_prev_diff"):
+        want = []
+        for i in set(range(60)):
+            left = spark.createDataFrame([x for j, x in enumerate(rows) if j != i], "y int, p double") if i < 6 else None
+            if left is not None:
+                want.append(P.panel(left).first()[metric])
+        assert all(any(math.isclose(w, g, abs_tol=1e-9) for g in got[metric]) for w in want) and len(got[metric]) == 60
+
+
+def test_weights_count_like_repeated_rows(spark):
+    df = spark.createDataFrame([(1, 0.9, 3), (0, 0.2, 2), (1, 0.4, 1), (0, 0.6, 2)], "y int, p double, n long")
+    each = df.withColumn("i", F.explode(F.expr("sequence(1, n)"))).drop("n", "i")
+    assert P.panel(df, weight="n").collect() == P.panel(each).collect()
+
+
+def test_cutpoints_take_a_prevalence_for_each_group(spark):
+    df = spark.createDataFrame([(g, int(i % 3 == 0), i / 30) for g in "ab" for i in range(30)], "g string, y int, p double")
+    c = roc.curve(df, ("g",))
+    got = {r["g"]: r["count_adj"] for r in roc.cutpoints(c, ("g",), {"a": 0.9}).collect()}
+    one = {r["g"]: (r["count_adj"], r["count"]) for r in roc.cutpoints(c, ("g",), 0.9).collect()}
+    assert got["a"] == one["a"][0] and got["b"] == one["b"][1]
+
+
+def test_lookup_is_the_same_in_every_run(spark):
+    table = spark.createDataFrame([("k", "b"), ("k", "a"), ("j", "c")], "name string, value string")
+    df = spark.createDataFrame([("k",), ("j",), (None,)], "key string")
+    assert sorted(r["value"] for r in C.lookup(df, table, "key", "name", "value").collect()) == ["NA", "a", "c"]
+
+
+def test_scorer_sees_batches_and_skips_nulls(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, 5.0])], "id long, pixels array<double>")
+    got = score_batches(df, lambda: lambda x: np.stack([x.sum(axis=1), x[:, 0]], axis=1), ["sum", "first"]).orderBy("id").collect()
+    assert [(r["sum_prob"], r["first_prob"]) for r in got] == [(3.0, 1.0), (None, None), (8.0, 3.0)]
+
+
+def test_tails_do_not_overflow():
+    assert upper_tail(1e4, 400) < 1e-300 and math.isclose(float(upper_tail(390.0, 400)), 0.63, abs_tol=0.02)
