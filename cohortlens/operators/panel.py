@@ -92,7 +92,8 @@ def panel_multiclass(df: DataFrame, label: str = "label", probs: str = "probs",
     else:
         out = each.agg(*[mean(c, weight).alias(c) for c in (*names, "auc", "ap")])
     out = out.crossJoin(df.agg(brier_multiclass(label, probs).alias("brier"), F.max(F.size(probs)).alias("classes")))  # one row on either side
-    out = out.select(*[F.rint(c).cast("long").alias(c) if c in whole else half_even(c, digits).alias(c) for c in COLUMNS if c in out.columns], "classes")
+    shown = [F.rint(c).cast("long").alias(c) if c in whole else (half_even(c, digits) + 0.0).alias(c) for c in COLUMNS if c in out.columns]  # + 0.0: no negative zeros
+    out = out.select(*shown, "classes")
     return out if model is None else out.withColumn("model", F.lit(model))
 
 

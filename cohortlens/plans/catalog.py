@@ -279,7 +279,7 @@ def multiclass_sql(average: str) -> str:
     mean = lambda c, w=w: f"sum(coalesce({c}, 0) * {w})::DOUBLE / sum({w})"
     pooled = "SELECT 0 AS k, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c"
     shares = f"z AS (SELECT *, {SE} AS se, {SP} AS sp, {PV} AS pv, {NV} AS nv FROM {{src}}), m AS (SELECT k, tp, fp, tn, fn, se AS sens, sp AS spec, pv AS ppv, nv AS npv, se + sp - 1 AS j, {F1} AS f1, coalesce({MCC}, 0) AS mcc, tp + fn AS true_prev, tp + fp AS pred_prev, fp - fn AS prev_diff, (fp - fn)::DOUBLE / nullif(tp + fn, 0) AS rel_prev_diff FROM z)"
-    rates = ", ".join([f"round_even({mean(c, '1')}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c, '1') + ')')} AS {c}" for c in SHARES]) if average == "micro" else ", ".join([f"round_even({mean(c)}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c) + ')')} AS {c}" for c in SHARES])
+    rates = ", ".join([f"round_even({mean(c, '1')}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c, '1') + ')')} + 0.0::DOUBLE AS {c}" for c in SHARES]) if average == "micro" else ", ".join([f"round_even({mean(c)}, 0)::BIGINT AS {c}" for c in WHOLE] + [f"{r('(' + mean(c) + ')')} + 0.0::DOUBLE AS {c}" for c in SHARES])
     return (
         "WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS v FROM embeddings), q AS (SELECT label, list_transform(v, lambda x: x / list_sum(v)) AS pr FROM e), "
         "h AS (SELECT label, list_position(pr, list_max(pr)) - 1 AS hat FROM q), c AS (SELECT k, count(*) FILTER (WHERE label = k AND hat = k) AS tp, count(*) FILTER (WHERE label <> k AND hat = k) AS fp, count(*) FILTER (WHERE label <> k AND hat <> k) AS tn, count(*) FILTER (WHERE label = k AND hat <> k) AS fn FROM h, range(10) t(k) GROUP BY k), "
