@@ -21,6 +21,37 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [5, 97, 1000])
+def test_places_against_a_plain_feistel(spark, n):
+    """The place of each row number, walked one by one in Python, gives its shard and slot."""
+    seed, shards = 42, 24
+    a, b = sharding.domain(n)
+    keys = sharding.round_keys(seed)
+    sides = sorted({(x, k) for x in range(max(a, b)) for k in keys})
+    rows = spark.createDataFrame(sides, "x long, k long").select("x", "k", F.xxhash64("x", "k").alias("h")).collect()
+    hashed = {(r["x"], r["k"]): r["h"] for r in rows}
+
+    def once(p):
+        left, right = divmod(p, b)
+        for i, k in enumerate(keys):
+            if i % 2 == 0:
+                left = (left + hashed[right, k] % a) % a
+            else:
+                right = (right + hashed[left, k] % b) % b
+        return left * b + right
+
+    def place(p):
+        p = once(p)
+        while p >= n:
+            p = once(p)
+        return p
+
+    numbered = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("p"))
+    got = {r["row"]: r["p"] for r in sharding.permuted(numbered, n, seed).collect()}
+    assert got == {i: place(i) for i in range(n)}
+    assert sorted((p % shards, p // shards) for p in got.values()) == sorted((i % shards, i // shards) for i in range(n))
+
+
 def laws(rows, shards):
     slots = {}
     for r in rows:
