@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
+from ..sources.scratch import new_path
 from .panel import COLUMNS, panel
 from .roc import areas, curve, score_range
 
@@ -286,15 +287,23 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
     return g.select("metric", "stat", ends[0].alias("lower"), ends[1].alias("upper"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983, draws=multinomial_weights, p_adj: float | None = None, boot_mean: bool = False) -> Intervals:
     """Intervals for the whole panel of (y, p) rows.
 
     draws: bootstrap_weights to have draws that SQL can repeat. p_adj: points and
     jackknife are adjusted to that prevalence, and each replicate draws its own
-    around it. boot_mean: points are the means of the replicates.
+    around it. boot_mean: points are the means of the replicates. Cells, draws
+    and replicates are written to the shared folder, so none is worked out twice.
     """
-    c = cells(df)
-    reps = scores(draws(c, n, seed, p_adj), ("rep",), cut)
+    c = _kept(cells(df), "cells")
+    reps = _kept(scores(_kept(draws(c, n, seed, p_adj), "draws"), ("rep",), cut), "replicates")
     point = reps.groupBy("metric").agg(F.avg("value").alias("value")) if boot_mean else scores(c, (), cut, p_adj=p_adj)
     jack = jackknife_panel(c, cut, p_adj) if method == "bca" else None
     return Intervals(intervals(point, reps, method, a, jack), reps, jack)
@@ -317,7 +326,7 @@ def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float =
 
 def bootstrap_curves(df: DataFrame, n: int = 100, seed: int = 10221983) -> DataFrame:
     """The ROC curve of each replicate, by rep."""
-    return curve(multinomial_weights(cells(df), n, seed), ("rep",), weight="n")
+    return curve(_kept(multinomial_weights(_kept(cells(df), "cells"), n, seed), "draws"), ("rep",), weight="n")
 
 
 def bootstrap_areas(df: DataFrame, n: int = 100, seed: int = 10221983) -> DataFrame:
