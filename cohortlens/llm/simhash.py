@@ -1,20 +1,25 @@
 """SimHash near-duplicates found with BK-trees.
 
 A text gets a 64-bit fingerprint from its word shingles. Equal fingerprints are
-merged first. Two fingerprints within `radius` differing bits agree on at least
-one of radius + 1 bands of bits, so each band value names a shard: all
-fingerprints with that value, kept as one BK-tree (children keyed by the integer
-Hamming distance to the parent). A fingerprint asks the trees of its own band
-values and follows only edges whose key is within the radius of its distance to
-the node. The trees of all shards have no size bound, so they are not broadcast:
-each shard's tree is built in the task to which the shuffle deals its shard, and
-its queries are dealt to the same task.
+merged first. Of radius + k bands of bits two fingerprints within `radius`
+differing bits agree on at least k, so the values of any k bands name a shard:
+all fingerprints with these values, kept as one BK-tree (children keyed by the
+integer Hamming distance to the parent). k is chosen by the number of
+fingerprints, so that shards stay small in large tables; no link is missed for
+any k. A fingerprint asks the trees of its own shards and follows only edges
+whose key is within the radius of its distance to the node. Broadcast trees
+would have to pass through the driver with the fingerprints of all documents:
+instead each shard's tree is built in the task to which the shuffle deals its
+shard, and its queries are dealt to the same task. A shard of more than
+SHARD_MOST fingerprints is dealt as pairs of blocks, so no task holds a group
+without bound.
 
 For a wanted similarity (Jaccard of the shingle sets) few differing bits tell too
 little, so shards are then named by bands of MinHash values: the chance that a
 pair is seen depends on its similarity alone, not on the number of texts. Every
 pair of a shard that is not joined yet is held against the whole shingle sets
-before it counts; only then are the links of a shard reduced to a forest.
+before it counts; only then are the links of a shard reduced to a forest. Shards
+of more than SETS_MOST sets are dealt as pairs of blocks too.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import connected_components, give_back, numpy_components, read_table, staged
+from ._util import connected_components, give_back, numpy_components, read_table, small_side, staged
 
 SHINGLES_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
 BANDS, BAND_ROWS = 20, 6  # MinHash bands: of pairs at a similarity of 0.8 the share (1 - 0.8**6)**20 = 0.0023 meets in none
-SHARD_ROWS = 32  # fingerprints that a shard of sampled bits should have
-MISSED = 0.02  # share of links at the very radius that the samples of bits may miss
+SHARD_MOST = 1 << 17  # fingerprints of a shard that are searched in one piece
+SETS_MOST = 1 << 13  # shingle sets of a shard that are compared in one piece
+KEY_COST = 64  # dealing a fingerprint to one more shard costs as much as so many steps in a tree
 
 
 _draw = random.Random(0)
@@ -127,96 +133,118 @@ def _forest(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _search(values: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of one shard within the radius, found by walking the trees.
+    """Pairs (i, j), i < j, of one shard that join what all pairs within the radius join; found by walking the trees.
 
-    The pairs come by rising distance. Queries go in runs whose shard sizes sum to PAIRS_AT_ONCE, so that what is
-    held at a time is bounded.
+    Queries go in runs whose shard sizes sum to PAIRS_AT_ONCE, and of a run's
+    pairs a forest is kept that joins what earlier runs did not: what is held at
+    a time is bounded, however many pairs there are.
     """
     keys, child = _forest(values, first)
-    found = []
+    names, at = np.unique(values, return_inverse=True)
+    label, kept = np.arange(len(names)), [(first[:0], first[:0])]
     run = np.cumsum(size) // PAIRS_AT_ONCE
     for lo, hi in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(values)]]))):
-        q, node = np.arange(lo, hi), first[lo:hi]
+        q, node, found = np.arange(lo, hi), first[lo:hi], []
         while len(q):
             d = np.bitwise_count(values[q] ^ values[node]).astype(np.int64)
-            hit = (d <= radius) & (q < node)
-            found.append((d[hit], q[hit], node[hit]))
+            hit = (d <= radius) & (q < node) & (label[at[q]] != label[at[node]])
+            found.append((q[hit], node[hit]))
             low = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
             high = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right")
             n = high - low
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             q, node = np.repeat(q, n), child[np.repeat(low, n) + offset]
-    d, a, b = (np.concatenate(x) for x in zip(*found))
-    by = np.argsort(d, kind="stable")
-    return a[by], b[by]
+        a, b = (np.concatenate(x) for x in zip(*found))
+        pick = spanning_forest(len(names), label[at[a]], label[at[b]])
+        if len(pick):
+            kept.append((a[pick], b[pick]))
+            label = numpy_components(len(names), label[at[a[pick]]], label[at[b[pick]]])[label]
+    return tuple(np.concatenate(x) for x in zip(*kept))
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what all the links join, n - 1 at most; earlier ones are preferred (Boruvka's rounds)."""
-    label, kept = np.arange(n), [(a[:0], b[:0])]
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that join what all the links a[i]-b[i] join, n - 1 at most (Boruvka's rounds)."""
+    label, kept, place = np.arange(n), [np.empty(0, np.int64)], np.arange(len(a))
     while True:
         la, lb = label[a], label[b]
         apart = la != lb
         if not apart.any():
-            return tuple(np.concatenate(x) for x in zip(*kept))
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+            return np.concatenate(kept)
+        a, b, la, lb, place = a[apart], b[apart], la[apart], lb[apart], place[apart]
         first = np.full(n, len(a))
         np.minimum.at(first, la, np.arange(len(a)))
         np.minimum.at(first, lb, np.arange(len(a)))
         pick = np.unique(first[first < len(a)])
-        kept.append((a[pick], b[pick]))
+        kept.append(place[pick])
         label = numpy_components(n, la[pick], lb[pick])[label]
 
 
-def shard_bits(radius: int, rows: int) -> list[list[int]]:
-    """The bits whose values name shards, a list for each shard that a fingerprint is in.
+def bands_agreed(radius: int, rows: int) -> int:
+    """The number k of bands, of radius + k, whose values name a shard: the cheapest for so many fingerprints.
 
-    Up to a radius of 4, radius + 1 bands of all bits: two fingerprints within
-    the radius agree on one at least. Beyond, so many random samples of bits
-    that all but the share MISSED of links at the radius agree on one; a sample
-    has more bits the more fingerprints there are, so shards do not grow.
+    A fingerprint is in comb(radius + k, k) shards, and k / (radius + k) of its
+    bits name one.
     """
-    if radius <= 4:
-        cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-        return [list(range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
-    bits = min(40, max(8, math.ceil(math.log2(max(1, rows / SHARD_ROWS)))))
-    agree = math.comb(64 - radius, bits) / math.comb(64, bits)
-    rng = random.Random(radius)
-    return [sorted(rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - agree)))]
+    cost = lambda k: math.comb(radius + k, k) * (KEY_COST + rows / 2.0 ** (64 * k // (radius + k)))
+    return min(range(1, max(2, min(8, 65 - radius))), key=cost)
+
+
+def shard_masks(radius: int, k: int) -> list[int]:
+    """The bits that name shards, a mask for each choice of k among radius + k bands: within the radius one agrees at least."""
+    cuts = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
+    band = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(band, k)]
+
+
+def split_large(held: DataFrame, key: str, most: int) -> DataFrame:
+    """held (key, shard) with every shard of more than `most` rows replaced by smaller ones in which any two of its rows still meet.
+
+    Rows fall into blocks by hash of the key, and every two blocks are a shard.
+    """
+    sizes = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = small_side(sizes.select("shard", F.ceil(2 * F.col("n") / most).cast("int").alias("blocks")), "large")
+    own = F.pmod(F.xxhash64(key, F.lit(1)), "blocks").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own"))
+    cells = F.transform(others, lambda j: F.xxhash64("shard", F.least("own", j), F.greatest("own", j)))
+    dealt = held.join(large, "shard", "left").withColumn("own", own)
+    return dealt.select(key, F.explode(F.when(F.col("blocks").isNull(), F.array("shard")).otherwise(cells)).alias("shard"))
 
 
 def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that join the fingerprints of column fp within the radius.
+    """Links (a, b) that join what all links of at most `radius` differing bits between the fingerprints of column fp join.
 
-    Within a task the pairs found are reduced to a spanning forest, so at most
-    one link for each fingerprint and shard comes out.
+    A task's pairs are reduced to a spanning forest, so at most one link for
+    each fingerprint and run of shards comes out.
     """
-    samples = shard_bits(radius, distinct.count() if radius > 4 else 0)
-    masks = [sum(1 << i for i in bits) for bits in samples]
+    masks = shard_masks(radius, bands_agreed(radius, distinct.count()))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    shard = F.transform(F.array(*[F.lit(signed(m)) for m in masks]), lambda m, i: F.struct(i.alias("n"), F.col("fp").bitwiseAND(m).alias("bits")))
-    dealt = distinct.select("fp", F.explode(shard).alias("s")).select("fp", F.xxhash64("s.n", "s.bits").alias("shard")).repartition("shard")
+    shard = F.transform(F.array(*[F.lit(signed(m)) for m in masks]), lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
+    held = distinct.select("fp", F.explode(shard).alias("shard"))
+    dealt = split_large(held, "fp", SHARD_MOST).repartition("shard").sortWithinPartitions("shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("shard").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        shards, fps = (np.concatenate(x) for x in zip(*parts))
-        by = np.lexsort((fps, shards))
-        shards, fps = shards[by], fps[by]
+    def linked(shards: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
         size = np.diff(np.concatenate([start, [len(shards)]]))
         first, each = np.repeat(start, size), np.repeat(size, size)
         kept = each > 1
-        if not kept.any():
-            return
-        moved = np.cumsum(kept) - 1
-        values, first, each = fps[kept].view(np.uint64), moved[first[kept]], each[kept]
-        a, b = _search(values, first, each, radius)
-        names, at = np.unique(values.view(np.int64), return_inverse=True)
-        a, b = spanning_forest(len(names), at[a], at[b])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+        if kept.any():
+            moved = np.cumsum(kept) - 1
+            values = fps[kept].view(np.uint64)
+            a, b = _search(values, moved[first[kept]], each[kept], radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(values[x].view(np.int64)) for x in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            shards, fps = np.concatenate([shards, b.column("shard").to_numpy()]), np.concatenate([fps, b.column("fp").to_numpy()])
+            if len(shards) > SHARD_MOST:  # whole shards go; the last one may not be complete
+                cut = int(np.searchsorted(shards, shards[-1]))
+                if cut:
+                    yield from linked(shards[:cut], fps[:cut])
+                shards, fps = shards[cut:], fps[cut:]
+        if len(shards):
+            yield from linked(shards, fps)
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -251,7 +279,8 @@ def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) ->
 
     distinct: (set_key, row), row one in prints that has the set.
     Sets that share a band are a shard; of shards with the same members one is
-    taken. Shards come sorted, so a task holds the sets of one at a time.
+    taken. Shards come sorted, so a task holds the sets of one at a time, and of
+    a shard with more than SETS_MOST sets those of two blocks.
     """
     held = prints.select(F.explode("bands").alias("shard"), "set_key").repartition("shard").distinct()
     members = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("y"))
@@ -259,7 +288,7 @@ def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) ->
     shards = staged(held.join(taken.select("shard"), "shard", "left_semi"), "shards")
     wanted = distinct.join(shards.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.min("row").alias("row"))
     sets = prints.select("row", "set_key", "shingles").join(wanted.select("row"), "row", "left_semi").drop("row")
-    dealt = shards.join(sets, "set_key").repartition("shard").sortWithinPartitions("shard")
+    dealt = split_large(shards, "set_key", SETS_MOST).join(sets, "set_key").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(keys: list[int], raw: list[bytes]) -> tuple[list[int], list[int]]:

@@ -51,20 +51,61 @@ def test_op7_against_brute_force(spark, texts):
     assert got == {i: (f"{prints[i]:016x}", label[i]) for i in ids}
 
 
-def test_trees_find_every_pair():
-    rng = np.random.default_rng(5)
+def near_prints(n, seed=5):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(400)], dtype=np.uint64)
-    values = np.unique(base[rng.integers(0, 40, 400)] ^ flips)
-    n = len(values)
-    a, b = simhash._search(values, np.zeros(n, int), np.full(n, n), 4)
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if int(values[i] ^ values[j]).bit_count() <= 4}
-    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == want
-    fa, fb = simhash.spanning_forest(n, a, b)
-    assert len(fa) < n
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(n)], dtype=np.uint64)
+    return np.unique(base[rng.integers(0, 40, n)] ^ flips)
 
 
-def test_similar_links_and_keep_one(spark, docs):
+@pytest.mark.parametrize("at_once", [1 << 21, 3000])
+def test_trees_join_every_pair(monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+    values = near_prints(400)
+    n = len(values)
+    a, b = simhash._search(values, np.zeros(n, int), np.full(n, n), 4)
+    want = [(i, j) for i in range(n) for j in range(i + 1, n) if int(values[i] ^ values[j]).bit_count() <= 4]
+    got = list(zip(a.tolist(), b.tolist()))
+    assert {(min(x), max(x)) for x in got} <= set(want) and len(got) < n
+    assert brute_components(range(n), got) == brute_components(range(n), want)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 12])
+def test_shards_miss_no_link(radius):
+    rng = random.Random(radius)
+    for k in range(1, 5):
+        masks = simhash.shard_masks(radius, k)
+        for _ in range(300):
+            x = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not x & m for m in masks)
+    chosen = [simhash.bands_agreed(4, n) for n in (0, 10**5, 10**7, 10**9, 10**11)]
+    assert chosen == sorted(chosen) and chosen[0] == 1 and chosen[-1] > 2
+
+
+@pytest.mark.parametrize(("radius", "k", "most"), [(4, 1, 1 << 17), (4, 2, 20), (4, 3, 5), (6, 1, 20), (6, 2, 50)])
+def test_links_of_split_shards(spark, monkeypatch, radius, k, most):
+    monkeypatch.setattr(simhash, "bands_agreed", lambda radius, rows: k)
+    monkeypatch.setattr(simhash, "SHARD_MOST", most)
+    values = near_prints(300).view(np.int64).tolist()
+    want = [(x, y) for x in values for y in values if x < y and ((x ^ y) & (2**64 - 1)).bit_count() <= radius]
+    got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(v,) for v in values], "fp long"), radius).collect()]
+    assert {(min(x), max(x)) for x in got} <= set(want)
+    assert brute_components(values, got) == brute_components(values, want)
+
+
+def test_split_rows_still_meet(spark):
+    held = spark.createDataFrame([(i, 1) for i in range(200)] + [(i, 2) for i in range(9)], "k long, shard long")
+    cells = {}
+    for r in simhash.split_large(held, "k", 40).collect():
+        cells.setdefault(r["shard"], []).append(r["k"])
+    assert sorted(cells[2]) == list(range(9)) and 1 not in cells
+    met = {(x, y) for c, members in cells.items() if c != 2 for x in members for y in members if x < y}
+    assert len(met) == 199 * 100 and max(map(len, cells.values())) < 80
+
+
+@pytest.mark.parametrize("most", [1 << 13, 2])
+def test_similar_links_and_keep_one(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SETS_MOST", most)
     words = [f"w{i}" for i in range(200)]
     near = words[:]
     near[100] = "other"
