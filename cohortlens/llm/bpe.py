@@ -4,7 +4,7 @@ Texts are cut at spaces, tabs and line breaks, where no token can cross, into
 words. A chunk (some MB of texts read by one task) lists its distinct words and
 stores each text as places in that list. The chunks' words are dealt by hash, so
 that all that chunks ask about a word meets in one task, which encodes each
-distinct word once. The ids go back to the chunk, there to the texts by
+distinct word once and holds a bounded number of them. The ids go back to the chunk, there to the texts by
 position; an id-to-piece table, joined in memory, turns ids back into text.
 Chunks are staged in buckets, so the texts' places are never shuffled.
 """
@@ -29,6 +29,7 @@ from ._util import give_back, read_table, staged_buckets
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
 WORDS = 400_000  # ... or distinct words, but holds a text at least
 OUT_BYTES = 8 << 20
+KNOWN_BYTES = 256 << 20  # a task that holds encoded words beyond this lets go of those not asked about just now
 MOST_PARTS = 4096
 MID = 128 + 64 * 256  # places from here take three bytes
 LONG = MID + 64 * 65536  # and beyond this all are written plainly
@@ -179,18 +180,23 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
 
 def encode_words(asked: DataFrame, path: str) -> DataFrame:
     """(chunk, part, lengths, codes) for (chunk, part, words) dealt by part: a
-    task remembers its distinct words and encodes each of them once."""
+    task remembers its distinct words, up to KNOWN_BYTES, and encodes each of
+    them once (one that it had to let go, once more when it is asked about again)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known = tokenizer(path), {}
+        t, known, held = tokenizer(path), {}, 0
         for b in batches:
             for at in range(b.num_rows):
                 words = _unpack(b.column("words")[at].as_py()).decode("utf-8", "surrogatepass").split("\n")
+                if held > KNOWN_BYTES:
+                    known = {w: known[w] for w in words if w in known}
+                    held = sum(200 + len(w) + len(c) for w, c in known.items())
                 new = [w for w in words if w not in known]
                 for k in range(0, len(new), 4000):
                     part = new[k : k + 4000]
                     known.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(part, add_special_tokens=False))))
                 codes = [known[w] for w in words]
+                held += sum(200 + len(w) + len(known[w]) for w in new)
                 lengths = np.fromiter(map(len, codes), np.uint32, len(codes)) // 4
                 row = [b.column("chunk").slice(at, 1), b.column("part").slice(at, 1), pa.array([_planes(lengths)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(codes), "<u4"))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "lengths", "codes"])

@@ -125,7 +125,10 @@ def test_simhash_odd_rows(spark, docs):
     assert sorted(kept, key=str) == sorted([1, 3, None, 6, 7], key=str)
 
 
-def test_op4_round_trip(spark, texts):
+@pytest.mark.parametrize("known", [256 << 20, 1 << 12])
+def test_op4_round_trip(spark, texts, monkeypatch, known):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", known)
+    monkeypatch.setattr(bpe, "WORDS", 400_000 if known > 1 << 12 else 500)
     t = bpe.tokenizer(bpe.vocabulary_path())
     for r in bpe.op4_bpe(spark, SF).collect():
         ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
