@@ -36,13 +36,16 @@ def small_side(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
 
 def staged_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As staged, but written in buckets of the key: a later join on the key does
-    not shuffle this side again."""
+    not shuffle this side again. The table is only in the catalogue while its
+    layout is read from there; its files stay, as those of staged do."""
     spark = df.sparkSession
     ship(spark)
     path = new_path(spark, name)
     table = "cohortlens_" + path.rpartition("/")[2].replace("-", "_")
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    held = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return held
 
 
 def give_back() -> None:
