@@ -23,7 +23,7 @@ from ._util import connected_components, numpy_components, read_table, staged
 from .vectors import matrix, sample, vectors
 
 CELL_ROWS = 2048  # vectors a cell should have
-MOST_CELLS = 1024
+FEWEST_CELLS, MOST_CELLS = 8, 1024  # but a table has at least so many cells (one for each vector, if it has fewer) and at most so many
 BLOCK = 4096  # rows of a side in a task
 EPS = 1e-9
 
@@ -121,7 +121,7 @@ def near_duplicates(df: DataFrame, t: float = 0.9, id_col: str = "vec_id", vec_c
     n = distinct.count()
     if not n:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    fitted = spherical_kmeans(sample(distinct), min(MOST_CELLS, max(1, n // CELL_ROWS)))
+    fitted = spherical_kmeans(sample(distinct), min(MOST_CELLS, max(min(n, FEWEST_CELLS), n // CELL_ROWS)))
     homes = staged(_homes(distinct, fitted), "homes")
     cells = homes.groupBy("home").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
     shown = staged(_guests(homes, fitted, {r["home"]: r["near"] for r in cells}, t), "guests")
