@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "mixing", "sharding", "bpe", "near_dup_vectors", "ann", "simhash", "html_text", "license_scan", "pii", "fill_in_middle", "piece_spans"]
+MODULES = ["toxicity", "mixing", "sharding", "bpe", "near_dup_vectors", "ann", "simhash", "html_text", "license_scan", "pii", "fill_in_middle", "piece_spans", "centroids"]
 
 
 def queries() -> dict:
