@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import connected_components, give_back, numpy_components, read_table, small_side, staged
+from ._util import connected_components, free_name, give_back, numpy_components, read_table, small_side, staged
 
 SHINGLES_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
@@ -313,6 +313,26 @@ def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def equal_print_links(prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of at least the similarity between each set_key and the least one of its fingerprint.
+
+    Equal fingerprints are candidates like any others: repeats of one shingle can
+    decide all bits of texts that share little else, so the sets are compared.
+    """
+    least = distinct.groupBy("fp").agg(F.min(F.struct("set_key", "row")).alias("m"), F.countDistinct("set_key").alias("n")).where("n > 1")
+    pairs = distinct.join(least, "fp").where("set_key != m.set_key").selectExpr("m.set_key as a", "m.row as a_row", "set_key as b", "row as b_row")
+    side = lambda x: prints.select(F.col("row").alias(f"{x}_row"), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.join(side("a"), "a_row").join(side("b"), "b_row").select("a", "b", "a_set", "b_set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("a_set"), batch.column("b_set"))
+            alike = pa.array([bool(confirmed([np.frombuffer(x.as_py(), "<u4") for x in p], similarity)) for p in pairs], pa.bool_())
+            yield batch.select(["a", "b"]).filter(alike)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per_shingle: int, seed: int, similarity: float | None) -> DataFrame:
     """(id, text_key, fp, root, component_id) for each row of docs; root names the component."""
     prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None).withColumn("row", F.monotonically_increasing_id()), "prints")
@@ -321,8 +341,7 @@ def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per
     if similarity is None:
         links = near_links(distinct.select("fp"), radius)
     else:
-        equal = distinct.groupBy("fp").agg(F.min("set_key").alias("a")).join(distinct, "fp").selectExpr("a", "set_key as b")
-        links = similar_links(prints, distinct, similarity).unionByName(equal.where("a != b"))
+        links = similar_links(prints, distinct, similarity).unionByName(equal_print_links(prints, distinct, similarity))
     root = connected_components(links).select(F.col("node").alias(node), "root")
     named = distinct.groupBy(node).agg(F.min("least").alias("least")).join(root, node, "left").withColumn("root", F.coalesce("root", node))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -334,8 +353,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
     component_id: the smallest id reachable over links of at most `radius`
     differing bits or, if a similarity is given, over links of at least the
-    similarity (the radius then plays no part); rows with equal fingerprints are
-    linked. Null and empty texts have fingerprint 0 and are linked like any
+    similarity (the radius then plays no part); without a similarity rows with
+    equal fingerprints are linked. Null and empty texts have fingerprint 0 and are linked like any
     other. A null id takes part and gets its component's smallest id that is not
     null (null if there is none). Repeated rows give repeated results; an empty
     table gives none; other columns are not read.
@@ -348,19 +367,21 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
 
     Of a group whose rows all have a null id, one of the rows with the least text
     key stays. Of rows alike in id and text one stays; rows that share an id but
-    not the group are judged each by itself. Columns of docs whose names start
-    with _dup_ may not exist.
+    not the group are judged each by itself. All columns of docs pass, whatever
+    their names.
     """
+    dup_id, dup_key, dup_text = (free_name(n, docs.columns) for n in ("_dup_id", "_dup_key", "_dup_text"))
     found = _grouped(docs, 4, id_col, text_col, words_per_shingle, seed, similarity)
-    found = staged(found.select(F.col("id").alias("_dup_id"), F.col("text_key").alias("_dup_key"), "component_id", "root"), "groups")
-    nameless = found.where("component_id is null").groupBy("root").agg(F.min("_dup_key").alias("least"))
-    others = found.where("component_id is null").join(nameless, "root").where("_dup_key != least")
-    gone = found.where("component_id is not null and not _dup_id <=> component_id").select("_dup_id", "_dup_key").unionByName(others.select("_dup_id", "_dup_key")).distinct()
-    keyed = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_key"))
+    found = staged(found.select(F.col("id").alias(dup_id), F.col("text_key").alias(dup_key), "component_id", "root"), "groups")
+    nameless = found.where("component_id is null").groupBy("root").agg(F.min(dup_key).alias("least"))
+    others = found.where("component_id is null").join(nameless, "root").where(F.col(dup_key) != F.col("least"))
+    later = found.where(F.col("component_id").isNotNull() & ~F.col(dup_id).eqNullSafe(F.col("component_id")))
+    gone = later.select(dup_id, dup_key).unionByName(others.select(dup_id, dup_key)).distinct()
+    keyed = docs.withColumn(dup_text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(dup_id)) & (F.col(dup_text) == F.col(dup_key))
     kept = keyed.join(gone, same, "left_anti")
-    if found.groupBy("_dup_id", "_dup_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "_dup_text"])
+    if found.groupBy(dup_id, dup_key).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, dup_text])
     return kept.select(*docs.columns)
 
 
