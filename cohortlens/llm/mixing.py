@@ -13,6 +13,7 @@ share no text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 
 import pyarrow as pa
@@ -130,6 +131,13 @@ def route(groups: list[tuple[int, str | None, int, int]], quota: dict[str | None
     in rounds: round k opens every pattern for its k-th repetition and sends all
     that can be sent, which is the min-cost flow. Quotas that are `most` times
     all of a source's words fill its arcs in any flow, and are sent beforehand.
+
+    Rounds in which nothing changes are passed over. What k rounds send is the
+    least cut of a network whose capacities grow evenly with k (but where a
+    pattern's first words were sent beforehand, which are stops): concave in k
+    and straight between the few k at which another cut becomes the least. So
+    if d rounds together send d times what one does, no cut changes in them, and
+    each open pattern has filled every one of them. d is found by doubling.
     """
     words, once, held = {(p, x): w for p, x, w, _ in groups}, {}, defaultdict(int)
     for p, x, w, d in groups:
@@ -152,15 +160,29 @@ def route(groups: list[tuple[int, str | None, int, int]], quota: dict[str | None
     for p, x in cells:
         sum_of[p] += words[p, x]
     left, k = sum(quota[x] for x in sources), 0
-    gone = dict.fromkeys(patterns, 0)  # capacity opened so far
-    while left > 0:
+    opened = dict.fromkeys(patterns, 0)  # capacity so far
+    full = max((-(-(most * sum_of[p] + used[p]) // once[p]) for p in patterns if once[p]), default=0)  # rounds after which all is open
+    stops = sorted({used[p] // once[p] for p in patterns if once[p]} | {full})
+
+    def advance(d: int) -> int:
         for p in patterns:
-            flow.cap[into[p]] += max(0, (k + 1) * once[p] - used[p]) - gone[p]
-            gone[p] = max(0, (k + 1) * once[p] - used[p])
-        left -= flow.run(s, t)
-        k += 1
-        if all(gone[p] >= most * sum_of[p] for p in patterns):
-            break  # all that there is has gone out
+            cap = max(0, (k + d) * once[p] - used[p])
+            flow.cap[into[p]] += cap - opened[p]
+            opened[p] = cap
+        return flow.run(s, t)
+
+    while left > 0 and k < full:
+        gain = advance(1)
+        left, k = left - gain, k + 1
+        at = bisect_right(stops, k - 1)
+        bound = stops[at] - k if k < full and stops[max(0, at - 1)] != k - 1 else 0  # no capacity bends from k - 1 to the next stop
+        step = 1
+        while left > 0 and 0 < step <= bound:
+            before = flow.cap[:], opened.copy()
+            if advance(step) != step * gain:
+                flow.cap, opened = before
+                break
+            left, k, bound, step = left - step * gain, k + step, bound - step, min(2 * step, max(1, bound - step))
     return {c: f + (flow.cap[arcs[c] ^ 1] if c in arcs else 0) for c, f in out.items()}
 
 
