@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
+from ..shipping import shipped
 from ..sources.scratch import new_path
 from .panel import COLUMNS, panel
 from .roc import areas, curve, score_range
@@ -196,7 +197,7 @@ def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: fl
         return pd.DataFrame({"rep": (rep + mine.start).astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_AT_ONCE) - 1)))
-    return ranged.withColumn("block", blocks).groupBy("y", "r", "block").applyInPandas(draw, "rep long, y int, p double, n long")
+    return shipped(ranged).withColumn("block", blocks).groupBy("y", "r", "block").applyInPandas(draw, "rep long, y int, p double, n long")
 
 
 def scores(c: DataFrame, by: tuple[str, ...] = (), cut: float = 0.5, digits: int = 4, p_adj: float | None = None, kind: str = "prob") -> DataFrame:
@@ -351,7 +352,7 @@ def power_simulation(spark, sens: float = 0.8, spec: float = 0.8, prevalences: t
                 with np.errstate(divide="ignore", invalid="ignore"):
                     yield pd.DataFrame({"n": n, "p": p, "sensitivity": np.where(fn + tp > 0, tp / (fn + tp), np.nan), "specificity": np.where(tn + fp > 0, tn / (tn + fp), np.nan), "count_diff": np.where(fn + tp > 0, (fn - fp) / (fn + tp), np.nan)})
 
-    return grid.mapInPandas(draw, "n long, p double, sensitivity double, specificity double, count_diff double")
+    return shipped(grid).mapInPandas(draw, "n long, p double, sensitivity double, specificity double, count_diff double")
 
 
 def margins(draws: DataFrame, digits: int = 4) -> DataFrame:

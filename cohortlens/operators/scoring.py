@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from . import image
 
 
@@ -34,7 +35,7 @@ def score_batches(df: DataFrame, load: Callable[[], Callable[[np.ndarray], np.nd
                 out[have] = model(x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(have), -1))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.float64(), from_pandas=True) for c in out.T)], [*b.schema.names, *new])
 
-    return df.mapInArrow(run, schema)
+    return shipped(df).mapInArrow(run, schema)
 
 
 def turn_inverted(df: DataFrame, score: str, pixels: str = "pixels") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("cohortlens", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df itself, once its session has the package. A function that Spark runs in
+    Python remembers the files sent so far when it is made, so this comes before it."""
+    ship(df.sparkSession)
+    return df
