@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shipping import shipped
 from ._util import read_table, staged
 from .near_dup_vectors import spherical_kmeans
 from .vectors import matrix, sample, vectors
@@ -171,7 +172,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order[:, 0].astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], [*b.schema.names, "part", "visits"])
 
     asks_too = F.coalesce(is_query & F.col("id").isNotNull(), F.lit(False)).alias("asks")
-    indexed = staged(rows.select("row", "id", "v", asks_too).mapInArrow(route, "row long, id long, v array<double>, asks boolean, part int, visits array<int>"), "index")
+    indexed = staged(shipped(rows).select("row", "id", "v", asks_too).mapInArrow(route, "row long, id long, v array<double>, asks boolean, part int, visits array<int>"), "index")
     kept = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
     asks = indexed.where("asks").select("row", "id", "v", F.explode("visits").alias("part"))
     asked = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -182,7 +183,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda i: F.struct(own("blocks").alias("cb"), i.alias("qb")))
     )
     dealt = both.withColumn("at", F.explode(spread)).select("part", "at.cb", "at.qb", "asks", "row", "id", "v")
-    found = dealt.groupBy("part", "cb", "qb").applyInArrow(lambda g: nearest_in(g, k), "row long, query_id long, vec_id long, score double")
+    found = shipped(dealt).groupBy("part", "cb", "qb").applyInArrow(lambda g: nearest_in(g, k), "row long, query_id long, vec_id long, score double")
     by = W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

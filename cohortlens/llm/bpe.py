@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import give_back, read_table, staged_buckets
 
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
@@ -175,7 +176,7 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
         place, places = None, None
         give_back()
 
-    return slim.mapInArrow(run, "chunk long, ids array<long>, counts array<int>, places binary, owners binary, asked array<struct<part: int, words: binary>>")
+    return shipped(slim).mapInArrow(run, "chunk long, ids array<long>, counts array<int>, places binary, owners binary, asked array<struct<part: int, words: binary>>")
 
 
 def encode_words(asked: DataFrame, path: str) -> DataFrame:
@@ -201,7 +202,7 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
                 row = [b.column("chunk").slice(at, 1), b.column("part").slice(at, 1), pa.array([_planes(lengths)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(codes), "<u4"))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "lengths", "codes"])
 
-    return asked.mapInArrow(run, "chunk long, part int, lengths binary, codes binary")
+    return shipped(asked).mapInArrow(run, "chunk long, part int, lengths binary, codes binary")
 
 
 def id_to_piece(path: str) -> list[str]:
@@ -265,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return both.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return shipped(both).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -282,7 +283,7 @@ def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id"
             text = [" ".join(pieces[np.frombuffer(x.as_py(), "<u4")]) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "decoded"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, decoded string")
+    return shipped(slim).mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

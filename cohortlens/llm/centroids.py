@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shipped
 from ._util import read_table, staged
 
 LARGEST = 1 << 27  # a component beyond would not leave 64-bit distances exact
@@ -91,7 +91,7 @@ def weighted_sums(distinct: DataFrame, c: np.ndarray) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.decimal128(38, 0), pa.decimal128(38, 0))
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()) if t == pa.int32() else pa.array([Decimal(n) for n in p], t) for p, t in zip(part, kinds)], ["cluster", "place", "total", "copies"])
 
-    each = distinct.select("q", "copies").mapInArrow(run, f"cluster int, place int, total {WIDE}, copies {WIDE}")
+    each = shipped(distinct).select("q", "copies").mapInArrow(run, f"cluster int, place int, total {WIDE}, copies {WIDE}")
     return each.groupBy("cluster", "place").agg(F.sum("total").cast(WIDE).alias("total"), F.sum("copies").cast(WIDE).alias("copies"))
 
 
@@ -112,7 +112,7 @@ def assigned(distinct: DataFrame, c: np.ndarray) -> DataFrame:
             near, d = nearest(matrix(b.column("q"), c.shape[1]), c)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(d)], [*b.schema.names, "cluster", "distance"])
 
-    return distinct.mapInArrow(run, f"{kinds}, cluster int, distance long")
+    return shipped(distinct).mapInArrow(run, f"{kinds}, cluster int, distance long")
 
 
 def digest(centroid: np.ndarray) -> str:
@@ -133,7 +133,6 @@ def cluster(df: DataFrame, k: int = 16, rounds: int = 3, components: int = 64, s
     if k < 1 or rounds < 0 or components < 1:
         raise ValueError("k and components must be at least 1, rounds at least 0")
     spark = df.sparkSession
-    ship(spark)
     rows = quantised(df, components, scale, id_col, vec_col)
     distinct = staged(rows.groupBy("h", "q").agg(F.count(F.lit(1)).alias("copies")), "distinct")
     c = first_centroids(rows, k, seed)

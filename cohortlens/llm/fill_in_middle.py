@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shipped
 from ._util import free_name, read_table
 
 SENTINELS = ("<P>", "<S>", "<M>")  # prefix, suffix, middle
@@ -166,7 +166,6 @@ def fill_in_middle(
     check_sentinels(sentinels)
     if unit not in STARTS:
         raise ValueError(f"unit must be one of {', '.join(STARTS)}")
-    ship(docs.sparkSession)
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), digest.alias("digest"))
@@ -187,7 +186,7 @@ def fill_in_middle(
                 columns = [b.column("doc_id"), pa.array(n, pa.int64()), b.column("form"), pa.array(prefix, pa.int64(), mask=plain), pa.array(middle, pa.int64(), mask=plain), strings(out, out_offsets)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return shipped(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restore(coded: DataFrame, sentinels: tuple[str, str, str] = SENTINELS, output_col: str = "output", form_col: str = "form", to: str = "restored") -> DataFrame:
@@ -197,7 +196,6 @@ def restore(coded: DataFrame, sentinels: tuple[str, str, str] = SENTINELS, outpu
     the output in its order. If the name `to` is taken, _ is put in front.
     """
     check_sentinels(sentinels)
-    ship(coded.sparkSession)
     to = free_name(to, coded.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
 
@@ -213,7 +211,7 @@ def restore(coded: DataFrame, sentinels: tuple[str, str, str] = SENTINELS, outpu
                 valid = whole & b.column(" ").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], strings(out, out_offsets, valid)], [*batch.schema.names, to])
 
-    return coded.mapInArrow(run, f"{schema}, `{to}` string")
+    return shipped(coded).mapInArrow(run, f"{schema}, `{to}` string")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import free_name, read_table
 
 BLOCKS = frozenset("html head body title main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset legend table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hr select option button dialog center".split())
@@ -407,7 +408,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
                 at += took
 
-    return slim.mapInArrow(run, f"{schema}text string")
+    return shipped(slim).mapInArrow(run, f"{schema}text string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import read_table
 
 #: The phrases of the base labels.
@@ -181,7 +182,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 out.append((len(words), [{"start": s, "label": x} for s, x in sorted(base)], sorted(labels), min(1.0, max(score, 0.9 if base else 0.0))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), place, pa.list_(pa.string()), pa.float64())))], ["doc_id", "n_words", "places", "labels", "score"])
 
-    return slim.mapInArrow(run, "doc_id long, n_words long, places array<struct<start: long, label: string>>, labels array<string>, score double")
+    return shipped(slim).mapInArrow(run, "doc_id long, n_words long, places array<struct<start: long, label: string>>, labels array<string>, score double")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

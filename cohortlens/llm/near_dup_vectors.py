@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import connected_components, numpy_components, read_table, staged
 from .vectors import matrix, sample, vectors
 
@@ -54,7 +55,7 @@ def _homes(distinct: DataFrame, c: np.ndarray) -> DataFrame:
             s = matrix(b.column("v")) @ c.T if b.num_rows else np.empty((0, len(c)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.argmax(axis=1).astype(np.int32)), pa.array(s.max(axis=1) if b.num_rows else [], pa.float64())], [*b.schema.names, "home", "near"])
 
-    return distinct.mapInArrow(run, "key string, least long, copies long, v array<double>, home int, near double")
+    return shipped(distinct).mapInArrow(run, "key string, least long, copies long, v array<double>, home int, near double")
 
 
 def _guests(homes: DataFrame, c: np.ndarray, radius: dict[int, float], t: float) -> DataFrame:
@@ -80,7 +81,7 @@ def _guests(homes: DataFrame, c: np.ndarray, radius: dict[int, float], t: float)
                     out.append(np.flatnonzero(may).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "guest"])
 
-    return homes.mapInArrow(run, "key string, least long, copies long, v array<double>, home int, near double, guest array<int>")
+    return shipped(homes).mapInArrow(run, "key string, least long, copies long, v array<double>, home int, near double, guest array<int>")
 
 
 def _meet(group: pa.Table, t: float) -> pa.Table:
@@ -135,7 +136,7 @@ def near_duplicates(df: DataFrame, t: float = 0.9, id_col: str = "vec_id", vec_c
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("hb"), own("askers").alias("qb")))
     )
     dealt = each.withColumn("at", F.explode(spread)).select("cell", "at.hb", "at.qb", "role", "key", "copies", "v")
-    met = staged(dealt.groupBy("cell", "hb", "qb").applyInArrow(lambda g: _meet(g, t), "key string, links long, root string"), "met")
+    met = staged(shipped(dealt).groupBy("cell", "hb", "qb").applyInArrow(lambda g: _meet(g, t), "key string, links long, root string"), "met")
     root = connected_components(met.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "root")
     named = distinct.select("key", "least", "copies").join(met.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(root, "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)

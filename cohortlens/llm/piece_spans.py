@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shipped
 from ._util import give_back, read_table
 
 BATCH_CHARS = 4 << 20  # texts whose distinct words are looked up together, one text at least
@@ -288,7 +288,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     of their own; an empty table gives an empty one; other columns are not read.
     """
     path = path or vocabulary_path()
-    ship(docs.sparkSession)
     text = F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit("")))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     numbers = pa.list_(pa.int32())
@@ -324,13 +323,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         give_back()
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return shipped(slim).mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
 def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded) for arrays of ids; null arrays and null ids in them stand for no piece."""
     path = path or vocabulary_path()
-    ship(coded.sparkSession)
     ids = F.filter(F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")), lambda x: x.isNotNull())
     slim = coded.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
 
@@ -340,7 +338,7 @@ def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id"
             decoded = pa.array([m.library.decode(x.as_py()) for x in b.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), decoded], ["doc_id", "decoded"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, decoded string")
+    return shipped(slim).mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, decoded string")
 
 
 def op12_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

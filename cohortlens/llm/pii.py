@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import free_name, give_back, read_table
 from .boosting import BoostedTrees
 
@@ -295,7 +296,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             both = [(named(x), named(sorted(x + y))) for x, y in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x for x, _ in both], span), pa.array([y for _, y in both], span)], [*keep, "base", "spans"])
 
-    return slim.mapInArrow(run, f"{schema}, base {ddl}, spans {ddl}")
+    return shipped(slim).mapInArrow(run, f"{schema}, base {ddl}, spans {ddl}")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -325,7 +326,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             del texts, new
         give_back()
 
-    out = docs.mapInArrow(run, ", ".join(f"`{f.name}` {t}" for f, t in zip(fields, types)))
+    out = shipped(docs).mapInArrow(run, ", ".join(f"`{f.name}` {t}" for f, t in zip(fields, types)))
     return out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import connected_components, free_name, give_back, numpy_components, read_table, small_side, staged
 
 SHINGLES_AT_ONCE = 1 << 18
@@ -105,7 +106,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if shingles:
             give_back()
 
-    return slim.mapInArrow(run, "id long, text_key long, fp long" + ", set_key long, bands array<long>, shingles binary" * shingles)
+    return shipped(slim).mapInArrow(run, "id long, text_key long, fp long" + ", set_key long, bands array<long>, shingles binary" * shingles)
 
 
 def _forest(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +247,7 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         if len(shards):
             yield from linked(shards, fps)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return shipped(dealt).mapInArrow(run, "a long, b long")
 
 
 def confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -310,7 +311,7 @@ def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) ->
         keys, raw = [], []
         give_back()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return shipped(dealt).mapInArrow(run, "a long, b long")
 
 
 def equal_print_links(prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -330,7 +331,7 @@ def equal_print_links(prints: DataFrame, distinct: DataFrame, similarity: float)
             alike = pa.array([bool(confirmed([np.frombuffer(x.as_py(), "<u4") for x in p], similarity)) for p in pairs], pa.bool_())
             yield batch.select(["a", "b"]).filter(alike)
 
-    return both.mapInArrow(run, "a long, b long")
+    return shipped(both).mapInArrow(run, "a long, b long")
 
 
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per_shingle: int, seed: int, similarity: float | None) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from ._util import free_name, give_back, read_table, staged
 
 OTHER, INSULT, HARM, WILL, TARGET, NEG, REPORT, THAT, QUOTE, END = range(10)
@@ -210,7 +211,7 @@ def clause_features(docs: DataFrame, insults: dict[str, float], keep: list[str],
         reader.known.clear()
         give_back()
 
-    return slim.mapInArrow(run, f"{schema}`{to}` array<double>")
+    return shipped(slim).mapInArrow(run, f"{schema}`{to}` array<double>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
