@@ -218,40 +218,107 @@ def jackknife(c: DataFrame, cut: float = 0.5, digits: int = 4, p_adj: float | No
     return each.select(F.col("oy").alias("y"), F.col("oh").alias("hit"), "metric", "value", "weight")
 
 
+def _running(df: DataFrame, names: list[str], order: str) -> DataFrame:
+    """df with <name>_to, the sum of a column over rows of the same or a higher
+    `order` (which is unique), and <name>_all: within ranges first, then over these."""
+    ranged = df.withColumn("_r", score_range(order, PER_OCTAVE))
+    sums = ranged.groupBy("_r").agg(*[F.sum(n).alias(n) for n in names])
+    above = W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = [F.coalesce(F.sum(n).over(above), F.lit(0.0)).alias(f"{n}_to") for n in names]
+    sums = sums.select("_r", *before, *[F.sum(n).over(whole).alias(f"{n}_all") for n in names])
+    here = W.partitionBy("_r").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(sums, "_r").withColumns({f"{n}_to": F.col(f"{n}_to") + F.sum(n).over(here) for n in names}).drop("_r")
+
+
+def jackknife_cells(c: DataFrame, digits: int = 4, sens_min: float = 0.9, spec_min: float = 0.7) -> DataFrame:
+    """(y, p, weight, brier, auc, ap, sens_at, spec_at): what follows without one
+    row of each cell (label, score), in closed form, and how many such rows there are.
+
+    A row takes its wins from auc. In ap the terms above its score stay, and
+    those from there on have one row less to be found or to be passed, so sums
+    from either end give the rest. sens_at and spec_at have one of two values for
+    each label, as the row lies before or behind the point where the curve then
+    reaches its target. Null where a label has no other row (sens_at: 0).
+    """
+    r = curve(c, weight="n")
+    tps, fps, dp, dn, np_, nn = (F.col(x) for x in ("tps", "fps", "dp", "dn", "np", "nn"))
+    rows, frac = tps + fps, lambda x, y: ratio(x, y)  # noqa: E731  0 where no row is left at that score or above
+    terms = {"whole": dp * frac(tps, rows), "found": dp * frac(tps - 1, rows - 1), "passed": dp * frac(tps, rows - 1)}
+    r = _running(r.withColumns(terms), list(terms), "thr")
+    point = F.struct("tps", "fps", "thr")
+    first = lambda hits, of: F.max_by(point, F.when(ratio(hits, of, None) >= sens_min, F.col("thr")))
+    last = lambda misses, of: F.min_by(point, F.when(1 - ratio(misses, of, None) >= spec_min, F.col("thr")))
+    wins = F.sum(dn * (2 * (tps - dp) + dp)).alias("wins2")
+    off = F.sum(dp * F.pow(F.col("thr") - 1, 2) + dn * F.pow(F.col("thr"), 2)).alias("off")
+    ends = [first(tps, np_ - 1).alias("pa"), first(tps - 1, np_ - 1).alias("pb"), first(tps, np_).alias("pn")]
+    ends += [last(fps, nn - 1).alias("na"), last(fps - 1, nn - 1).alias("nb"), last(fps, nn).alias("nn_")]
+    each = r.crossJoin(F.broadcast(r.agg(wins, off, *ends)))  # one row
+    thr, at_or_above = F.col("thr"), lambda s: F.coalesce((F.col("thr") >= F.col(f"{s}.thr")).cast("long"), F.lit(0))
+    above = F.col("whole_to") - F.col("whole")
+    one = F.struct(
+        F.lit(1).alias("y"), dp.alias("weight"), F.pow(thr - 1, 2).alias("off"),
+        ratio(F.col("wins2") - 2 * (nn - fps) - dn, 2 * (np_ - 1) * nn, None).alias("auc"),
+        ratio(above + (dp - 1) * frac(tps - 1, rows - 1) + F.col("found_all") - F.col("found_to"), np_ - 1, None).alias("ap"),
+        F.coalesce(ratio(F.col("nn_.tps") - at_or_above("nn_"), np_ - 1, None), F.lit(0.0)).alias("sens_at"),
+        (1 - ratio(F.when(thr < F.col("pa.thr"), F.col("pa.fps")).otherwise(F.col("pb.fps")), nn, None)).alias("spec_at"),
+    )
+    zero = F.struct(
+        F.lit(0).alias("y"), dn.alias("weight"), F.pow(thr, 2).alias("off"),
+        ratio(F.col("wins2") - 2 * (tps - dp) - dp, 2 * np_ * (nn - 1), None).alias("auc"),
+        ratio(above + F.col("passed_all") - F.col("passed_to") + F.col("passed"), np_, None).alias("ap"),
+        F.coalesce(ratio(F.when(thr >= F.col("nb.thr"), F.col("nb.tps")).otherwise(F.col("na.tps")), np_, None), F.lit(0.0)).alias("sens_at"),
+        (1 - ratio(F.col("pn.fps") - at_or_above("pn"), nn - 1, None)).alias("spec_at"),
+    )
+    brier = half_even(ratio(F.col("all_off") - F.col("o.off"), F.col("rows_") - 1, None), digits)
+    out = each.withColumn("all_off", F.col("off")).select("thr", "all_off", (np_ + nn).alias("rows_"), F.explode(F.array(one, zero)).alias("o")).where("o.weight > 0")
+    return out.select("o.y", F.col("thr").alias("p"), "o.weight", brier.alias("brier"), "o.auc", "o.ap", "o.sens_at", "o.spec_at")
+
+
+BY_CELL = ("brier", "auc", "ap", "sens_at", "spec_at")  # metrics that depend on the score left out
+
+
 def jackknife_brier(c: DataFrame, digits: int = 4) -> DataFrame:
     """(y, p, brier, weight): the mean squared error without one row of each cell."""
-    off = F.pow(F.col("p") - F.col("y"), 2)
-    whole = c.agg(F.sum(off * F.col("n")).alias("s"), F.sum("n").alias("rows"))  # one row
-    return c.crossJoin(whole).select("y", "p", half_even(ratio(F.col("s") - off, F.col("rows") - 1, None), digits).alias("brier"), F.col("n").alias("weight"))
+    return jackknife_cells(c, digits).select("y", "p", "brier", "weight")
 
 
 def jackknife_auc(c: DataFrame) -> DataFrame:
-    """(y, p, auc, weight): the area without one row of each cell, from the wins that the row takes away."""
-    r = curve(c, weight="n")
-    wins2 = F.sum(F.col("dn") * (2 * (F.col("tps") - F.col("dp")) + F.col("dp"))).alias("w2")
-    each = r.crossJoin(r.agg(wins2))  # one row
-    own = F.array(F.struct(F.lit(1).alias("y"), (2 * (F.col("nn") - F.col("fps")) + F.col("dn")).alias("take"), F.col("dp").alias("k")), F.struct(F.lit(0).alias("y"), (2 * (F.col("tps") - F.col("dp")) + F.col("dp")).alias("take"), F.col("dn").alias("k")))
-    e = each.select("thr", "np", "nn", "w2", F.explode(own).alias("o")).where("o.k > 0")
-    pairs = F.when(F.col("o.y") == 1, (F.col("np") - 1) * F.col("nn")).otherwise(F.col("np") * (F.col("nn") - 1))
-    return e.select(F.col("o.y").alias("y"), F.col("thr").alias("p"), ratio(F.col("w2") - F.col("o.take"), 2 * pairs, None).alias("auc"), F.col("o.k").alias("weight"))
+    """(y, p, auc, weight): the area without one row of each cell."""
+    return jackknife_cells(c).select("y", "p", "auc", "weight")
+
+
+def _long(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, value) of the metrics by cell."""
+    each = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BY_CELL]
+    return wide.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.metric", "s.value")
 
 
 def jackknife_panel(c: DataFrame, cut: float = 0.5, p_adj: float | None = None) -> DataFrame:
-    """(y, hit, metric, value, weight) of the whole panel but ap, sens_at and spec_at.
+    """(y, hit, metric, value, weight) of the whole panel: for BY_CELL a row for
+    each cell, for the rest at most four."""
+    by_cell = _long(jackknife_cells(c).withColumn("hit", F.col("p") >= cut), ["y", "hit", "weight"])
+    return jackknife(c, cut, p_adj=p_adj).unionByName(by_cell)
 
-    brier and auc have a row for each cell, the rest at most four.
-    """
-    out = jackknife(c, cut, p_adj=p_adj)
-    for name, each in (("brier", jackknife_brier(c)), ("auc", jackknife_auc(c))):
-        out = out.unionByName(each.select("y", (F.col("p") >= cut).alias("hit"), F.lit(name).alias("metric"), F.col(name).alias("value"), "weight"))
-    return out
+
+def paired_cells(df: DataFrame, ref: tuple[str, str] = ("y", "p"), comp: tuple[str, str] = ("y2", "p2")) -> DataFrame:
+    """(ry, rp, cy, cp, n): rows by label and score in both of two panels; rows with a null in one are left out."""
+    named = [F.col(x).alias(k) for x, k in zip((*ref, *comp), ("ry", "rp", "cy", "cp"))]
+    return df.select(*named).dropna().groupBy("ry", "rp", "cy", "cp").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
 class Intervals:
     cis: DataFrame  # metric, stat, lower, upper
     scores: DataFrame  # rep, metric, value
-    jack: DataFrame | None = None
+    counts: DataFrame | None = None  # jackknife of what follows from counts: y, hit, metric, value, weight
+    cells: DataFrame | None = None  # and of the rest, as jackknife_cells gives it
+    cut: float = 0.5
+
+    @property
+    def jack(self) -> DataFrame | None:
+        """(metric, value, weight) of the whole panel."""
+        return None if self.counts is None else self.counts.select("metric", "value", "weight").unionByName(_long(self.cells, ["weight"]))
 
 
 def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float = 0.05, jack: DataFrame | None = None) -> DataFrame:
@@ -275,6 +342,7 @@ def intervals(point: DataFrame, reps: DataFrame, method: str = "bca", a: float =
         d = F.transform("t", lambda v: F.col("stat") - v)
         ends = F.col("stat") + nearest_percentile(d, lo), F.col("stat") + nearest_percentile(d, hi)
     elif method == "bca":
+        jack = jack.where(F.col("value").isNotNull())
         mean = jack.groupBy("metric").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"))
         d = F.col("mean") - F.col("value")
         acc = jack.join(F.broadcast(mean), "metric").groupBy("metric").agg(F.sum(F.pow(d, 3) * F.col("weight")).alias("c3"), F.sum(F.pow(d, 2) * F.col("weight")).alias("c2"))
@@ -306,22 +374,35 @@ def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05,
     c = _kept(cells(df), "cells")
     reps = _kept(scores(_kept(draws(c, n, seed, p_adj), "draws"), ("rep",), cut), "replicates")
     point = reps.groupBy("metric").agg(F.avg("value").alias("value")) if boot_mean else scores(c, (), cut, p_adj=p_adj)
-    jack = jackknife_panel(c, cut, p_adj) if method == "bca" else None
-    return Intervals(intervals(point, reps, method, a, jack), reps, jack)
+    out = Intervals(None, reps, cut=cut)
+    if method == "bca":
+        out.counts, out.cells = _kept(jackknife(c, cut, p_adj=p_adj), "counts"), _kept(jackknife_cells(c), "left_out")
+    out.cis = intervals(point, reps, method, a, out.jack)
+    return out
+
 
+def _differences(ref: Intervals, comp: Intervals, pairs: DataFrame) -> DataFrame:
+    """(metric, value, weight): comp less ref without the same row in both, by the cells that the row has in either."""
+    r, c = F.col("rp") >= ref.cut, F.col("cp") >= comp.cut
+    few = pairs.groupBy("ry", r.alias("rh"), "cy", c.alias("ch")).agg(F.sum("n").alias("n"))  # 16 rows at most
+    left = few.join(ref.counts.alias("r"), (F.col("r.y") == F.col("ry")) & (F.col("r.hit") == F.col("rh"))).select("cy", "ch", "n", "metric", F.col("value").alias("rv"))
+    same = (F.col("c.y") == F.col("l.cy")) & (F.col("c.hit") == F.col("l.ch")) & (F.col("c.metric") == F.col("l.metric"))
+    counts = left.alias("l").join(comp.counts.alias("c"), same).select("l.metric", (F.col("c.value") - F.col("rv")).alias("value"), F.col("n").alias("weight"))
+    both = pairs.join(ref.cells.alias("r"), (F.col("r.y") == F.col("ry")) & (F.col("r.p") == F.col("rp"))).join(comp.cells.alias("c"), (F.col("c.y") == F.col("cy")) & (F.col("c.p") == F.col("cp")))
+    by_cell = both.select(F.col("n").alias("weight"), *[(F.col(f"c.{m}") - F.col(f"r.{m}")).alias(m) for m in BY_CELL])
+    return counts.unionByName(_long(by_cell, ["weight"]))
 
-def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float = 0.05) -> DataFrame:
+
+def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float = 0.05, pairs: DataFrame | None = None) -> DataFrame:
     """(metric, ref, comp, d, lower, upper) of comp - ref for the panel without
-    true_prev, replicates paired by number. For bca rows are paired by the cell
-    (label, hit) that they are in; brier and areas get no acceleration."""
+    true_prev, replicates paired by number. bca needs `pairs`, the rows by their
+    cells in both panels (see paired_cells), as it leaves the same row out of both."""
     pair = ref.cis.select("metric", F.col("stat").alias("ref")).join(comp.cis.select("metric", F.col("stat").alias("comp")), "metric").where("metric != 'true_prev'")
     point = pair.select("metric", (F.col("comp") - F.col("ref")).alias("value"))
     reps = ref.scores.alias("r").join(comp.scores.alias("c"), ["rep", "metric"]).select("rep", "metric", (F.col("c.value") - F.col("r.value")).alias("value"))
-    jack = None
-    if method == "bca":
-        few = lambda x: x.jack.where(~F.col("metric").isin("brier", "auc"))
-        jack = few(ref).alias("r").join(few(comp).alias("c"), ["y", "hit", "metric"]).select("metric", (F.col("c.value") - F.col("r.value")).alias("value"), F.col("r.weight").alias("weight"))
-    out = intervals(point, reps, method, a, jack)
+    if method == "bca" and (pairs is None or ref.cells is None or comp.cells is None):
+        raise ValueError("bca needs the rows' pairs of cells, and both panels with their jackknife")
+    out = intervals(point, reps, method, a, _differences(ref, comp, pairs) if method == "bca" else None)
     return pair.join(out, "metric").select("metric", "ref", "comp", F.col("stat").alias("d"), "lower", "upper")
 
 

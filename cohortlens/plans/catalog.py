@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.distributions import chi2_sf
 from ..operators import cohort as C
 from ..operators import confusion as M
 from ..operators import image as I
@@ -101,16 +100,6 @@ def m13(spark: SparkSession, d: str) -> DataFrame:
     return M.mcnemar(grid_counts(spark, d)).select("grp", "b", "c", S.half_even("stat").alias("stat")).join(plain, "grp")
 
 
-@query("m13_mcnemar_p")
-def m13p(spark: SparkSession, d: str) -> DataFrame:
-    return M.mcnemar(grid_counts(spark, d)).select("grp", "stat", chi2_sf("stat").alias("pval"))
-
-
-@query("m20_panel_mcnemar", None)
-def m20n(spark: SparkSession, d: str) -> DataFrame:
-    return P.panel(view(spark, d, "scored_grid"), ("grp",), mcnemar=True, model="grid", only=["sens", "spec", "mcnemar", "model"])
-
-
 @query("m14_synthetic_obs", f"{RATED}, e AS (SELECT grp, u.o, u.y, u.yhat, u.k, u.b FROM q, unnest([{{'o':0,'y':0,'yhat':0,'k':tn,'b':0}}, {{'o':1,'y':1,'yhat':0,'k':fn,'b':tn}}, {{'o':2,'y':0,'yhat':1,'k':fp,'b':tn+fn}}, {{'o':3,'y':1,'yhat':1,'k':tp,'b':tn+fn+fp}}]) AS t(u)) SELECT grp, y, yhat, b + unnest(range(k)) AS at FROM e", "scored_grid")
 def m14(spark: SparkSession, d: str) -> DataFrame:
     return M.observations(grid_counts(spark, d), ("grp",))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.distributions import chi2_sf
 from ..operators import cohort as C
 from ..operators import confusion as M
 from ..operators import image as I
@@ -264,12 +263,6 @@ def a15(spark, d):
     return e.groupBy("user_id").agg(S.half_even(T.harmonic_p(), 6).alias("p_avg"), S.half_even(T.harmonic_p(w="w"), 8).alias("p_weighted"), S.half_even(T.harmonic_p(smooth=None), 6).alias("p_plain"), S.half_even(T.fisher_statistic()).alias("fisher"))
 
 
-@query("a15_fisher_p")
-def a15p(spark, d):
-    e = table(spark, d, "events").withColumn("p", F.col("value") / 500).groupBy("user_id").agg(T.fisher_statistic().alias("fisher"))
-    return e.select("user_id", chi2_sf("fisher").alias("pval"))
-
-
 @query("t01_t03_sort_limit", "SELECT id, exam_country FROM cohort ORDER BY id LIMIT 100", "cohort")
 def t03(spark, d):
     return view(spark, d, "cohort").orderBy("id").limit(100).select("id", "exam_country")
@@ -366,11 +359,6 @@ for _n, _m, _p in (("r05_boot_pct", "pct", None), ("r06_boot_emp", "emp", 0.12),
     query(_n, boot_sql(_m, _p), "scored_grid")(lambda spark, d, m=_m, p=_p: boot(spark, d, m, p_adj=p))
 
 
-@query("r04_boot_mean", None)
-def r04m(spark, d):
-    return boot(spark, d, "pct", 20, R.multinomial_weights, 0.12, True)
-
-
 @query("r09_diff_padj", diff_sql(0.12), "scored_findings")
 def r09p(spark, d):
     f = view(spark, d, "scored_findings")
@@ -422,18 +410,6 @@ def r03a(spark, d):
     return R.jackknife_auc(R.cells(view(spark, d, "scored_grid"))).withColumn("auc", S.half_even("auc", 8))
 
 
-@query("r08_bca", None)
-def r08(spark, d):
-    return boot(spark, d, "bca", 100, R.multinomial_weights)
-
-
-@query("r09_diff_ci", None)
-def r09(spark, d):
-    f = view(spark, d, "scored_findings")
-    a, b = (R.bootstrap(f.where(F.col("finding") == x), 20) for x in ("bulk", "open"))
-    return R.difference(a, b, "bca")
-
-
 @query("r10_boot_roc", None)
 def r10(spark, d):
     return roc.band(R.bootstrap_curves(view(spark, d, "scored_cont"), 20))

@@ -3,10 +3,10 @@
 import pytest
 from oracle import duck, same
 
-from cohortlens.plans import catalog, catalog_cohort, catalog_sources  # noqa: F401
+from cohortlens.plans import catalog, catalog_cohort, catalog_inference, catalog_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"r08_bca", "r09_diff_ci", "r10_boot_roc", "r14_power"}
+SLOW = {"r08_bca_counts", "r10_boot_roc", "r14_power"}
 
 
 @pytest.fixture(scope="module")

@@ -26,10 +26,10 @@ def ran(script, tmp_path):
 
 def test_draws_and_scores(tmp_path):
     script = """
-from cohortlens.operators import resample, roc, scoring
+from cohortlens.operators import resample, scoring
 s = session()
 df = s.createDataFrame([(i % 2, i / 10) for i in range(10)], "y int, p double")
-print(resample.multinomial_weights(roc.cells(df), 2).count() > 0)
+print(resample.multinomial_weights(resample.cells(df), 2).count() > 0)
 s.stop()
 s = session()
 df = s.createDataFrame([([1.0, 2.0],)], "pixels array<double>")
