@@ -3,7 +3,7 @@
 import pytest
 from oracle import duck, same
 
-from cohortlens.plans import catalog, catalog_cohort, catalog_inference, catalog_sources  # noqa: F401
+from cohortlens.plans import catalog, catalog_cohort, catalog_images, catalog_inference, catalog_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"r08_bca_counts", "r10_boot_roc", "r14_power"}
