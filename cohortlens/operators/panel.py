@@ -38,13 +38,19 @@ def panel(df: DataFrame, by: tuple[str, ...] = (), cut: float | Column = 0.5, p_
     base = df.groupBy(*by).agg(
         F.sum(w).alias("n"), one(yes & pos).alias("c_tp"), one(no & pos).alias("c_fp"), one(no & neg).alias("c_tn"), one(yes & neg).alias("c_fn"), (F.avg(off) if weight is None else F.sum(off * w) / F.sum(w)).alias("brier")
     )
+    asked = lambda *names: only is None or any(n in only for n in names)
+    zero = F.lit(0.0)
     if kind == "prob":
-        c = roc.curve(df, by, y, p, weight)
-        agg = roc.areas(c, by)
-        pts = roc.operating_points(c, by, sens_min, spec_min).select(*by, (1 - ratio("at_sens.fps", "nn", None)).alias("spec_at"), F.coalesce(ratio("at_spec.tps", "np", None), F.lit(0.0)).alias("sens_at"))
-        base = _join(_join(base, agg, by), pts, by)
+        # the curve is only drawn for what is asked of it
+        c = roc.curve(df, by, y, p, weight) if asked("auc", "ap", "sens_at", "spec_at") else None
+        if asked("auc", "ap"):
+            base = _join(base, roc.areas(c, by), by)
+        if asked("sens_at", "spec_at"):
+            points = roc.operating_points(c, by, sens_min, spec_min)
+            spec_at = (1 - ratio("at_sens.fps", "nn", None)).alias("spec_at")
+            base = _join(base, points.select(*by, spec_at, F.coalesce(ratio("at_spec.tps", "np", None), zero).alias("sens_at")), by)
     else:
-        base = base.withColumns({"auc": F.lit(0.0), "ap": F.lit(0.0)})
+        base = base.withColumns({"auc": zero, "ap": zero})
     r = Rates("c_tp", "c_fp", "c_tn", "c_fn")
     base = base.withColumns({"sens": half_even(r.sens, digits), "spec": half_even(r.spec, digits)})
     prev = F.lit(float(p_adj)) if p_adj else (F.col("c_tp") + F.col("c_fn")) / F.col("n")
