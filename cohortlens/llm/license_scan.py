@@ -4,21 +4,25 @@ Templates are known notices and whole licence bodies. A scan counts in how many
 texts each of their words occurs (a table as long as the index). Of each template
 the words of highest IDF, until they hold SEEDED of its weight, are indexed: word
 -> (template, position). In a text every indexed word votes with its weight for
-the offset at which a template would have to start. A place where a share of at
-least JUDGED of the template stands must get votes of SEEDED + JUDGED - 1 of the
-weight, so no such place is passed over, however common the words are and however
-many notices a text holds. Those places are compared word by word, and a template
-counts if its share is high enough and its mandatory phrases stand where they
-should. Beside that, fixed base phrases are always reported.
+the band of offsets at which a template would have to start; bands overlap, so
+comment signs, inserted and missing words move a notice within its band. A place
+where a share of at least JUDGED of the template stands must get votes of SEEDED +
+JUDGED - 1 of the weight, so no such place is passed over, however common the words
+are and however many notices a text holds. Those places are aligned word by word,
+and a template counts if its share is high enough, its mandatory phrases stand
+there, and no other licence's template explains the same words better. Beside
+that, fixed base phrases are always reported.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,8 @@ TEMPLATES = [
 RUN = 4096  # words of a text whose votes are held at a time
 COVER = 0.7  # share of a template's weight that must stand in place
 JUDGED, SEEDED = 0.5, 0.7
+DRIFT = 0.5  # part of a template's length that a band of offsets is wide
+SLACK = 3  # words that may stand within a mandatory phrase
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -121,40 +127,105 @@ def build_index(n: int, counts: dict[bytes, int]) -> Index:
     return Index(weight, total, dict(postings))
 
 
-def judge(words: list[bytes], t: int, start: int, index: Index) -> tuple[float, bool]:
-    """Share of template t that stands in place from `start`, and whether it counts as found."""
-    _, notice, phrases = PARSED[t]
-    low, high = max(0, -start), min(len(notice), len(words) - start)
-    share = sum(index.weight[a] for a, b in zip(notice[low:high], words[start + low : start + high]) if a == b) / index.total[t]
-    if share < COVER:
-        return share, False
-    near = words[max(0, start - 3) : max(0, start + len(notice) + 3)]
-    return share, all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in phrases)
+@dataclass(frozen=True)
+class Match:
+    template: int
+    start: int  # of the words that are aligned with the template
+    end: int
+    weight: float
+
+
+def _rows(notice: list[bytes], words: list[bytes], index: Index) -> np.ndarray:
+    """For each number of words from the start the weight of their heaviest common subsequence with the notice."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(notice))}
+    text = np.fromiter((number.get(w, -1) for w in words), np.int32, len(words))
+    held = np.zeros(len(words) + 1)
+    for w in notice:
+        new = held.copy()
+        new[1:] = np.maximum(held[1:], np.where(text == number[w], held[:-1] + index.weight[w], 0))
+        held = np.maximum.accumulate(new)
+    return held
+
+
+def aligned(words: list[bytes], t: int, index: Index) -> tuple[float, int, int]:
+    """(weight of template t that stands in the words in its order, whatever lies between; first and end of what stands there)."""
+    notice = PARSED[t][1]
+    held = _rows(notice, words, index)
+    best = float(held[-1])
+    if best < JUDGED * index.total[t]:
+        return best, 0, len(words)
+    end = int(np.argmax(held >= best - 1e-9))
+    back = _rows(notice[::-1], words[:end][::-1], index)
+    return best, end - int(np.argmax(back >= best - 1e-9)), end
+
+
+def stands(phrase: list[bytes], words: list[bytes]) -> bool:
+    """The phrase's words stand in order within SLACK words more than it has."""
+    for at in (i for i, w in enumerate(words) if w == phrase[0]):
+        i = 0
+        for w in words[at : at + len(phrase) + SLACK]:
+            i += i < len(phrase) and w == phrase[i]
+        if i == len(phrase):
+            return True
+    return False
+
+
+def judge(words: list[bytes], t: int, low: int, high: int, index: Index) -> tuple[float, Match | None]:
+    """Share of template t that is aligned with the words from `low` to `high`, and the match if it counts as found."""
+    low = max(0, low)
+    weight, start, end = aligned(words[low : max(low, high)], t, index)
+    share, near = weight / index.total[t], words[max(0, low + start - SLACK) : low + end + SLACK]
+    found = share >= COVER and all(stands(p, near) for p in PARSED[t][2])
+    return share, Match(t, low + start, low + end, weight) if found else None
+
+
+def strongest(matches: set[Match]) -> set[str]:
+    """Labels of the matches but those that another label's heavier match covers by more
+    than half: the words of one notice also align with its shorter or plainer kin."""
+    out = set()
+    ordered = sorted(matches, key=lambda m: (m.start, m.end, m.template))
+    reach = max((m.end - m.start for m in ordered), default=0)
+    starts = [m.start for m in ordered]
+    for m in ordered:
+        others = ordered[bisect_left(starts, m.start - reach) : bisect_left(starts, m.end)]
+        covered = lambda x: 2 * (min(x.end, m.end) - max(x.start, m.start)) > m.end - m.start  # noqa: B023, E731
+        label = PARSED[m.template][0]
+        if not any(x.weight > m.weight + 1e-9 and PARSED[x.template][0] != label and covered(x) for x in others):
+            out.add(label)
+    return out
 
 
 def match_templates(words: list[bytes], index: Index) -> tuple[set[str], float]:
     """Labels of the templates found in the words, and the highest share of a
-    template in place among those of JUDGED or more (0 if there is none)."""
-    labels, best, postings, weight = set(), 0.0, index.postings, index.weight
+    template that is aligned among those of JUDGED or more (0 if there is none).
+
+    Offsets are counted in bands as wide as DRIFT of the template, each reaching
+    halfway into the next, and each position of the template once in a band. So
+    words that were put in or left out may move what follows by half a band.
+    """
+    matches, best, postings, weight = set(), 0.0, index.postings, index.weight
     need = [(SEEDED + JUDGED - 1) * x - 1e-9 for x in index.total]
-    votes: dict[tuple[int, int], float] = {}
+    step = [max(1, int(DRIFT * len(notice)) // 2) for _, notice, _ in PARSED]
+    seen: dict[tuple[int, int], int] = defaultdict(int)  # (template, band): positions that voted, as bits
+    votes: dict[tuple[int, int], float] = defaultdict(float)
     for lo in range(0, len(words), RUN):
         for at in [i for i, w in enumerate(words[lo : lo + RUN], lo) if w in postings]:
             x = weight[words[at]]
             for t, p in postings[words[at]]:
-                votes[t, at - p] = votes.get((t, at - p), 0.0) + x
-        done = lo + RUN if lo + RUN < len(words) else len(words) + LONGEST
-        later = {}
-        for (t, start), x in votes.items():
-            if start + LONGEST > done:
-                later[t, start] = x
-            elif x >= need[t]:
-                share, found = judge(words, t, start, index)
+                band = (at - p) // step[t]
+                for key in ((t, band), (t, band - 1)):
+                    if not seen[key] >> p & 1:
+                        seen[key] |= 1 << p
+                        votes[key] += x
+        done = lo + RUN if lo + RUN < len(words) else len(words) + 2 * LONGEST
+        for t, band in [k for k in votes if (k[1] + 2) * step[k[0]] + len(PARSED[k[0]][1]) <= done]:
+            del seen[t, band]
+            if votes.pop((t, band)) >= need[t]:
+                share, match = judge(words, t, band * step[t] - SLACK, (band + 2) * step[t] + len(PARSED[t][1]) + SLACK, index)
                 best = max(best, share if share >= JUDGED else 0.0)
-                if found:
-                    labels.add(PARSED[t][0])
-        votes = later
-    return labels, best
+                if match:
+                    matches.add(match)
+    return strongest(matches), best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
