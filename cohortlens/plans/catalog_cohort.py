@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import cohort as C
 from ..operators import confusion as M
 from ..operators import image as I
+from ..operators import panel as P
 from ..operators import resample as R
 from ..operators import roc
 from ..operators import tables as T
@@ -422,7 +423,10 @@ def r13(spark, d):
 
 @query("r14_power", None)
 def r14(spark, d):
-    return R.margins(R.power_simulation(spark))
+    """Margins for further samples, at the sensitivity, specificity and prevalence that the table shows."""
+    g = view(spark, d, "scored_grid")
+    seen, share = P.panel(g, only=["sens", "spec"]).first(), T.prevalence(g).first()["prevalence"]
+    return R.margins(R.power_simulation(spark, seen["sens"], seen["spec"], (share, share / 2)))
 
 
 @query("s17_add_new_only", "SELECT id, CASE WHEN o % 4 = 0 THEN 'train' ELSE 'val' END AS split, CASE WHEN o % 4 = 0 THEN 2 ELSE 1 END AS batch FROM (SELECT id, CAST(split_part(id, '_', 2) AS BIGINT) AS o FROM cohort) WHERE o % 4 <> 0 OR o % 3 = 0", "cohort")

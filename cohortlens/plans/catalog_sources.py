@@ -38,10 +38,11 @@ def s03(spark, d):
     return got.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("files"))
 
 
-@query("s04_s19_listing", "SELECT 4::BIGINT AS files, true AS same_bytes")
+@query("s04_s19_listing", "SELECT count(DISTINCT c_mktsegment) AS files, true AS same_bytes FROM customer")
 def s04(spark, d):
+    """A file for each segment's customers, listed."""
     path = new_path(spark, "list")
-    spark.range(0, 4, 1, 4).write.parquet(path)
+    table(spark, d, "customer").repartition("c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
     listed = files.list_files(spark, path, True)
     whole = files.folder_size(spark, path)
     parquet = listed.where(F.col("file_name").endswith(".parquet")).agg(F.count(F.lit(1)).alias("files"))
