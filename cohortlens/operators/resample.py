@@ -170,7 +170,8 @@ def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: fl
 
     A label's draws are dealt to ranges of its cells first and within a range to
     its cells, each by a generator seeded with what it is for. A task draws
-    REPS_AT_ONCE replicates of a range.
+    REPS_AT_ONCE replicates of a range; what ranges get is a table that is joined,
+    so a task holds one number for each range and no more.
     """
     def positives(total: int) -> list[int]:
         return [int(np.random.default_rng([seed, rep, 2]).binomial(total, p_adj)) for rep in range(reps)]
@@ -181,23 +182,31 @@ def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: fl
         one = [int(np.random.default_rng([seed, rep, 3]).binomial(size or total, own.get(1, 0) / max(1, total))) for rep in range(reps)]
         sizes = [(rep, y, m) for rep in range(reps) for y, m in ((1, one[rep]), (0, (size or total) - one[rep])) if y in own]
     ranged = c.where(F.col("y").isin(0, 1)).withColumn("r", score_range("p", PER_OCTAVE))
-    sums = sorted((r["y"], r["r"], r["n"]) for r in ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).collect())  # a row for each label and range
-    place, dealt = {(y, r): i for y in own for i, r in enumerate(r for z, r, _ in sums if z == y)}, {}
-    for rep, y, m in sizes:
-        share = np.array([n for z, _, n in sums if z == y], float) / own[y]
-        dealt[y, rep] = np.random.default_rng([seed, rep, y]).multinomial(m, share).astype(np.int64)
+    held: dict[int, tuple[list[int], np.ndarray]] = {}
+    for z in own:
+        rows = sorted((r["r"], r["n"]) for r in ranged.where(F.col("y") == z).groupBy("r").agg(F.sum("n").alias("n")).collect())  # a row for each range
+        held[z] = [r for r, _ in rows], np.array([n for _, n in rows], float) / own[z]
+
+    def deal(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        """What each range of a label gets in each replicate of a block."""
+        y, block = key
+        ranges, share = held[y]
+        g = g.sort_values("rep")
+        n = np.stack([np.random.default_rng([seed, rep, y]).multinomial(m, share) for rep, m in zip(g["rep"].tolist(), g["m"].tolist())])
+        return pd.DataFrame({"y": y, "r": ranges, "block": block, "reps": [g["rep"].tolist()] * len(ranges), "given": n.T.tolist()})
 
     def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        y, r, block = key
+        y, r, _ = key
         g = g.sort_values("p")
-        share = g["n"].to_numpy(float) / g["n"].sum()
-        mine = range(block * REPS_AT_ONCE, min(reps, (block + 1) * REPS_AT_ONCE))
-        n = np.stack([np.random.default_rng([seed, rep, y, r + (1 << 20)]).multinomial(dealt[y, rep][place[y, r]], share) for rep in mine])
+        share, reps_ = g["n"].to_numpy(float) / g["n"].sum(), np.array(g["reps"].iloc[0])
+        n = np.stack([np.random.default_rng([seed, rep, y, r + (1 << 20)]).multinomial(k, share) for rep, k in zip(reps_.tolist(), g["given"].iloc[0])])
         rep, cell = np.nonzero(n)
-        return pd.DataFrame({"rep": (rep + mine.start).astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
+        return pd.DataFrame({"rep": reps_[rep].astype("int64"), "y": y, "p": g["p"].to_numpy()[cell], "n": n[rep, cell]})
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_AT_ONCE) - 1)))
-    return shipped(ranged).withColumn("block", blocks).groupBy("y", "r", "block").applyInPandas(draw, "rep long, y int, p double, n long")
+    wanted = c.sparkSession.createDataFrame([(y, rep // REPS_AT_ONCE, rep, m) for rep, y, m in sizes], "y int, block int, rep long, m long")
+    dealt = shipped(wanted).groupBy("y", "block").applyInPandas(deal, "y int, r long, block int, reps array<long>, given array<long>")
+    each = ranged.withColumns({"y": F.col("y").cast("int"), "r": F.col("r").cast("long")}).join(dealt, ["y", "r"])
+    return shipped(each).groupBy("y", "r", "block").applyInPandas(draw, "rep long, y int, p double, n long")
 
 
 def scores(c: DataFrame, by: tuple[str, ...] = (), cut: float = 0.5, digits: int = 4, p_adj: float | None = None, kind: str = "prob") -> DataFrame:

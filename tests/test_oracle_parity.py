@@ -6,7 +6,6 @@ from oracle import duck, same
 from cohortlens.plans import catalog, catalog_cohort, catalog_images, catalog_inference, catalog_sources, catalog_streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"r08_bca_counts", "r10_boot_roc", "r14_power"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_same_rows(spark, con, name):
     same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
 
