@@ -84,7 +84,8 @@ def strip_extension(x: ColumnLike) -> Column:
 
 
 def format_interval(stat: ColumnLike, lower: ColumnLike, upper: ColumnLike, digits: int = 4) -> Column:
-    f = lambda c: F.format_string(f"%.{digits}f", half_even(c, digits))
+    """stat (lower, upper); null where one of them is."""
+    f = lambda c: F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", half_even(c, digits)))
     return F.concat(f(stat), F.lit(" ("), f(lower), F.lit(", "), f(upper), F.lit(")"))
 
 

@@ -23,15 +23,26 @@ def first_of_key(stream: DataFrame, key: str, time: str, within: str) -> DataFra
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "id", time: str = "ts", within: str = "30 days", split: str = "train") -> StreamingQuery:
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "id", time: str = "ts", within: str = "30 days", split: str = "train", stores: int = 32) -> StreamingQuery:
     """Rows of keys not seen before, with split and the micro-batch's number as batch, at path.
 
     A micro-batch owns the folder batch=<number> and replaces it when it is run
     again after a failure, so each row is written exactly once. The target is not read.
+
+    stores: state stores, and so tasks of a micro-batch. Each is opened and
+    committed in every micro-batch, however few its keys, so there should be
+    about one for some millions of keys; a checkpoint keeps the number that it
+    was begun with. Shuffles of other queries keep the session's number.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("split", F.lit(split)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    started = first_of_key(stream, key, time, within).writeStream.foreachBatch(put).outputMode("append")
-    return started.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = first_of_key(stream, key, time, within).writeStream.foreachBatch(put).outputMode("append")
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(stores))
+    try:  # a stream takes its settings from the session as it starts
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)

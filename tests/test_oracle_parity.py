@@ -3,7 +3,7 @@
 import pytest
 from oracle import duck, same
 
-from cohortlens.plans import catalog, catalog_cohort, catalog_images, catalog_inference, catalog_sources, catalog_streams  # noqa: F401
+from cohortlens.plans import catalog, catalog_batches, catalog_cohort, catalog_images, catalog_inference, catalog_sources, catalog_streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
