@@ -38,10 +38,9 @@ def _drawn(spark: SparkSession, d: str, finding: str, n: int = REPS) -> R.Interv
 
 
 def kept_runs(spark: SparkSession, d: str) -> str:
-    """A store of both findings' runs; that of the first was run before, with fewer replicates, and one of another model is there too."""
+    """A store of both findings' runs; that of the first was run before, with fewer replicates."""
     path = new_path(spark, "runs")
     results.save_run(_drawn(spark, d, "bulk", 3), path, "run-bulk", "bulk", site="old")
-    results.save_run(_drawn(spark, d, "returned", 3), path, "007", "returned")
     results.save_run(_drawn(spark, d, "bulk"), path, "run-bulk", "bulk", site="first")
     results.save_run(_drawn(spark, d, "open"), path, "run-open", "open")
     return path
