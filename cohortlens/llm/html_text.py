@@ -290,7 +290,22 @@ def example_page(rng: random.Random) -> str:
     links = lambda n: "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
     named = lambda *names: rng.choice(["class", "id"]) + f'="{rng.choice(names)}"'
 
+    def rare_part() -> str:
+        """What articles hold now and then: code, captions, terms with what they mean."""
+        code = "\n".join(f"  {word()}({word()}) = {rng.randint(0, 99)}{rng.choice([';', '', ' {'])}" for _ in range(rng.randint(1, 8)))
+        terms = "".join(f"<dt>@@{words(1, 3)}</dt><dd>@@{line(2, 20)}</dd>" for _ in range(rng.randint(1, 4)))
+        caption = rng.choice([words(2, 9), line(2, 20)])
+        return rng.choice([
+            f"<pre>@@{code}</pre>",
+            f"<pre><code>@@{code}</code></pre>",
+            f'<figure><img src="/{word()}.png"><figcaption>@@{caption}</figcaption></figure>',
+            f"<dl>{terms}</dl>",
+            f"<table><caption>@@{words(2, 8)}</caption><thead><tr><th>@@{words(1, 2)}</th><th>@@{words(1, 2)}</th></tr></thead><tr><td>@@{words(1, 4)}</td><td>@@{rng.randint(0, 9999)}</td></tr></table>",
+        ])
+
     def para() -> str:
+        if rng.random() < 0.08:
+            return rare_part()
         body = "@@" + line(1, rng.choice([3, 20, 80, 200]))
         kind = rng.random()
         if kind < 0.62:
@@ -321,13 +336,23 @@ def example_page(rng: random.Random) -> str:
     some = lambda p: "".join(aside_part() for _ in range(rng.randint(1, 2))) if rng.random() < p else ""
     head = f'<head><meta charset="utf-8"><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";track({rng.randint(0, 99)});</script></head>'
     top = rng.choice([f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>", f"<header><h1>{words(1, 3)}</h1><nav><ul>{links(5)}</ul></nav></header>", f"<div {named('menu', 'nav', 'navbar', 'navigation')}><ul>{links(6)}</ul></div>", f"<header><p>{line(2, 9)}</p></header>", ""])
-    title = rng.choice([f"<h1>@@{words(2, 9)}</h1>"] * 3 + [f"<header><h1>@@{words(2, 9)}</h1></header>", ""])
+    second = rng.choice([f"<h2>@@{words(2, 9)}</h2>", f"<h2 {named('title', 'headline', 'post-title')}>@@{words(2, 9)}</h2>", f"<header><h2>@@{words(2, 9)}</h2></header>"])
+    title = second if rng.random() < 0.15 else rng.choice([f"<h1>@@{words(2, 9)}</h1>"] * 3 + [f"<header><h1>@@{words(2, 9)}</h1></header>", ""])
     inner = title + "".join(para() + some(0.04) for _ in range(rng.choice([1, 2, 4, 8, 14, 25])))
     within = rng.random() < 0.15
     inner += comments() if within else ""
     o, c = rng.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div {named('content', 'post', 'entry', 'article', 'main', 'story', 'post-body')}>", "</div>"), ('<section role="main">', "</section>"), ("<div>", "</div>")])
     foot = rng.choice([f"<footer>&copy; {word()}.com &middot; {line(3, 12)}</footer>"] * 3 + [f"<footer><p>{line(3, 12)}</p><ul>{links(4)}</ul></footer>", f"<div {named('footer', 'foot', 'copyright')}><p>{line(3, 12)}</p></div>", ""])
     end = rng.choice(["</body></html>", "</body></html>", ""])
+    rights = lambda: f"{rng.choice(['&copy;', '(c)', 'Copyright', '&copy; ' + str(rng.randint(1996, 2026))])} {words(1, 4)}. {rng.choice(['All rights reserved', words(2, 4)])}{rng.choice(['.', ''])}"
+    if rng.random() < 0.12:
+        foot = rng.choice([f"<p>{rights()}</p>", f"<div>{rights()}</div>", f"<footer><p>{rights()}</p></footer>", f"<center>{rights()}</center>"])
+    if rng.random() < 0.08:  # laid out in the cells of a table, with nothing named
+        bare = " ".join(f'<a href="/{i}">{words(1, 2)}</a>{rng.choice(["<br>", " | "])}' for i in range(rng.randint(3, 8)))
+        menu = rng.choice([bare, f"<ul>{links(rng.randint(3, 8))}</ul>", "</td><td>".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rng.randint(3, 6)))])
+        banner = rng.choice([f"<tr><td colspan=2>{words(1, 4)}</td></tr>", f'<tr><td colspan=2><img src="/{word()}.gif"></td></tr>', ""])
+        cells = rng.choice([f"<tr><td>{menu}</td><td>{inner}</td></tr>", f"<tr><td>{menu}</td></tr><tr><td>{inner}</td></tr>"])
+        return f"<html>{head}<body><table>{banner}{cells}<tr><td colspan=2>{rights()}</td></tr></table>{end}"
     return f"<!DOCTYPE html><html>{head}<body>{top}<!-- ad {rng.randint(0, 9)} -->{some(0.7)}{o}{inner}{c}{'' if within or rng.random() < 0.6 else comments()}{some(0.3)}{foot}{end}"
 
 
