@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions.names import free_name
 from ..functions.scalar import any_positive
 
 
@@ -31,8 +31,12 @@ def stack_sources(sources: list[tuple[DataFrame, str]], columns: list[str]) -> D
 
 
 def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in the given order, nulls first; of rows alike in that order any one.
+
+    Tasks keep one row for each key before rows are shuffled, so a frequent key is no task's burden.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(F.col(key).alias("key")).agg(F.min_by(row, F.struct(*order)).alias("row")).select("row.*")
 
 
 def add_flags(df: DataFrame, findings: list[str], tests: list[str]) -> DataFrame:
@@ -63,10 +67,11 @@ def lookup(df: DataFrame, table: DataFrame, key: str, name: str, value: str, mis
     Of several rows with one name the smallest value counts. The table is broadcast if it has at most `most` rows, and joined by shuffle
     beyond that. strict: a key without a row is an error.
     """
-    t = table.groupBy(F.col(name).alias("_k")).agg(F.min(F.col(value)).alias(value))
+    k = free_name("_k", df.columns, [value])
+    t = table.groupBy(F.col(name).alias(k)).agg(F.min(F.col(value)).alias(value))
     t = F.broadcast(t) if t.limit(most + 1).count() <= most else t
     none = F.col(key).isNull() | (F.col(key) == "nan")
-    found = df.join(t, F.col(key) == F.col("_k"), "left").drop("_k")
+    found = df.join(t, F.col(key) == F.col(k), "left").drop(k)
     unknown = F.raise_error(F.concat(F.lit("no entry for "), F.col(key))).cast("string") if strict else F.lit(None).cast("string")
     return found.withColumn(value, F.when(none, F.lit(missing)).when(F.col(value).isNull(), unknown).otherwise(F.col(value)))
 
@@ -74,5 +79,6 @@ def lookup(df: DataFrame, table: DataFrame, key: str, name: str, value: str, mis
 def add_new_only(old: DataFrame, incoming: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
     """old with the incoming rows that have a file and are not in old: split train, batch one above the highest."""
     new = incoming.join(files.select(key).distinct(), key, "left_semi").join(old.select(key), key, "left_anti")
-    batch = old.agg((F.coalesce(F.max("batch"), F.lit(0)) + 1).alias("_b"))  # one row
-    return old.unionByName(new.crossJoin(batch).withColumn("split", F.lit("train")).withColumn("batch", F.col("_b")).drop("_b"), allowMissingColumns=True)
+    next_ = free_name("_b", new.columns)
+    batch = old.agg((F.coalesce(F.max("batch"), F.lit(0)) + 1).alias(next_))  # one row
+    return old.unionByName(new.crossJoin(batch).withColumn("split", F.lit("train")).withColumn("batch", F.col(next_)).drop(next_), allowMissingColumns=True)

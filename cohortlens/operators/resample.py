@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distributions import normal_cdf, normal_quantile
+from ..functions.names import free_name
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
 from ..shipping import shipped
 from ..sources.scratch import new_path
@@ -25,29 +26,30 @@ REPS_AT_ONCE = 10  # replicates that a task draws for a range
 MOST_BROADCAST = 200_000  # rows of cells and blocks up to which draws look them up in memory
 
 
-def smallest_keys(df: DataFrame, n: int, seed: int, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
-    """The n rows of each group with the smallest hash keys, with rank, their place in that order.
+def smallest_keys(df: DataFrame, n: int, seed: int, id_col: str = "id", by: tuple[str, ...] = (), rank: str = "rank") -> DataFrame:
+    """The n rows of each group with the smallest hash keys, with their place in that order as `rank`.
 
     No group is one task's work: rows are counted in 65,536 ranges of the
     key, ranges that lie beyond the n-th row are dropped, and ranks are taken
     within a range and added to the rows before it. Null groups are groups.
     """
     by = list(by)
-    keyed = df.withColumn("_key", hash_key(seed, id_col)).withColumn("_range", F.shiftright("_key", 16).cast("int"))
-    up_to = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).where(F.col("_before") < n)
-    on = F.col("a._range") == F.col("b._range")
+    key, part, count, before = (free_name(x, df.columns) for x in ("_key", "_range", "_n", "_before"))
+    keyed = df.withColumn(key, hash_key(seed, id_col)).withColumn(part, F.shiftright(key, 16).cast("int"))
+    up_to = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    ranges = keyed.groupBy(*by, part).agg(F.count(F.lit(1)).alias(count)).withColumn(before, F.coalesce(F.sum(count).over(up_to), F.lit(0))).where(F.col(before) < n)
+    on = F.col(f"a.{part}") == F.col(f"b.{part}")
     for k in by:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    near = keyed.alias("a").join(ranges.alias("b"), on).select("a.*", "b._before")
-    place = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_key", id_col))
-    return near.withColumn("rank", F.col("_before") + place).where(F.col("rank") <= n).drop("_key", "_range", "_before")
+    near = keyed.alias("a").join(ranges.alias("b"), on).select("a.*", f"b.{before}")
+    place = F.row_number().over(W.partitionBy(*by, part).orderBy(key, id_col))
+    return near.withColumn(rank, F.col(before) + place).where(F.col(rank) <= n).drop(key, part, before)
 
 
 def resample_prevalence(df: DataFrame, p_adj: float, seed: int = 2022, y: str = "y", id_col: str = "id") -> DataFrame:
     """All rows of label 0 and int(N * p_adj) of label 1, without replacement."""
-    n = df.agg(F.count(F.lit(1))).first()[0]
-    return df.where(F.col(y) == 0).unionByName(smallest_keys(df.where(F.col(y) == 1), int(n * p_adj), seed, id_col).drop("rank"))
+    n, rank = df.agg(F.count(F.lit(1))).first()[0], free_name("rank", df.columns)
+    return df.where(F.col(y) == 0).unionByName(smallest_keys(df.where(F.col(y) == 1), int(n * p_adj), seed, id_col, rank=rank).drop(rank))
 
 
 def fixed_split(df: DataFrame, stratum: Column, size: int, seed: int = 2022, id_col: str = "id", check: bool = True) -> DataFrame:
@@ -55,14 +57,16 @@ def fixed_split(df: DataFrame, stratum: Column, size: int, seed: int = 2022, id_
 
     A stratum that is too small is an error.
     """
-    marked = df.withColumn("_stratum", stratum)
+    layer, own, place, rank = (free_name(x, df.columns) for x in ("_stratum", "_id", "_split", "_rank"))
+    marked = df.withColumn(layer, stratum)
+    known = marked.where(F.col(layer).isNotNull())
     if check:
-        have = {r["_stratum"]: r["n"] for r in marked.where("_stratum is not null").groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+        have = {r[0]: r[1] for r in known.groupBy(layer).agg(F.count(F.lit(1))).collect()}
         if small := [s for s, n in have.items() if n < size]:
             raise ValueError(f"strata with fewer than {size} rows: {small}")
-    taken = smallest_keys(marked.where("_stratum is not null"), size, seed, id_col, ("_stratum",))
-    taken = taken.select(F.col(id_col).alias("_id"), F.when(F.col("rank") <= size // 2, "val").otherwise("test").alias("_split"))
-    return marked.join(taken, F.col(id_col) == F.col("_id"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_id", "_split", "_stratum")
+    taken = smallest_keys(known, size, seed, id_col, (layer,), rank)
+    taken = taken.select(F.col(id_col).alias(own), F.when(F.col(rank) <= size // 2, "val").otherwise("test").alias(place))
+    return marked.join(taken, F.col(id_col) == F.col(own), "left").withColumn("split", F.coalesce(place, F.lit("train"))).drop(own, place, layer)
 
 
 def hash_split(df: DataFrame, share: float = 0.7, seed: int = 2022, id_col: str = "id") -> DataFrame:
@@ -80,22 +84,24 @@ def scenario_split(df: DataFrame, good_site: Column, preferred: Column, min_n: i
     the low one from what is left; half of each goes to val.
     """
     kind = F.when(F.col("abnormal_tb") == 1, "tb").when(F.col("abnormal") == 1, "no_tb").when(F.col("abnormal") == 0, "normal")
-    marked = df.withColumn("_kind", kind).withColumn("_high", good_site)
-    seen = {(r["_high"], r["_kind"]): r["n"] for r in marked.where("_kind is not null and _high is not null").groupBy("_high", "_kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sort, site, own, to, rank = (free_name(x, df.columns) for x in ("_kind", "_high", "_id", "_split", "_rank"))
+    marked = df.withColumn(sort, kind).withColumn(site, good_site)
+    both = marked.where(F.col(sort).isNotNull() & F.col(site).isNotNull())
+    seen = {(r[0], r[1]): r[2] for r in both.groupBy(site, sort).agg(F.count(F.lit(1))).collect()}
 
     def sizes(high: bool) -> dict[str, int]:
         tb, no = seen.get((high, "tb"), 0), seen.get((high, "no_tb"), 0)
         big = 2 * int(max(tb, no) / max(1, min(tb, no)) * min_n)
         return {"tb": 2 * min_n if tb <= no else big, "no_tb": big if tb <= no else 2 * min_n, "normal": 2 * min_n}
 
-    pool = marked.where(preferred | (F.col("_kind") == "no_tb"))
+    pool = marked.where(F.col(sort).isNotNull() & (preferred | (F.col(sort) == "no_tb")))
     high, low = sizes(True), sizes(False)
-    ranked = smallest_keys(pool.where("_kind is not null"), max(high[k] + low[k] for k in high), seed, id_col, ("_kind",)).withColumnRenamed("rank", "_rank")
-    of = lambda s: F.when(F.col("_kind") == "tb", s["tb"]).when(F.col("_kind") == "no_tb", s["no_tb"]).otherwise(s["normal"])
-    r, h, w = F.col("_rank"), of(high), of(low)
+    ranked = smallest_keys(pool, max(high[k] + low[k] for k in high), seed, id_col, (sort,), rank)
+    of = lambda s: F.when(F.col(sort) == "tb", s["tb"]).when(F.col(sort) == "no_tb", s["no_tb"]).otherwise(s["normal"])
+    r, h, w = F.col(rank), of(high), of(low)
     place = F.when(r <= h, F.when(r <= h / 2, "val").otherwise("test_high")).when(r <= h + w, F.when(r - h <= w / 2, "val").otherwise("test_low"))
-    drawn = ranked.select(F.col(id_col).alias("_id"), place.alias("_split")).where("_split is not null")
-    return marked.join(drawn, F.col(id_col) == F.col("_id"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_id", "_split", "_kind", "_high")
+    drawn = ranked.select(F.col(id_col).alias(own), place.alias(to)).where(F.col(to).isNotNull())
+    return marked.join(drawn, F.col(id_col) == F.col(own), "left").withColumn("split", F.coalesce(to, F.lit("train"))).drop(own, to, sort, site)
 
 
 def cells(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

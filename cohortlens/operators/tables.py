@@ -28,9 +28,12 @@ def describe(df: DataFrame, variables: dict[str, list[str] | None], split: str |
     `whole` is all rows.
     """
     parts = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables]))
-    splits = F.array(F.lit(whole), F.col(split)) if split else F.array(F.lit(whole))
-    long = df.select(F.explode(splits).alias("split"), *{c for c in variables}).select("split", parts.alias("e")).select("split", "e.*")
+    one = F.col(split) if split else F.lit(whole)
+    long = df.select(one.alias("split"), *{c for c in variables}).select("split", parts.alias("e")).select("split", "e.*")
     counted = long.groupBy("variable", "level", "split").agg(F.count(F.lit(1)).alias("n"))
+    if split:  # counts, and not rows, are unfolded for the whole
+        splits = F.explode(F.array(F.lit(whole), "split")).alias("split")
+        counted = counted.select("variable", "level", "n", splits).groupBy("variable", "level", "split").agg(F.sum("n").alias("n"))
     rows = counted.groupBy("variable", "split").agg(F.sum("n").alias("rows"))
     spark = df.sparkSession
     fixed = spark.createDataFrame([(v, x) for v, xs in variables.items() if xs for x in xs] or [("", "")], "variable string, level string")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import free_name
+
 
 def read_labels(spark: SparkSession, path: str | list[str], schema: StructType | str, latin1: bool = False) -> DataFrame:
     """CSV with a header and a declared schema; a header that differs is an error. file_name tells the source file."""
@@ -66,9 +68,10 @@ def upsert_columns(table: DataFrame, predictions: DataFrame, key: str, name: str
     """table with column `name` from predictions (key, value); an array of scores becomes its largest."""
     kind = predictions.schema["value"].dataType.typeName()
     value = F.array_max("value") if kind == "array" else F.col("value")
-    new = predictions.select(key, value.alias("_new"))
+    found = free_name("_new", table.columns, [name])
+    new = predictions.select(key, value.alias(found))
     kept = F.col(name) if name in table.columns else F.lit(None)
-    return table.join(new, key, "left").withColumn(name, F.coalesce("_new", kept)).drop("_new")
+    return table.join(new, key, "left").withColumn(name, F.coalesce(found, kept)).drop(found)
 
 
 def reuse_or_make(spark: SparkSession, path: str, make) -> DataFrame:

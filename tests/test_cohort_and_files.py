@@ -123,3 +123,31 @@ def test_add_new_only_and_stream(spark, rows, tmp_path):
         q = append_new(spark.readStream.schema("id string").parquet(src), str(tmp_path / "table"), str(tmp_path / "state"))
         q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "table")).select("id")) == [("a",), ("b",), ("c",)]
+
+
+def test_columns_of_the_users_keep_their_values(spark):
+    """Names that the library uses on the way may be the user's."""
+    names = ["_n", "_key", "_range", "_before", "rank", "_rank", "_id", "_split", "_stratum", "_k", "_b", "_new"]
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("y"), *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names])
+
+    def whole(out):
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['id']}" for r in got for n in names)
+        return got
+
+    assert len(whole(R.resample_prevalence(df, 0.25))) == 30 + 15
+    assert len(whole(R.smallest_keys(df, 7, 1, rank="place"))) == 7
+    split = whole(R.fixed_split(df, F.col("y"), 10))
+    assert sum(r["split"] != "train" for r in split) == 20 and len(split) == 60
+    assert len(whole(C.dedupe_first(df.union(df), "id", ["_n"]))) == 60
+    assert len(whole(C.lookup(df, spark.createDataFrame([("a", "b")], "name string, code string"), "_n", "name", "code", strict=False))) == 60
+    assert len(whole(files.upsert_columns(df, df.select("id", F.lit(1.0).alias("value")), "id", "prob"))) == 60
+    assert len(whole(C.add_new_only(df.withColumn("batch", F.lit(1)).where("id < 50"), df, df))) == 60
+
+
+def test_first_row_of_a_frequent_key(spark, rows):
+    df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") < 10, None).otherwise(F.col("id")).alias("k"), F.when(F.col("id") != 500, 1000 - F.col("id")).alias("o"), "id")
+    out = C.dedupe_first(df, "k", ["o"])
+    assert out.columns == df.columns
+    got = {r["k"]: r["id"] for r in out.collect()}
+    assert got[1] == 500 and got[None] == 9 and len(got) == 332  # a null comes first
