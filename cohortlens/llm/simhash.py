@@ -14,12 +14,13 @@ shard, and its queries are dealt to the same task. A shard of more than
 SHARD_MOST fingerprints is dealt as pairs of blocks, so no task holds a group
 without bound.
 
-For a wanted similarity (Jaccard of the shingle sets) few differing bits tell too
-little, so shards are then named by bands of MinHash values: the chance that a
-pair is seen depends on its similarity alone, not on the number of texts. Every
-pair of a shard that is not joined yet is held against the whole shingle sets
-before it counts; only then are the links of a shard reduced to a forest. Shards
-of more than SETS_MOST sets are dealt as pairs of blocks too.
+For a wanted similarity (Jaccard of the shingle sets) the texts that the trees
+join are candidates, and every pair of such a group that is not joined yet is held
+against the whole shingle sets before it counts. Texts may be that similar and yet
+differ in more bits than the radius; these are looked for besides, in shards named
+by bands of MinHash values: the chance that a pair is seen there depends on its
+similarity alone, not on the number of texts. Only confirmed links of a group are
+reduced to a forest. Groups of more than SETS_MOST sets are dealt as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -275,15 +276,27 @@ def confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return links
 
 
-def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+def tree_groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """(shard, set_key): the shingle sets whose fingerprints the BK-trees join, equal ones included.
+
+    Any two fingerprints within the radius are in one group, so no such pair is left out.
+    """
+    links = near_links(distinct.select("fp").distinct(), radius)
+    root = connected_components(links).select(F.col("node").alias("fp"), "root")
+    return distinct.join(root, "fp", "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("shard"), "set_key")
+
+
+def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float, radius: int = 4) -> DataFrame:
     """Links (a, b) between set_keys that join the shingle sets of at least the similarity (Jaccard).
 
-    distinct: (set_key, row), row one in prints that has the set.
-    Sets that share a band are a shard; of shards with the same members one is
-    taken. Shards come sorted, so a task holds the sets of one at a time, and of
-    a shard with more than SETS_MOST sets those of two blocks.
+    distinct: (set_key, fp, row), row one in prints that has the set.
+    Sets that the trees join are a shard, and so are those that share a band; of
+    shards with the same members one is taken. Shards come sorted, so a task
+    holds the sets of one at a time, and of a shard with more than SETS_MOST sets
+    those of two blocks.
     """
-    held = prints.select(F.explode("bands").alias("shard"), "set_key").repartition("shard").distinct()
+    banded = prints.select(F.explode("bands").alias("shard"), "set_key")
+    held = tree_groups(distinct, radius).unionByName(banded).repartition("shard").distinct()
     members = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("y"))
     taken = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard"))
     shards = staged(held.join(taken.select("shard"), "shard", "left_semi"), "shards")
@@ -314,26 +327,6 @@ def similar_links(prints: DataFrame, distinct: DataFrame, similarity: float) ->
     return shipped(dealt).mapInArrow(run, "a long, b long")
 
 
-def equal_print_links(prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of at least the similarity between each set_key and the least one of its fingerprint.
-
-    Equal fingerprints are candidates like any others: repeats of one shingle can
-    decide all bits of texts that share little else, so the sets are compared.
-    """
-    least = distinct.groupBy("fp").agg(F.min(F.struct("set_key", "row")).alias("m"), F.countDistinct("set_key").alias("n")).where("n > 1")
-    pairs = distinct.join(least, "fp").where("set_key != m.set_key").selectExpr("m.set_key as a", "m.row as a_row", "set_key as b", "row as b_row")
-    side = lambda x: prints.select(F.col("row").alias(f"{x}_row"), F.col("shingles").alias(f"{x}_set"))
-    both = pairs.join(side("a"), "a_row").join(side("b"), "b_row").select("a", "b", "a_set", "b_set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("a_set"), batch.column("b_set"))
-            alike = pa.array([bool(confirmed([np.frombuffer(x.as_py(), "<u4") for x in p], similarity)) for p in pairs], pa.bool_())
-            yield batch.select(["a", "b"]).filter(alike)
-
-    return shipped(both).mapInArrow(run, "a long, b long")
-
-
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per_shingle: int, seed: int, similarity: float | None) -> DataFrame:
     """(id, text_key, fp, root, component_id) for each row of docs; root names the component."""
     prints = staged(fingerprints(docs, id_col, text_col, words_per_shingle, seed, similarity is not None).withColumn("row", F.monotonically_increasing_id()), "prints")
@@ -342,7 +335,7 @@ def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, words_per
     if similarity is None:
         links = near_links(distinct.select("fp"), radius)
     else:
-        links = similar_links(prints, distinct, similarity).unionByName(equal_print_links(prints, distinct, similarity))
+        links = similar_links(prints, distinct, similarity, radius)
     root = connected_components(links).select(F.col("node").alias(node), "root")
     named = distinct.groupBy(node).agg(F.min("least").alias("least")).join(root, node, "left").withColumn("root", F.coalesce("root", node))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -354,8 +347,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
     component_id: the smallest id reachable over links of at most `radius`
     differing bits or, if a similarity is given, over links of at least the
-    similarity (the radius then plays no part); without a similarity rows with
-    equal fingerprints are linked. Null and empty texts have fingerprint 0 and are linked like any
+    similarity, among all pairs that the trees join at the radius and those that
+    share a band; without a similarity rows with equal fingerprints are linked. Null and empty texts have fingerprint 0 and are linked like any
     other. A null id takes part and gets its component's smallest id that is not
     null (null if there is none). Repeated rows give repeated results; an empty
     table gives none; other columns are not read.
@@ -363,16 +356,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return _grouped(docs, radius, id_col, text_col, words_per_shingle, seed, similarity).select("id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, radius: int = 4) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays.
 
+    Groups are those of near_duplicates: fingerprints within `radius` bits are
+    found by the trees, and only texts of at least the similarity are linked.
+
     Of a group whose rows all have a null id, one of the rows with the least text
     key stays. Of rows alike in id and text one stays; rows that share an id but
     not the group are judged each by itself. All columns of docs pass, whatever
     their names.
     """
     dup_id, dup_key, dup_text = (free_name(n, docs.columns) for n in ("_dup_id", "_dup_key", "_dup_text"))
-    found = _grouped(docs, 4, id_col, text_col, words_per_shingle, seed, similarity)
+    found = _grouped(docs, radius, id_col, text_col, words_per_shingle, seed, similarity)
     found = staged(found.select(F.col("id").alias(dup_id), F.col("text_key").alias(dup_key), "component_id", "root"), "groups")
     nameless = found.where("component_id is null").groupBy("root").agg(F.min(dup_key).alias("least"))
     others = found.where("component_id is null").join(nameless, "root").where(F.col(dup_key) != F.col("least"))

@@ -26,6 +26,17 @@ def test_equal_fingerprints_do_not_make_texts_alike(spark, docs):
     assert kept == [0, 1, 2, 3, 4, 5]
 
 
+def test_near_fingerprints_are_candidates_without_a_band(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "bands", lambda shingles: [])
+    words = [f"w{i}" for i in range(600)]
+    unlike = ["x"] * 900  # its one shingle has most positions in both of the last two, whose fingerprints agree
+    rows = [(4, " ".join(words), "a"), (2, " ".join([*words[:300], "other", *words[301:]]), "a"), (5, " ".join(f"v{i}" for i in range(600)), "b")]
+    rows += [(6, " ".join(unlike + [f"p{i}" for i in range(200)]), "b"), (7, " ".join(unlike + [f"q{i}" for i in range(200)]), "b")]
+    fp = {i: simhash.fingerprint(t, 5) for i, t, _ in rows}
+    assert 0 < (fp[4] ^ fp[2]).bit_count() <= 4 and (fp[6] ^ fp[7]).bit_count() <= 4
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == [2, 5, 6, 7]
+
+
 def test_names_that_the_stage_uses_itself(spark, docs):
     from pyspark.sql import functions as F
 
