@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.names import free_name
+from ..functions.numbered import numbered_keys
 from ..functions.scalar import half_even, hash_key, nearest_percentile, ratio
 from ..shipping import shipped
 from ..sources.scratch import new_path
@@ -23,7 +25,8 @@ METRICS = COLUMNS  # of the whole panel
 BLOCK = 1024
 PER_OCTAVE = 64  # ranges of the score over which draws are dealt
 REPS_AT_ONCE = 10  # replicates that a task draws for a range
-MOST_BROADCAST = 200_000  # rows of cells and blocks up to which draws look them up in memory
+RUN = 100_000  # draws that a task hashes and counts at a time
+MOST_BROADCAST = 200_000  # cells up to which draws look them up in memory
 
 
 def smallest_keys(df: DataFrame, n: int, seed: int, id_col: str = "id", by: tuple[str, ...] = (), rank: str = "rank") -> DataFrame:
@@ -127,9 +130,36 @@ def draw_sizes(c: DataFrame, reps: int, seed: int, p_adj: float | None, size: in
 
 
 def _runs(df: DataFrame, rows: str) -> DataFrame:
-    """df with k from 0 to its column `rows`, unfolded in runs that are spread over all tasks."""
-    spread = df.withColumn("run", F.explode(F.expr(f"sequence(0L, ({rows} - 1) div 10000)"))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "run")
-    return spread.withColumn("k", F.explode(F.expr(f"sequence(run * 10000, least({rows}, (run + 1) * 10000) - 1)"))).drop("run")
+    """df with (first, last): the numbers below its column `rows` in runs of RUN, dealt evenly to all tasks."""
+    runs = df.withColumn("first", F.explode(F.expr(f"sequence(0L, {rows} - 1, {RUN}L)"))).withColumn("last", F.least(F.col("first") + RUN, F.col(rows)))
+    return shipped(runs).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _drawn(runs: DataFrame, name: str, ends: dict[int, np.ndarray] | None) -> DataFrame:
+    """Draws of runs (rep, s, own, first, last): draw k is row (key of "name:k") modulo own, name a pattern of rep and s.
+
+    With ends (s: a label's cells, as the number of the row after each, sorted)
+    counts come out, (rep, s, hi, n), a row for each cell that a run has drawn;
+    without them a row (rep, s, i) for each draw. A task holds one run's counts
+    and STEP draws at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, s, own, first, last in zip(*(b.column(c).to_pylist() for c in ("rep", "s", "own", "first", "last"))):
+                seen = None if ends is None else np.zeros(len(ends[s]), np.int64)
+                for keys in numbered_keys(name.format(rep=rep, s=s), first, last):
+                    i = (keys % np.uint32(own) if own < 1 << 32 else keys).astype(np.int64)  # keys are below 2^32
+                    if ends is not None:
+                        i.sort()
+                        seen += np.bincount(np.searchsorted(ends[s], i, side="right"), minlength=len(seen))
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), rep)), pa.array(np.full(len(i), s, np.int32)), pa.array(i)], ["rep", "s", "i"])
+                if ends is not None:
+                    at = np.flatnonzero(seen)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep)), pa.array(np.full(len(at), s, np.int32)), pa.array(ends[s][at]), pa.array(seen[at])], ["rep", "s", "hi", "n"])
+
+    return shipped(runs).mapInArrow(run, "rep long, s int, i long" if ends is None else "rep long, s int, hi long, n long")
 
 
 def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True) -> DataFrame:
@@ -140,14 +170,24 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
     draws there are says draw_sizes (trial k of p_adj succeeds if the key of
     "seed:r:p:k" is below p_adj of all keys). Not stratified: `size` draws, all
     rows by default, with keys of "seed:r:k" from all rows by label, then score.
-    Rows are never numbered: draws find their cell by blocks of BLOCK numbers
-    that cells cover.
+    Rows are never numbered, and no draw is a row where there are at most
+    MOST_BROADCAST cells: a task hashes a run of draws in arrays and counts them
+    by cell. Beyond, draws find their cell by blocks of BLOCK numbers that cells
+    cover.
     """
     spark = c.sparkSession
 
     def positives(total: int) -> list[int]:
+        share = int(p_adj * 2**32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                each = list(zip(*(b.column(x).to_pylist() for x in ("rep", "first", "last"))))
+                hits = [sum(int((keys < share).sum()) for keys in numbered_keys(f"{seed}:{rep}:p:", first, last)) for rep, first, last in each]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(hits, pa.int64())], ["rep", "n"])
+
         trials = _runs(spark.createDataFrame([(r, total) for r in range(reps)], "rep long, m long"), "m")
-        hit = trials.groupBy("rep").agg(F.count_if(hash_key(seed, "rep", F.lit("p"), "k") < int(p_adj * 2**32)).alias("n"))
+        hit = shipped(trials).mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
         found = {r["rep"]: r["n"] for r in hit.collect()}  # a row for each replicate
         return [found[r] for r in range(reps)]
 
@@ -161,11 +201,16 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
     inside = F.sum("n").over(W.partitionBy("y", "r").orderBy("p"))
     offset = F.when(F.col("y") == 1, own.get(0, 0)).otherwise(0) if not stratified else F.lit(0)
     placed = ranged.join(sums, ["y", "r"]).withColumn("hi", inside + F.col("before") + offset).withColumn("lo", F.col("hi") - F.col("n"))
+    runs = _runs(spark.createDataFrame(rows, "rep long, s int, m long, own long"), "m")
+    name = f"{seed}:{{rep}}:{{s}}:" if stratified else f"{seed}:{{rep}}:"
+    found = placed.select("y", "hi").limit(MOST_BROADCAST + 1).collect()
+    if len(found) <= MOST_BROADCAST:
+        ends = {s: np.array(sorted(hi for y, hi in found if s in (y, -1)), np.int64) for s in {s for _, s, _, _ in rows}}
+        counts = _drawn(runs, name, ends).groupBy("rep", "s", "hi").agg(F.sum("n").alias("n"))
+        cell = F.broadcast(placed.select("y", "p", F.col("hi").alias("_hi")))  # MOST_BROADCAST rows at most
+        return counts.join(cell, (F.col("hi") == F.col("_hi")) & ((F.col("s") == F.col("y")) if stratified else F.lit(True))).select("rep", "y", "p", "n")
     blocks = placed.select("y", "p", "lo", "hi", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("block"))
-    draws = _runs(spark.createDataFrame(rows, "rep long, s int, m long, own long"), "m")
-    key = hash_key(seed, "rep", "s", "k") if stratified else hash_key(seed, "rep", "k")
-    draws = draws.select("rep", "s", (key % F.col("own")).alias("i")).withColumn("block", F.expr(f"i div {BLOCK}"))
-    blocks = F.broadcast(blocks) if blocks.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else blocks
+    draws = _drawn(runs, name, None).withColumn("block", F.expr(f"i div {BLOCK}"))
     same = (draws["block"] == blocks["block"]) & ((draws["s"] == blocks["y"]) if stratified else F.lit(True))
     return draws.join(blocks, same).where("i >= lo and i < hi").groupBy("rep", "y", "p").agg(F.count(F.lit(1)).alias("n"))
 

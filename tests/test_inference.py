@@ -1,13 +1,16 @@
 """Leave-one-out values and distribution functions against plain versions."""
 
+import hashlib
 import math
 import random
+from collections import Counter
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import distributions as D
+from cohortlens.functions.numbered import numbered_keys
 from cohortlens.operators import panel as P
 from cohortlens.operators import resample as R
 
@@ -123,3 +126,34 @@ def test_chi_square_tails(spark, df):
 def test_tails_stay_in_the_jvm(spark):
     plan = spark.range(3).select(D.chi2_sf("id", 3), D.normal_quantile(F.col("id") / 4))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_in_arrays_are_those_of_single_rows():
+    single = lambda prefix, k: int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16)
+    for prefix in ("7:0:", "10221983:19:1:", "3:0:p:", "x" * 50 + ":", "x" * 70 + ":"):
+        for first, last in ((0, 0), (0, 12), (9_995, 20_003), (36_000_001, 36_000_007), (99_999_998, 100_000_002)):
+            got = [int(k) for keys in numbered_keys(prefix, first, last) for k in keys]
+            assert got == [single(prefix, k) for k in range(first, last)]
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+@pytest.mark.parametrize("how", [{}, {"p_adj": 0.3}, {"size": 150_000}, {"size": 20_000, "stratified": False}])
+def test_draws_are_counted_and_not_rows(spark, monkeypatch, most, how):
+    monkeypatch.setattr(R, "MOST_BROADCAST", most)
+    c = [(0, 0.1, 30_000), (0, 0.4, 2), (0, 0.9, 50_000), (1, 0.1, 7), (1, 0.6, 44_000), (1, 0.7, 1)]
+    got = R.bootstrap_weights(spark.createDataFrame(c, "y int, p double, n long"), 2, 5, **how)
+    if most > 3:  # a task hashes and counts a run of draws; none is a row of its own
+        assert "md5" not in got._jdf.queryExecution().toString()
+    key = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    of = {y: [p for z, p, n in c if z == y for _ in range(n)] for y in (0, 1)}
+    total, want = len(of[0]) + len(of[1]), Counter()
+    for rep in range(2):
+        share = len(of[1]) / total if "p_adj" not in how else sum(key(f"5:{rep}:p:{k}") < int(0.3 * 2**32) for k in range(total)) / total
+        if not how.get("stratified", True):
+            every = [(y, p) for y in (0, 1) for p in of[y]]
+            want.update((rep, *every[key(f"5:{rep}:{k}") % total]) for k in range(how["size"]))
+            continue
+        for y in (0, 1):
+            m = int((share if y else 1 - share) * how.get("size", total)) if how else len(of[y])
+            want.update((rep, y, of[y][key(f"5:{rep}:{y}:{k}") % len(of[y])]) for k in range(m))
+    assert {tuple(r)[:3]: r["n"] for r in got.collect()} == dict(want)
