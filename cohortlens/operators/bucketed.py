@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.names import free_name
 from ..sources.scratch import new_path
 
+ROWS_MOST = 500_000  # rows of either side for each bucket, beyond which there are more buckets
+
 
 @dataclass(frozen=True)
 class Pair:
@@ -39,10 +41,9 @@ def _written(df: DataFrame, buckets: int, key: str, piece: str, name: str) -> Da
     return held
 
 
-def _often(df: DataFrame, key: str, buckets: int, to: str) -> DataFrame:
-    """(key, to): into how many pieces rows of a key are dealt, for keys with more rows than a bucket holds
-    on average. These are fewer than buckets, whatever the table."""
-    n = df.count()
+def _often(df: DataFrame, key: str, n: int, buckets: int, to: str) -> DataFrame:
+    """(key, to): into how many pieces rows of a key are dealt, for keys of df's n rows with more rows than
+    a bucket holds on average. These are fewer than buckets, whatever the table."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias(to)).where(F.col(to) * buckets > n)
     return counted.select(key, F.ceil(F.col(to) * buckets / F.lit(max(n, 1))).cast("int").alias(to))
 
@@ -56,7 +57,10 @@ def lay_out(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
     copied to each piece; if it is frequent on both sides, pieces of one meet
     pieces of the other, each pair of rows once. Null keys join with nothing and
     are left out. The keys need one type. Other columns must differ in name from
-    each other. Choose `buckets` so that one holds some 200 MB.
+    each other. `buckets` is the least number; it is doubled until a bucket has
+    at most ROWS_MOST rows of either side on average, so that what a task of a
+    join holds does not grow with the tables. Choose more for wide rows, so that
+    one holds some 200 MB.
     """
     right_key = right_key or key
     kinds = [dict(df.dtypes).get(k) for df, k in ((left, key), (right, right_key))]
@@ -69,10 +73,13 @@ def lay_out(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
     taken = [left.columns, right.columns]
     piece, of_left, of_right = (free_name(n, *taken) for n in ("_piece", "_of_left", "_of_right"))
     left, right = (df.where(F.col(key).isNotNull()) for df in (left, right))
-    often = _often(left, key, buckets, of_left).join(_often(right, key, buckets, of_right), key, "full")
+    n_left, n_right = left.count(), right.count()
+    while max(n_left, n_right) > buckets * ROWS_MOST:
+        buckets *= 2
+    often = _often(left, key, n_left, buckets, of_left).join(_often(right, key, n_right, buckets, of_right), key, "full")
     spark = left.sparkSession
     path = new_path(spark, "often")
-    often.coalesce(1).write.parquet(path)  # fewer than 2 x buckets rows
+    often.repartition(1).write.parquet(path)  # fewer than 2 x buckets rows; all keys are counted before in many tasks
     often = F.broadcast(spark.read.schema(often.schema).parquet(path))
     a, b = (F.coalesce(c, F.lit(1)) for c in (of_left, of_right))
 

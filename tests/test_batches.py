@@ -105,6 +105,20 @@ def test_frequent_keys_are_dealt_in_pieces(spark, rows, hot_left, hot_right):
         assert most < 150  # of 300 rows with the key
 
 
+def test_buckets_grow_with_the_tables(spark, rows, monkeypatch):
+    monkeypatch.setattr(bucketed, "ROWS_MOST", 100)
+    left = spark.range(1500).select((F.col("id") % 300).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("b"))
+    # a coalesce to one task would also count all keys in that task
+    monkeypatch.setattr(type(left), "coalesce", lambda *_: pytest.fail("one task would do all the work"))
+    pair = bucketed.lay_out(left, right, "k", buckets=2)
+    monkeypatch.undo()
+    assert rows(pair.join()) == rows(left.join(right, "k"))
+    for df in (pair.left, pair.right):
+        files_ = [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+        assert len(files_) == 16 and max(files_) < 200  # of 1500 and 300 rows
+
+
 def test_layouts_of_odd_tables(spark, rows):
     t = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "k long, _piece string")
     o = spark.createDataFrame([(1, 2.0), (1, 2.0), (None, 1.0)], "k long, v double")
