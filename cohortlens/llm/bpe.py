@@ -147,8 +147,11 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
         chunk = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            words = list(place)
-            packed, order = _pack_places(np.concatenate(places), len(words))
+            words, flat = list(place), np.concatenate(places)
+            place.clear()  # neither is needed further, and both are large
+            places.clear()
+            packed, order = _pack_places(flat, len(words))
+            del flat
             words = [words[i] for i in order.tolist()]
             owner = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts for w in words), np.uint32, len(words))
             lists = [{"part": int(p), "words": _words_blob([words[i] for i in np.flatnonzero(owner == p)])} for p in np.unique(owner)]
@@ -171,6 +174,7 @@ def chunks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame
                 ids.append(i.as_py())
                 counts.append(len(words))
                 held += len(text)
+            batch = i = t = text = words = None  # else this batch is held while the next is read
         if ids:
             yield flush()
         place, places = None, None
@@ -201,6 +205,8 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
                 lengths = np.fromiter(map(len, codes), np.uint32, len(codes)) // 4
                 row = [b.column("chunk").slice(at, 1), b.column("part").slice(at, 1), pa.array([_planes(lengths)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(codes), "<u4"))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "lengths", "codes"])
+        known = new = codes = None
+        give_back()
 
     return shipped(asked).mapInArrow(run, "chunk long, part int, lengths binary, codes binary")
 

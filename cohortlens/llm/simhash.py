@@ -247,6 +247,8 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
                 shards, fps = shards[cut:], fps[cut:]
         if len(shards):
             yield from linked(shards, fps)
+        shards = fps = None
+        give_back()
 
     return shipped(dealt).mapInArrow(run, "a long, b long")
 
