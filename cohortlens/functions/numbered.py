@@ -8,59 +8,78 @@ from collections.abc import Iterator
 
 import numpy as np
 
-STEP = 10_000  # numbers that share all but their last four digits
-_DIGITS = np.array([list(f"{k:04d}".encode()) for k in range(STEP)], np.uint8)
+STEP = 50_000  # keys in an array at most
+_DIGITS = {n: (np.arange(10**n)[:, None] // 10 ** np.arange(n)[::-1] % 10 + ord("0")).astype(np.uint8) for n in (4, 5)}  # the last digits of numbers, zeros in front
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
 _WORD = [i % 16 for i in range(16)] + [(5 * i + 1) % 16 for i in range(16, 32)] + [(3 * i + 5) % 16 for i in range(32, 48)] + [7 * i % 16 for i in range(48, 64)]
 _START = 0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476
-LONGEST = 51  # bytes before the last four digits, of the 55 that one block of md5 has room for
+_LAST = 61  # steps that the first word of the digest depends on, of 64
+_LOW = 0xFFFFFFFF
+LONGEST = 50  # bytes before the last digits, of the 55 that one block of md5 has room for
+
+# arrays without dimensions, as these are quicker to add and shift by than numbers
+_UP = [np.array(t, np.uint32) for t in _TURNS]
+_DOWN = [np.array(32 - t, np.uint32) for t in _TURNS]
+
+
+def _mixed(i: int, b, c, d):
+    """What step i of md5 makes of three words, numbers or arrays."""
+    if i < 16:
+        return d ^ (b & (c ^ d))
+    if i < 32:
+        return c ^ (d & (b ^ c))
+    if i < 48:
+        return b ^ c ^ d
+    return c ^ (b | (d ^ _LOW if isinstance(d, int) else ~d))
 
 
 def _block_keys(head: bytes, digits: np.ndarray) -> np.ndarray:
-    """The first 32 bits of md5 of head and each row of four digits (RFC 1321, one block, all rows at once)."""
-    n, at = len(digits), len(head)
+    """The first 32 bits of md5 of head and each row of four or five digits (RFC 1321, one block, all rows at once).
+
+    Steps before the first word with digits are the same for all rows, and the
+    last three make none of these bits, so both are left out of the arrays.
+    """
+    (n, width), at = digits.shape, len(head)
     block = np.zeros(64, np.uint8)
-    block[:at], block[at + 4] = np.frombuffer(head, np.uint8), 0x80
-    block[56:] = np.frombuffer((8 * (at + 4)).to_bytes(8, "little"), np.uint8)
-    base = at // 4 * 4
-    two = np.tile(block[base : base + 8], (n, 1))
-    two[:, at - base : at - base + 4] = digits
+    block[:at], block[at + width] = np.frombuffer(head, np.uint8), 0x80
+    block[56:] = np.frombuffer((8 * (at + width)).to_bytes(8, "little"), np.uint8)
+    own = at // 4
+    two = np.tile(block[4 * own : 4 * own + 8], (n, 1))
+    two[:, at - 4 * own : at - 4 * own + width] = digits
     words: list = block.view("<u4").tolist()
-    words[base // 4 : base // 4 + 2] = np.ascontiguousarray(two.view("<u4").T)
-    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
-    for i in range(64):
-        if i < 16:
-            f = d ^ (b & (c ^ d))
-        elif i < 32:
-            f = c ^ (d & (b ^ c))
-        elif i < 48:
-            f = b ^ c ^ d
-        else:
-            f = c ^ (b | ~d)
-        w = words[_WORD[i]]
+    words[own : own + 2] = np.ascontiguousarray(two.view("<u4").T)
+    a, b, c, d = _START
+    for i in range(own):
+        f = (_mixed(i, b, c, d) + a + words[i] + _SINES[i]) & _LOW
+        a, b, c, d = d, (b + (f << _TURNS[i] | f >> 32 - _TURNS[i])) & _LOW, b, c
+    a, b, c, d = (np.full(n, x, np.uint32) for x in (a, b, c, d))
+    for i in range(own, _LAST):
+        f, w = _mixed(i, b, c, d), words[_WORD[i]]
         f += a
         if isinstance(w, int):
-            f += np.uint32((_SINES[i] + w) & 0xFFFFFFFF)
+            f += np.array(_SINES[i] + w & _LOW, np.uint32)
         else:
             f += w
-            f += np.uint32(_SINES[i])
-        turned = f << np.uint32(_TURNS[i])
-        f >>= np.uint32(32 - _TURNS[i])
+            f += np.array(_SINES[i], np.uint32)
+        turned = f << _UP[i]
+        f >>= _DOWN[i]
         turned |= f
         turned += b
         a, b, c, d = d, turned, b, c
-    a += np.uint32(_START[0])
-    return a.byteswap()
+    b += np.uint32(_START[0])  # three steps on this word would be the first
+    return b.byteswap()
 
 
 def numbered_keys(prefix: str, first: int, last: int) -> Iterator[np.ndarray]:
     """hash_key of prefix and k for each k from first to last - 1, as arrays of STEP at most; prefix ends with its colon."""
     while first < last:
-        end = min(last, first // STEP * STEP + STEP)
-        head = f"{prefix}{first // STEP}".encode()
-        if first < STEP or len(head) > LONGEST:
+        width = 4 if first < 100_000 else 5
+        high, low = divmod(first, 10**width)
+        end = min(last, first + STEP, (high + 1) * 10**width)
+        head = f"{prefix}{high}".encode()
+        if high == 0 or len(head) > LONGEST:
             yield np.array([int.from_bytes(hashlib.md5(f"{prefix}{k}".encode()).digest()[:4], "big") for k in range(first, end)], np.uint32)
         else:
-            yield _block_keys(head, _DIGITS[first % STEP : first % STEP + end - first])
+            yield _block_keys(head, _DIGITS[width][low : low + end - first])
         first = end

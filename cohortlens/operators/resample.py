@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType
 
 from ..functions.distributions import normal_cdf, normal_quantile
 from ..functions.names import free_name
@@ -107,9 +109,9 @@ def scenario_split(df: DataFrame, good_site: Column, preferred: Column, min_n: i
     return marked.join(drawn, F.col(id_col) == F.col(own), "left").withColumn("split", F.coalesce(to, F.lit("train"))).drop(own, to, sort, site)
 
 
-def cells(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """(y, p, n): rows by label and score; all that a replicate needs to know of the data."""
-    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def cells(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, y, p, n): rows by label and score; all that a replicate needs to know of the data."""
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def draw_sizes(c: DataFrame, reps: int, seed: int, p_adj: float | None, size: int | None, positives) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
@@ -135,35 +137,52 @@ def _runs(df: DataFrame, rows: str) -> DataFrame:
     return shipped(runs).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _drawn(runs: DataFrame, name: str, ends: dict[int, np.ndarray] | None) -> DataFrame:
-    """Draws of runs (rep, s, own, first, last): draw k is row (key of "name:k") modulo own, name a pattern of rep and s.
+def _by_cell(i: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the sorted numbers i lie in each cell; ends are the numbers after the cells, sorted."""
+    if len(ends) < len(i):
+        return np.diff(np.searchsorted(i, ends), prepend=0)
+    return np.bincount(np.searchsorted(ends, i, side="right"), minlength=len(ends))
 
-    With ends (s: a label's cells, as the number of the row after each, sorted)
-    counts come out, (rep, s, hi, n), a row for each cell that a run has drawn;
-    without them a row (rep, s, i) for each draw. A task holds one run's counts
-    and STEP draws at a time.
+
+def _drawn(runs: DataFrame, name: str, ends: dict[tuple[int, int], np.ndarray] | None) -> DataFrame:
+    """Draws of runs (rep, s, first, last, of): draw k is row (key of "name:k") modulo own, name a pattern of rep and s.
+
+    `of` lists (g, m, own): a key is made once for all groups g that take it, which
+    are those with more than k draws m. With ends (g, s: a label's cells, as the
+    number of the row after each, sorted) counts come out, (rep, s, g, hi, n), a row
+    for each cell that a run has drawn; without them a row (rep, s, g, i) for each
+    draw. A task holds one run's counts and STEP draws at a time.
     """
 
+    def batch(rep: int, s: int, g: int, **columns: np.ndarray) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        same = [pa.array(np.full(n, rep)), pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, g, np.int32))]
+        return pa.RecordBatch.from_arrays(same + [pa.array(x.astype(np.int64)) for x in columns.values()], ["rep", "s", "g", *columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, s, own, first, last in zip(*(b.column(c).to_pylist() for c in ("rep", "s", "own", "first", "last"))):
-                seen = None if ends is None else np.zeros(len(ends[s]), np.int64)
+            for rep, s, first, last, of in zip(*(b.column(c).to_pylist() for c in ("rep", "s", "first", "last", "of"))):
+                of = [(x["g"], x["m"], x["own"]) for x in of]
+                seen = None if ends is None else {g: np.zeros(len(ends[g, s]), np.int64) for g, _, _ in of}
                 for keys in numbered_keys(name.format(rep=rep, s=s), first, last):
-                    i = (keys % np.uint32(own) if own < 1 << 32 else keys).astype(np.int64)  # keys are below 2^32
-                    if ends is not None:
-                        i.sort()
-                        seen += np.bincount(np.searchsorted(ends[s], i, side="right"), minlength=len(seen))
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), rep)), pa.array(np.full(len(i), s, np.int32)), pa.array(i)], ["rep", "s", "i"])
-                if ends is not None:
-                    at = np.flatnonzero(seen)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep)), pa.array(np.full(len(at), s, np.int32)), pa.array(ends[s][at]), pa.array(seen[at])], ["rep", "s", "hi", "n"])
+                    for g, m, own in of:
+                        taken = keys[: max(0, m - first)]
+                        i = taken % np.uint32(own) if own < 1 << 32 else taken.copy()  # keys are below 2^32
+                        if ends is None:
+                            yield batch(rep, s, g, i=i)
+                        else:
+                            i.sort()
+                            seen[g] += _by_cell(i, ends[g, s])
+                    first += len(keys)
+                for g in seen or ():
+                    at = np.flatnonzero(seen[g])
+                    yield batch(rep, s, g, hi=ends[g, s][at], n=seen[g][at])
 
-    return shipped(runs).mapInArrow(run, "rep long, s int, i long" if ends is None else "rep long, s int, hi long, n long")
+    return shipped(runs).mapInArrow(run, "rep long, s int, g int, i long" if ends is None else "rep long, s int, g int, hi long, n long")
 
 
-def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True) -> DataFrame:
-    """(rep, y, p, n): how often a replicate draws a cell, by hashes that SQL can repeat.
+def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True, by: str | None = None) -> DataFrame:
+    """(by, rep, y, p, n): how often a replicate draws a cell, by hashes that SQL can repeat.
 
     Stratified by label: draw k of label y in replicate r takes row (key of
     "seed:r:y:k") modulo the label's rows, these being ordered by score; how many
@@ -173,10 +192,13 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
     Rows are never numbered, and no draw is a row where there are at most
     MOST_BROADCAST cells: a task hashes a run of draws in arrays and counts them
     by cell. Beyond, draws find their cell by blocks of BLOCK numbers that cells
-    cover.
+    cover. by: a column whose values (a handful; null is none) are groups, each drawn
+    as by itself; the same keys serve all, so a key is made once (trials: once for
+    groups with as many rows).
     """
     spark = c.sparkSession
 
+    @cache
     def positives(total: int) -> list[int]:
         share = int(p_adj * 2**32)
 
@@ -191,28 +213,40 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
         found = {r["rep"]: r["n"] for r in hit.collect()}  # a row for each replicate
         return [found[r] for r in range(reps)]
 
-    own, sizes = draw_sizes(c, reps, seed, p_adj, size, positives)
-    if not stratified:
-        sizes = [(r, -1, size or sum(own.values())) for r in range(reps)]
-    rows = [(r, y, m, own.get(y, sum(own.values()))) for r, y, m in sizes if m > 0]
-    ranged = c.where(F.col("y").isin(0, 1)).withColumn("r", score_range("p", PER_OCTAVE))
-    first = F.sum("n").over(W.partitionBy("y").orderBy("r")) - F.col("n")
-    sums = ranged.groupBy("y", "r").agg(F.sum("n").alias("n")).select("y", "r", first.alias("before"))
-    inside = F.sum("n").over(W.partitionBy("y", "r").orderBy("p"))
-    offset = F.when(F.col("y") == 1, own.get(0, 0)).otherwise(0) if not stratified else F.lit(0)
-    placed = ranged.join(sums, ["y", "r"]).withColumn("hi", inside + F.col("before") + offset).withColumn("lo", F.col("hi") - F.col("n"))
-    runs = _runs(spark.createDataFrame(rows, "rep long, s int, m long, own long"), "m")
+    values = [None] if by is None else sorted(r[0] for r in c.where(F.col(by).isNotNull()).select(by).distinct().collect())
+    owns, wanted = [], {}
+    for g, value in enumerate(values):
+        own, sizes = draw_sizes(c if by is None else c.where(F.col(by) == value), reps, seed, p_adj, size, positives)
+        owns.append(own)
+        if not stratified:
+            sizes = [(r, -1, size or sum(own.values())) for r in range(reps)]
+        for r, s, m in sizes:
+            if m > 0:
+                wanted.setdefault((r, s), []).append((g, m, own.get(s, sum(own.values()))))
+    rows = [(r, s, max(m for _, m, _ in of), of) for (r, s), of in wanted.items()]
+    group = F.lit(0) if by is None else F.coalesce(*[F.when(F.col(by) == v, g) for g, v in enumerate(values)], F.lit(None).cast("int"))
+    ranged = c.select(group.alias("g"), "y", "p", "n").where(F.col("y").isin(0, 1) & F.col("g").isNotNull()).withColumn("r", score_range("p", PER_OCTAVE))
+    first = F.sum("n").over(W.partitionBy("g", "y").orderBy("r")) - F.col("n")
+    sums = ranged.groupBy("g", "y", "r").agg(F.sum("n").alias("n")).select("g", "y", "r", first.alias("before"))
+    inside = F.sum("n").over(W.partitionBy("g", "y", "r").orderBy("p"))
+    zeros = F.coalesce(*[F.when(F.col("g") == g, own.get(0, 0)) for g, own in enumerate(owns)], F.lit(0))
+    offset = F.when(F.col("y") == 1, zeros).otherwise(0) if not stratified else F.lit(0)
+    placed = ranged.join(sums, ["g", "y", "r"]).withColumn("hi", inside + F.col("before") + offset).withColumn("lo", F.col("hi") - F.col("n"))
+    runs = _runs(spark.createDataFrame(rows, "rep long, s int, m long, of array<struct<g:int,m:long,own:long>>"), "m")
     name = f"{seed}:{{rep}}:{{s}}:" if stratified else f"{seed}:{{rep}}:"
-    found = placed.select("y", "hi").limit(MOST_BROADCAST + 1).collect()
+    own_value = [] if by is None else [F.element_at(F.array(*[F.lit(v) for v in values]).cast(ArrayType(c.schema[by].dataType)), F.col("g") + 1).alias(by)]
+    found = placed.select("g", "y", "hi").limit(MOST_BROADCAST + 1).collect()
+    label = lambda d: (d["s"] == F.col("y")) if stratified else F.lit(True)
     if len(found) <= MOST_BROADCAST:
-        ends = {s: np.array(sorted(hi for y, hi in found if s in (y, -1)), np.int64) for s in {s for _, s, _, _ in rows}}
-        counts = _drawn(runs, name, ends).groupBy("rep", "s", "hi").agg(F.sum("n").alias("n"))
-        cell = F.broadcast(placed.select("y", "p", F.col("hi").alias("_hi")))  # MOST_BROADCAST rows at most
-        return counts.join(cell, (F.col("hi") == F.col("_hi")) & ((F.col("s") == F.col("y")) if stratified else F.lit(True))).select("rep", "y", "p", "n")
-    blocks = placed.select("y", "p", "lo", "hi", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("block"))
+        each = {(g, s) for _, s, _, of in rows for g, _, _ in of}
+        ends = {(g, s): np.array(sorted(hi for h, y, hi in found if h == g and s in (y, -1)), np.uint32 if max(owns[g].values()) < 1 << 31 else np.int64) for g, s in each}
+        counts = _drawn(runs, name, ends).groupBy("rep", "s", "g", "hi").agg(F.sum("n").alias("n"))
+        cell = F.broadcast(placed.select("y", "p", F.col("g").alias("_g"), F.col("hi").alias("_hi")))  # MOST_BROADCAST rows at most
+        return counts.join(cell, (F.col("g") == F.col("_g")) & (F.col("hi") == F.col("_hi")) & label(counts)).select(*own_value, "rep", "y", "p", "n")
+    blocks = placed.select(F.col("g").alias("_g"), "y", "p", "lo", "hi", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("_block"))
     draws = _drawn(runs, name, None).withColumn("block", F.expr(f"i div {BLOCK}"))
-    same = (draws["block"] == blocks["block"]) & ((draws["s"] == blocks["y"]) if stratified else F.lit(True))
-    return draws.join(blocks, same).where("i >= lo and i < hi").groupBy("rep", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    met = draws.join(blocks, (F.col("block") == F.col("_block")) & (F.col("g") == F.col("_g")) & label(draws)).where("i >= lo and i < hi")
+    return met.groupBy("g", "rep", "y", "p").agg(F.count(F.lit(1)).alias("n")).select(*own_value, "rep", "y", "p", "n")
 
 
 def multinomial_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: float | None = None, size: int | None = None, stratified: bool = True) -> DataFrame:
@@ -361,6 +395,13 @@ def jackknife_panel(c: DataFrame, cut: float = 0.5, p_adj: float | None = None)
     return jackknife(c, cut, p_adj=p_adj).unionByName(by_cell)
 
 
+def paired_rows(df: DataFrame, key: list[str], by: str, ref: str, comp: str) -> DataFrame:
+    """(key, y, p, y2, p2): label and score of a key's rows whose `by` is ref, and of those where it is comp
+    (null: none; of several the largest). One shuffle of the rows, and no join."""
+    of = lambda c, v: F.max(F.when(F.col(by) == v, F.col(c)))
+    return df.where(F.col(by).isin(ref, comp)).groupBy(*key).agg(*[of(c, v).alias(c + x) for v, x in ((ref, ""), (comp, "2")) for c in ("y", "p")])
+
+
 def paired_cells(df: DataFrame, ref: tuple[str, str] = ("y", "p"), comp: tuple[str, str] = ("y2", "p2")) -> DataFrame:
     """(ry, rp, cy, cp, n): rows by label and score in both of two panels; rows with a null in one are left out."""
     named = [F.col(x).alias(k) for x, k in zip((*ref, *comp), ("ry", "rp", "cy", "cp"))]
@@ -433,6 +474,21 @@ def bootstrap(df: DataFrame, n: int = 100, method: str = "bca", a: float = 0.05,
     """
     c = _kept(cells(df), "cells")
     reps = _kept(scores(_kept(draws(c, n, seed, p_adj), "draws"), ("rep",), cut), "replicates")
+    return _of_cells(c, reps, method, a, cut, p_adj, boot_mean)
+
+
+def bootstraps(df: DataFrame, by: str, n: int = 100, method: str = "bca", a: float = 0.05, cut: float = 0.5, seed: int = 10221983, p_adj: float | None = None, boot_mean: bool = False) -> dict[object, Intervals]:
+    """What bootstrap gives with bootstrap_weights for the rows of each value of `by`
+    (a handful; null is none), from one scan and with each key of a draw made once."""
+    c = _kept(cells(df.where(F.col(by).isNotNull()), by=(by,)), "cells")
+    reps = _kept(scores(_kept(bootstrap_weights(c, n, seed, p_adj, by=by), "draws"), (by, "rep"), cut), "replicates")
+    values = [r[0] for r in c.select(by).distinct().collect()]
+    own = lambda x, v: x.where(F.col(by) == v).drop(by)
+    return {v: _of_cells(own(c, v), own(reps, v), method, a, cut, p_adj, boot_mean) for v in values}
+
+
+def _of_cells(c: DataFrame, reps: DataFrame, method: str, a: float, cut: float, p_adj: float | None, boot_mean: bool) -> Intervals:
+    """Intervals from cells and the scores of replicates, both kept."""
     point = reps.groupBy("metric").agg(F.avg("value").alias("value")) if boot_mean else scores(c, (), cut, p_adj=p_adj)
     out = Intervals(None, reps, cut=cut)
     if method == "bca":
