@@ -518,7 +518,7 @@ def difference(ref: Intervals, comp: Intervals, method: str = "pct", a: float =
     reps = ref.scores.alias("r").join(comp.scores.alias("c"), ["rep", "metric"]).select("rep", "metric", (F.col("c.value") - F.col("r.value")).alias("value"))
     if method == "bca" and (pairs is None or ref.cells is None or comp.cells is None):
         raise ValueError("bca needs the rows' pairs of cells, and both panels with their jackknife")
-    out = intervals(point, reps, method, a, _differences(ref, comp, pairs) if method == "bca" else None)
+    out = intervals(point, reps, method, a, _differences(ref, comp, _kept(pairs, "pairs")) if method == "bca" else None)  # pairs are read several times
     return pair.join(out, "metric").select("metric", "ref", "comp", F.col("stat").alias("d"), "lower", "upper")
 
 
