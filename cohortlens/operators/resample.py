@@ -28,6 +28,7 @@ BLOCK = 1024
 PER_OCTAVE = 64  # ranges of the score over which draws are dealt
 REPS_AT_ONCE = 10  # replicates that a task draws for a range
 RUN = 100_000  # draws that a task hashes and counts at a time
+TASK = 3_000_000  # draws below which a task is not worth its start
 MOST_BROADCAST = 200_000  # cells up to which draws look them up in memory
 
 
@@ -131,10 +132,17 @@ def draw_sizes(c: DataFrame, reps: int, seed: int, p_adj: float | None, size: in
     return own, [(rep, y, m) for rep, y, m in sizes if y in own]
 
 
-def _runs(df: DataFrame, rows: str) -> DataFrame:
-    """df with (first, last): the numbers below its column `rows` in runs of RUN, dealt evenly to all tasks."""
+def _runs(df: DataFrame, rows: str, draws: int) -> DataFrame:
+    """df with (first, last): the numbers below its column `rows` in runs of RUN, dealt evenly to tasks.
+
+    draws: the sum of `rows`. A task of draws costs half a second before its
+    first, so there are no more tasks than TASK draws each keep busy, beside one
+    for each core, up to the partitions of a shuffle.
+    """
+    spark = df.sparkSession
     runs = df.withColumn("first", F.explode(F.expr(f"sequence(0L, {rows} - 1, {RUN}L)"))).withColumn("last", F.least(F.col("first") + RUN, F.col(rows)))
-    return shipped(runs).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shipped(runs).repartition(min(most, max(spark.sparkContext.defaultParallelism, -(-draws // TASK))))
 
 
 def _by_cell(i: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -208,7 +216,7 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
                 hits = [sum(int((keys < share).sum()) for keys in numbered_keys(f"{seed}:{rep}:p:", first, last)) for rep, first, last in each]
                 yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(hits, pa.int64())], ["rep", "n"])
 
-        trials = _runs(spark.createDataFrame([(r, total) for r in range(reps)], "rep long, m long"), "m")
+        trials = _runs(spark.createDataFrame([(r, total) for r in range(reps)], "rep long, m long"), "m", reps * total)
         hit = shipped(trials).mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
         found = {r["rep"]: r["n"] for r in hit.collect()}  # a row for each replicate
         return [found[r] for r in range(reps)]
@@ -232,7 +240,7 @@ def bootstrap_weights(c: DataFrame, reps: int, seed: int = 10221983, p_adj: floa
     zeros = F.coalesce(*[F.when(F.col("g") == g, own.get(0, 0)) for g, own in enumerate(owns)], F.lit(0))
     offset = F.when(F.col("y") == 1, zeros).otherwise(0) if not stratified else F.lit(0)
     placed = ranged.join(sums, ["g", "y", "r"]).withColumn("hi", inside + F.col("before") + offset).withColumn("lo", F.col("hi") - F.col("n"))
-    runs = _runs(spark.createDataFrame(rows, "rep long, s int, m long, of array<struct<g:int,m:long,own:long>>"), "m")
+    runs = _runs(spark.createDataFrame(rows, "rep long, s int, m long, of array<struct<g:int,m:long,own:long>>"), "m", sum(m for _, _, m, _ in rows))
     name = f"{seed}:{{rep}}:{{s}}:" if stratified else f"{seed}:{{rep}}:"
     own_value = [] if by is None else [F.element_at(F.array(*[F.lit(v) for v in values]).cast(ArrayType(c.schema[by].dataType)), F.col("g") + 1).alias(by)]
     found = placed.select("g", "y", "hi").limit(MOST_BROADCAST + 1).collect()
