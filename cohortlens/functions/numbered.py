@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
 STEP = 50_000  # keys in an array at most
-_DIGITS = {n: (np.arange(10**n)[:, None] // 10 ** np.arange(n)[::-1] % 10 + ord("0")).astype(np.uint8) for n in (4, 5)}  # the last digits of numbers, zeros in front
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
 _WORD = [i % 16 for i in range(16)] + [(5 * i + 1) % 16 for i in range(16, 32)] + [(3 * i + 5) % 16 for i in range(32, 48)] + [7 * i % 16 for i in range(48, 64)]
@@ -23,52 +23,75 @@ _UP = [np.array(t, np.uint32) for t in _TURNS]
 _DOWN = [np.array(32 - t, np.uint32) for t in _TURNS]
 
 
-def _mixed(i: int, b, c, d):
-    """What step i of md5 makes of three words, numbers or arrays."""
+def _mixed(b: int, c: int, d: int) -> int:
+    """What a step of md5, one of the first 16, makes of three words."""
+    return d ^ (b & (c ^ d))
+
+
+def _mix(i: int, b: np.ndarray, c: np.ndarray, d: np.ndarray, out: np.ndarray) -> None:
+    """What step i of md5 makes of three words, written to out."""
     if i < 16:
-        return d ^ (b & (c ^ d))
-    if i < 32:
-        return c ^ (d & (b ^ c))
-    if i < 48:
-        return b ^ c ^ d
-    return c ^ (b | (d ^ _LOW if isinstance(d, int) else ~d))
+        np.bitwise_xor(c, d, out)
+        np.bitwise_and(out, b, out)
+        np.bitwise_xor(out, d, out)
+    elif i < 32:
+        np.bitwise_xor(b, c, out)
+        np.bitwise_and(out, d, out)
+        np.bitwise_xor(out, c, out)
+    elif i < 48:
+        np.bitwise_xor(b, c, out)
+        np.bitwise_xor(out, d, out)
+    else:
+        np.invert(d, out)
+        np.bitwise_or(out, b, out)
+        np.bitwise_xor(out, c, out)
+
+
+@cache
+def _digit_words(width: int, at: int) -> np.ndarray:
+    """Two words with the digits of each number of that width, in a row each; the digits start at byte `at` of the first."""
+    two = np.zeros((10**width, 8), np.uint8)
+    two[:, at : at + width] = np.arange(10**width)[:, None] // 10 ** np.arange(width)[::-1] % 10 + ord("0")
+    return np.ascontiguousarray(two.view("<u4").T)
 
 
-def _block_keys(head: bytes, digits: np.ndarray) -> np.ndarray:
-    """The first 32 bits of md5 of head and each row of four or five digits (RFC 1321, one block, all rows at once).
+def _block_keys(head: bytes, width: int, low: int, n: int) -> np.ndarray:
+    """The first 32 bits of md5 of head and each of n numbers from low on, written
+    with width digits, four or five (RFC 1321, one block, all numbers at once).
 
-    Steps before the first word with digits are the same for all rows, and the
-    last three make none of these bits, so both are left out of the arrays.
+    Steps before the first word with digits are the same for all, and the last
+    three make none of these bits, so both are left out of the arrays. Steps
+    write into five arrays that are made once, so that these stay in the cache.
     """
-    (n, width), at = digits.shape, len(head)
+    at = len(head)
     block = np.zeros(64, np.uint8)
     block[:at], block[at + width] = np.frombuffer(head, np.uint8), 0x80
     block[56:] = np.frombuffer((8 * (at + width)).to_bytes(8, "little"), np.uint8)
-    own = at // 4
-    two = np.tile(block[4 * own : 4 * own + 8], (n, 1))
-    two[:, at - 4 * own : at - 4 * own + width] = digits
-    words: list = block.view("<u4").tolist()
-    words[own : own + 2] = np.ascontiguousarray(two.view("<u4").T)
+    own, words = at // 4, block.view("<u4").tolist()
+    digits = _digit_words(width, at % 4)[:, low : low + n]
+    words[own : own + 2] = [x | np.uint32(w) if w else x for x, w in zip(digits, words[own : own + 2])]
     a, b, c, d = _START
     for i in range(own):
-        f = (_mixed(i, b, c, d) + a + words[i] + _SINES[i]) & _LOW
+        f = (_mixed(b, c, d) + a + words[i] + _SINES[i]) & _LOW
         a, b, c, d = d, (b + (f << _TURNS[i] | f >> 32 - _TURNS[i])) & _LOW, b, c
     a, b, c, d = (np.full(n, x, np.uint32) for x in (a, b, c, d))
+    f = np.empty(n, np.uint32)
     for i in range(own, _LAST):
-        f, w = _mixed(i, b, c, d), words[_WORD[i]]
-        f += a
+        w = words[_WORD[i]]
+        _mix(i, b, c, d, f)
+        np.add(a, f, a)
         if isinstance(w, int):
-            f += np.array(_SINES[i] + w & _LOW, np.uint32)
+            np.add(a, np.array(_SINES[i] + w & _LOW, np.uint32), a)
         else:
-            f += w
-            f += np.array(_SINES[i], np.uint32)
-        turned = f << _UP[i]
-        f >>= _DOWN[i]
-        turned |= f
-        turned += b
-        a, b, c, d = d, turned, b, c
+            np.add(a, w, a)
+            np.add(a, np.array(_SINES[i], np.uint32), a)
+        np.left_shift(a, _UP[i], f)
+        np.right_shift(a, _DOWN[i], a)
+        np.bitwise_or(a, f, a)
+        np.add(a, b, a)
+        a, b, c, d = d, a, b, c
     b += np.uint32(_START[0])  # three steps on this word would be the first
-    return b.byteswap()
+    return b.byteswap(True)
 
 
 def numbered_keys(prefix: str, first: int, last: int) -> Iterator[np.ndarray]:
@@ -81,5 +104,5 @@ def numbered_keys(prefix: str, first: int, last: int) -> Iterator[np.ndarray]:
         if high == 0 or len(head) > LONGEST:
             yield np.array([int.from_bytes(hashlib.md5(f"{prefix}{k}".encode()).digest()[:4], "big") for k in range(first, end)], np.uint32)
         else:
-            yield _block_keys(head, _DIGITS[width][low : low + end - first])
+            yield _block_keys(head, width, low, end - first)
         first = end
