@@ -30,6 +30,7 @@ from ._util import give_back, read_table, staged_buckets
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
 WORDS = 400_000  # ... or distinct words, but holds a text at least
 OUT_BYTES = 8 << 20
+WORDS_AT_ONCE = 1 << 17  # words of a text whose ids are gathered at a time
 KNOWN_BYTES = 256 << 20  # a task that holds encoded words beyond this lets go of those not asked about just now
 MOST_PARTS = 4096
 MID = 128 + 64 * 256  # places from here take three bytes
@@ -219,6 +220,43 @@ def id_to_piece(path: str) -> list[str]:
     return [piece.get(i, "") for i in range(max(piece) + 1)]
 
 
+def _coded_texts(row: dict, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids, decoded) of a chunk's texts, OUT_BYTES or a text at a time.
+
+    Ids are gathered from the chunk's one array by where each word's begin, so no
+    word has an object of its own; a text is gathered WORDS_AT_ONCE words at a time.
+    """
+    places, out, held, at = _unpack_places(row["places"]), [], 0, 0  # first, as it takes most on the way
+    order = np.argsort(_from_planes(row["owners"]), kind="stable")
+    lengths = np.concatenate([_from_planes(x["lengths"]) for x in row["coded"]])
+    flat = np.concatenate([_from_planes(x["codes"]) for x in row["coded"]])
+    size, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    size[order] = lengths
+    begin[order] = np.cumsum(lengths, dtype=np.int64) - lengths
+    del order, lengths
+    for i, k in zip(row["ids"], row["counts"]):
+        code, text = [], []
+        for first in range(at, at + k, WORDS_AT_ONCE):
+            p = places[first : min(first + WORDS_AT_ONCE, at + k)]
+            n = size[p]
+            ids = flat[np.arange(n.sum()) + np.repeat(begin[p] - np.cumsum(n) + n, n)]
+            code.append(ids.tobytes())
+            text.append("".join(pieces[ids].tolist()))
+        at += k
+        code, text = b"".join(code), "".join(text)[1:]
+        out.append((i, len(code) // 4, code, text))
+        held += len(code) + len(text)
+        if held > OUT_BYTES:
+            yield _batch_of(out)
+            out, held = [], 0
+    if out:
+        yield _batch_of(out)
+
+
+def _batch_of(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of docs.
 
@@ -241,37 +279,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         pieces = np.array([f" {p}" for p in id_to_piece(path)], dtype=object)
         for batch in batches:
             for at in range(batch.num_rows):
-                yield from finish(batch.slice(at, 1).to_pylist()[0], pieces)
+                yield from _coded_texts(batch.slice(at, 1).to_pylist()[0], pieces)
                 give_back()
 
-    def finish(row: dict, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(_from_planes(row["owners"]), kind="stable")
-        lengths = np.concatenate([_from_planes(x["lengths"]) for x in row["coded"]])
-        flat = np.concatenate([_from_planes(x["codes"]) for x in row["coded"]])
-        size = np.zeros(len(order), np.int64)
-        size[order] = lengths
-        ends = np.cumsum(lengths, dtype=np.int64)
-        named, raw = pieces[flat].tolist(), flat.tobytes()
-        code, text = [b""] * len(order), [""] * len(order)
-        for p, e, k in zip(order.tolist(), ends.tolist(), lengths.tolist()):
-            code[p] = raw[4 * (e - k) : 4 * e]
-            text[p] = "".join(named[e - k : e])
-        del named, raw, flat, lengths, ends
-        places, out, held, at = _unpack_places(row["places"]), [], 0, 0
-        for i, k in zip(row["ids"], row["counts"]):
-            p = places[at : at + k]
-            words, at = p.tolist(), at + k
-            out.append((i, int(size[p].sum()), b"".join([code[w] for w in words]), "".join([text[w] for w in words])[1:]))
-            held += 4 * out[-1][1] + len(out[-1][3])
-            if held > OUT_BYTES:
-                yield batch_of(out)
-                out, held = [], 0
-        if out:
-            yield batch_of(out)
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["doc_id", "n_tokens", "ids", "decoded"])
-
     return shipped(both).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
