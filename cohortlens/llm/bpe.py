@@ -28,8 +28,8 @@ from ..shipping import shipped
 from ._util import give_back, read_table, staged_buckets
 
 TEXT_CHARS = 24 << 20  # a chunk ends beyond so many characters ...
-WORDS = 400_000  # ... or distinct words, but holds a text at least
-OUT_BYTES = 8 << 20
+WORDS = 250_000  # ... or distinct words, but holds a text at least
+OUT_BYTES = 2 << 20
 WORDS_AT_ONCE = 1 << 17  # words of a text whose ids are gathered at a time
 KNOWN_BYTES = 256 << 20  # a task that holds encoded words beyond this lets go of those not asked about just now
 MOST_PARTS = 4096

@@ -57,7 +57,8 @@ def test_a_chunk_is_put_together_without_an_object_for_each_word():
     pieces = np.array([f" {k}" for k in range(50)], dtype=object)
     tracemalloc.start()
     try:
-        out = [r for b in bpe._coded_texts(row, pieces) for r in zip(*(b.column(c) for c in ("doc_id", "n_tokens", "ids", "decoded")))]
+        batches = list(bpe._coded_texts(row, pieces))
+        out = [r for b in batches for r in zip(*(b.column(c) for c in ("doc_id", "n_tokens", "ids", "decoded")))]
         most = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
@@ -65,3 +66,4 @@ def test_a_chunk_is_put_together_without_an_object_for_each_word():
     want = [(7, ids[:cut]), (None, ids[:0]), (9, ids[cut:])]
     assert [tuple(x.as_py() for x in r) for r in out] == [(i, len(x), x.tobytes(), " ".join(str(k) for k in x)) for i, x in want]
     assert most < 230 * words  # 286 with an object for each word and its text
+    assert [b.num_rows for b in batches] == [1, 2]  # the first text alone has more than 2 MB of ids and text
